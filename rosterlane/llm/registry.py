@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .near_dup import op6_near_duplicates
 
 QUERIES = {
+    "op6_near_duplicates": op6_near_duplicates,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
