@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .near_dup import op6_near_duplicates
+from .tokens import op3_token_counts
 
 QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
+    "op3_token_counts": op3_token_counts,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
