@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .near_dup import op6_near_duplicates
+from .token_files import op7_token_files
 from .tokens import op3_token_counts
 
 QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op3_token_counts": op3_token_counts,
+    "op7_token_files": op7_token_files,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
