@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .near_dup import op6_near_duplicates
+from .quality import op1_quality
 from .token_files import op7_token_files
 from .tokens import op3_token_counts
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op3_token_counts": op3_token_counts,
     "op7_token_files": op7_token_files,
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
