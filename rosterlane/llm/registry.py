@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .licenses import op4_licenses
 from .near_dup import op6_near_duplicates
 from .quality import op1_quality
 from .token_files import op7_token_files
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op7_token_files": op7_token_files,
     "op1_quality": op1_quality,
+    "op4_licenses": op4_licenses,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
