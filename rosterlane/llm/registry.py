@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .licenses import op4_licenses
+from .mixing import op9_mixing
 from .near_dup import op6_near_duplicates
 from .quality import op1_quality
 from .token_files import op7_token_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op1_quality": op1_quality,
     "op4_licenses": op4_licenses,
+    "op9_mixing": op9_mixing,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
