@@ -9,6 +9,7 @@ from .near_dup import op6_near_duplicates
 from .quality import op1_quality
 from .token_files import op7_token_files
 from .tokens import op3_token_counts
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op4_licenses": op4_licenses,
     "op9_mixing": op9_mixing,
+    "op8_toxicity": op8_toxicity,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
