@@ -6,6 +6,7 @@ from .decontaminate import op2_decontaminate
 from .licenses import op4_licenses
 from .mixing import op9_mixing
 from .near_dup import op6_near_duplicates
+from .pii import op10_surrogates
 from .quality import op1_quality
 from .token_files import op7_token_files
 from .tokens import op3_token_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op9_mixing": op9_mixing,
     "op8_toxicity": op8_toxicity,
+    "op10_surrogates": op10_surrogates,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
