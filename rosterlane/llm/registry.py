@@ -8,6 +8,7 @@ from .mixing import op9_mixing
 from .near_dup import op6_near_duplicates
 from .pii import op10_surrogates
 from .quality import op1_quality
+from .repeats import op5_repeats
 from .token_files import op7_token_files
 from .tokens import op3_token_counts
 from .toxicity import op8_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op8_toxicity": op8_toxicity,
     "op10_surrogates": op10_surrogates,
+    "op5_repeats": op5_repeats,
     "op2_decontaminate": op2_decontaminate,
 }
 ORACLES: dict[str, str] = {}
