@@ -10,8 +10,8 @@ Pairs that share a key are confirmed on the full shingle sets; links form connec
 
 Scale. Two scans of the text. No key's members are expanded into all pairs at first: they are compared with one
 leader, the links contract components, and only keys whose members still lie in different components go on,
-with another leader each round while that finds links; what remains then is compared pair by pair between
-different components (sizes within 85 %), so no link between different texts is lost. Candidate keys, sets and
+with another leader each round while that finds links; the documents that remain then are joined by the exact prefix
+filter (least frequent shingles first) between different components, so no link between different texts is lost. Candidate keys, sets and
 links are tables in the shared folder; nothing is collected. Copies never meet: they are one class from the start.
 
 Cases. Null or wordless text has an empty set: linked with nothing, its own component. Rows without an id are not
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches
@@ -103,15 +103,18 @@ def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-    return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "n", "shingles"])
+    sets = shingle_sets(batch.column("text"))
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.view(np.int64)))
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), lists], ["node", "n", "shingles"])
 
 
 def _confirmed(batches):
     for batch in batches:
         good = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            a, b = (v.values.to_numpy() for v in (x, y))
             both = len(np.intersect1d(a, b, assume_unique=True))
             good.append(100 * both >= PERCENT * (len(a) + len(b) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
@@ -157,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(filed.join(shared, "key", "left_semi"))
     nodes = members.select("node").distinct()
     texts = base.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi")
-    sets = cut(map_batches(texts, _set_rows, "node long, n long, shingles binary").where("n > 0"))
+    sets = cut(map_batches(texts, _set_rows, "node long, n long, shingles array<long>").where("n > 0"))
     roots = components(members, sets, cut(nodes.select("node", F.col("node").alias("root"))))
 
     named_root = classes.select("hi", "lo", "node").join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
@@ -178,10 +181,7 @@ def components(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFra
         placed = members.join(roots, "node")
         open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root", "n")).alias("lead")).where("lo < hi").select("key", "lead")
         if last:
-            kept = cut(placed.join(open_keys.select("key"), "key", "left_semi"))
-            x, y = kept.alias("x"), kept.alias("y")
-            near = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-            pairs = x.join(y, F.col("x.key").eqNullSafe(F.col("y.key")) & near & _sizes("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            pairs = prefix_pairs(placed.join(open_keys.select("key"), "key", "left_semi").select("node", "root").distinct().join(sets, "node"))
         else:
             led = placed.join(open_keys, "key").where((F.col("root") != F.col("lead.root")) & _sizes("n", "lead.n"))
             pairs = led.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
@@ -196,7 +196,28 @@ def components(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFra
             return roots
         tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
         turn += 1
-        last = 4 * n_linked < n or not n  # leaders no longer find much: compare what is left pair by pair
+        last = 4 * n_linked < n or not n  # leaders no longer find much: join what is left
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): all pairs of rows (node, root, n, shingles) of different roots that may be linked, by prefix filtering.
+
+    Linked sets share at least 85 % of the larger one's shingles, so in any common order they share one among each
+    one's first n - ceil(0.85 n) + 1. The order is by frequency among these rows: shingles of one row come first and
+    match nothing, and what stands behind the first common one bounds the overlap, so near copies that differ too much
+mostly propose no pair at all.
+    """
+    each = cut(rows.select("node", "root", "n", F.explode("shingles").alias("g")))
+    often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    by_node = Window.partitionBy("node")
+    ranked = each.join(often, "g").withColumn("at", F.col("n") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "g")))
+    first = cut(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("node", "root", "n", "g", "at"))
+    x, y = first.alias("x"), first.alias("y")
+    near = (F.col("x.g") == F.col("y.g")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _sizes("x.n", "y.n")
+    # Behind its first common shingle a pair has at most this many: enough for the least overlap, or not linked.
+    rest = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    near = near & ((100 + PERCENT) * rest >= PERCENT * (F.col("x.n") + F.col("y.n")))
+    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _sizes(a: str, b: str):
