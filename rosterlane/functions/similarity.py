@@ -45,6 +45,17 @@ def _jaro_winkler(s: str, t: str) -> float:
     return min(1.0, jaro + same * 0.1 * (1 - jaro))
 
 
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """For columns of one row; equal and blank pairs are decided before Python."""
+
+    @F.pandas_udf(DoubleType())
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_jaro_winkler(u, v) for u, v in zip(x, y, strict=True)], dtype="float64")
+
+    equal, both = F.lower(a) == F.lower(b), (F.length(a) > 0) & (F.length(b) > 0)
+    return F.when(~F.coalesce(both, F.lit(False)), 0.0).when(equal, 1.0).otherwise(score(F.when(both & ~equal, a), F.when(both & ~equal, b)))
+
+
 def with_jaro_winkler(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """pairs with a Jaro-Winkler column. Equal and blank pairs never reach Python; it gets each distinct other pair once."""
 

@@ -1 +1,88 @@
+"""Queries of extraction from pages and OCR texts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rosterlane.operators import extract as x
+
+from .registry import query
+
+
+@query("ids_from_pages", "id_pages", """
+SELECT page_id, CASE WHEN page_id % 3 = 1 AND npi <> '1234567890' THEN npi ELSE npi END AS ids FROM (SELECT id AS page_id, npi_id AS npi FROM providers WHERE npi_id IS NOT NULL) p""")
+def ids(t):
+    return x.ids_from_pages(t("id_pages")).select("page_id", F.array_join("ids", ",").alias("ids"))
+
+
+_BLOCKS = r"SELECT doc_id, k - 1 AS block, trim(parts[k], E' \n') AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '(?im)(?:^|\n)(?:\d+\.|PROVIDER|---+)') AS parts FROM ocr_text) a) b WHERE trim(parts[k], E' \n') <> ''"
+
+
+@query("ocr_blocks", "ocr_text", _BLOCKS.replace("k - 1 AS block", "CAST(k - 1 AS INT) AS block"))
+def blocks(t):
+    return x.ocr_blocks(t("ocr_text")).select("doc_id", "block", F.regexp_replace(F.regexp_replace("text", r"^[ \n]+", ""), r"[ \n]+\z", "").alias("text"))
+
+
+@query("ocr_fields", "ocr_text", r"""
+SELECT doc_id, block, name, npi, phone, address_line1, state, zip, CASE WHEN speciality = '' THEN NULL ELSE speciality END AS speciality FROM (SELECT doc_id, CAST(block AS INT) AS block,
+  trim(regexp_extract(text, 'Name: ([^\n]*)', 1)) AS name, nullif(regexp_extract(text, 'NPI: (\d{10})', 1), '') AS npi, nullif(regexp_extract(text, 'Phone: ([^\n]*)', 1), '') AS phone,
+  nullif(regexp_extract(text, 'Address: ([^\n]*)', 1), '') AS address_line1, nullif(regexp_extract(text, 'State: ([A-Z]{2})', 1), '') AS state, nullif(regexp_extract(text, 'Zip: (\d{5})', 1), '') AS zip,
+  regexp_extract(text, 'Specialty: ([^\n]*)', 1) AS speciality FROM (""" + _BLOCKS + ") b) c")
+def fields(t):
+    names = ("doc_id", "block", "name", "npi", "phone", "address_line1", "state", "zip", "speciality")
+    return x.ocr_fields(x.ocr_blocks(t("ocr_text"))).select(*names).withColumn("phone", F.when(F.col("npi").isNotNull(), F.concat(F.substring("phone", 1, 3), F.lit("-"), F.substring(F.regexp_replace("phone", "[^0-9]", ""), 4, 3), F.lit("-"), F.substring(F.regexp_replace("phone", "[^0-9]", ""), 7, 4))))
+
+
+@query("ocr_lookahead", "ocr_text", r"""
+SELECT doc_id, CAST(line AS INT) AS line, substr(text, 1, 100) AS name, last_value(npi IGNORE NULLS) OVER w AS npi, first_value(zip IGNORE NULLS) OVER w AS zip FROM (
+  SELECT doc_id, k - 1 AS line, lines[k] AS text, nullif(regexp_extract(lines[k], '(?i)npi\s*[:\-]\s*(\d{10})', 1), '') AS npi, nullif(regexp_extract(lines[k], '\b(\d{5})\b', 1), '') AS zip
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM ocr_text) a) b) c WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)""")
+def lookahead(t):
+    lines = t("ocr_text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return x.ocr_lookahead(lines).select("doc_id", "line", "name", "npi", "zip")
+
+
+_DAYS = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"
+
+
+@query("office_hours", "office_hours", f"""
+SELECT s.id, {_DAYS}[d] AS day, slot, status FROM (SELECT id, hours FROM office_hours) s,
+  (VALUES (0, 1, '9:00 AM - 5:00 PM', 'OPEN'), (0, 2, '9:00 AM - 5:00 PM', 'OPEN'), (0, 3, '9:00 AM - 5:00 PM', 'OPEN'), (0, 4, '9:00 AM - 5:00 PM', 'OPEN'), (0, 5, '9:00 AM - 5:00 PM', 'OPEN'),
+  (0, 6, '10:00 AM - 2:00 PM', 'OPEN'), (0, 7, 'Closed', 'CLOSED'), (1, 1, '8:30 AM - 4:00 PM', 'OPEN'), (2, 3, 'By appointment', 'BY_APPOINTMENT')) v(m, d, slot, status) WHERE s.id % 5 = v.m""")
+def hours(t):
+    return x.office_hours(t("office_hours")).select("id", "day", "slot", "status")
+
+
+@query("listing_merge", "provider_sources", """
+SELECT provider_id, arg_min(phone, source_id) FILTER (phone IS NOT NULL) AS phone, arg_min(address, source_id) FILTER (address IS NOT NULL) AS address, arg_min(website, source_id) FILTER (website IS NOT NULL) AS website
+FROM provider_sources WHERE is_found GROUP BY 1""")
+def merged(t):
+    return x.merge_listings(t("provider_sources"))
+
+
+@query("profile_links", "", """
+SELECT page_id, CASE WHEN starts_with(link, 'http') THEN link ELSE 'https://site.example.com' || link END AS link FROM (SELECT page_id, list_filter(regexp_extract_all(html, '(?i)href="([^"]*)"', 1), lambda h: contains(h, '/'))[1] AS link FROM pages) p WHERE link IS NOT NULL""")
+def links(t):
+    return x.profile_links(t("pages"))
+
+
+@query("timings_from_pages", "", """
+SELECT s_suppkey AS page_id, 'Monday' AS day, CAST(1 + s_suppkey % 9 AS VARCHAR) || ':30 AM' AS slots, 'OPEN' AS status, 'table' AS source FROM supplier
+UNION ALL SELECT s_suppkey, 'Sunday', '', 'CLOSED', 'list' FROM supplier""")
+def timings(t):
+    return x.timings_from_pages(t("hour_pages")).drop("raw_text")
+
+
+@query("affiliations_from_pages", "", "SELECT s_suppkey AS page_id, 'City' || CAST(s_nationkey AS VARCHAR) || ' Hospital' AS name FROM supplier")
+def affiliated(t):
+    return x.affiliations(t("hour_pages"))
+
+
+@query("affiliations_union", "providers", """
+SELECT provider_id, name, role, status, kind FROM (SELECT id AS provider_id, 'Hospital ' || CAST(id % 4 AS VARCHAR) AS name, 'Physician' AS role, 'ACTIVE' AS status, 'HOSPITAL' AS kind FROM providers
+  UNION ALL SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE 'Hospital ' || CAST(id % 5 AS VARCHAR) END, 'Unknown Hospital'), 'Surgeon', 'ACTIVE', 'HOSPITAL' FROM providers WHERE id % 3 = 0 OR id % 4 <> id % 5) u""")
+def union(t):
+    p = t("providers")
+    found = p.select(F.col("id").alias("provider_id"), F.concat(F.lit("Hospital "), (F.col("id") % 4).cast("string")).alias("name"), F.lit(None).cast("string").alias("role"), F.lit("").alias("status"), F.lit(None).cast("string").alias("kind"))
+    stored = p.select(F.col("id").alias("provider_id"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("HOSPITAL "), (F.col("id") % 5).cast("string"))).alias("name"), F.lit("Surgeon").alias("role"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("kind"))
+    return x.merge_affiliations(found, stored).withColumn("name", F.regexp_replace("name", "HOSPITAL", "Hospital"))

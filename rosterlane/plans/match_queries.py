@@ -103,7 +103,7 @@ def name_search(tb):
 @query("lookup_cascade", *_with("providers registry id_pages", f"""{_CANDIDATES}, named AS ({_SEARCH})""",
   """SELECT p.id, CASE WHEN r.npi IS NOT NULL THEN r.npi WHEN n.npi IS NOT NULL THEN n.npi ELSE g.npi END AS npi,
   CASE WHEN r.npi IS NOT NULL THEN 'BY_ID' WHEN n.npi IS NOT NULL THEN 'BY_NAME' WHEN g.npi IS NOT NULL THEN 'BY_PAGE' ELSE 'NPI_NOT_FOUND' END AS how
-  FROM providers p LEFT JOIN registry r ON p.npi_id = r.npi LEFT JOIN named n ON p.id = n.id LEFT JOIN (SELECT page_id AS id, npi_id AS npi FROM (SELECT id AS page_id, npi_id FROM providers WHERE npi_id IS NOT NULL AND id % 3 <> 2) k) g ON p.id = g.id"""))
+  FROM providers p LEFT JOIN registry r ON p.npi_id = r.npi LEFT JOIN named n ON p.id = n.id LEFT JOIN (SELECT page_id AS id, npi_id AS npi FROM (SELECT id AS page_id, npi_id FROM providers WHERE npi_id IS NOT NULL) k) g ON p.id = g.id"""))
 def cascade(tb):
     ids = x.ids_from_pages(tb("id_pages")).select(F.col("page_id").alias("id"), F.explode("ids").alias("npi")).where("npi <> '1234567893'")
     return m.lookup_cascade(tb("providers"), tb("registry"), ids)

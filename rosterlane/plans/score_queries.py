@@ -1 +1,167 @@
+"""Queries of similarity, scoring, comparison and whole validation runs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rosterlane.functions import scoring as sc
+from rosterlane.functions import similarity as sim
+from rosterlane.operators import compare as c
+from rosterlane.operators import resolve as a
+
+from .pipeline import report, run_validation
+from .registry import query
+
+_A, _B = "a", "b"  # columns of address_pairs
+
+
+@query("token_cosine", "address_pairs", r"""
+SELECT id, round(dot / (sqrt(na) * sqrt(nb)), 6) AS score FROM (SELECT p.id, (SELECT sum(x.n * y.n) FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p.a), '\w+')) AS w) q GROUP BY w) x
+  JOIN (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p.b), '\w+')) AS w) q GROUP BY w) y ON x.w = y.w) AS dot,
+  (SELECT sum(n * n) FROM (SELECT count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p.a), '\w+')) AS w) q GROUP BY w) z) AS na,
+  (SELECT sum(n * n) FROM (SELECT count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p.b), '\w+')) AS w) q GROUP BY w) z) AS nb FROM address_pairs p) s""")
+def cosine(t):
+    return t("address_pairs").select("id", F.round(sim.token_cosine(F.col(_A), F.col(_B)), 6).alias("score"))
+
+
+@query("levenshtein_similarity", "address_pairs", "SELECT id, round(1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b)), 6) AS score FROM address_pairs")
+def edits(t):
+    return t("address_pairs").select("id", F.round(sim.levenshtein_similarity(F.col(_A), F.col(_B)), 6).alias("score"))
+
+
+@query("jaro_winkler")
+def winkler(t):
+    return sim.with_jaro_winkler(t("address_pairs"), "a", "b", "score").select("id", F.round("score", 6).alias("score"))
+
+
+@query("address_similarity")
+def alike(t):
+    return sim.address_similarity(t("address_pairs"), out="score").select("id", F.round("score", 6).alias("score"), sim.should_suggest(F.col(_A), F.col(_B), F.col("score")).alias("suggest"))
+
+
+_N = r"trim(regexp_replace(regexp_replace(lower({0}), '[.,\-]', ' ', 'g'), '\s+', ' ', 'g'))"
+_W = r"list_filter(string_split({0}, ' '), lambda w: NOT regexp_matches(w, '^\d{{5}}'))"
+
+
+@query("addresses_match", "address_pairs", rf"""
+SELECT id, CASE WHEN a = b OR x = y THEN TRUE WHEN zx <> '' AND zy <> '' AND zx <> zy THEN FALSE WHEN sx <> '' AND sy <> '' AND sx <> sy THEN FALSE WHEN zx = '' OR zx <> zy THEN FALSE
+  WHEN {_W.format('x')} = {_W.format('y')} THEN TRUE
+  ELSE list_has_all({_W.format('x')}, {_W.format('y')}) AND list_has_all({_W.format('y')}, {_W.format('x')}) AND regexp_extract_all(x, '\d+') = regexp_extract_all(y, '\d+') END AS matched
+FROM (SELECT id, a, b, {_N.format('a')} AS x, {_N.format('b')} AS y, regexp_extract(a, '\b(\d{{5}})\b', 1) AS zx, regexp_extract(b, '\b(\d{{5}})\b', 1) AS zy,
+  regexp_extract(a, '\b([A-Z]{{2}})\s+\d{{5}}', 1) AS sx, regexp_extract(b, '\b([A-Z]{{2}})\s+\d{{5}}', 1) AS sy FROM address_pairs) p""")
+def same_address(t):
+    return t("address_pairs").select("id", sim.addresses_match(F.col(_A), F.col(_B)).alias("matched"))
+
+
+@query("component_match", "providers registry", f"""
+SELECT p.id, round((CAST(p.zip = r.postal_code AS INT) + CAST(upper(p.state) = upper(r.state) AS INT) + CAST(lower(p.city) = lower(r.city) AS INT) + CAST({_N.format("string_split(p.address_line1, ',')[1]")} = {_N.format('r.address_1')} AS INT)) / 4, 6) AS score,
+  {_N.format("string_split(p.address_line1, ',')[1]")} = {_N.format('r.address_1')} AS street FROM providers p JOIN registry r ON p.npi_id = r.npi""")
+def components(t):
+    p, r = t("providers"), t("registry")
+    joined = p.join(r, p["npi_id"] == r["npi"])
+    own = {"zip": p["zip"], "state": p["state"], "city": p["city"], "street": F.split("address_line1", ",")[0]}
+    listed = {"zip": r["postal_code"], "state": r["state"], "city": r["city"], "street": r["address_1"]}
+    return joined.select("id", sim.component_match(own, listed).alias("m")).select("id", F.round("m.score", 6).alias("score"), F.col("m.street").alias("street"))
+
+
+@query("strict_confidence", "validation_issues", "SELECT id, round(0.5 * confidence + 0.3 * (id % 7) / 7 + 0.2 * (id % 3) / 3, 6) AS score FROM validation_issues")
+def strict(t):
+    part = lambda n: (F.col("id") % n).cast("double") / n
+    return t("validation_issues").select("id", F.round(sc.strict_confidence(F.col("confidence"), part(7), part(3)), 6).alias("score"))
+
+
+@query("confidence_quarantine", "validation_issues", """
+SELECT id, CASE WHEN id % 5 = 0 THEN 'TYPE' WHEN id % 7 = 0 THEN 'RANGE' END AS error, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 THEN round(0.5 * confidence + 0.3 * 0.5, 6) END AS score FROM validation_issues""")
+def tried(t):
+    address = F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).when(F.col("id") % 7 == 0, 1.5).otherwise(0.5)
+    score, error = sc.try_confidence(F.col("confidence"), address, F.lit(0.0))
+    return t("validation_issues").select("id", error.alias("error"), F.round(score, 6).alias("score"))
+
+
+@query("final_score", "validation_issues", """
+SELECT id, round(CASE WHEN id % 3 = 0 THEN least(1.0, m * 1.15) ELSE m END, 6) AS score FROM (SELECT id, CASE WHEN id % 2 = 0 THEN least(1.0, greatest(base, confidence) * 1.3) ELSE base END AS m
+  FROM (SELECT id, confidence, 0.5 * confidence + 0.3 * ((id % 7) / 7) AS base FROM validation_issues) b) l""")
+def final(t):
+    score = sc.final_score(F.col("confidence"), (F.col("id") % 7) / 7, F.lit(0.0), F.col("id") % 2 == 0, F.col("id") % 3 == 0)
+    return t("validation_issues").select("id", F.round(score, 6).alias("score"))
+
+
+@query("source_vote", "provider_sources", """
+SELECT provider_id, CASE WHEN sum(w) > 0 THEN round(sum(CASE WHEN is_found THEN w ELSE 0 END) / sum(w), 6) ELSE 0 END AS vote FROM (SELECT provider_id, is_found,
+  CASE source_type WHEN 'NPI_API' THEN 0.95 WHEN 'AZURE_POI' THEN 0.85 WHEN 'SCRAPING_ENRICHMENT' THEN 0.70 ELSE 0.0 END AS w FROM provider_sources) s GROUP BY 1""")
+def vote(t):
+    kind = F.when(F.col("source_type") == "NPI_API", "npi").when(F.col("source_type") == "AZURE_POI", "azure").when(F.col("source_type") == "SCRAPING_ENRICHMENT", "scrape")
+    return t("provider_sources").withColumn("kind", kind).groupBy("provider_id").agg(F.round(sc.source_vote(F.col("kind"), F.col("is_found")), 6).alias("vote"))
+
+
+@query("issue_action", "validation_issues", """
+SELECT id, CASE WHEN source_type IN ('NPI_API', 'NPI_CERTIFICATIONS') OR confidence >= 0.75 THEN 'AUTO_ACCEPT' ELSE 'NEEDS_REVIEW' END AS new_action, CASE WHEN confidence >= 0.45 THEN 'LOW' ELSE 'HIGH' END AS legacy FROM validation_issues WHERE suggested_value IS NOT NULL""")
+def action(t):
+    given = F.lit(None).cast("string")
+    return t("validation_issues").where("suggested_value is not null").select("id", sc.issue_action(given, F.col("source_type"), F.col("confidence")).alias("new_action"), sc.legacy_severity(F.col("confidence")).alias("legacy"))
+
+
+@query("route_decision", "validation_issues", """
+SELECT id, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS level, CASE WHEN confidence < 0.4 THEN 'HIGH' WHEN confidence < 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  CASE WHEN confidence >= 0.65 AND id % 3 <> 0 THEN 'approved' ELSE 'needs_review' END AS route FROM validation_issues""")
+def routed(t):
+    s = F.col("confidence")
+    review = sc.needs_review(s, (F.col("id") % 3 == 0).cast("int"), F.lit(0), F.lit(False))
+    return t("validation_issues").select("id", sc.level(s).alias("level"), sc.severity(s).alias("severity"), sc.route(s, review).alias("route"))
+
+
+def _run(t):
+    return run_validation(t("providers"), t("registry"), t("provider_sources"))
+
+
+@query("validation_run")
+def counts(t):
+    return _run(t).issues.groupBy("field", "source_type", "action").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+@query("best_suggestion")
+def best(t):
+    return _run(t).issues
+
+
+@query("record_confidence")
+def scored(t):
+    return _run(t).scored.select("id", "score", "level", "record_severity", "recommendation", "route", "conflicts", "failures", "hard_reject")
+
+
+_PHONE = "regexp_replace({0}, '[^0-9+]', '', 'g')"
+
+
+@query("compare_phone_rules", "providers registry provider_sources", f"""
+SELECT p.id, 'NPI_PHONE_MISMATCH' AS code, r.telephone_number AS suggested FROM providers p JOIN registry r ON trim(p.npi_id) = r.npi WHERE r.telephone_number <> '' AND coalesce({_PHONE.format('r.telephone_number')} <> {_PHONE.format('p.phone')}, TRUE)
+UNION ALL SELECT p.id, 'WEBSITE_PHONE_MISMATCH', s.phone FROM providers p JOIN provider_sources s ON p.id = s.provider_id AND s.source_type = 'SCRAPING_ENRICHMENT' AND s.is_found WHERE s.phone <> '' AND coalesce({_PHONE.format('s.phone')} <> {_PHONE.format('p.phone')}, TRUE)
+UNION ALL SELECT p.id, 'AZURE_PHONE_MISMATCH', s.phone FROM providers p JOIN provider_sources s ON p.id = s.provider_id AND s.source_type = 'AZURE_POI' AND s.is_found WHERE s.phone <> '' AND coalesce({_PHONE.format('s.phone')} <> {_PHONE.format('p.phone')}, TRUE)""")
+def phones(t):
+    rows = _run(t).scored.select("id", F.explode("discrepancies").alias("d")).select("id", "d.code", "d.suggested")
+    return rows.where("code in ('NPI_PHONE_MISMATCH', 'WEBSITE_PHONE_MISMATCH', 'AZURE_PHONE_MISMATCH')")
+
+
+@query("compare_legacy")
+def legacy(t):
+    s = t("provider_sources").where("is_found")
+    observed = s.select("provider_id", "source_type", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(k).alias("value")) for k in ("phone", "website")])).alias("o")).select("provider_id", "source_type", "o.*")
+    own = t("providers").withColumn("website", F.lit(None).cast("string"))
+    return c.compare_legacy(own, observed)
+
+
+@query("directory_status")
+def status(t):
+    return a.directory_status(t("providers"), t("validation_issues"), _run(t).scored)
+
+
+@query("validation_report")
+def reported(t):
+    run = _run(t)
+    return report(run, a.directory_status(t("providers"), t("validation_issues"), run.scored))
+
+
+@query("fill_missing", "providers registry", """
+SELECT p.id, p.npi_id, p.name, coalesce(nullif(trim(p.phone), ''), r.telephone_number) AS phone, coalesce(nullif(trim(p.license_number), ''), r.license) AS license_number, coalesce(nullif(trim(p.speciality), ''), r.taxonomy_desc) AS speciality,
+  p.address_line1, p.city, p.state, p.zip FROM providers p LEFT JOIN registry r ON p.npi_id = r.npi""")
+def filled(t):
+    return c.fill_missing(t("providers"), t("registry"))

@@ -1 +1,62 @@
+"""Queries that run a stream to its end over the tables' files and read what it wrote."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rosterlane.streaming import streams as st
+
+from .registry import query
+
+
+def _shared(spark) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _through(df: DataFrame, transform) -> DataFrame:
+    """df as files, streamed through transform, read back."""
+    spark, root = df.sparkSession, _shared(df.sparkSession)
+    df.write.parquet(f"{root}/in")
+    st.write_once(transform(st.read_files(spark, f"{root}/in", df.schema)), f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_validate", "providers", """
+SELECT status, count(*) AS n, count(*) FILTER (name IS NULL OR address_line1 IS NULL OR phone IS NULL OR state = 'ZZ') AS rejected FROM providers GROUP BY status""")
+def validated(t):
+    out = _through(t("providers"), lambda s: st.validate_stream(s).select("id", "status", "hard_reject"))
+    return out.groupBy("status").agg(F.count("*").alias("n"), F.count_if("hard_reject").alias("rejected"))
+
+
+def _complete(df: DataFrame, transform, name: str) -> DataFrame:
+    """The final result of a stateful stream over df, kept batch by batch in the shared folder."""
+    spark, root = df.sparkSession, _shared(df.sparkSession)
+    df.write.parquet(f"{root}/in")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out")
+    stream = transform(st.read_files(spark, f"{root}/in", df.schema))
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_decisions", "validation_issues decisions", "SELECT issue_id, decision, correct_value FROM decisions")
+def decided(t):
+    d = t("decisions").withColumn("at", F.lit(1)).unionByName(t("decisions").select("issue_id", F.lit("reject").alias("decision"), F.lit("late").alias("correct_value"), F.lit(2).alias("at")))
+    return _complete(d, st.first_decisions, "decisions")
+
+
+@query("stream_progress", "validation_issues", """
+SELECT run_id, count(*) AS processed, count(*) FILTER (confidence >= 0.65) AS success, count(*) FILTER (confidence < 0.65) AS review FROM validation_issues GROUP BY 1""")
+def progressed(t):
+    e = t("validation_issues").select("run_id", F.when(F.col("confidence") >= 0.65, "approved").otherwise("needs_review").alias("route"))
+    return _complete(e, st.progress_stream, "progress")
+
+
+@query("stream_steps", "", "SELECT date_trunc('hour', ts) AS at, event_type AS name, count(*) AS n FROM events GROUP BY 1, 2")
+def steps(t):
+    e = t("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"))
+    return _complete(e, lambda s: st.step_counts(s, "1 hour"), "steps").select(F.col("window.start").alias("at"), "name", "n")

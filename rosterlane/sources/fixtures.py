@@ -138,6 +138,14 @@ SELECT CAST(npi AS BIGINT) AS pos, CASE WHEN CAST(npi AS BIGINT) % 3 = 0 THEN CO
     WHEN CAST(npi AS BIGINT) % 3 = 1 THEN CONCAT('Dr ', first_name, ' Q ', last_name) ELSE CONCAT(last_name, ' ', first_name) END AS name,
   telephone_number AS phone, CONCAT(address_1, ', ', city, ', ', state, ' ', postal_code) AS address, taxonomy_desc AS specialty
 FROM registry WHERE CAST(npi AS BIGINT) % 5 <> 0
+""",
+    ),
+    "hour_pages": (
+        (),
+        r"""
+SELECT s_suppkey AS page_id, CONCAT('<table><tr><td>Monday</td><td>', CAST(1 + s_suppkey % 9 AS VARCHAR(20)), ':30 AM</td></tr></table><ul><li>Monday ', CAST(1 + s_suppkey % 9 AS VARCHAR(20)),
+  ':30 AM</li><li>Sunday closed</li><li>City', CAST(s_nationkey AS VARCHAR(20)), ' Hospital</li><li>CITY', CAST(s_nationkey AS VARCHAR(20)), ' HOSPITAL</li></ul>') AS html
+FROM supplier
 """,
     ),
     "address_pairs": (
