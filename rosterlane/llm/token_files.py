@@ -17,7 +17,6 @@ order of their texts. A token folder of no documents reads as no rows.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +46,14 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int = BITS) -> WaveletMatrix:
         zeros, planes, ranks, at = [], [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            ones = (at >> at.dtype.type(b)).astype(np.uint8) & 1
+            ones = (at & at.dtype.type(1 << b)) != 0
             packed = np.packbits(ones, bitorder="little")
             per = np.add.reduceat(_POP[packed], np.arange(0, len(packed), BLOCK // 8), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate((np.zeros(1, np.uint32), np.cumsum(per, dtype=np.uint32))).tobytes())
-            ones = ones.view(bool)
-            low = at[~ones]
+            low = np.compress(~ones, at)
             zeros.append(len(low))
-            at = np.concatenate((low, at[ones]))
+            at = np.concatenate((low, np.compress(ones, at)))
         return cls(len(ids), zeros, planes, ranks)
 
     def bit(self, level: int, i: int) -> int:
@@ -113,8 +111,8 @@ class WaveletMatrix:
         for level in range(len(self.zeros) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(ids)
-            above[~ones] = ids[: self.zeros[level]]
-            above[ones] = ids[self.zeros[level] :] | ids.dtype.type(1 << (len(self.zeros) - 1 - level))
+            above[np.flatnonzero(~ones)] = ids[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = ids[self.zeros[level] :] | ids.dtype.type(1 << (len(self.zeros) - 1 - level))
             ids = above
         return ids
 
@@ -123,13 +121,12 @@ def encode_rows(data: str, texts: list[str], end_id: int) -> tuple[np.ndarray, n
     """(ids, lengths) of the texts, each with the end id."""
     e = encoder(data)
     rows, text, starts, ends, hashes, first = e.pretokens(texts)
-    got, which = e.ids_of(text, starts, ends, hashes) if len(hashes) else ([], np.zeros(0, np.int64))
-    size = np.fromiter(map(len, got), np.int64, len(got))
-    flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
-    base = np.concatenate(([0], np.cumsum(size)))
-    each = size[which]
-    total = np.concatenate(([0], np.cumsum(each)))
-    ids = flat[np.repeat(base[which] - total[:-1], each) + np.arange(total[-1])] if len(flat) else flat
+    ids, total = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    if len(hashes):
+        flat, low, length, which = e.ids_of(text, starts, ends, hashes)
+        each = length[which]
+        total = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat(low[which] - total[:-1], each) + np.arange(total[-1])]
     lengths = np.zeros(len(texts), np.int64)
     lengths[rows] = total[first[1:]] - total[first[:-1]]
     others = sorted(set(range(len(texts))) - set(rows))

@@ -20,6 +20,7 @@ import json
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from .common import map_batches
 from .words import span_hash, text_bytes
 
 LIMIT = 2048
-_REMEMBERED = 400_000
+_REMEMBERED = 2_000_000  # about 40 bytes each
+_TOGETHER = 64
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
 
 
@@ -103,11 +105,36 @@ class Encoder:
         self.words_only = told["normalizer"] is not None
         self.special = [t["content"] for t in told["added_tokens"]]
         self.whole = whole
-        self.merged: dict[int, tuple[int, ...]] = {}
+        self.forget()
 
     def encode(self, texts: list[str]) -> list[tuple[int, ...]]:
         return [tuple(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def merge(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of the pre-tokens. Plain words are handed over many to a text, which the library parts again as it would each alone."""
+        lead, gap = ("", " ") if self.words_only else (" ", "")
+        words = [i for i, p in enumerate(pretokens) if p.startswith(lead) and p[len(lead) :].isalpha()]
+        told = self.library.encode_batch([gap.join([pretokens[i] for i in words[k : k + _TOGETHER]]) for k in range(0, len(words), _TOGETHER)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in told), np.uint32)
+        of = np.fromiter(chain.from_iterable(e.word_ids for e in told), np.int64)
+        new = np.ones(len(of), bool)
+        new[1:] = of[1:] != of[:-1]
+        new[np.cumsum([len(e) for e in told])[:-1].astype(np.int64)] = True
+        starts = np.append(np.flatnonzero(new), len(of))
+        if len(starts) != len(words) + 1:  # never seen; then each alone
+            words, ids, starts = [], ids[:0], np.zeros(1, np.int64)
+        lengths = np.zeros(len(pretokens), np.int64)
+        lengths[words] = np.diff(starts)
+        alone = sorted(set(range(len(pretokens))) - set(words))
+        others = self.encode([pretokens[i] for i in alone])
+        lengths[alone] = [len(x) for x in others]
+        out, mine = np.zeros(int(lengths.sum()), np.uint32), np.zeros(len(pretokens), bool)
+        mine[words] = True
+        body = np.repeat(mine, lengths)
+        out[body] = ids
+        out[~body] = np.fromiter(chain.from_iterable(others), np.uint32)
+        return out, lengths
+
     def plain(self, texts: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
         """The rows that may take the fast way, their joined text, its code points and the rows' offsets."""
         rows = [i for i, t in enumerate(texts) if not any(s in t for s in self.special) and (not self.words_only or t.isascii() or unicodedata.is_normalized("NFC", t))]
@@ -136,18 +163,31 @@ class Encoder:
         hashes = hash_spans(cps, starts, ends)
         return rows, text, starts, ends, hashes, np.searchsorted(starts, docs)
 
-    def ids_of(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[list[tuple[int, ...]], np.ndarray]:
-        """The ids of each distinct pre-token, and which of them each pre-token is."""
+    def ids_of(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, low, length, which): pre-token i is distinct pre-token k = which[i], with ids flat[low[k]:low[k] + length[k]]."""
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        got = [self.merged.get(k) for k in keys]
-        missing = [i for i, v in enumerate(got) if v is None]
-        if missing:
-            if len(self.merged) + len(missing) > _REMEMBERED:
-                self.merged.clear()
-            for i, ids in zip(missing, self.encode([text[starts[at[i]] : ends[at[i]]] for i in missing]), strict=True):
-                got[i] = self.merged[keys[i]] = ids
-        return got, which
+        if len(self.known) + len(distinct) > _REMEMBERED:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        seen = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        slot = np.full(len(distinct), -1, np.int64)
+        slot[seen] = self.slot[place[seen]]
+        missing = np.flatnonzero(~seen)
+        if len(missing):
+            low, high = starts[at[missing]].tolist(), ends[at[missing]].tolist()
+            ids, lengths = self.merge([text[a:b] for a, b in zip(low, high, strict=True)])
+            slot[missing] = len(self.low) - 1 + np.arange(len(missing))
+            known = np.concatenate((self.known, distinct[missing]))
+            order = np.argsort(known, kind="stable")  # two sorted runs: merged in one pass
+            self.known, self.slot = known[order], np.concatenate((self.slot, slot[missing]))[order]
+            self.low = np.append(self.low, self.low[-1] + np.cumsum(lengths))
+            self.flat = np.append(self.flat, ids)
+        return self.flat, self.low[slot], self.low[slot + 1] - self.low[slot], which
+
+    def forget(self) -> None:
+        """The memory: sorted hashes, their slots, and per slot the place of its ids."""
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.low, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
@@ -156,8 +196,8 @@ class Encoder:
         known = self.whole[np.minimum(np.searchsorted(self.whole, hashes), len(self.whole) - 1)] == hashes
         rest = np.flatnonzero(~known)
         if len(rest):
-            got, which = self.ids_of(text, starts[rest], ends[rest], hashes[rest])
-            each[rest] = np.fromiter(map(len, got), np.int64, len(got))[which]
+            _, _, length, which = self.ids_of(text, starts[rest], ends[rest], hashes[rest])
+            each[rest] = length[which]
         total = np.concatenate(([0], np.cumsum(each)))
         out[rows] = total[first[1:]] - total[first[:-1]]
         others = sorted(set(range(len(texts))) - set(rows))
