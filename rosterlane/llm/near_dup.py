@@ -10,8 +10,9 @@ Pairs that share a key are confirmed on the full shingle sets; links form connec
 
 Scale. Two scans of the text. No key's members are expanded into all pairs at first: they are compared with one
 leader, the links contract components, and only keys whose members still lie in different components go on,
-with another leader each round while that finds links; the documents that remain then are joined by the exact prefix
-filter (least frequent shingles first) between different components, so no link between different texts is lost. Candidate keys, sets and
+with another leader each round while that finds links; the documents that remain then are joined by an exact prefix
+filter on how they differ from what their cluster shares, between different components, so no link between different
+texts is lost. Candidate keys, sets and
 links are tables in the shared folder; nothing is collected. Copies never meet: they are one class from the start.
 
 Cases. Null or wordless text has an empty set: linked with nothing, its own component. Rows without an id are not
@@ -181,7 +182,8 @@ def components(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFra
         placed = members.join(roots, "node")
         open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root", "n")).alias("lead")).where("lo < hi").select("key", "lead")
         if last:
-            pairs = prefix_pairs(placed.join(open_keys.select("key"), "key", "left_semi").select("node", "root").distinct().join(sets, "node"))
+            left = cut(placed.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "root"))
+            pairs = prefix_pairs(left.select("node", "root").distinct().join(sets.dropDuplicates(["node", "shingles"]), "node"), left.select("key", "node"))
         else:
             led = placed.join(open_keys, "key").where((F.col("root") != F.col("lead.root")) & _sizes("n", "lead.n"))
             pairs = led.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
@@ -199,25 +201,46 @@ def components(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFra
         last = 4 * n_linked < n or not n  # leaders no longer find much: join what is left
 
 
-def prefix_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): all pairs of rows (node, root, n, shingles) of different roots that may be linked, by prefix filtering.
+def prefix_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of rows (node, root, n, shingles) of different roots that share a key of members and may be linked.
 
-    Linked sets share at least 85 % of the larger one's shingles, so in any common order they share one among each
-    one's first n - ceil(0.85 n) + 1. The order is by frequency among these rows: shingles of one row come first and
-    match nothing, and what stands behind the first common one bounds the overlap, so near copies that differ too much
-mostly propose no pair at all.
+    Rows that keys connect are a cluster; P is what a fifth of a cluster's rows share. Sets differ by as much as their differences A', B'
+    from P do, and linked sets differ by at most t = |A| + |B| - 2 ceil(0.85 (|A| + |B|) / 1.85). So |A'| + |B'| <= t, or A' and B' share
+    at least half of what is beyond. In a common order (least frequent first) the places of the first shared element bound that share:
+    near copies that each differ from the rest in their own way propose no pair.
     """
-    each = cut(rows.select("node", "root", "n", F.explode("shingles").alias("g")))
-    often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    by_node = Window.partitionBy("node")
-    ranked = each.join(often, "g").withColumn("at", F.col("n") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "g")))
-    first = cut(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("node", "root", "n", "g", "at"))
+    by_key = members.groupBy("key").agg(F.min("node").alias("a"))
+    linked = members.join(by_key, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    clusters = contract(cut(rows.select("node", F.col("node").alias("root"))), cut(linked)).withColumnRenamed("root", "cluster")
+    every = cut(rows.join(clusters, "node").select("cluster", "node", F.xxhash64("shingles").alias("u"), "root", "n", "shingles"))  # u: rows may share an id
+    each = every.select("cluster", "node", "u", "root", "n", F.explode("shingles").alias("g"))
+    sizes = every.groupBy("cluster").agg(F.count("*").alias("of"))
+    often = cut(each.groupBy("cluster", "g").agg(F.count("*").alias("df")).join(sizes, "cluster").withColumn("common", (F.col("of") > 2) & (5 * F.col("df") > F.col("of"))))
+    common = often.where("common").select("cluster", "g", (F.col("of") - F.col("df")).alias("f"))
+    extra = each.join(often.where("not common").select("cluster", "g", F.col("df").alias("f")), ["cluster", "g"])
+    lacking = every.drop("shingles").join(common, "cluster").join(each.select("cluster", "node", "u", "g"), ["cluster", "node", "u", "g"], "left_anti")
+    columns = ["cluster", "node", "u", "root", "n", "g", "f"]
+    primed = cut(extra.select(*columns, F.lit(False).alias("lack")).unionByName(lacking.select(*columns, F.lit(True).alias("lack"))))
+    by_node = Window.partitionBy("cluster", "node", "u")
+    placed = primed.withColumn("size", F.count("*").over(by_node)).withColumn("at", F.row_number().over(by_node.orderBy("f", "g", "lack")))
+    least = (F.col("size") + 1 - 0.1765 * F.col("n")) / 2
+    first = cut(placed.where((F.col("f") > 1) & (1 + F.col("size") - F.col("at") >= least)))
     x, y = first.alias("x"), first.alias("y")
-    near = (F.col("x.g") == F.col("y.g")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _sizes("x.n", "y.n")
-    # Behind its first common shingle a pair has at most this many: enough for the least overlap, or not linked.
-    rest = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    near = near & ((100 + PERCENT) * rest >= PERCENT * (F.col("x.n") + F.col("y.n")))
-    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    both = F.col("x.n") + F.col("y.n")
+    apart = both - 2 * F.ceil(PERCENT * both / (100 + PERCENT))
+    other = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _sizes("x.n", "y.n")
+    beyond = F.col("x.size") + F.col("y.size") - apart
+    rest = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    same = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.lack") == F.col("y.lack"))
+    shared = x.join(y, same & other & (2 * rest >= beyond)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    sized = primed.groupBy("cluster", "node", "u").agg(F.count("*").alias("size"))
+    near = cut(every.drop("shingles").join(sized, ["cluster", "node", "u"], "left").fillna(0, ["size"]).where(F.col("size") <= 0.1765 * F.col("n")))
+    mixed = near.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster")
+    some = cut(near.join(mixed, "cluster", "left_semi"))
+    x, y = some.alias("x"), some.alias("y")
+    close = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & other & (beyond <= 0)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return shared.unionByName(close)
 
 
 def _sizes(a: str, b: str):

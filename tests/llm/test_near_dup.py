@@ -81,3 +81,36 @@ def test_chains_thresholds_and_awkward_rows(spark):
     kept = deduplicate(awkward)
     assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} >= {0, 1, 2, 3, None}
     assert near_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_what_leaders_leave_is_joined_without_losing_a_link(spark):
+    """A cluster of copies with 1 to 5 edits each: few are linked, and only some through others."""
+    import random
+
+    from pyspark.sql import functions as F
+    from rosterlane.llm import near_dup
+
+    rng = random.Random(6)
+    base, docs = [f"w{i}" for i in range(150)], []
+    for k in range(150):
+        words = base.copy()
+        for i in rng.sample(range(150), rng.choice([1, 2, 2, 3, 4, 5])):
+            words[i] = rng.choice(["x", "y", f"z{k}"])
+        docs.append((k, " ".join(words)))
+    other = [f"v{i}" for i in range(90)]
+    for k in range(40):
+        words = other.copy()
+        for i in rng.sample(range(90), rng.choice([0, 1, 2, 3])):
+            words[i] = f"u{k}"
+        docs.append((1000 + k, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates(frame).collect()} == brute(docs)
+
+    # The residual join alone, from scratch: every linked pair of a cluster that shares one key.
+    sets = near_dup.map_batches(frame.withColumnRenamed("doc_id", "id"), near_dup._set_rows, "node long, n long, shingles array<long>")
+    rows = sets.withColumn("root", F.col("node"))
+    members = sets.select(F.lit(1).alias("key"), "node")
+    got = {frozenset((r.a, r.b)) for r in near_dup.prefix_pairs(rows, members).collect()}
+    full = {i: shingles(t) for i, t in docs}
+    linked = {frozenset((i, j)) for i, j in combinations(full, 2) if 100 * len(full[i] & full[j]) >= 85 * len(full[i] | full[j])}
+    assert linked <= got and len(got) < 0.25 * len(docs) ** 2 / 2
