@@ -80,3 +80,27 @@ def test_awkward_rows_and_order(spark):
     places = [first[r.doc_id] for r in ordered.collect()]
     assert places == sorted(places)
     assert mix(cases.empty(spark)).count() == 0 and in_mixed_order(cases.empty(spark)).count() == 0
+
+
+def test_shares_follow_the_given_weights_not_rounded_ones(spark):
+    weights = WEIGHTS | {f"src{i}": 1.0 for i in range(5, 20)}  # the sources of the test tables: a sum of 27
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "concat('src', CASE WHEN id % 27 < 4 THEN 0 WHEN id % 27 < 7 THEN 1 WHEN id % 27 < 9 THEN 2 WHEN id % 27 < 11 THEN 3 ELSE id % 27 - 7 END) AS source")
+    got = mix(rows, WEIGHTS, block_bytes=10).orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(30_000)) and all(r.release <= r.slot < r.deadline for r in got)
+    done = Counter()
+    for t, r in enumerate(got[:29_900], 1):
+        done[r.source] += 1
+        assert all(abs(done[s] - Fraction(w) * t / 27) < 1 for s, w in weights.items())
+
+
+def test_small_and_long_weights_keep_their_shares():
+    for weights in ({"a": 1.0, "b": 0.0001}, {"a": 0.1, "b": 0.2, "c": 0.7}, {"a": 1 / 3, "b": 1e-30, "c": 0.1234567890123}):
+        exact = {s: Fraction(repr(w)) for s, w in weights.items()}
+        total = sum(exact.values())
+        plan = phases(dict.fromkeys(weights, 20_000), exact)[0]
+        assert plan["size"] < 20_000 or sum(len(p) for p in plan["places"].values()) == plan["length"]
+        at = {t: s for s, p in plan["places"].items() for t in p}
+        done = Counter()
+        for t in range(min(plan["length"], 25_000)):
+            done[at[t % plan["size"]]] += 1
+            assert all(abs(done[s] - w * (t + 1) / total) < 1 for s, w in exact.items())
