@@ -7,10 +7,13 @@ from SHA-2 of (key, type, canonical form, attempt): digits for digits, letters f
 the original's was valid, names of the same script whose ending follows the title's gender, poured back into the
 match's own punctuation. The same key gives the same surrogate everywhere (coreference). Collision check: over all
 distinct entities, a surrogate that another entity has, or that is a real entity itself, is drawn again with the next
-attempt, until none is left (distinctness).
+attempt, until none is left or _ATTEMPTS rounds have passed (distinctness). What is left then, where a format is nearly
+full, is given the format's unused values by rank: its values are numbered, as many as can be needed are made, those in
+use go, and the k-th entity in the order of a keyed hash gets the k-th that stays. Entities whose format has no value
+left (short numbers: more than half of all there are) get one of the next longer format, and so on.
 
 Native: only DataFrame functions. Texts are read twice (entities, rewriting) and not shuffled: a surrogate is an
-expression of its match. Only entities whose attempt is not 0 are exceptions: up to `inline` of them become a literal
+expression of its match. Only entities whose attempt is not 0 are exceptions: up to `inline` of their surrogates become a literal
 map; more are joined to the texts that hold them by the text's digest. Distinct entities pre-aggregate on the map
 side, so an entity in a third of all rows is one row per task.
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 INLINE = 2000
-_ATTEMPTS = 64
+_ATTEMPTS = 16
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа|Κυρία"
 _MALE = "Mr|Herr|Monsieur|Señor|Signor|Господин|Κύριος"
 _TITLES = f"{_FEMALE}|{_MALE}|Dr|Prof"
@@ -52,6 +55,16 @@ SCRIPTS = {
     "cyrillic": ("бвгдзклмнпрстфхж", "аеиоу", ("а", "н", "е"), "ов"),
     "greek": ("βγδζθκλμνπρστφχψ", "αεηιο", ("α", "ος", "η"), "ίδης"),
 }
+#: A template is a value whose free places hold a character of private use; these are the values of such a place.
+_DIGIT, _LOWER, _UPPER, _HEX, _UPPER_HEX, _MAIL, _OCTET_PLACE, _VALID, _INVALID = "\ue000\ue001\ue002\ue003\ue004\ue005\ue006\ue007\ue008"
+_SPOKEN = {name: (chr(0xE010 + 2 * i), chr(0xE011 + 2 * i)) for i, name in enumerate(SCRIPTS)}
+_VALUES = {
+    _DIGIT: "0123456789", _LOWER: "abcdefghijklmnopqrstuvwxyz", _UPPER: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _HEX: "abcdef", _UPPER_HEX: "ABCDEF", _MAIL: "aeioubdfglmnprst",
+    _OCTET_PLACE: [str(n) for n in range(1, 255)], _VALID: [""], _INVALID: [""],
+    **{place: SCRIPTS[name][k] for name, places in _SPOKEN.items() for k, place in enumerate(places)},
+}
+_MOST_VALUES = 10**15  # as many are counted; no table has so many entities
+_CHUNK = 4096
 
 
 def _kind(m: Column) -> Column:
@@ -153,7 +166,8 @@ def _poured(m: Column, kind: Column, made: Column) -> Column:
     """The surrogates of a match's parts in the match's own writing."""
     value = made[0]
     own = _digits(m)
-    keep = F.length(own) - F.length(value)  # a country code is not part of the canonical number
+    keep = F.when(kind == "phone", F.greatest(F.length(own) - 10, F.lit(0))).otherwise(0)  # a country code is not part of the canonical number
+    rest = F.substring(value, F.length(own) - keep + 1, F.length(value))  # of a longer format
     places = F.filter(F.split(m, ""), lambda c: c != "")
     filled = F.array_join(
         F.transform(
@@ -168,7 +182,7 @@ def _poured(m: Column, kind: Column, made: Column) -> Column:
         F.array_join(F.zip_with(words, made, lambda w, s: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(s)).otherwise(F.initcap(s))), " "),
     )
     spaced = F.when(m.contains(" "), F.rtrim(F.regexp_replace(value, "(.{4})", "$1 "))).otherwise(value)
-    return F.when(kind.isin("phone", "card", "ssn"), filled).when(kind == "name", named).when(kind == "iban", spaced).otherwise(value)
+    return F.when(kind.isin("phone", "card", "ssn"), F.concat(filled, rest)).when(kind == "name", named).when(kind == "iban", spaced).otherwise(value)
 
 
 def find(docs: DataFrame, text_col: str) -> DataFrame:
@@ -179,6 +193,97 @@ def find(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("__found", F.when(text.rlike(_GATE), found))
 
 
+def _template(kind: Column, canon: Column, level: int) -> Column:
+    """The values that may stand for an entity: its own format (level 0) or one longer by level places; null for what find() cannot find."""
+    n, more = F.length(canon), _DIGIT * level
+    classes = lambda lower, upper: _DIGIT * 10 + lower * 26 + upper * 26
+    free = lambda c, lower=_LOWER, upper=_UPPER: F.translate(c, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", classes(lower, upper))
+    digits = lambda k: F.repeat(F.lit(_DIGIT), k)
+    exchange = F.concat(F.lit(_DIGIT * 3), F.substring(canon, 4, 3), F.lit(_DIGIT * 4))
+    phone = F.when((n == 10) & F.lit(level == 0), exchange).when(n == 10, digits(n + (level - 1))).otherwise(digits(n + level))
+    card = F.concat(F.substring(canon, 1, 1), digits(n - 2 + level), F.when(F.call_function("luhn_check", canon), _VALID).otherwise(_INVALID))
+    email = F.concat(free(F.substring_index(canon, "@", 1)), F.lit("@" + _MAIL * (8 + level) + ".example.org"))
+    secret = F.when(canon.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)\z"), free(canon, _HEX, _UPPER_HEX)).otherwise(F.concat(F.substring(canon, 1, 4), free(F.substring(canon, 5, 1 << 20))))
+    spoken = None
+    for name, (_, _, endings, family) in SCRIPTS.items():
+        stem = "".join(_SPOKEN[name]) * (3 + level) + _SPOKEN[name][0]
+        ending = F.when(kind == "given:f", endings[0]).when(kind == "given:m", endings[1]).when(kind == "given:x", endings[2]).when(kind == "family", family)
+        hit, made = _script(canon) == name, F.concat(F.lit(stem), ending)
+        spoken = F.when(hit, made) if spoken is None else spoken.when(hit, made)
+    return (
+        F.when((kind == "phone") & canon.rlike(r"^[0-9]{4,10}\z"), phone)
+        .when((kind == "ssn") & canon.rlike(r"^[0-9]{9}\z"), digits(n + level))
+        .when((kind == "card") & canon.rlike(r"^[0-9]{13,19}\z"), card)
+        .when(kind == "ip", F.lit(".".join(_OCTET_PLACE * (4 + level))))
+        .when((kind == "email") & canon.contains("@"), email)
+        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), free(F.substring(canon, 3, 1 << 20)), F.lit(more)))
+        .when(kind == "secret", F.concat(secret, F.lit(more)))
+        .when((kind == "family") | kind.startswith("given:"), spoken)
+    )
+
+
+def _values_at(place: Column) -> Column:
+    known = F.create_map(*chain.from_iterable((F.lit(k), F.array(*[F.lit(x) for x in v])) for k, v in _VALUES.items()))
+    return F.coalesce(F.element_at(known, place), F.array(place))
+
+
+def _places(template: Column) -> Column:
+    return F.filter(F.split(template, ""), lambda c: c != "")
+
+
+def _n_values(template: Column) -> Column:
+    return F.aggregate(_places(template), F.lit(1).cast("long"), lambda n, c: F.least(n * F.size(_values_at(c)), F.lit(_MOST_VALUES)))
+
+
+def _nth(template: Column, k: Column) -> Column:
+    """The k-th value of a template, from 0: k in the mixed radix of its places."""
+
+    def step(state: Column, c: Column) -> Column:
+        put = lambda v: F.struct(F.call_function("div", state["k"], F.size(v)).alias("k"), F.concat(F.get(v, F.pmod(state["k"], F.size(v)).cast("int")), state["made"]).alias("made"))
+        return F.transform(F.array(_values_at(c)), put)[0]
+
+    start = F.struct(k.cast("long").alias("k"), F.lit("").alias("made"))
+    body = F.aggregate(F.reverse(_places(template)), start, step)["made"]
+    last = lambda ok: F.filter(F.array(*[F.concat(body, F.lit(str(d))) for d in range(10)]), ok)[0]
+    valid = lambda c: F.call_function("luhn_check", c)
+    return F.when(template.endswith(_VALID), last(valid)).when(template.endswith(_INVALID), last(lambda c: ~valid(c))).otherwise(body)
+
+
+def _ranked(rows: DataFrame, order: str) -> DataFrame:
+    """rows with rank, from 1, in their type and template: places in range partitions, and what the partitions before hold."""
+    own = ["type", "template"]
+    ranged = cut(rows.repartitionByRange(*own, order).withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy(*own, "part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    inside = F.row_number().over(Window.partitionBy(*own, "part").orderBy(order))
+    return ranged.withColumn("inside", inside).join(parts, [*own, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("part", "before", "inside")
+
+
+def _by_rank(left: DataFrame, done: DataFrame, real: DataFrame, key: str) -> DataFrame:
+    """done and the entities left, each with an unused value of its format or of the next longer one that has some."""
+    level = 0
+    while True:
+        wanted = cut(left.select("type", "canon", "attempt", _template(F.col("type"), F.col("canon"), level).alias("template")))
+        if not wanted.where("template is null").isEmpty():
+            raise ValueError("surrogates still collide, and some entities are of no known format")
+        taken = done.select("type", "made").unionByName(real.select("type", "made"))
+        # Of as many values as entities and used ones together, enough are unused.
+        needed = wanted.groupBy("type", "template").agg(F.count("*").alias("n")).join(taken.groupBy("type").agg(F.count("*").alias("used")), "type")
+        counted = needed.select("type", "template", F.least(F.col("n") + F.col("used"), _n_values(F.col("template"))).alias("n"))
+        chunks = counted.select("type", "template", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(_CHUNK)))).alias("c"))
+        first = F.col("c") * _CHUNK
+        numbers = chunks.repartition("type", "template", "c").select("type", "template", F.explode(F.sequence(first, F.least(first + (_CHUNK - 1), F.col("n") - 1))).alias("k"))
+        free = numbers.withColumn("made", _nth(F.col("template"), F.col("k"))).join(taken, ["type", "made"], "left_anti")
+        asked = wanted.withColumn("turn", _draw(key, F.col("type"), F.col("canon"), F.lit("rank")))
+        given = _ranked(asked, "turn").join(_ranked(free, "k").drop("k"), ["type", "template", "rank"], "left")
+        given = cut(given.select("type", "canon", "attempt", "made"))
+        done = cut(done.unionByName(given.where("made is not null")))
+        left = given.where("made is null")
+        if left.isEmpty():
+            return done
+        level += 1
+
+
 def resolve(entities: DataFrame, key: str) -> DataFrame:
     """(type, canon, attempt, made) for distinct entities (type, canon): no two alike, none equal to a real one."""
     attempts = cut(entities.select("type", "canon", F.lit(0).alias("attempt")))
@@ -191,7 +296,8 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
         if judged.where("again").isEmpty():
             return judged.drop("again")
         attempts = judged.select("type", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    raise ValueError("surrogates still collide: a type's format leaves too few values for its entities")
+    left = judged.where("again").select("type", "canon", (F.col("attempt") + 1).alias("attempt"))
+    return _by_rank(left, judged.where("not again").drop("again"), real, key)
 
 
 def rewrite(docs: DataFrame, key: str, text_col: str = "text", inline: int = INLINE) -> DataFrame:
@@ -200,21 +306,21 @@ def rewrite(docs: DataFrame, key: str, text_col: str = "text", inline: int = INL
     found = find(docs.select(*[F.col(f"`{c}`") for c in own]), text_col)
     parts = found.select(F.explode("__found").alias("x")).select(F.explode("x.parts").alias("p"))
     resolved = resolve(cut(parts.select("p.type", "p.canon").distinct()), key)
-    odd = resolved.where("attempt > 0").select(F.concat_ws("|", "type", "canon").alias("entity"), "attempt")
+    odd = resolved.where("attempt > 0").select(F.concat_ws("|", "type", "canon").alias("entity"), "made")
     some = odd.limit(inline + 1).collect()
     if not some:
-        attempts = F.lit(None).cast("map<string,int>")
+        drawn = F.lit(None).cast("map<string,string>")
     elif len(some) <= inline:
-        attempts = F.create_map(*chain.from_iterable((F.lit(r.entity), F.lit(r.attempt)) for r in some))
+        drawn = F.create_map(*chain.from_iterable((F.lit(r.entity), F.lit(r.made)) for r in some))
     else:
         digest = F.sha2(F.col(f"`{text_col}`"), 256)
         held = found.where("__found is not null").select(digest.alias("__digest"), F.explode("__found").alias("x")).select("__digest", F.explode("x.parts").alias("p"))
         by_text = held.select("__digest", F.concat_ws("|", "p.type", "p.canon").alias("entity")).distinct().join(odd, "entity")
-        maps = by_text.groupBy("__digest").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__attempts"))
+        maps = by_text.groupBy("__digest").agg(F.map_from_entries(F.collect_set(F.struct("entity", "made"))).alias("__drawn"))
         found = found.withColumn("__digest", digest).join(maps, "__digest", "left")
-        attempts = F.col("__attempts")
-    attempt = lambda p: F.coalesce(F.element_at(attempts, F.concat_ws("|", p["type"], p["canon"])), F.lit(0))
-    new = F.transform("__found", lambda x: _poured(x["raw"], x["kind"], F.transform(x["parts"], lambda p: _surrogate(key, p["type"], p["canon"], attempt(p)))))
+        drawn = F.col("__drawn")
+    made = lambda p: F.coalesce(F.element_at(drawn, F.concat_ws("|", p["type"], p["canon"])), _surrogate(key, p["type"], p["canon"], F.lit(0)))
+    new = F.transform("__found", lambda x: _poured(x["raw"], x["kind"], F.transform(x["parts"], made)))
     text = F.col(f"`{text_col}`")
     between = F.split(text, PATTERN)
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda b, s: F.array(F.coalesce(b, F.lit("")), F.coalesce(s, F.lit(""))))), "")
