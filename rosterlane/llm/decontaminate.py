@@ -5,8 +5,9 @@ benchmark's 13-word windows (the whole item where it is shorter) are hashed into
 executor hashes the windows of its documents, looks them up and verifies every hit on the words themselves.
 
 Scale. One pass over the documents without a shuffle. The broadcast is bounded: a benchmark whose text exceeds
-`block_bytes` is cut into blocks below that bound, the documents are scanned once per block, and the partial
-hits meet by document. Memory per task is a slice of 2 MB of text.
+`block_bytes` or whose words exceed `block_windows` is cut into blocks of about half those bounds, by a hash of its items,
+the documents are scanned once per block, and the partial hits meet by document. A block is its text and arrays of
+24 bytes a window; the driver holds one at a time. Memory per task is a slice of 2 MB of text.
 
 Cases. Null or wordless text has no words, no hits and stays. Items that are null, wordless or have no id are
 ignored; repeated items and repeated ids count once. Rows of documents are judged one by one, so repeated rows
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +30,65 @@ from .words import ALNUM, words_of
 
 WINDOW = 13
 BLOCK_BYTES = 64 << 20
+BLOCK_WINDOWS = 4 << 20
+_SLICE = 1 << 20
 
 
 class _Index:
-    """Windows of one block of the benchmark: hashes by length, and the words they stand for."""
+    """Windows of one block of the benchmark: by length, sorted hashes with their items and places in the block's words."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.items: dict[bytes, set[str]] = defaultdict(set)
-        by_length: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item, text in items:
-            w = words_of(pa.array([text], pa.string()), ALNUM, True)
-            if n := min(window, len(w.starts)):
-                at, hashes = w.windows(w.hashes(), n)
-                by_length[n].append(hashes)
-                for i in at:
-                    self.items[_phrase(w, i, n)].add(item)
-        self.hashes = {n: np.unique(np.concatenate(h)) for n, h in by_length.items()}
-        self.coarse = {}
-        for n, h in self.hashes.items():  # a bit table that turns nearly all windows away
-            self.coarse[n] = np.zeros(1 << 22, dtype=bool)
-            self.coarse[n][(h >> np.uint64(42)).astype(np.int64)] = True
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        raw, starts, ends, n_raw, n_words = [], [], [], 0, 0
+        by_length: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        for part in _sliced(items):
+            w = words_of(pa.array([text for _, text in part], pa.string()), ALNUM, True)
+            hashes, counts = w.hashes(), np.minimum(np.diff(w.first), window)
+            of = np.array([number[item] for item, _ in part], np.int32)
+            for n in np.unique(counts[counts > 0]).tolist():
+                at, h = w.windows(hashes, n)
+                row = np.searchsorted(w.first, at, "right") - 1
+                own = counts[row] == n
+                by_length[n].append((h[own], of[row[own]], _narrow(at[own] + n_words)))
+            raw.append(w.raw)
+            starts.append(_narrow(w.starts + n_raw))
+            ends.append(_narrow(w.ends + n_raw))
+            n_raw, n_words = n_raw + len(w.raw), n_words + len(w.starts)
+        self.raw, self.starts, self.ends = (np.concatenate(x) if x else np.zeros(0, np.uint8) for x in (raw, starts, ends))
+        self.hashes, self.of, self.places, self.coarse = {}, {}, {}, {}
+        for n, found in by_length.items():
+            h, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((of, h))
+            h, of, at = h[order], of[order], at[order]
+            alike = np.flatnonzero((h[1:] == h[:-1]) & (of[1:] == of[:-1])) + 1  # an item's phrase once
+            keep = np.ones(len(h), dtype=bool)
+            keep[[k for k in alike.tolist() if _phrase(self, at[k], n) == _phrase(self, at[k - 1], n)]] = False
+            self.hashes[n], self.of[n], self.places[n] = h[keep], of[keep], at[keep]
+            self.coarse[n] = np.zeros(1 << 22, dtype=bool)  # a bit table that turns nearly all windows away
+            self.coarse[n][(self.hashes[n] >> np.uint64(42)).astype(np.int64)] = True
+
+    def items(self, phrase: bytes, h: np.uint64, n: int) -> set[str]:
+        """The items that hold the n words of phrase, whose hash is h."""
+        low, high = np.searchsorted(self.hashes[n], h, "left"), np.searchsorted(self.hashes[n], h, "right")
+        return {self.names[self.of[n][k]] for k in range(low, high) if _phrase(self, self.places[n][k], n) == phrase}
+
+
+def _sliced(items: list[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
+    """items in runs of about _SLICE characters, so that hashing one needs little memory."""
+    part, size = [], 0
+    for item in items:
+        part.append(item)
+        size += len(item[1])
+        if size >= _SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if not len(x) or x[-1] < 1 << 31 else x
 
 
 def _phrase(w, i: int, n: int) -> bytes:
@@ -60,13 +101,18 @@ def _find(column: pa.Array, index: _Index) -> tuple[list[int], list[list[tuple[i
     hashes = w.hashes()
     hits: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
     items: list[set[str]] = [set() for _ in range(len(column))]
+    met: dict[bytes, set[str]] = {}  # a phrase in many of these texts is looked up once
     for n, known in index.hashes.items():
         at, h = w.windows(hashes, n)
         near = index.coarse[n][(h >> np.uint64(42)).astype(np.int64)]
         at, h = at[near], h[near]
-        at = at[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
-        for i, row in zip(at.tolist(), (np.searchsorted(w.first, at, "right") - 1).tolist(), strict=True):
-            if of := index.items.get(_phrase(w, i, n)):
+        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        at, h = at[hit], h[hit]
+        for i, row, value in zip(at.tolist(), (np.searchsorted(w.first, at, "right") - 1).tolist(), h, strict=True):
+            phrase = _phrase(w, i, n)
+            if (of := met.get(phrase)) is None:
+                of = met[phrase] = index.items(phrase, value, n)
+            if of:
                 first = int(w.first[row])
                 hits[row].append((i - first, i - first + n))
                 items[row] |= of
@@ -110,15 +156,16 @@ def _verdict(column: pa.Array, counts, hits, items, share: int, clean: bool) ->
     return [pa.array(v, _COLUMNS[k]) for k, v in out.items()]
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The benchmark in blocks whose text is below block_bytes each; the driver holds one block at a time."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, block_windows: int = BLOCK_WINDOWS) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """The number of the benchmark's blocks, and the blocks, each collected when it is asked for."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    total = rows.select(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = int(-(-total // block_bytes)) or 1
+    words = F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = rows.select(F.sum(F.octet_length("t")), F.sum(words)).first()
+    n = max(-(-(total[0] or 0) // block_bytes), -(-(total[1] or 0) // block_windows), 1)
     if n == 1:
-        return [[(r.i, r.t) for r in rows.collect()]]
+        return 1, ([(r.i, r.t) for r in rows.collect()] for _ in range(1))
     spread = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(2 * n)))
-    return [[(r.i, r.t) for r in spread.where(F.col("b") == k).collect()] for k in range(2 * n)]
+    return 2 * n, ([(r.i, r.t) for r in spread.where(F.col("b") == k).collect()] for k in range(2 * n))
 
 
 def decontaminate(
@@ -131,20 +178,21 @@ def decontaminate(
     share: int = 20,
     block_bytes: int = BLOCK_BYTES,
     clean: bool = True,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and (if clean) clean_text, the text without the hit spans.
 
     A document is contaminated if it has a hit and share * n_hit >= n_words.
     """
     spark = docs.sparkSession
-    blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
+    n_blocks, blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes, block_windows)
     names = set(_COLUMNS) - (set() if clean else {"clean_text"})
     keep = [c for c in docs.columns if c.lower() not in names]
     base = docs.select(*[F.col(f"`{c}`") for c in keep]) if text_col in keep else docs
     ddl = _DDL if clean else _DDL.rpartition(",")[0]
     schema = f"{_ddl_of(base)}, {ddl}"
-    if len(blocks) == 1:
-        index = spark.sparkContext.broadcast(_Index(blocks[0], window))
+    if n_blocks == 1:
+        index = spark.sparkContext.broadcast(_Index(next(blocks), window))
 
         def run(batches):
             for batch in batches:

@@ -1,7 +1,8 @@
 import hashlib
+import pickle
 import re
 
-from rosterlane.llm.decontaminate import decontaminate, op2_decontaminate
+from rosterlane.llm.decontaminate import _Index, benchmark_blocks, decontaminate, op2_decontaminate
 from tests.llm import cases
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,3 +53,22 @@ def test_awkward_rows_short_items_and_blocks(spark):
     assert by[0] is None and by[1] == "" and by[3] == "one" and "fox" not in by[5] and not by[4].strip()
     assert decontaminate(cases.empty(spark), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_blocks_come_one_at_a_time_bounded_by_windows_and_small(spark, monkeypatch):
+    items = [(k, " ".join(f"w{(k * 7 + j * j) % 50}" for j in range(40))) for k in range(60)] + [(99, "again and again " * 30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    n, blocks = benchmark_blocks(bench, "item_id", "text", 1 << 30, 600)
+    assert n == 10 and iter(blocks) is blocks
+    sizes = [sum(len(words(t)) for _, t in b) for b in blocks]
+    assert len(sizes) == n and sum(sizes) == 60 * 40 + 90
+    index = _Index([(str(i), " ".join(f"word{i}x{j}" for j in range(1000))) for i in range(100)], 13)
+    index.coarse = None  # of a fixed size
+    assert len(pickle.dumps(index)) < 45 * 100_000
+    docs = [(k, t) for k, (_, t) in enumerate(items)] + [(200, "x " * 20 + items[3][1]), (201, "again and again " * 9), (202, "none of it")]
+    for options in ({}, {"block_windows": 600}):
+        got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench, **options).collect()
+        check(got, [(i, brute(t, items)) for i, t in docs])
+    monkeypatch.setattr("rosterlane.llm.decontaminate._SLICE", 100)
+    cut_up = _Index([(str(i), t) for i, t in items], 13)
+    assert sum(len(h) for h in cut_up.hashes.values()) == len({(i, tuple(words(t)[k : k + 13])) for i, t in items for k in range(len(words(t)) - 12)})
