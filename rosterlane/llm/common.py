@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder under the session's spark.checkpoint.dir, which all executors share.
 
-    Only a session without that setting (tests on one machine) gets a folder of its own.
+    Only a session on one machine may go without that setting; it gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -33,10 +37,41 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """cut(), dealt by key into as many buckets as there are shuffle partitions: later joins on key leave these rows where they are."""
+    spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_removed(spark):
+        df.write.format("parquet").bucketBy(n, key).option("path", scratch(spark)).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are the table's own
+    return table
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that cut() has written and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that made them ends: what is written needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

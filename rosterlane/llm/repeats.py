@@ -1,21 +1,30 @@
 r"""Exact-substring deduplication: every byte inside a 200-byte string that also starts elsewhere, by a sparse suffix array.
 
 Method. Anchors are the places whose 32-byte hash is least in some window of 169 places: each 200-byte string holds at
-least one, at the same place in each of its copies. Only anchors whose hash stands at two places of different texts or
-of one text go on, each with its context: up to 168 bytes before it and 200 behind it. These suffixes are range-
-partitioned by their leading bytes with sampled splitters; suffixes with the same first 32 bytes never part, so no
-repeat spans a boundary. Each bucket sorts its suffixes, and their reversed prefixes, by multikey quicksort over
-8-byte keys, takes neighbours' common lengths, and for every offset o of the anchor in a 200-byte string compares
-classes of (o bytes before, 200 - o bytes behind). What repeats around an anchor is one interval; a text's
-intervals are united and cut out of it.
-
-Scale. Texts are shuffled once, by their digest (both uses share that exchange); anchors, one per about 85 bytes, move
-as (hash, digest, place) and their frequent hashes pre-aggregate; contexts move for repeated anchors only. Copies
-of a text are one text here: all of it repeats, and one copy stands for it against other texts.
+least one, at the same place in each of its copies. Anchors whose hash stands more than once are the suffixes; each has
+its context, up to 200 bytes behind it and 168 before it. Contexts are range-partitioned by their leading bytes (then by
+the bytes before, read backwards, then by a hash of their place) with sampled splitters. Each bucket sorts its suffixes,
+and their reversed prefixes, by multikey quicksort over 8-byte keys, takes neighbours' common lengths, and for every
+offset o of the anchor in a 200-byte string compares classes of (o bytes before, 200 - o bytes behind).
+
+Across boundaries. Suffixes i < s <= j on both sides of a splitter s have min(common(i, s), common(s, j)) leading bytes in
+common. So what i shares with s tells which offsets it can match over that boundary, and for these only the bytes
+before it are compared: by their 122-bit fingerprints, per splitter and offset, counted by Spark. The splitters form a
+balanced tree and two buckets are compared at the one that parts them highest up, so a suffix is compared at
+2 log2(buckets) splitters at most, and only where it shares 32 bytes with them: passages that
+many texts share are split over as many buckets as they need, and others cost nothing.
+
+What repeats around an anchor is one interval; a text's intervals are united and cut out of it.
+
+Scale. Copies of a text become one text by a map-side aggregation, so texts are shuffled once, into a table that is
+bucketed by their digest: all later joins leave them in place. Anchors, one per about 85 bytes, move as (hash, digest,
+place), and their frequent hashes pre-aggregate; contexts move once, for repeated anchors only. A bucket has about
+`bucket` contexts of 368 bytes, whatever they hold, until there are _MOST_BUCKETS; the splitters, 376 bytes each, are what
+is broadcast, and the driver sorts a sample of four times as many.
 
 Cases. Null and empty texts have 0 bytes and nothing to remove, as have texts of fewer than 200 bytes. Repeated rows
-are copies like others, whatever their ids, so they remove each other. Extra columns are ignored by repeats().
-cut_repeats() returns each row's remaining text; a character that a cut splits is dropped from that text, while
+are copies like others, whatever their ids, so they remove each other. Extra columns are ignored by cut_repeats(), which
+also returns each row's remaining text; a character that a cut splits is dropped from that text, while
 the digest columns are of the exact remaining bytes.
 """
 
@@ -28,12 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, cut_bucketed, discard, map_batches
 from .words import mix, text_bytes
 
 LENGTH = 200
 GRAM = 32
+BEFORE = LENGTH - GRAM
+BUCKET = 1 << 15
+_MOST_BUCKETS = 1 << 17
+_OVERSAMPLE = 4
+_CHUNK = 1 << 14
 _SEED = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.uint64)  # the four largest below 2**31
+_BASES = np.random.default_rng(12).integers(1 << 20, 1 << 31, 4, dtype=np.uint64) % _PRIMES
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -55,12 +71,15 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of one text: least hashes of the windows of LENGTH - GRAM + 1 places."""
-    h, width = gram_hashes(raw), LENGTH - GRAM + 1
-    if len(h) < width:
+def anchors(raw: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) over texts raw[docs[i]:docs[i + 1]]: least hashes of the windows of BEFORE + 1 places inside a text."""
+    width = BEFORE + 1
+    if len(raw) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = gram_hashes(raw)
     least = _sliding(h, width, np.minimum)
+    ends = np.repeat(docs[1:], np.diff(docs))
+    least[np.arange(len(least)) + LENGTH > ends[: len(least)]] = 0  # a window over two texts picks nothing
     pad = np.zeros(width - 1, np.uint64)
     reach = _sliding(np.concatenate((pad, least, pad)), width, np.maximum)  # the greatest of the minima over windows that hold a place
     at = np.flatnonzero(reach == h)
@@ -69,42 +88,73 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     raw, docs = text_bytes(batch.column("text"))
-    found = [anchors(raw[a:b]) for a, b in zip(docs, docs[1:], strict=False)]
-    counts = [len(at) for at, _ in found]
-    which = pa.array(np.repeat(np.arange(len(found)), counts))
-    places = np.concatenate([at for at, _ in found]) if found else np.zeros(0, np.int64)
-    hashes = np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("h1").take(which), batch.column("h2").take(which), pa.array(places.astype(np.int32))], ["gram", "h1", "h2", "place"])
-
-
-def _context_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    raw, docs = text_bytes(batch.column("text"))
-    out: dict[str, list] = {k: [] for k in ("key", "h1", "h2", "place", "before", "behind")}
-    data = raw.tobytes()
-    for row, places in enumerate(batch.column("places").to_pylist()):
-        low, high = int(docs[row]), int(docs[row + 1])
-        h1, h2 = batch.column("h1")[row].as_py(), batch.column("h2")[row].as_py()
-        for p in places:
-            at = low + p
-            behind = data[at : min(high, at + LENGTH)]
-            out["key"].append(behind[:GRAM])
-            out["h1"].append(h1)
-            out["h2"].append(h2)
-            out["place"].append(p)
-            out["before"].append(data[max(low, at - (LENGTH - GRAM)) : at])
-            out["behind"].append(behind)
-    kinds = {"key": pa.binary(), "h1": pa.int64(), "h2": pa.int64(), "place": pa.int32(), "before": pa.binary(), "behind": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
-
-
-def _matrix(values: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of bytes, zero-padded to width; and their lengths."""
-    out, lengths = np.zeros((len(values), width), np.uint8), np.zeros(len(values), np.int64)
-    for i, v in enumerate(values):
-        b = np.frombuffer(v.as_buffer(), np.uint8)
-        lengths[i] = len(b)
-        out[i, : len(b)] = b[::-1] if backwards else b
-    return out, lengths
+    at, hashes = anchors(raw, docs)
+    row = np.searchsorted(docs, at, "right") - 1
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("key").take(pa.array(row)), pa.array((at - docs[row]).astype(np.int32))], ["gram", "key", "place"])
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """An Arrow binary array of byte rows of one width."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _bytes(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The byte rows of a binary column of one width."""
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[: (c.offset + len(c)) * width][c.offset * width :].reshape(-1, width) for c in column.chunks if len(c)]
+    return np.concatenate(parts) if parts else np.zeros((0, width), np.uint8)
+
+
+def _around(raw: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Each anchor's LENGTH bytes behind and BEFORE bytes before it, backwards; zero where its text raw[low:high] ends."""
+    places = at[:, None] + np.concatenate((np.arange(LENGTH), -1 - np.arange(BEFORE)))
+    inside = (places >= low[:, None]) & (places < high[:, None])
+    return np.where(inside, raw[np.where(inside, places, 0)], np.uint8(0))
+
+
+def _sort_keys(around: np.ndarray, keys: list[bytes], places: np.ndarray) -> np.ndarray:
+    """What contexts are ordered by: their bytes, then a hash of their place, so that equal contexts can be parted too."""
+    text = np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
+    salt = mix(text + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(np.hstack([around, salt])).view(f"S{LENGTH + BEFORE + 8}").reshape(-1)
+
+
+def contexts(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
+    """(bucket, key, place, n_left, n_right, context, salted) for each place of texts (key, text, places)."""
+    sent = texts.sparkSession.sparkContext.broadcast(splitters)
+
+    def rows(batches):
+        for batch in batches:
+            raw, docs = text_bytes(batch.column("text"))
+            lists = batch.column("places")
+            places = lists.flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            for a in range(0, len(places), _CHUNK):
+                p, r = places[a : a + _CHUNK], row[a : a + _CHUNK]
+                around = _around(raw, docs[r] + p, docs[r], docs[r + 1])
+                key = batch.column("key").take(pa.array(r))
+                order = _sort_keys(around, key.to_pylist(), p)
+                bucket = np.searchsorted(sent.value, order, "right").astype(np.int32)
+                left, right = np.minimum(p, BEFORE), np.minimum(docs[r + 1] - docs[r] - p, LENGTH)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket), key, pa.array(p.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), _fixed(around), _fixed(order.view(np.uint8).reshape(len(p), -1)[:, -8:])],
+                    ["bucket", "key", "place", "n_left", "n_right", "context", "salted"],
+                )
+
+    return texts.select("key", "text", "places").mapInArrow(rows, "bucket int, key binary, place int, n_left short, n_right short, context binary, salted binary")
+
+
+def sampled_splitters(texts: DataFrame, wanted: DataFrame, n: int, bucket: int) -> np.ndarray:
+    """The sort keys that cut n contexts into buckets of about `bucket`, from a sample of _OVERSAMPLE contexts a bucket."""
+    buckets = min(-(-n // bucket), _MOST_BUCKETS)
+    width = LENGTH + BEFORE + 8
+    if buckets < 2:
+        return np.zeros(0, f"S{width}")
+    drawn = F.pmod(F.xxhash64("key", "place"), F.lit(1 << 40)) < int(min(1.0, _OVERSAMPLE * buckets / n) * (1 << 40))
+    some = wanted.select("key", F.explode("places").alias("place")).where(drawn).groupBy("key").agg(F.collect_list("place").alias("places"))
+    sample = contexts(texts.join(some, "key"), np.zeros(0, f"S{width}")).select("context", "salted").toArrow()
+    order = np.sort(np.hstack([_bytes(sample.column("context"), LENGTH + BEFORE), _bytes(sample.column("salted"), 8)]).view(f"S{width}").reshape(-1))
+    return np.unique(order[np.arange(1, buckets) * len(order) // buckets]) if len(order) else order
 
 
 def sort_multikey(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +183,14 @@ def sort_multikey(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_around(before: pa.Array, behind: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each context: the bytes before and behind its anchor that belong to a LENGTH-byte string another context has too; (0, 0) if none."""
-    left, n_left = _matrix(before, LENGTH - GRAM, True)
-    right, n_right = _matrix(behind, LENGTH, False)
+def repeated_around(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context: the bytes before and behind its anchor that belong to a LENGTH-byte string another context has too; (-1, -1) if none."""
     n = len(left)
     most_left, most_right = np.full(n, -1), np.full(n, -1)
     by_right, same_right = sort_multikey(right)
     by_left, same_left = sort_multikey(left)
     rank = np.empty(n, np.int64)
-    for o in range(LENGTH - GRAM + 1):
+    for o in range(BEFORE + 1):
         fits = (n_left >= o) & (n_right >= LENGTH - o)
         if fits.sum() < 2:
             continue
@@ -159,22 +207,79 @@ def repeated_around(before: pa.Array, behind: pa.Array) -> tuple[np.ndarray, np.
     return most_left, most_right
 
 
-def _bucket(batches):
-    """One partition of contexts: all suffixes that share their first GRAM bytes are here."""
-    table = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    columns = {c: table.column(c).combine_chunks() for c in table.column_names}
-    columns = {c: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for c, v in columns.items()}
-    left, right = repeated_around(columns["before"], columns["behind"])
-    at = np.flatnonzero(right >= 0)
-    if not len(at):
-        return
-    place, take = columns["place"].to_numpy()[at], pa.array(at)
-    yield pa.RecordBatch.from_arrays(
-        [columns["h1"].take(take), columns["h2"].take(take), pa.array((place - left[at]).astype(np.int32)), pa.array((place + right[at]).astype(np.int32))],
-        ["h1", "h2", "low", "high"],
-    )
+def parting_splitters(bucket: int, n: int) -> list[int]:
+    """The splitters of 0..n-1 (splitter c parts bucket c from c + 1) at which a bucket is compared with others.
+
+    Between two buckets exactly one splitter is highest in the tree (its number plus one has the most trailing zeros); it is in both lists.
+    """
+    height = lambda c: ((c + 1) & -(c + 1)).bit_length()
+    out = []
+    for side in (range(bucket, n), range(bucket - 1, -1, -1)):
+        best = 0
+        for c in side:
+            if height(c) > best:
+                best = height(c)
+                out.append(c)
+    return out
+
+
+def _fingerprints(left: np.ndarray, splitter: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and offset o: two longs of the splitter, o and the first o bytes of the row."""
+    lanes = np.zeros((4, len(left)), np.uint64)
+    h, g = (np.empty((len(left), BEFORE + 1), np.uint64) for _ in range(2))
+    for o in range(BEFORE + 1):
+        if o:
+            lanes = (lanes * _BASES[:, None] + left[:, o - 1].astype(np.uint64) + np.uint64(1)) % _PRIMES[:, None]
+        where = np.uint64((splitter * 1009 + o) * 0x9E3779B97F4A7C15 % (1 << 64))
+        h[:, o] = mix((lanes[0] << np.uint64(32) | lanes[1]) ^ where)
+        g[:, o] = mix((lanes[2] << np.uint64(32) | lanes[3]) + where)
+    return h, g
+
+
+def _judge(splitters: np.ndarray, bucket: int, table: pa.Table):
+    """Rows of a bucket's repeats (low, high), and of what may repeat over its boundaries (o, h, g: fingerprints from offset o on)."""
+    around = _bytes(table.column("context"), LENGTH + BEFORE)
+    right, left = around[:, :LENGTH], around[:, LENGTH:]
+    n_left, n_right = (table.column(c).to_numpy().astype(np.int64) for c in ("n_left", "n_right"))
+    key, place = table.column("key").combine_chunks(), table.column("place").to_numpy()
+    most_left, most_right = repeated_around(left, n_left, right, n_right)
+    names, none = ["key", "place", "low", "high", "o", "h", "g"], lambda n, kind: pa.nulls(n, kind)
+    longs = pa.list_(pa.int64())
+    hit = np.flatnonzero(most_right >= 0)
+    n = len(hit)
+    yield pa.table([key.take(pa.array(hit)), pa.array(place[hit]), pa.array((place - most_left)[hit].astype(np.int32)), pa.array((place + most_right)[hit].astype(np.int32)), none(n, pa.int32()), none(n, longs), none(n, longs)], names)
+    for c in parting_splitters(bucket, len(splitters)):
+        differ = right != splitters[c]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
+        first, last = LENGTH - np.minimum(common, n_right), np.minimum(n_left, BEFORE)
+        rows = np.flatnonzero(first <= last)
+        for a in range(0, len(rows), _CHUNK // 4):
+            at = rows[a : a + _CHUNK // 4]
+            o = np.arange(BEFORE + 1)
+            wanted = (o >= first[at, None]) & (o <= last[at, None])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(wanted.sum(axis=1)))), pa.int32())
+            h, g = (pa.ListArray.from_arrays(offsets, pa.array(x[wanted].view(np.int64))) for x in _fingerprints(left[at], c))
+            n = len(at)
+            yield pa.table([key.take(pa.array(at)), pa.array(place[at]), none(n, pa.int32()), none(n, pa.int32()), pa.array(first[at].astype(np.int32)), h, g], names)
+
+
+def spans_of(texts: DataFrame, wanted: DataFrame, bucket: int) -> DataFrame:
+    """(key, found): for each text, the intervals [low, high) around its anchors that repeat."""
+    n = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
+    splitters = sampled_splitters(texts, wanted, n, bucket)
+    heads = np.frombuffer(splitters.tobytes(), np.uint8).reshape(-1, splitters.itemsize)[:, :LENGTH]
+    sent = texts.sparkSession.sparkContext.broadcast(heads)
+
+    def judge(of, table):
+        return pa.concat_tables(_judge(sent.value, of[0].as_py(), table))
+
+    placed = contexts(texts.join(wanted, "key"), splitters).drop("salted")
+    judged = cut(placed.groupBy("bucket").applyInArrow(judge, "key binary, place int, low int, high int, o int, h array<long>, g array<long>"))
+    prints = judged.where("h is not null").select("key", "place", "o", F.posexplode(F.arrays_zip("h", "g")).alias("k", "x")).select("key", "place", (F.col("o") + F.col("k")).alias("o"), "x.h", "x.g")
+    twice = cut(prints.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
+    across = prints.join(twice, ["h", "g"], "left_semi").groupBy("key", "place").agg((F.col("place") - F.max("o")).alias("low"), (F.col("place") + LENGTH - F.min("o")).alias("high"))
+    both = judged.where("low is not null").select("key", "low", "high").unionByName(across.select("key", "low", "high"))
+    return cut(both.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("found")))
 
 
 def _cut_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,28 +305,24 @@ def _cut_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
             out[k].append(v)
     span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], ["doc_id", *out])
+    return pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], ["key", *out])
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans), a row per row of docs."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "doc_id", "text")
-    texts = cut(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")))
-    found = cut(map_batches(rows, _anchor_rows, "gram long, h1 long, h2 long, place int"))
-    mark = F.xxhash64("h1", "h2", "place")
-    again = found.groupBy("gram").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").select("gram")
-    places = found.join(again, "gram", "left_semi").groupBy("h1", "h2").agg(F.collect_set("place").alias("places"))
-    wanted = cut(places.join(texts, ["h1", "h2"]).select("h1", "h2", "one", "places"))
-
-    keyed = rows.repartition("h1", "h2")
-    chosen = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("one"))).select("h1", "h2", "text", "places")
-    contexts = map_batches(chosen, _context_rows, "key binary, h1 long, h2 long, place int, before binary, behind binary")
-    ranges = contexts.dropDuplicates(["h1", "h2", "place"]).repartitionByRange("key").mapInArrow(_bucket, "h1 long, h2 long, low int, high int")
-    spans = cut(ranges).groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    full = keyed.join(texts, ["h1", "h2"]).join(spans, ["h1", "h2"], "left").select("doc_id", "text", "copies", "found")
-    return map_batches(full, _cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<low: int, high: int>>")
+    rows = rows.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("key"), "doc_id", "text")
+    texts = cut_bucketed(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "key")
+
+    found = cut(map_batches(texts.where(F.octet_length("text") >= LENGTH).select("key", "text"), _anchor_rows, "gram long, key binary, place int"))
+    again = cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    wanted = cut(found.join(again, "gram", "left_semi").groupBy("key").agg(F.collect_list("place").alias("places")))
+    discard(found)
+
+    spans = spans_of(texts, wanted, bucket)
+    result = map_batches(texts.join(spans, "key", "left"), _cut_rows, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<low: int, high: int>>")
+    return rows.select("doc_id", "key").join(result, "key").drop("key")
 
 
 def op5_repeats(spark, sf_dir: str) -> DataFrame:

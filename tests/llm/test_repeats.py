@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from rosterlane.llm.repeats import cut_repeats, op5_repeats, sort_multikey
+from rosterlane.llm.repeats import cut_repeats, op5_repeats, parting_splitters, sort_multikey
 from tests.llm import cases
 
 
@@ -42,10 +42,35 @@ def test_multikey_sort_and_common_lengths():
         assert common[i] == same
 
 
+def test_any_two_buckets_meet_at_one_splitter_between_them():
+    for n in (1, 2, 5, 16, 37):
+        lists = [parting_splitters(b, n) for b in range(n + 1)]
+        for x in range(n + 1):
+            for y in range(x + 1, n + 1):
+                assert len([c for c in set(lists[x]) & set(lists[y]) if x <= c < y]) == 1
+        assert max(map(len, lists)) <= 2 * n.bit_length()
+
+
 def test_query_against_brute_force(spark, sf_dir):
     check(op5_repeats(spark, sf_dir).collect(), cases.corpus(spark, sf_dir))
 
 
+def test_boundaries_part_common_passages(spark, sf_dir):
+    """Buckets of a few suffixes: passages that all texts share, whole and in part, lie in many of them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, other, docs = prose(60), prose(31), []
+    for k in range(60):
+        a = rng.choice([0, 0, 0, 9, 30, 100])
+        docs.append((k, prose(rng.randint(0, 20)) + passage[a : len(passage) - rng.choice([0, 0, 50, 140])] + prose(rng.randint(0, 20))))
+        docs.append((100 + k, prose(rng.randint(0, 40)) + other + prose(rng.randint(0, 40))))
+    docs += [(300, "ab" * 400), (301, "z" * 900), (302, prose(50) + "ab" * 150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for bucket in (3, 40):
+        check(cut_repeats(frame, bucket=bucket).collect(), docs)
+
+
 def test_planted_passages(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(9))
@@ -62,7 +87,8 @@ def test_planted_passages(spark):
         for i in rng.sample(range(900), 4):
             changed[i] = "#"
         docs.append((300 + k, "".join(changed)))
-    check(cut_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect(), docs)
+    for bucket in (20, 1 << 15):
+        check(cut_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), bucket=bucket).collect(), docs)
 
 
 def test_awkward_rows(spark):
