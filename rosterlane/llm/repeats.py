@@ -7,20 +7,21 @@ the bytes before, read backwards, then by a hash of their place) with sampled sp
 and their reversed prefixes, by multikey quicksort over 8-byte keys, takes neighbours' common lengths, and for every
 offset o of the anchor in a 200-byte string compares classes of (o bytes before, 200 - o bytes behind).
 
-Across boundaries. Suffixes i < s <= j on both sides of a splitter s have min(common(i, s), common(s, j)) leading bytes in
-common. So what i shares with s tells which offsets it can match over that boundary, and for these only the bytes
-before it are compared: by their 122-bit fingerprints, per splitter and offset, counted by Spark. The splitters form a
-balanced tree and two buckets are compared at the one that parts them highest up, so a suffix is compared at
-2 log2(buckets) splitters at most, and only where it shares 32 bytes with them: passages that
-many texts share are split over as many buckets as they need, and others cost nothing.
+Across boundaries. Splitters stand before a group of suffixes with equal first 32 bytes; only a group that is larger than a
+bucket is parted, by longer splitters. Suffixes i < s <= j on both sides of a splitter s have min(common(i, s), common(s, j))
+leading bytes in common. So the suffixes of parted groups are dealt and sorted once more, by the bytes before them: what
+lies in one bucket by either order is compared there, and two suffixes that splitters s and t part in both orders match at
+offset o if each has 200 - o bytes in common with s behind and o bytes with t before. That is a count per (s, t, o), which
+Spark sums without moving text. The splitters form a balanced tree, and two buckets are compared at the one that parts them
+highest up, so a suffix meets at most 2 log2(buckets) splitters of an order.
 
 What repeats around an anchor is one interval; a text's intervals are united and cut out of it.
 
 Scale. Copies of a text become one text by a map-side aggregation, so texts are shuffled once, into a table that is
 bucketed by their digest: all later joins leave them in place. Anchors, one per about 85 bytes, move as (hash, digest,
-place), and their frequent hashes pre-aggregate; contexts move once, for repeated anchors only. A bucket has about
-`bucket` contexts of 368 bytes, whatever they hold, until there are _MOST_BUCKETS; the splitters, 376 bytes each, are what
-is broadcast, and the driver sorts a sample of four times as many.
+place), and their frequent hashes pre-aggregate; contexts move once, for repeated anchors only, and once more in parted
+groups. A bucket has about `bucket` contexts of 368 bytes, whatever they hold, until there are _MOST_BUCKETS; the splitters,
+376 bytes each, are what is broadcast, and the driver sorts a sample of four times as many.
 
 Cases. Null and empty texts have 0 bytes and nothing to remove, as have texts of fewer than 200 bytes. Repeated rows
 are copies like others, whatever their ids, so they remove each other. Extra columns are ignored by cut_repeats(), which
@@ -43,13 +44,11 @@ from .words import mix, text_bytes
 LENGTH = 200
 GRAM = 32
 BEFORE = LENGTH - GRAM
-BUCKET = 1 << 15
+BUCKET = 1 << 16
 _MOST_BUCKETS = 1 << 17
 _OVERSAMPLE = 4
 _CHUNK = 1 << 14
 _SEED = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-_PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.uint64)  # the four largest below 2**31
-_BASES = np.random.default_rng(12).integers(1 << 20, 1 << 31, 4, dtype=np.uint64) % _PRIMES
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -112,15 +111,51 @@ def _around(raw: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray)
     return np.where(inside, raw[np.where(inside, places, 0)], np.uint8(0))
 
 
-def _sort_keys(around: np.ndarray, keys: list[bytes], places: np.ndarray) -> np.ndarray:
+def _sort_keys(heads: np.ndarray, keys: list[bytes], places: np.ndarray) -> np.ndarray:
     """What contexts are ordered by: their bytes, then a hash of their place, so that equal contexts can be parted too."""
     text = np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
     salt = mix(text + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(np.hstack([around, salt])).view(f"S{LENGTH + BEFORE + 8}").reshape(-1)
-
-
-def contexts(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """(bucket, key, place, n_left, n_right, context, salted) for each place of texts (key, text, places)."""
+    return np.ascontiguousarray(np.hstack([heads, salt])).view(f"S{heads.shape[1] + 8}").reshape(-1)
+
+
+_BEHIND, _BEFORE = slice(0, LENGTH + BEFORE), np.r_[0:GRAM, LENGTH : LENGTH + BEFORE]  # the parts of a context that its two orders compare
+
+
+class Splitters:
+    """Ascending sort keys; splitter c parts bucket c from c + 1. A whole one stands before all suffixes with its first GRAM bytes."""
+
+    def __init__(self, sample: np.ndarray, buckets: int, width: int):
+        keys, whole, last = [], [], b""
+        sample = np.sort(sample)
+        for k in range(1, buckets if len(sample) else 0):
+            key = bytes(sample[k * len(sample) // buckets]).ljust(width, b"\0")
+            start = key[:GRAM].ljust(width, b"\0")
+            if start > last:
+                keys.append(start)
+                whole.append(True)
+            elif key > last:
+                keys.append(key)
+                whole.append(False)
+            last = keys[-1]
+        self.keys, self.whole = np.array(keys, f"S{width}"), np.array(whole, bool)
+        self.heads = np.frombuffer(self.keys.tobytes(), np.uint8).reshape(-1, width)
+
+    def buckets(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys, "right").astype(np.int32)
+
+    def common(self, bucket: int, heads: np.ndarray):
+        """(splitter, what it and each row of the bucket have in common), for those that part suffixes with the same first GRAM bytes."""
+        width, n = heads.shape[1], len(self.keys)
+        for c in parting_splitters(bucket, n):
+            side = self.heads[bucket if c >= bucket else bucket - 1]
+            if self.whole[c] or (side[:GRAM] != self.heads[c, :GRAM]).any():
+                continue
+            differ = heads != self.heads[c, :width]
+            yield c, np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+
+
+def contexts(texts: DataFrame, splitters: Splitters | None) -> DataFrame:
+    """(bucket, key, place, n_left, n_right, context) for each place of texts (key, text, places)."""
     sent = texts.sparkSession.sparkContext.broadcast(splitters)
 
     def rows(batches):
@@ -133,28 +168,27 @@ def contexts(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
                 p, r = places[a : a + _CHUNK], row[a : a + _CHUNK]
                 around = _around(raw, docs[r] + p, docs[r], docs[r + 1])
                 key = batch.column("key").take(pa.array(r))
-                order = _sort_keys(around, key.to_pylist(), p)
-                bucket = np.searchsorted(sent.value, order, "right").astype(np.int32)
+                bucket = sent.value.buckets(_sort_keys(around[:, _BEHIND], key.to_pylist(), p)) if sent.value else np.zeros(len(p), np.int32)
                 left, right = np.minimum(p, BEFORE), np.minimum(docs[r + 1] - docs[r] - p, LENGTH)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), key, pa.array(p.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), _fixed(around), _fixed(order.view(np.uint8).reshape(len(p), -1)[:, -8:])],
-                    ["bucket", "key", "place", "n_left", "n_right", "context", "salted"],
+                    [pa.array(bucket), key, pa.array(p.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), _fixed(around)],
+                    ["bucket", "key", "place", "n_left", "n_right", "context"],
                 )
 
-    return texts.select("key", "text", "places").mapInArrow(rows, "bucket int, key binary, place int, n_left short, n_right short, context binary, salted binary")
+    return texts.select("key", "text", "places").mapInArrow(rows, "bucket int, key binary, place int, n_left short, n_right short, context binary")
 
 
-def sampled_splitters(texts: DataFrame, wanted: DataFrame, n: int, bucket: int) -> np.ndarray:
-    """The sort keys that cut n contexts into buckets of about `bucket`, from a sample of _OVERSAMPLE contexts a bucket."""
+def _drawn(n: int, bucket: int):
+    """(number of buckets, condition on key and place that draws _OVERSAMPLE of n contexts for each)."""
     buckets = min(-(-n // bucket), _MOST_BUCKETS)
-    width = LENGTH + BEFORE + 8
-    if buckets < 2:
-        return np.zeros(0, f"S{width}")
-    drawn = F.pmod(F.xxhash64("key", "place"), F.lit(1 << 40)) < int(min(1.0, _OVERSAMPLE * buckets / n) * (1 << 40))
-    some = wanted.select("key", F.explode("places").alias("place")).where(drawn).groupBy("key").agg(F.collect_list("place").alias("places"))
-    sample = contexts(texts.join(some, "key"), np.zeros(0, f"S{width}")).select("context", "salted").toArrow()
-    order = np.sort(np.hstack([_bytes(sample.column("context"), LENGTH + BEFORE), _bytes(sample.column("salted"), 8)]).view(f"S{width}").reshape(-1))
-    return np.unique(order[np.arange(1, buckets) * len(order) // buckets]) if len(order) else order
+    return buckets, F.pmod(F.xxhash64("key", "place"), F.lit(1 << 40)) < int(min(1.0, _OVERSAMPLE * buckets / max(1, n)) * (1 << 40))
+
+
+def _splitters(sample: DataFrame, buckets: int, part) -> Splitters:
+    """Splitters from a sample of contexts, ordered by the given part of their bytes."""
+    rows = sample.select("key", "place", "context").toArrow()
+    heads = _bytes(rows.column("context"), LENGTH + BEFORE)[:, part]
+    return Splitters(_sort_keys(heads, rows.column("key").to_pylist(), rows.column("place").to_numpy()), buckets, heads.shape[1] + 8)
 
 
 def sort_multikey(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,63 +257,84 @@ def parting_splitters(bucket: int, n: int) -> list[int]:
     return out
 
 
-def _fingerprints(left: np.ndarray, splitter: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and offset o: two longs of the splitter, o and the first o bytes of the row."""
-    lanes = np.zeros((4, len(left)), np.uint64)
-    h, g = (np.empty((len(left), BEFORE + 1), np.uint64) for _ in range(2))
-    for o in range(BEFORE + 1):
-        if o:
-            lanes = (lanes * _BASES[:, None] + left[:, o - 1].astype(np.uint64) + np.uint64(1)) % _PRIMES[:, None]
-        where = np.uint64((splitter * 1009 + o) * 0x9E3779B97F4A7C15 % (1 << 64))
-        h[:, o] = mix((lanes[0] << np.uint64(32) | lanes[1]) ^ where)
-        g[:, o] = mix((lanes[2] << np.uint64(32) | lanes[3]) + where)
-    return h, g
+_JUDGED = "key binary, place int, low int, high int, n_left short, n_right short, context binary, parted array<struct<at: int, common: int>>, before array<struct<at: int, common: int>>"
 
 
-def _judge(splitters: np.ndarray, bucket: int, table: pa.Table):
-    """Rows of a bucket's repeats (low, high), and of what may repeat over its boundaries (o, h, g: fingerprints from offset o on)."""
+def _judge(splitters: Splitters, bucket: int, table: pa.Table, part, column: str) -> pa.Table:
+    """The rows of a bucket that repeat (low, high) or that splitters part from others of their kind (column: which, and what they have in common)."""
     around = _bytes(table.column("context"), LENGTH + BEFORE)
-    right, left = around[:, :LENGTH], around[:, LENGTH:]
     n_left, n_right = (table.column(c).to_numpy().astype(np.int64) for c in ("n_left", "n_right"))
-    key, place = table.column("key").combine_chunks(), table.column("place").to_numpy()
-    most_left, most_right = repeated_around(left, n_left, right, n_right)
-    names, none = ["key", "place", "low", "high", "o", "h", "g"], lambda n, kind: pa.nulls(n, kind)
-    longs = pa.list_(pa.int64())
-    hit = np.flatnonzero(most_right >= 0)
-    n = len(hit)
-    yield pa.table([key.take(pa.array(hit)), pa.array(place[hit]), pa.array((place - most_left)[hit].astype(np.int32)), pa.array((place + most_right)[hit].astype(np.int32)), none(n, pa.int32()), none(n, longs), none(n, longs)], names)
-    for c in parting_splitters(bucket, len(splitters)):
-        differ = right != splitters[c]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
-        first, last = LENGTH - np.minimum(common, n_right), np.minimum(n_left, BEFORE)
-        rows = np.flatnonzero(first <= last)
-        for a in range(0, len(rows), _CHUNK // 4):
-            at = rows[a : a + _CHUNK // 4]
-            o = np.arange(BEFORE + 1)
-            wanted = (o >= first[at, None]) & (o <= last[at, None])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(wanted.sum(axis=1)))), pa.int32())
-            h, g = (pa.ListArray.from_arrays(offsets, pa.array(x[wanted].view(np.int64))) for x in _fingerprints(left[at], c))
-            n = len(at)
-            yield pa.table([key.take(pa.array(at)), pa.array(place[at]), none(n, pa.int32()), none(n, pa.int32()), pa.array(first[at].astype(np.int32)), h, g], names)
+    place = table.column("place").to_numpy()
+    most_left, most_right = repeated_around(around[:, LENGTH:], n_left, around[:, :LENGTH], n_right)
+    parted: dict[int, list[dict]] = {}
+    for c, common in splitters.common(bucket, around[:, part]):
+        for i in np.flatnonzero(common >= GRAM).tolist():
+            parted.setdefault(i, []).append({"at": c, "common": int(common[i])})
+    hit, is_open = most_right >= 0, np.zeros(len(place), bool)
+    is_open[list(parted)] = True
+    out = np.flatnonzero(hit | is_open)
+    lists = pa.list_(pa.struct([("at", pa.int32()), ("common", pa.int32())]))
+    found = pa.array([parted.get(i) for i in out.tolist()], lists)
+    take = pa.array(out)
+    values = {
+        "low": pa.array((place - most_left)[out].astype(np.int32), mask=~hit[out]),
+        "high": pa.array((place + most_right)[out].astype(np.int32), mask=~hit[out]),
+        "context": pa.array(table.column("context").take(take).to_pylist(), pa.binary(), mask=~is_open[out]),
+        "parted": table.column("parted").take(take) if column == "before" else found,
+        "before": found if column == "before" else pa.nulls(len(out), lists),
+    }
+    names = ["key", "place", "low", "high", "n_left", "n_right", "context", "parted", "before"]
+    return pa.table([values[c] if c in values else table.column(c).take(take) for c in names], names)
+
+
+def _judged(placed: DataFrame, splitters: Splitters, part, column: str) -> DataFrame:
+    sent = placed.sparkSession.sparkContext.broadcast(splitters)
+    return cut(placed.groupBy("bucket").applyInArrow(lambda of, table: _judge(sent.value, of[0].as_py(), table, part, column), _JUDGED))
+
+
+def _by_bytes_before(rows: DataFrame, splitters: Splitters) -> DataFrame:
+    """rows with the bucket of what stands before them."""
+    sent = rows.sparkSession.sparkContext.broadcast(splitters)
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                heads = _bytes(pa.chunked_array([batch.column("context")]), LENGTH + BEFORE)[:, _BEFORE]
+                bucket = sent.value.buckets(_sort_keys(heads, batch.column("key").to_pylist(), batch.column("place").to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", *batch.schema.names])
+
+    lists = "array<struct<at: int, common: int>>"
+    return rows.select("key", "place", "n_left", "n_right", "context", "parted").mapInArrow(place, f"bucket int, key binary, place int, n_left short, n_right short, context binary, parted {lists}")
+
+
+def _parted_twice(rows: DataFrame) -> DataFrame:
+    """(key, low, high) of what matches over a splitter of either order: offsets that two or more suffixes reach at both."""
+    at = rows.select("key", "place", "n_left", "n_right", F.explode("parted").alias("s"), "before").select("*", F.explode("before").alias("t"))
+    first, last = LENGTH - F.least(F.col("s.common"), F.col("n_right")), F.least(F.col("t.common") - GRAM, F.col("n_left"))
+    reach = at.select("key", "place", F.col("s.at").alias("s"), F.col("t.at").alias("t"), first.alias("first"), last.alias("last")).where("first <= last")
+    kinds = cut(reach.groupBy("s", "t", "first", "last").agg(F.count("*").alias("n")))
+    often = kinds.select("s", "t", "n", F.explode(F.sequence("first", "last")).alias("o")).groupBy("s", "t", "o").agg(F.sum("n").alias("n")).where("n > 1")
+    ends = kinds.drop("n").join(often.select("s", "t", "o"), ["s", "t"]).where("o between first and last").groupBy("s", "t", "first", "last").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+    met = reach.join(cut(ends), ["s", "t", "first", "last"]).groupBy("key", "place").agg(F.max("high").alias("most"), F.min("low").alias("least"))
+    return met.select("key", (F.col("place") - F.col("most")).alias("low"), (F.col("place") + LENGTH - F.col("least")).alias("high"))
 
 
 def spans_of(texts: DataFrame, wanted: DataFrame, bucket: int) -> DataFrame:
     """(key, found): for each text, the intervals [low, high) around its anchors that repeat."""
-    n = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
-    splitters = sampled_splitters(texts, wanted, n, bucket)
-    heads = np.frombuffer(splitters.tobytes(), np.uint8).reshape(-1, splitters.itemsize)[:, :LENGTH]
-    sent = texts.sparkSession.sparkContext.broadcast(heads)
-
-    def judge(of, table):
-        return pa.concat_tables(_judge(sent.value, of[0].as_py(), table))
-
-    placed = contexts(texts.join(wanted, "key"), splitters).drop("salted")
-    judged = cut(placed.groupBy("bucket").applyInArrow(judge, "key binary, place int, low int, high int, o int, h array<long>, g array<long>"))
-    prints = judged.where("h is not null").select("key", "place", "o", F.posexplode(F.arrays_zip("h", "g")).alias("k", "x")).select("key", "place", (F.col("o") + F.col("k")).alias("o"), "x.h", "x.g")
-    twice = cut(prints.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
-    across = prints.join(twice, ["h", "g"], "left_semi").groupBy("key", "place").agg((F.col("place") - F.max("o")).alias("low"), (F.col("place") + LENGTH - F.min("o")).alias("high"))
-    both = judged.where("low is not null").select("key", "low", "high").unionByName(across.select("key", "low", "high"))
-    return cut(both.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("found")))
+    spans = lambda rows: rows.where("low is not null").select("key", "low", "high")
+    buckets, drawn = _drawn(wanted.agg(F.sum(F.size("places"))).first()[0] or 0, bucket)
+    some = wanted.select("key", F.explode("places").alias("place")).where(drawn & F.lit(buckets > 1)).groupBy("key").agg(F.collect_list("place").alias("places"))
+    behind = _splitters(contexts(texts.join(some, "key"), None), buckets, _BEHIND)
+    judged = _judged(contexts(texts.join(wanted, "key"), behind), behind, _BEHIND, "parted")
+    found = spans(judged)
+    parted = judged.where("context is not null")
+    n = parted.count()
+    if n:
+        buckets, drawn = _drawn(n, bucket)
+        before = _splitters(parted.where(drawn & F.lit(buckets > 1)), buckets, _BEFORE)
+        again = _judged(_by_bytes_before(parted, before), before, _BEFORE, "before")
+        found = found.unionByName(spans(again)).unionByName(_parted_twice(again.where("context is not null")))
+    return cut(found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("found")))
 
 
 def _cut_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
