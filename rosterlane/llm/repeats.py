@@ -21,7 +21,7 @@ Scale. Copies of a text become one text by a map-side aggregation, so texts are
 bucketed by their digest: all later joins leave them in place. Anchors, one per about 85 bytes, move as (hash, digest,
 place), and their frequent hashes pre-aggregate; contexts move once, for repeated anchors only, and once more in parted
 groups. A bucket has about `bucket` contexts of 368 bytes, whatever they hold, until there are _MOST_BUCKETS; the splitters,
-376 bytes each, are what is broadcast, and the driver sorts a sample of four times as many.
+376 bytes each, are what is broadcast, and the driver sorts a sample of eight times as many.
 
 Cases. Null and empty texts have 0 bytes and nothing to remove, as have texts of fewer than 200 bytes. Repeated rows
 are copies like others, whatever their ids, so they remove each other. Extra columns are ignored by cut_repeats(), which
@@ -44,9 +44,9 @@ from .words import mix, text_bytes
 LENGTH = 200
 GRAM = 32
 BEFORE = LENGTH - GRAM
-BUCKET = 1 << 16
+BUCKET = 1 << 15
 _MOST_BUCKETS = 1 << 17
-_OVERSAMPLE = 4
+_OVERSAMPLE = 8
 _CHUNK = 1 << 14
 _SEED = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -266,22 +266,25 @@ def _judge(splitters: Splitters, bucket: int, table: pa.Table, part, column: str
     n_left, n_right = (table.column(c).to_numpy().astype(np.int64) for c in ("n_left", "n_right"))
     place = table.column("place").to_numpy()
     most_left, most_right = repeated_around(around[:, LENGTH:], n_left, around[:, :LENGTH], n_right)
-    parted: dict[int, list[dict]] = {}
+    row, at, reach = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for c, common in splitters.common(bucket, around[:, part]):
-        for i in np.flatnonzero(common >= GRAM).tolist():
-            parted.setdefault(i, []).append({"at": c, "common": int(common[i])})
-    hit, is_open = most_right >= 0, np.zeros(len(place), bool)
-    is_open[list(parted)] = True
+        row.append(np.flatnonzero(common >= GRAM))
+        at.append(np.full(len(row[-1]), c, np.int32))
+        reach.append(common[row[-1]].astype(np.int32))
+    row, at, reach = (np.concatenate(x) for x in (row, at, reach))
+    order = np.argsort(row, kind="stable")
+    counts = np.bincount(row, minlength=len(place))
+    hit, is_open = most_right >= 0, counts > 0
     out = np.flatnonzero(hit | is_open)
-    lists = pa.list_(pa.struct([("at", pa.int32()), ("common", pa.int32())]))
-    found = pa.array([parted.get(i) for i in out.tolist()], lists)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts[out]))), pa.int32())
+    found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(at[order]), pa.array(reach[order])], ["at", "common"]))
     take = pa.array(out)
     values = {
         "low": pa.array((place - most_left)[out].astype(np.int32), mask=~hit[out]),
         "high": pa.array((place + most_right)[out].astype(np.int32), mask=~hit[out]),
-        "context": pa.array(table.column("context").take(take).to_pylist(), pa.binary(), mask=~is_open[out]),
+        "context": table.column("context").take(pa.array(np.where(is_open, np.arange(len(place)), -1)[out], mask=~is_open[out])),
         "parted": table.column("parted").take(take) if column == "before" else found,
-        "before": found if column == "before" else pa.nulls(len(out), lists),
+        "before": found if column == "before" else pa.nulls(len(out), found.type),
     }
     names = ["key", "place", "low", "high", "n_left", "n_right", "context", "parted", "before"]
     return pa.table([values[c] if c in values else table.column(c).take(take) for c in names], names)
