@@ -1,7 +1,7 @@
 r"""Token-ID output as wavelet matrices: one compressed file per range of documents, readable token by token.
 
 Method. Documents are range-partitioned by their order and encoded; each task cuts its tokens into shards and
-writes, for each, a wavelet matrix: one bit-plane per bit of the ids, from the highest, each stably partitioning
+writes, for each, a wavelet matrix: one bit-plane per bit of the largest id, from the highest, each stably partitioning
 the tokens by that bit, with the count of ones before every 512 bits. Access, counting of an id in a range
 (rank) and lookup of its k-th occurrence (select) read only those planes. A shard also holds its documents' ids
 and lengths. The files are Parquet (zstd) in a folder all executors share, written by Spark's own writer.
@@ -28,7 +28,6 @@ from .common import scratch, slices
 from .tokens import encoder, tokenizer_file
 
 SHARD_TOKENS = 2 << 20
-BITS = 16
 BLOCK = 512
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 _DDL = "shard long, n long, doc_ids array<long>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
@@ -43,7 +42,9 @@ class WaveletMatrix:
         self.ranks = [np.frombuffer(r, np.uint32) for r in ranks]
 
     @classmethod
-    def build(cls, ids: np.ndarray, bits: int = BITS) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray, bits: int = 16) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"an id needs more than {bits} bit-planes")
         zeros, planes, ranks, at = [], [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
             ones = (at & at.dtype.type(1 << b)) != 0
@@ -148,14 +149,18 @@ def encode_rows(data: str, texts: list[str], end_id: int) -> tuple[np.ndarray, n
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, order: list[Column], id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the token files of docs, in the given order, to path."""
+    from tokenizers import Tokenizer
+
     with open(tokenizer_path, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    sent = docs.sparkSession.sparkContext.broadcast(data)
+    bits = max(end_id, *Tokenizer.from_str(data).get_vocab(with_added_tokens=True).values()).bit_length()
 
     def run(batches):
         number, ids, lengths, names = TaskContext.get().partitionId() << 32, [], [], []
 
         def shard():
-            w = WaveletMatrix.build(np.concatenate(ids))
+            w = WaveletMatrix.build(np.concatenate(ids), bits)
             of = pa.array([names], pa.list_(pa.int64()))
             binaries = lambda x: pa.array([[v.tobytes() for v in x]], pa.list_(pa.binary()))
             longs = lambda x: pa.array([x], pa.list_(pa.int64()))
@@ -178,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, order: list[Co
 
     keys = [f"__k{i}" for i in range(len(order))]
     placed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[o.alias(k) for o, k in zip(order, keys, strict=True)])
-    ranged = placed.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    ranged = placed.repartitionByRange(*keys, F.substring("text", 1, 64)).sortWithinPartitions(*keys, "text")  # rows that share a key part by how they begin
     ranged.select("doc_id", "text").mapInArrow(run, _DDL).write.option("compression", "zstd").parquet(path)
 
 

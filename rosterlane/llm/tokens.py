@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .words import span_hash, text_bytes
+from .words import span_hash, text_bytes, with_long
 
 LIMIT = 2048
 _REMEMBERED = 2_000_000  # about 40 bytes each
@@ -207,7 +207,8 @@ class Encoder:
 
 
 def hash_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(cps.astype(np.uint64) + np.uint64(0x51ED27), starts, ends, 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    hashes = span_hash(cps.astype(np.uint64) + np.uint64(0x51ED27), starts, ends, 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    return with_long(hashes, cps, starts, ends)
 
 
 def whole_tokens(data: str) -> list[str]:

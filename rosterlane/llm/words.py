@@ -7,6 +7,7 @@ code points (and takes all others) can be decided byte by byte.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ _Q = 0xD1342543DE82EF95
 _Q_INV = pow(_Q, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
+LONG = 64
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -52,6 +54,16 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((total[ends] - total[starts]) * powers(inverse, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def with_long(hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """hashes with those of spans of over LONG units taken from BLAKE2b.
+
+    Whatever its base, a polynomial modulo 2**64 has texts of a thousand letters and more that collide; short ones only do by chance.
+    """
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        hashes[i] = int.from_bytes(blake2b(units[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and the n + 1 offsets of its rows in them; nulls are empty."""
     column = column.fill_null("") if pa.types.is_string(column.type) else column.cast(pa.string()).fill_null("")
@@ -70,7 +82,7 @@ class Words:
     first: np.ndarray  # row i has words first[i]:first[i + 1]
 
     def hashes(self) -> np.ndarray:
-        return span_hash(_TABLE[self.raw], self.starts, self.ends, _B, _B_INV)
+        return with_long(span_hash(_TABLE[self.raw], self.starts, self.ends, _B, _B_INV), self.raw, self.starts, self.ends)
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.docs) - 1), np.diff(self.first))

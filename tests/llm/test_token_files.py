@@ -7,7 +7,7 @@ from rosterlane.llm.common import scratch
 from rosterlane.llm.token_files import WaveletMatrix, count_token, encode_rows, find_token, op7_token_files, read_tokens, write_tokens
 from rosterlane.llm.tokens import tokenizer_file
 from tests.llm import cases
-from tests.llm.test_tokens import texts
+from tests.llm.test_tokens import texts, twins
 from tokenizers import Tokenizer
 
 FILE = tokenizer_file("byte_bpe_50k.json")
@@ -42,6 +42,9 @@ def test_encoding_equals_the_library_on_odd_texts():
     t, odd = Tokenizer.from_file(FILE), texts()
     ids, lengths = encode_rows(open(FILE).read(), odd, 0)
     at = np.concatenate(([0], np.cumsum(lengths)))
+    odd = [*odd, *twins()]
+    ids, lengths = encode_rows(open(FILE).read(), odd, 0)
+    at = np.concatenate(([0], np.cumsum(lengths)))
     for k, x in enumerate(odd):
         assert ids[at[k] : at[k + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 0]
 
@@ -66,3 +69,14 @@ def test_order_lookup_and_awkward_rows(spark):
     path = scratch(spark)
     write_tokens(cases.empty(spark), path, FILE, [F.col("doc_id")])
     assert read_tokens(spark, path).count() == 0
+
+
+def test_ids_beyond_sixteen_bits(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 200_000, 3000).astype(np.uint32)
+    w = WaveletMatrix.build(ids, 18)
+    assert (w.decode() == ids).all() and w.access(7) == ids[7] and w.count(int(ids[7]), 0, 3000) == int((ids == ids[7]).sum())
+    path = scratch(spark)
+    write_tokens(cases.frame(spark), path, FILE, [F.col("doc_id")], end_id=100_000)
+    assert count_token(spark, path, 100_000).agg(F.sum("count")).first()[0] == len(cases.rows())
+    assert read_tokens(spark, path).count() == len(cases.rows())

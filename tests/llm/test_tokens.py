@@ -37,3 +37,18 @@ def test_awkward_rows(spark):
     df = cases.frame(spark, ["n_tokens"])
     check(count_tokens(df, tokenizer_file("word_bpe_49k.json")).collect(), [(r[0], r[1]) for r in cases.rows()])
     assert count_tokens(cases.empty(spark), tokenizer_file("word_bpe_49k.json")).count() == 0
+
+
+def twins(n=4096):
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        data = open(tokenizer_file(name)).read()
+        e, t = Encoder(data, whole_hashes(whole_tokens(data))), Tokenizer.from_str(data)
+        x, y = twins()
+        for texts in ([x, y, f"one {x} and {y}"], [y, x]):
+            assert e.counts(texts).tolist() == [len(t.encode(s, add_special_tokens=False).ids) for s in texts]
