@@ -16,7 +16,8 @@ texts is lost. Candidate keys, sets and
 links are tables in the shared folder; nothing is collected. Copies never meet: they are one class from the start.
 
 Cases. Null or wordless text has an empty set: linked with nothing, its own component. Rows without an id are not
-linked: component_id is null and kept is true. Rows that share an id are one document. Extra columns of the input
+linked: component_id is null and kept is true. Rows that share an id are one document, also with different texts: what is
+linked with one of them is in its component, and they stay or go together. Extra columns of the input
 are ignored by near_duplicates(); deduplicate() returns the input's columns.
 """
 
@@ -163,10 +164,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi")
     sets = cut(map_batches(texts, _set_rows, "node long, n long, shingles array<long>").where("n > 0"))
     roots = components(members, sets, cut(nodes.select("node", F.col("node").alias("root"))))
+    roots = join_shared_ids(named.select("id", "hi", "lo"), classes.select("hi", "lo", "node"), roots)
 
     named_root = classes.select("hi", "lo", "node").join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
-    linked = signed.drop("keys").join(named_root, ["hi", "lo"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") > 0, F.col("root")).otherwise(F.col("id"))
+    by_id = named.select("id", "hi", "lo").join(named_root, ["hi", "lo"]).groupBy("id").agg(F.min("root").alias("root"))
+    linked = signed.select("id", "n").join(by_id, "id", "left")
+    component = F.coalesce("root", "id")
     return linked.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -175,6 +178,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def join_shared_ids(named: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots with the components of the different texts of one id made one; usually there are none."""
+    sets = F.struct("hi", "lo")
+    several = named.groupBy("id").agg(F.min(sets).alias("a"), F.max(sets).alias("b")).where("a <> b").select("id")
+    held = cut(named.join(several, "id", "left_semi").join(classes, ["hi", "lo"]).select("id", "node"))
+    least = held.groupBy("id").agg(F.min("node").alias("a"))
+    links = cut(held.join(least, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    if links.isEmpty():
+        return roots
+    more = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti")
+    return contract(cut(roots.unionByName(more.select("node", F.col("node").alias("root")))), links)
+
+
 def components(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, root) after all links between members that share a key."""
     tried, turn, last = None, 0, False
@@ -237,10 +253,34 @@ def prefix_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
     sized = primed.groupBy("cluster", "node", "u").agg(F.count("*").alias("size"))
     near = cut(every.drop("shingles").join(sized, ["cluster", "node", "u"], "left").fillna(0, ["size"]).where(F.col("size") <= 0.1765 * F.col("n")))
     mixed = near.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster")
-    some = cut(near.join(mixed, "cluster", "left_semi"))
-    x, y = some.alias("x"), some.alias("y")
-    close = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & other & (beyond <= 0)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return shared.unionByName(close)
+    return shared.unionByName(close_links(cut(near.join(mixed, "cluster", "left_semi"))))
+
+
+def close_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links that connect all rows (cluster, node, root, n, size) whose sizes together are within what linked sets may differ by.
+
+    Such rows are linked whatever they hold. slack(x) + slack(y) <= 0 is necessary for it, and sufficient but for rounding. So all that
+    is linked with anything is linked with the row of least slack, but for rows where rounding decides; these are compared with
+    one row of each pair (n, size), and rows of the same pair follow the first of them.
+    """
+    linked, unlinked = 100 + PERCENT, 100 - PERCENT
+    slack = linked * F.col("size") - unlinked * F.col("n")
+    both = F.col("x.n") + F.col("y.n")
+    is_close = F.col("x.size") + F.col("y.size") <= both - 2 * F.ceil(PERCENT * both / linked)
+    rows = rows.withColumn("slack", slack)
+    hub = rows.groupBy("cluster").agg(F.min_by(F.struct("node", "root", "n", "size", "slack"), F.struct("slack", "node")).alias("y"))
+    met = cut(rows.withColumn("x", F.struct("node", "root", "n", "size", "slack")).select("cluster", "x").join(hub, "cluster").where("x.node <> y.node and x.slack + y.slack <= 0").withColumn("close", is_close))
+    direct = met.where("close")
+    rest = met.where("not close").select("cluster", "x.*")
+    one = F.min(F.struct("node", "root")).alias("one")
+    kinds = rows.groupBy("cluster", "n", "size", "slack").agg(one, F.count("*").alias("k")).select("cluster", "n", "size", "slack", "one.*", "k")
+    odd = kinds.join(rest.select("cluster", "n", "size").distinct(), ["cluster", "n", "size"], "left_semi")
+    x, y = odd.alias("x"), kinds.alias("y")
+    itself = (F.col("x.n") == F.col("y.n")) & (F.col("x.size") == F.col("y.size"))
+    pairs = cut(x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.slack") + F.col("y.slack") <= 0) & is_close & (~itself | (F.col("y.k") > 1))).select(F.col("x.cluster").alias("cluster"), F.col("x.n").alias("n"), F.col("x.size").alias("size"), F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    follow = rest.join(pairs.groupBy("cluster", "n", "size").agg(F.min("b").alias("b")), ["cluster", "n", "size"]).select(F.col("node").alias("a"), "b")
+    every = direct.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(pairs.select("a", "b")).unionByName(follow)
+    return every.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _sizes(a: str, b: str):

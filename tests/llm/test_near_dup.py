@@ -14,9 +14,10 @@ def shingles(text):
 
 
 def brute(docs):
-    sets = {}
+    sets, n = {}, []
     for i, t in docs:
-        sets.setdefault(i, shingles(t))
+        sets.setdefault(i, set()).add(shingles(t))
+        n.append((i, len(shingles(t))))
     parent = {i: i for i in sets}
 
     def find(x):
@@ -24,27 +25,30 @@ def brute(docs):
             x = parent[x]
         return x
 
+    def join(i, j):
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+
     seen = {}
-    for i, s in sorted(sets.items()):
-        if s:
+    for i, own in sorted(sets.items()):
+        for s in own - {frozenset()}:
             seen.setdefault(s, []).append(i)
     for same in seen.values():
         for i in same:
-            parent[find(i)] = find(same[0])
+            join(i, same[0])
     by = {}
-    for s, same in seen.items():
+    for s in seen:
         for g in s:
             by.setdefault(g, []).append(s)
     pairs = {frozenset(p) for ss in by.values() for p in combinations(ss, 2)}
     for p in pairs:
         s, t = p
         if 100 * len(s & t) >= 85 * len(s | t):
-            a, b = sorted((find(seen[s][0]), find(seen[t][0])))
-            parent[b] = a
+            join(seen[s][0], seen[t][0])
     low = {}
     for i in sets:
         low[find(i)] = min(i, low.get(find(i), i))
-    return {(i, len(sets[i]), low[find(i)], i == low[find(i)]) for i in sets}
+    return {(i, k, low[find(i)], i == low[find(i)]) for i, k in n}
 
 
 def test_pigeonhole_covers_every_error_pattern():
@@ -114,3 +118,51 @@ def test_what_leaders_leave_is_joined_without_losing_a_link(spark):
     full = {i: shingles(t) for i, t in docs}
     linked = {frozenset((i, j)) for i, j in combinations(full, 2) if 100 * len(full[i] & full[j]) >= 85 * len(full[i] | full[j])}
     assert linked <= got and len(got) < 0.25 * len(docs) ** 2 / 2
+
+
+def test_ids_with_several_texts_lose_no_document(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, z), (9, ""), (9, None), (4, z.replace("z59", "Q")), (20, y + " end"), (30, "one two")]
+    rows += [(40, f"own{k} text number {k} here with words {k}") for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in near_duplicates(frame).collect()}
+    assert got == brute(rows)
+    kept = {r.doc_id for r in deduplicate(frame).collect()}
+    assert kept == {3, 4, 30, 40}
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two three {a} five"), (2, f"one two three {b} five"), (3, a), (4, b), (5, b)]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_near_what_a_cluster_shares_are_connected(spark):
+    """close_links against all pairs, at sizes where the rounding of the bound decides."""
+    import random
+
+    from rosterlane.llm.near_dup import close_links
+
+    rng = random.Random(3)
+    rows = [(c, 1000 * c + k, 1000 * c + k, n := rng.randint(20, 60), rng.randint(0, n // 7 + 1)) for c in range(8) for k in range(rng.choice([3, 12, 60]))]
+    got = [(r.a, r.b) for r in close_links(spark.createDataFrame(rows, "cluster int, node long, root long, n long, size long")).collect()]
+    bound = lambda s: s - 2 * -(-85 * s // 185)
+    by = {r[1]: r for r in rows}
+    is_close = lambda x, y: x[0] == y[0] and x[4] + y[4] <= bound(x[3] + y[3])
+    assert all(is_close(by[a], by[b]) for a, b in got)
+
+    def groups(links):
+        parent = {i: i for i in by}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[find(a)] = find(b)
+        return {frozenset(i for i in by if find(i) == r) for r in map(find, by)}
+
+    assert groups(got) == groups([(x[1], y[1]) for x, y in combinations(rows, 2) if is_close(x, y)]) and len(got) < 3 * len(rows)
