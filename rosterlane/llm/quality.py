@@ -5,22 +5,23 @@ and square roots of rates) and each group of language and source gets a minimum-
 estimate of their centre and scatter. It starts from three deterministic scatters of robustly standardised values
 (medians and interquartile ranges; their squashed and sign values) and concentrates: the rows with the least
 Mahalanobis distances that make up three quarters of the group give the next centre and scatter, five times; the
-start with the least determinant wins. Rows are then reweighted once at the 97.5 % point and rejected beyond
-`cutoff`, the squared distance that one in 10 million normal rows would exceed (statistics of real text have longer
-tails than a normal distribution; a lower cutoff would reject clean documents).
+start with the least determinant wins. Rows are then reweighted once at the 97.5 % point, the scatter is made consistent
+for a normal distribution, and rows are rejected beyond `cutoff`, a squared distance that fewer than one in 10 million normal
+rows exceed (statistics of real text have longer tails than a normal distribution; a lower cutoff would reject clean documents).
 
 A concentration step is one aggregation over all rows: distances fall in logarithmic bins per group, the moments of
 each bin are summed, and the lowest bins that hold three quarters of the rows are merged. So the steps see every row,
 nothing is sampled or collected, a hot group pre-aggregates on the map side, and the step's result is a few rows per
-group. Each statistic is measured in units of a tolerance, and the unit matrix is added to the scatter: deviations
-within a tolerance are never outlying, and a statistic that is constant in a group (symbols in prose) stays regular.
+group. Each statistic is measured in units of a tolerance, and the unit matrix is added to the scatter: a statistic that is
+constant in a group (symbols, repeated lines and words in prose) stays regular, and deviations of a few tolerances are never outlying.
+The estimates, a row per group, are broadcast after a check of their number, so rows stay where they are.
 
 Native: only DataFrame functions. The statistics (a few numbers per row) are a table in the shared folder; the
 text is read once. Words `[^\x20\x09-\x0D]+` repeated in 3-word windows are found per row by sorting window hashes.
 
-Cases. Null or wordless text: no words, base_failed. Groups of fewer than `least` rows are pooled by language, then
-all together; if even those are fewer, only the base rule decides. Null language or source is a value like others.
-Repeated rows count each. Extra columns are ignored by quality(); keep_quality() returns the input's columns.
+Cases. Null or wordless text: no words, base_failed. Groups of fewer than `least` rows (ten for each statistic) are judged by
+the estimate of all rows of their language, then of all rows; if even those are fewer, only the base rule decides. Null
+language or source is a value like others. Repeated rows count each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ from pyspark.sql import functions as F
 from .common import cut
 
 CUTOFF = 43.0
-LEAST = 100
 SHARE = 0.75
 STEPS = 5
 _CHI2_975 = 12.83
+_CONSISTENT = 0.975 / 0.9238  # by how much cutting a five-dimensional normal distribution there shrinks its scatter
+_MOST_BROADCAST = 50_000  # estimates, about 300 bytes each
 #: Of log words, log mean word length, and the square roots of symbols, repeated lines and repeated words per word.
-TOLERANCES = (1.0, 0.1, 0.05, 0.1, 0.3)
+TOLERANCES = (1.0, 0.05, 0.05, 0.04, 0.1)
 _P = len(TOLERANCES)
+LEAST = 10 * _P
 _X = [f"x_{i}" for i in range(_P)]
 _BINS = 12  # per doubling of the squared distance
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
@@ -92,24 +95,33 @@ def features() -> list[Column]:
     return [(f / F.lit(t)).alias(x) for f, t, x in zip(transformed, TOLERANCES, _X, strict=True)]
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A table of groups for a join: broadcast if its rows are few."""
+    return F.broadcast(table) if table.count() <= _MOST_BROADCAST else table
+
+
 def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """rows with grp: language and source, or a pool of small ones; null where even all pools together are small."""
+    """rows with grp, whose estimate judges a row (its language and source, its language, or all), and of, the estimates that it is part of."""
     pair = F.to_json(F.struct(F.coalesce("lang", F.lit("\0")).alias("l"), F.coalesce("source", F.lit("\0")).alias("s")))
     lang = F.to_json(F.struct(F.coalesce("lang", F.lit("\0")).alias("l")))
-    counted = rows.where("fit").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = counted.withColumn("small", F.col("n") < least)
-    pooled = by_lang.withColumn("n_lang", F.sum(F.when(F.col("small"), F.col("n"))).over(Window.partitionBy("lang")))
-    level = F.when(~F.col("small"), pair).when(F.col("n_lang") >= least, lang).otherwise(F.lit("*"))
-    leveled = pooled.withColumn("level", level).withColumn("n_level", F.sum("n").over(Window.partitionBy("level")))
-    groups = leveled.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.when(F.col("n_level") >= least, F.col("level")).alias("grp"))
-    return rows.join(groups, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left").drop("__l", "__s")
-
-
-def _estimate(moments: DataFrame, keys: list[str], ridge: float) -> DataFrame:
-    """Means, Cholesky factor and log-determinant of the scatter from summed moments n, s_i, q_i_j."""
+    counted = cut(rows.where("fit").groupBy("lang", "source").agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    by_lang = Window.partitionBy("lang")
+    level = F.when(F.col("n") >= least, 0).when(F.sum("n").over(by_lang) >= least, 1).when(F.lit(total >= least), 2)
+    leveled = cut(counted.withColumn("level", level))
+    for_all = not leveled.where("level = 2").isEmpty()
+    needed = F.max(F.col("level") == 1).over(by_lang)
+    of = F.array_compact(F.array(F.when(F.col("level") == 0, pair), F.when(needed, lang), F.when(F.lit(for_all), "*")))
+    grp = F.when(F.col("level") == 0, pair).when(F.col("level") == 1, lang).when(F.col("level") == 2, "*")
+    groups = cut(leveled.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), grp.alias("grp"), of.alias("of")))
+    return rows.join(_few(groups), F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left").drop("__l", "__s")
+
+
+def _estimate(moments: DataFrame, keys: list[str], ridge: float, grow: float = 1.0) -> DataFrame:
+    """Means, Cholesky factor and log-determinant of the scatter, grow times that of the summed moments n, s_i, q_i_j."""
     n = F.col("n")
     means = moments.select(*keys, "n", *[(F.col(f"s_{i}") / n).alias(f"m_{i}") for i in range(_P)], *[(F.col(f"q_{i}_{j}") / n).alias(f"q_{i}_{j}") for i, j in _PAIRS])
-    out = means.select(*keys, "n", *[f"m_{i}" for i in range(_P)], *[(F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") + F.lit(ridge if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS])
+    out = means.select(*keys, "n", *[f"m_{i}" for i in range(_P)], *[(grow * (F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) + F.lit(ridge if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS])
     for i in range(_P):  # a column of the factor per step, so that expressions stay small
         for j in range(i + 1):
             rest = F.col(f"c_{i}_{j}")
@@ -137,7 +149,7 @@ def _moments(x: list[Column]) -> list[Column]:
 def _concentrate(rows: DataFrame, estimates: DataFrame, keys: list[str], share: float, ridge: float) -> DataFrame:
     """One concentration step for each group and start."""
     x = [F.col(c) for c in _X]
-    far = _with_distance(rows.join(estimates, "grp"))
+    far = _with_distance(rows.join(_few(estimates), "grp"))
     band = F.floor(F.log2(F.col("d2") + 1e-6) * _BINS).cast("int").alias("band")
     bands = far.select(*keys, band, *x).groupBy(*keys, "band").agg(*_moments(x))
     up_to = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +170,8 @@ def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     squash = F.struct(F.lit("squash").alias("start"), *[F.tanh(v).alias(f"y_{i}") for i, v in enumerate(z)])
     sign = F.struct(F.lit("sign").alias("start"), *[(v / norm).alias(f"y_{i}") for i, v in enumerate(z)])
     known = [*[f"mid_{c}" for c in _X], *[f"dev_{c}" for c in _X]]
-    turned = rows.join(robust, "grp").select("grp", *known, F.explode(F.array(squash, sign)).alias("v")).select("grp", *known, "v.*")
+    robust = cut(robust)
+    turned = rows.join(_few(robust), "grp").select("grp", *known, F.explode(F.array(squash, sign)).alias("v")).select("grp", *known, "v.*")
     y = [F.col(f"y_{i}") for i in range(_P)]
     shape = turned.groupBy("grp", "start", *known).agg(*_moments(y))
     # A start's scatter: the correlation of squashed or sign values, rescaled by the robust deviations.
@@ -174,13 +187,13 @@ def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     estimates = cut(_estimate(as_sums, ["grp", "start"], ridge))
     for _ in range(steps):
         estimates = cut(_concentrate(rows, estimates, ["grp", "start"], share, ridge))
-    best = estimates.groupBy("grp").agg(F.min_by(F.struct(*[c for c in estimates.columns if c not in ("grp", "start")]), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
+    best = cut(estimates.groupBy("grp").agg(F.min_by(F.struct(*[c for c in estimates.columns if c not in ("grp", "start")]), F.struct("logdet", "start")).alias("e")).select("grp", "e.*"))
     # Consistency: the median distance of a normal sample; then one reweighting.
     x = [F.col(c) for c in _X]
-    far = cut(_with_distance(rows.join(best, "grp")).select("grp", *x, "d2"))
-    factor = far.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 1000) / 4.3515).alias("factor"))
-    near = far.join(factor, "grp").where(F.col("d2") <= _CHI2_975 * F.greatest(F.col("factor"), F.lit(1e-9)))
-    return cut(_estimate(near.groupBy("grp").agg(*_moments(x)), ["grp"], ridge))
+    far = cut(_with_distance(rows.join(_few(best), "grp")).select("grp", *x, "d2"))
+    factor = cut(far.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 1000) / 4.3515).alias("factor")))
+    near = far.join(_few(factor), "grp").where(F.col("d2") <= _CHI2_975 * F.greatest(F.col("factor"), F.lit(1e-9)))
+    return cut(_estimate(near.groupBy("grp").agg(*_moments(x)), ["grp"], ridge, _CONSISTENT))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
@@ -189,8 +202,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = cut(with_statistics(base).drop("text").withColumn("base_failed", failed).select("*", (F.col("n_words") > 0).alias("fit"), *features()))
     rows = cut(_grouped(measured, least))
-    estimates = mcd(rows.where("fit and grp is not null").select("grp", *_X))
-    judged = _with_distance(rows.join(estimates, "grp", "left"))
+    estimates = mcd(rows.where("fit").select(F.explode("of").alias("grp"), *_X))
+    judged = _with_distance(rows.join(_few(estimates), "grp", "left"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"),
