@@ -1,11 +1,13 @@
 r"""Personal data: detected entities get keyed surrogates of the same type, format, gender and script.
 
-Method. One pattern of alternatives finds e-mail addresses, secrets, phone and card numbers, IBANs, IPv4 addresses,
-social-security numbers and titled names; each match is reduced to a canonical form (digits of a number, lower case
+Method. One pattern of alternatives finds e-mail addresses, secrets, phone and card numbers (16 digits, or another length with a valid check digit), IBANs,
+IPv4 addresses, social-security numbers and names behind a title (names without one are not found); each match is reduced to a
+canonical form (digits of a number, lower case
 of an address or a name's words), so that differently written mentions of one entity are one. A surrogate is drawn
-from SHA-2 of (key, type, canonical form, attempt): digits for digits, letters for letters, a valid check digit where
-the original's was valid, names of the same script whose ending follows the title's gender, poured back into the
-match's own punctuation. The same key gives the same surrogate everywhere (coreference). Collision check: over all
+from SHA-2 of (key, type, canonical form, attempt): digits for digits (a ten-digit phone gets the exchange 555), letters for
+letters, a valid check digit where there was one, names of the same script whose ending follows the title's gender, poured back into the
+match's own punctuation. The same key gives the same surrogate everywhere (coreference); a given name behind a title without
+gender gets the surrogate that it has behind one with gender (the female one, if both stand in the texts). Collision check: over all
 distinct entities, a surrogate that another entity has, or that is a real entity itself, is drawn again with the next
 attempt, until none is left or _ATTEMPTS rounds have passed (distinctness). What is left then, where a format is nearly
 full, is given the format's unused values by rank: its values are numbered, as many as can be needed are made, those in
@@ -63,15 +65,20 @@ _VALUES = {
     _OCTET_PLACE: [str(n) for n in range(1, 255)], _VALID: [""], _INVALID: [""],
     **{place: SCRIPTS[name][k] for name, places in _SPOKEN.items() for k, place in enumerate(places)},
 }
+#: The exchange of fictitious numbers, and how known secrets begin.
+_EXCHANGE = "555"
+_ISSUERS = "^(?:AKIA|gh[pousr]_|sk-|xox[abp]-)"
 _MOST_VALUES = 10**15  # as many are counted; no table has so many entities
 _CHUNK = 4096
 
 
 def _kind(m: Column) -> Column:
+    """The type of a match; null for a long number that is no card's."""
     out = None
     for name, pattern, _, _ in KINDS:
         hit = m.rlike(f"^(?:{pattern})\\z")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        kind = F.when((F.length(_digits(m)) == 16) | F.call_function("luhn_check", _digits(m)), name) if name == "card" else F.lit(name)
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("secret")
 
 
@@ -123,6 +130,15 @@ def _number(h: Column, at: int) -> Column:
     return F.conv(F.substring(h, at, 4), 16, 10).cast("int")
 
 
+def _issuer(secret: Column) -> Column:
+    """What tells whose secret it is; the rest is secret."""
+    return F.regexp_extract(secret, _ISSUERS, 0)
+
+
+def _body(secret: Column) -> Column:
+    return F.regexp_replace(secret, _ISSUERS, "")
+
+
 def _spoken(h: Column, script: Column, kind: Column) -> Column:
     """A name of two or three drawn syllables with the ending of its kind."""
     out = None
@@ -148,8 +164,8 @@ def _surrogate_of(kind: Column, canon: Column, h: Column) -> Column:
     body = F.concat(F.substring(canon, 1, 1), F.substring(digit, F.lit(1), F.length(canon) - 2))
     checks = F.transform(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: F.concat(body, d))
     card = F.when(F.call_function("luhn_check", canon), F.filter(checks, lambda c: F.call_function("luhn_check", c))[0]).otherwise(F.concat(body, F.substring(digit, 60, 1)))
-    phone = F.when(F.length(canon) == 10, F.concat(F.substring(digit, 1, 3), F.substring(canon, 4, 3), F.substring(digit, 7, 4))).otherwise(F.substring(digit, F.lit(1), F.length(canon)))
-    secret = F.when(canon.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)\z"), _like(canon, h, "abcdefabcdefabcd")).otherwise(F.concat(F.substring(canon, 1, 4), _like(F.substring(canon, 5, 1 << 20), h, "abcdefghijklmnop")))
+    phone = F.when(F.length(canon) == 10, F.concat(F.substring(digit, 1, 3), F.lit(_EXCHANGE), F.substring(digit, 7, 4))).otherwise(F.substring(digit, F.lit(1), F.length(canon)))
+    secret = F.when(canon.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)\z"), _like(canon, h, "abcdefabcdefabcd")).otherwise(F.concat(_issuer(canon), _like(_body(canon), h, "abcdefghijklmnop")))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
@@ -186,10 +202,10 @@ def _poured(m: Column, kind: Column, made: Column) -> Column:
 
 
 def find(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with __found: array of (raw, kind, parts), null where the gate finds nothing."""
+    """docs with __found: array of (raw, kind, parts), null where the gate finds nothing; kind and parts are null where a match is no entity."""
     text = F.col(f"`{text_col}`")
     raw = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("raw"), _kind(m).alias("kind")))
-    found = F.transform(raw, lambda x: F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), _parts(x["kind"], x["raw"]).alias("parts")))
+    found = F.transform(raw, lambda x: F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), _parts(x["kind"], x["raw"])).alias("parts")))
     return docs.withColumn("__found", F.when(text.rlike(_GATE), found))
 
 
@@ -199,11 +215,11 @@ def _template(kind: Column, canon: Column, level: int) -> Column:
     classes = lambda lower, upper: _DIGIT * 10 + lower * 26 + upper * 26
     free = lambda c, lower=_LOWER, upper=_UPPER: F.translate(c, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", classes(lower, upper))
     digits = lambda k: F.repeat(F.lit(_DIGIT), k)
-    exchange = F.concat(F.lit(_DIGIT * 3), F.substring(canon, 4, 3), F.lit(_DIGIT * 4))
+    exchange = F.lit(_DIGIT * 3 + _EXCHANGE + _DIGIT * 4)
     phone = F.when((n == 10) & F.lit(level == 0), exchange).when(n == 10, digits(n + (level - 1))).otherwise(digits(n + level))
     card = F.concat(F.substring(canon, 1, 1), digits(n - 2 + level), F.when(F.call_function("luhn_check", canon), _VALID).otherwise(_INVALID))
     email = F.concat(free(F.substring_index(canon, "@", 1)), F.lit("@" + _MAIL * (8 + level) + ".example.org"))
-    secret = F.when(canon.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)\z"), free(canon, _HEX, _UPPER_HEX)).otherwise(F.concat(F.substring(canon, 1, 4), free(F.substring(canon, 5, 1 << 20))))
+    secret = F.when(canon.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)\z"), free(canon, _HEX, _UPPER_HEX)).otherwise(F.concat(_issuer(canon), free(_body(canon))))
     spoken = None
     for name, (_, _, endings, family) in SCRIPTS.items():
         stem = "".join(_SPOKEN[name]) * (3 + level) + _SPOKEN[name][0]
@@ -285,7 +301,19 @@ def _by_rank(left: DataFrame, done: DataFrame, real: DataFrame, key: str) -> Dat
 
 
 def resolve(entities: DataFrame, key: str) -> DataFrame:
-    """(type, canon, attempt, made) for distinct entities (type, canon): no two alike, none equal to a real one."""
+    """(type, canon, attempt, made) for distinct entities (type, canon): no two alike, none equal to a real one.
+
+    But a given name without gender that also has one is no entity of its own: its row is that name's, with an attempt that is not 0.
+    """
+    gendered = entities.where("type in ('given:f', 'given:m')").groupBy("canon").agg(F.min("type").alias("as"))
+    aliases = cut(entities.where("type = 'given:x'").join(gendered, "canon").select("type", "canon", "as"))
+    made = _distinct(cut(entities.join(aliases.drop("as"), ["type", "canon"], "left_anti")), key)
+    of = made.select(F.col("type").alias("as"), "canon", (F.col("attempt") + 1).alias("attempt"), "made")
+    return made.unionByName(aliases.join(of, ["as", "canon"]).select(*made.columns))
+
+
+def _distinct(entities: DataFrame, key: str) -> DataFrame:
+    """resolve() for entities that are all their own."""
     attempts = cut(entities.select("type", "canon", F.lit(0).alias("attempt")))
     real = entities.select("type", F.col("canon").alias("made"), F.lit(True).alias("real"))
     for _ in range(_ATTEMPTS):
@@ -320,13 +348,14 @@ def rewrite(docs: DataFrame, key: str, text_col: str = "text", inline: int = INL
         found = found.withColumn("__digest", digest).join(maps, "__digest", "left")
         drawn = F.col("__drawn")
     made = lambda p: F.coalesce(F.element_at(drawn, F.concat_ws("|", p["type"], p["canon"])), _surrogate(key, p["type"], p["canon"], F.lit(0)))
-    new = F.transform("__found", lambda x: _poured(x["raw"], x["kind"], F.transform(x["parts"], made)))
+    new = F.transform("__found", lambda x: F.when(x["kind"].isNull(), x["raw"]).otherwise(_poured(x["raw"], x["kind"], F.transform(x["parts"], made))))
     text = F.col(f"`{text_col}`")
     between = F.split(text, PATTERN)
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda b, s: F.array(F.coalesce(b, F.lit("")), F.coalesce(s, F.lit(""))))), "")
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__found", lambda x: x["kind"]))), ",")
+    known = F.array_compact(F.transform("__found", lambda x: x["kind"]))
+    kinds = F.array_join(F.array_sort(F.array_distinct(known)), ",")
     rewritten = F.when(F.size("__found") > 0, joined).otherwise(text).alias(text_col)
-    return found.select(*[rewritten if c == text_col else F.col(f"`{c}`") for c in own], F.greatest(F.size("__found"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"))
+    return found.select(*[rewritten if c == text_col else F.col(f"`{c}`") for c in own], F.greatest(F.size(known), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"))
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", inline: int = INLINE) -> DataFrame:

@@ -115,3 +115,24 @@ def test_unused_values_keep_the_format_of_every_type(spark, monkeypatch):
     chosen = [r for r in got if r.made != "7"]
     assert len(chosen) == 2 * len(forms) and all(re.fullmatch(forms[r.type][1], r.made) for r in chosen)
     assert all(luhn(r.canon) == luhn(r.made) for r in chosen if r.type == "card")
+
+
+def test_no_true_digit_or_secret_letter_stays_and_names_agree_across_titles(spark):
+    texts = [
+        "Call 212-867-5309 or (646) 867-5309 today", "key sk-Z9z9Z9z9Z9z9Z9z9Z9z9Z9 and ghp_" + "Q7" * 18,
+        "Dr. Ann Miller met Mrs. Ann Miller and Prof. Tom Ash. Mr. Tom Ash left; Dr. Kim Ash stayed", "order 12345678901234 and card 4111111111111111",
+        "Mr. Andrea Rossi and Mrs. Andrea Rossi; Dr. Andrea Rossi",
+    ]
+    got = surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    a = re.fullmatch(r"Call (\d{3})-555-(\d{4}) or \((\d{3})\) 555-(\d{4}) today", got[0].text)
+    assert a and a[1] + a[2] != a[3] + a[4]
+    b = re.fullmatch(r"key sk-([A-Z]\d[a-z]\d){5}[A-Z]\d and ghp_([A-Z]\d){18}", got[1].text)
+    assert b and "Z9z9Z9z9" not in got[1].text and "Q7Q7Q7" not in got[1].text
+    c = re.fullmatch(r"Dr\. (\w+a) (\w+) met Mrs\. (\w+) (\w+) and Prof\. (\w+n) (\w+)\. Mr\. (\w+) (\w+) left; Dr\. (\w+e) (\w+) stayed", got[2].text)
+    assert c and c[1] == c[3] and c[2] == c[4] and c[5] == c[7] and c[6] == c[8] == c[10]
+    assert re.fullmatch(r"order 12345678901234 and card 4\d{15}", got[3].text) and "4111111111111111" not in got[3].text
+    assert (got[3].n_entities, got[3].kinds) == (1, "card")
+    d = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) \2; Dr\. (\w+) \2", got[4].text)
+    assert d and d[1] != d[3] == d[4]
+    small = surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", inline=0).orderBy("doc_id").collect()
+    assert small == got
