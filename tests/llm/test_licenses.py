@@ -53,7 +53,7 @@ def test_overlaps_and_awkward_rows(spark):
         "GNU Lesser General Public License v2.1 or later. GNU General Public License",
         "SPDX-License-Identifier: MIT License. MIT LICENSE mit license mit license",
         "SPDX-License-Identifier: BSD-3-Clause; Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-        "mitlicense permit license", "MIT License " * 3000, "licenKe", "no licence here", "All rights reserved. 0BSD x",
+        "mitlicense permit license", "MIT License " * 3000, "gpl x apache license version 2 0 y cc by nc " * 700, "licenKe", "no licence here", "All rights reserved. 0BSD x",
     ]
     docs = [(100 + i, t) for i, t in enumerate(texts)]
     check(scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
