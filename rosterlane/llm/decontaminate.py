@@ -6,12 +6,13 @@ executor hashes the windows of its documents, looks them up and verifies every h
 
 Scale. One pass over the documents without a shuffle. The broadcast is bounded: a benchmark whose text exceeds
 `block_bytes` or whose words exceed `block_windows` is cut into blocks of about half those bounds, by a hash of its items,
-the documents are scanned once per block, and the partial hits meet by document. A block is its text and arrays of
-24 bytes a window; the driver holds one at a time. Memory per task is a slice of 2 MB of text.
+the documents are scanned once per block, the partial hits are written, and all meet by document. A block is its text and arrays of
+24 bytes a window; the driver and the executors hold one at a time. Memory per task is a slice of 2 MB of text.
 
 Cases. Null or wordless text has no words, no hits and stays. Items that are null, wordless or have no id are
 ignored; repeated items and repeated ids count once. Rows of documents are judged one by one, so repeated rows
-and repeated ids each get their own result. Result columns replace columns of the same name.
+and repeated ids each get their own result. Result columns of decontaminate() replace columns of the same name; uncontaminated()
+returns its input's columns as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 from .words import ALNUM, words_of
 
 WINDOW = 13
@@ -220,6 +221,8 @@ def decontaminate(
                         yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(at)), spans, pa.array([sorted(items[i]) for i in at], pa.list_(pa.string()))], ["k", "spans", "items"])
 
         found = keyed.select(F.col("__k").alias("k"), F.col(f"`{text_col}`").alias("t")).mapInArrow(find, f"k string, spans {_PARTS}, items array<string>")
+        found = cut(found)  # now: the next block takes this one's place
+        index.destroy()
         parts = found if parts is None else parts.unionByName(found)
     met = parts.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("__spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"))
     joined = keyed.join(met.withColumnRenamed("k", "__k"), "__k", "left").drop("__k")
@@ -241,6 +244,13 @@ def decontaminate(
     return joined.mapInArrow(judge, schema)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that are not contaminated, with the columns of docs whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    found = decontaminate(packed, benchmark, text_col="__text", clean=False, **options)
+    return found.where(~F.col("contaminated")).select("__row.*")
+
+
 def _ddl_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

@@ -2,7 +2,7 @@ import hashlib
 import pickle
 import re
 
-from rosterlane.llm.decontaminate import _Index, benchmark_blocks, decontaminate, op2_decontaminate
+from rosterlane.llm.decontaminate import _Index, benchmark_blocks, decontaminate, op2_decontaminate, uncontaminated
 from tests.llm import cases
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -72,3 +72,14 @@ def test_blocks_come_one_at_a_time_bounded_by_windows_and_small(spark, monkeypat
     monkeypatch.setattr("rosterlane.llm.decontaminate._SLICE", 100)
     cut_up = _Index([(str(i), t) for i, t in items], 13)
     assert sum(len(h) for h in cut_up.hashes.values()) == len({(i, tuple(words(t)[k : k + 13])) for i, t in items for k in range(len(words(t)) - 12)})
+
+
+def test_uncontaminated_rows_keep_their_columns(spark):
+    items = [(k, f"the phrase number {k} that nobody else would ever write in this very long order") for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = cases.frame(spark, ["n_words", "contaminated", "__k"])
+    bad = docs.limit(0).unionByName(spark.createDataFrame([(77, items[3][1], "en", "s", 1, "mine", "mine", "mine")], docs.schema))
+    for options in ({}, {"block_bytes": 300}):
+        rows = uncontaminated(docs.unionByName(bad), bench, **options)
+        assert rows.columns == docs.columns
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, docs.collect()))
