@@ -8,16 +8,17 @@ expected severity (sum of k * P(grade = k)) and a verdict: rejected if toxic (gr
 Training. Labels are 0/1; grades of toxic rows come from the text: with s the number of words whose log odds between
 toxic and other rows exceed 2 (and that stand in at least 5 toxic rows), grade 1 is s below 4, grade 2 below 8 and
 grade 3 from 8 on. Rows labelled toxic without a single informative word carry no evidence a text model could use;
-they stay in training as grade 1. The fit is full-batch gradient descent: word counts and the weights' gradients are
-computed by Spark over at most `max_rows` labelled rows (those with the least hash of their id: a stable, documented
-bound), of which the driver sees only the vocabulary of at most `max_words` words.
+they stay in training as grade 1. Word counts and the rows' features are computed by Spark over at most `max_rows` labelled
+rows (those with the least hash of their id, ties by id and label: a stable, documented bound); the fit is full-batch gradient
+descent on the driver over the distinct (grade, features) of that sample.
 
-Scale. Scoring is one pass over whole texts without a shuffle; what is broadcast is the model (at most max_words
-hashes and weights). Training joins labels with documents by id and reads only the bounded sample.
+Scale. Scoring is one pass over whole texts without a shuffle; what is broadcast is the model, a hash and a weight for each word
+of the sample that marks toxic rows. Training joins labels with documents by id and reads only the bounded sample, so what the
+driver holds is bounded by max_rows.
 
 Cases. Null or wordless text has no feature: the model's intercepts grade it, which is grade 0. Labels of absent documents are
-ignored; a document with several labels counts each. Without both classes among the labels nothing is rejected
-(severity 0). Extra columns are kept by keep_clean() and ignored by grade().
+ignored; a document with several labels counts each. Without both classes among the labels (an empty table, too) nothing is
+rejected (severity 0). Extra columns are kept by keep_clean() and ignored by grade().
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from .common import cut, map_batches
 from .words import ALNUM, words_of
 
 MAX_ROWS = 20_000
-MAX_WORDS = 4096
 GRADES = 4
 _STRONG = 2.0
 _LEAST_ROWS = 5
@@ -72,8 +72,8 @@ def _distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))], ["toxic", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, steps: int = 120) -> Model:
-    """The model of at most max_rows labelled rows; max_words bounds what the driver and every executor hold."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, steps: int = 120) -> Model:
+    """The model of at most max_rows labelled rows."""
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic")).where("__id is not null and toxic is not null")
     bounded = known.orderBy(F.xxhash64("__id"), "__id", "toxic").limit(max_rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("text"))
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = (F.col("t") + F.col("c")) / n
     z = F.abs(F.col("t") / n_toxic - F.col("c") / (n - n_toxic)) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / (n - n_toxic)) + 1e-12)
     picked = seen.where(F.col("t") + F.col("c") >= _LEAST_ROWS).select("word", odds.alias("odds"), z.alias("z"), "t").where("z > 5 and odds > 0")
-    words = picked.orderBy(F.desc("z"), "word").limit(max_words).toPandas()
+    words = picked.orderBy("word").toPandas()
     hashes = words["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     strong = ((words["odds"] > _STRONG) & (words["t"] >= _LEAST_ROWS)).to_numpy()[order]

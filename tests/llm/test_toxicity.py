@@ -1,10 +1,14 @@
+import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from rosterlane.llm.common import read_table
 from rosterlane.llm.toxicity import Model, fit, grade, keep_clean, op8_toxicity
+from rosterlane.llm.words import ALNUM, words_of
 from tests.llm import cases
 
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DIR = "/root/testdata/sf0.1"
 
 
@@ -25,8 +29,21 @@ def test_held_out_accuracy(spark):
 
 
 def test_query_scores_every_row_like_a_plain_scorer(spark, sf_dir):
-    rows = op8_toxicity(spark, sf_dir).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in cases.corpus(spark, sf_dir))
+    rows = {r.doc_id: r for r in op8_toxicity(spark, sf_dir).collect()}
+    docs = cases.corpus(spark, sf_dir)
+    assert sorted(rows) == sorted(i for i, _ in docs)
+    model = fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    split = lambda t: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD)))
+    vocabulary = sorted(set().union(*(split(t) for _, t in docs)))
+    hashes = words_of(pa.array(vocabulary), ALNUM, True).hashes().tolist()
+    weight_of = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    weights = {w: weight_of[h] for w, h in zip(vocabulary, hashes, strict=True) if h in weight_of}
+    assert len(weights) == len(model.hashes) > 0
+    for i, t in docs:
+        score = sum(weights.get(w, 0.0) for w in split(t))
+        over = [1 / (1 + math.exp(b - score)) for b in model.thresholds]
+        assert abs(rows[i].severity - sum(over)) < 1e-9 and abs(rows[i].p_toxic - over[0]) < 1e-9
+        assert rows[i].rejected == (over[0] > 0.5)
 
 
 def test_shared_weights_and_thresholds_order_grades():
@@ -48,3 +65,8 @@ def test_awkward_rows(spark):
     assert grade(cases.empty(spark), model).count() == 0
     nothing = fit(frame, labels.where("toxic = 0"))
     assert grade(frame, nothing).where("rejected").count() == 0
+    for few in (labels.limit(0), spark.createDataFrame([], "doc_id long, toxic int")):
+        assert grade(frame, fit(frame, few)).where("severity > 0.001").count() == 0
+    twice = fit(frame, labels.unionByName(labels), max_rows=50)  # ties at the bound: the same rows each time
+    again = fit(frame, labels.unionByName(labels).repartition(7), max_rows=50)
+    assert (twice.hashes == again.hashes).all() and np.allclose(twice.weights, again.weights)
