@@ -104,3 +104,30 @@ def test_small_and_long_weights_keep_their_shares():
         for t in range(min(plan["length"], 25_000)):
             done[at[t % plan["size"]]] += 1
             assert all(abs(done[s] - w * (t + 1) / total) < 1 for s, w in exact.items())
+
+
+def test_a_third_of_the_weight_among_two_thousand_sources():
+    weights = {"hot": Fraction(1000)} | {f"s{i}": Fraction(1) for i in range(1999)}
+    plan = phases({"hot": 400_000} | {f"s{i}": 400 for i in range(1999)}, weights)
+    first = plan[0]
+    at = {t: s for s, places in first["places"].items() for t in places}
+    done, seen = Counter(), 0
+    for t in range(first["length"] - first["length"] % first["size"]):
+        s = at[t % first["size"]]
+        done[s] += 1
+        seen += s == "hot"
+        assert abs(seen - Fraction(1000 * (t + 1), 2999)) < 1
+        assert abs(done[s] - Fraction(int(weights[s]) * (t + 1), 2999)) < 1
+    assert t > 1_000_000 and sum(p["length"] for p in plan) == 400_000 + 400 * 1999
+
+
+def test_no_source_drifts_from_its_target_in_a_million_slots():
+    weights = {s: Fraction(repr(w)) for s, w in WEIGHTS.items()} | {f"src{i}": Fraction(1) for i in range(5, 20)}
+    first = phases(dict.fromkeys(weights, 10**6), weights)[0]
+    at = [s for _, s in sorted((t, s) for s, places in first["places"].items() for t in places)]
+    done, total = Counter(), sum(weights.values())
+    for t in range(1_000_000):
+        s = at[t % first["size"]]
+        done[s] += 1
+        assert abs(done[s] - weights[s] * (t + 1) / total) < 1
+    assert all(abs(done[s] - w * 1_000_000 / total) < 1 for s, w in weights.items())
