@@ -4,7 +4,7 @@ toxicity: documents graded as toxic go. near_duplicates: one document of each gr
 benchmark passages go. mixing: all documents, sorted by their turn in the source mixture (their row order is the decision).
 token_files: the tokens of the mixture, in that order, as wavelet-matrix files; a digest row per document.
 
-Every stage but the last returns the columns it is given. Rows without an id pass the near-duplicate stage; rows that share an id
+Every stage but the last returns the columns it is given, values and all, whatever their names. Rows without an id pass the near-duplicate stage; rows that share an id
 count as one document there.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlane.llm.common import read_table, scratch
-from rosterlane.llm.decontaminate import decontaminate
+from rosterlane.llm.decontaminate import uncontaminated
 from rosterlane.llm.mixing import WEIGHTS, in_mixed_order
 from rosterlane.llm.near_dup import deduplicate
 from rosterlane.llm.token_files import read_tokens, write_tokens
@@ -34,8 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"), clean=False)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
