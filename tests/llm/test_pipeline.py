@@ -23,10 +23,23 @@ def test_run_against_brute_force(spark, sf_dir):
     assert toxic and len(kept) < len(left) and len(final) < len(kept)
 
 
-def test_stages_on_awkward_rows(spark, sf_dir):
-    docs = cases.frame(spark, ["slot", "kept", "n_words"])
+def test_stages_keep_rows_as_they_are(spark, sf_dir):
+    docs = cases.frame(spark, ["slot", "kept", "n_words", "contaminated", "__k"])
+    given = sorted(map(repr, docs.collect()))
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name
+        rows = sorted(map(repr, out.collect()))
+        if name == "near_duplicates":
+            assert set(rows) < set(given) and {r.doc_id for r in out.collect()} >= {0, 1, 2, 3, None}, name
+        else:
+            assert rows == given, name
         assert stage(spark, cases.empty(spark), sf_dir).count() == 0
     assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(cases.rows())
+    assert pipeline.STAGES[-1][1](spark, cases.empty(spark), sf_dir).count() == 0
+
+
+def test_run_on_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
