@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,49 +24,73 @@ def token_cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), dot / (norm(x) * norm(y))).otherwise(0.0)
 
 
-def _jaro_winkler(s: str, t: str) -> float:
-    """Matches in a window, half transpositions, and a bonus for up to 4 leading letters at any score."""
-    if not s or not t:
-        return 0.0
-    s, t = s.lower(), t.lower()
-    if s == t:
-        return 1.0
-    reach, taken, mine = max(0, max(len(s), len(t)) // 2 - 1), [False] * len(t), []
-    for i, c in enumerate(s):
-        j = next((j for j in range(max(0, i - reach), min(len(t), i + reach + 1)) if not taken[j] and t[j] == c), -1)
-        if j >= 0:
-            taken[j] = True
-            mine.append(c)
-    if not mine:
-        return 0.0
-    moved = sum(a != b for a, b in zip(mine, (c for c, k in zip(t, taken, strict=True) if k), strict=True)) / 2
-    m = len(mine)
-    jaro = (m / len(s) + m / len(t) + (m - moved) / m) / 3
-    same = next((k for k in range(min(4, len(s), len(t))) if s[k] != t[k]), min(4, len(s), len(t)))
-    return min(1.0, jaro + same * 0.1 * (1 - jaro))
-
-
-def jaro_winkler(a: Column, b: Column) -> Column:
-    """For columns of one row; equal and blank pairs are decided before Python."""
+_CELLS = 4 << 20
 
-    @F.pandas_udf(DoubleType())
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_jaro_winkler(u, v) for u, v in zip(x, y, strict=True)], dtype="float64")
 
-    equal, both = F.lower(a) == F.lower(b), (F.length(a) > 0) & (F.length(b) > 0)
-    return F.when(~F.coalesce(both, F.lit(False)), 0.0).when(equal, 1.0).otherwise(score(F.when(both & ~equal, a), F.when(both & ~equal, b)))
+def _letters(texts: list[str], width: int) -> np.ndarray:
+    return np.frombuffer("".join(x.ljust(width, "\0") for x in texts).encode("utf-32-le"), np.uint32).reshape(len(texts), width)
 
 
-def with_jaro_winkler(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """pairs with a Jaro-Winkler column. Equal and blank pairs never reach Python; it gets each distinct other pair once."""
+def jaro_winkler_of(a: list[str], b: list[str]) -> np.ndarray:
+    """Scores of pairs of non-empty lower-cased texts, all pairs of a slice at once.
+
+    Matches in a window, half transpositions (also odd ones), and a bonus for up to 4 leading letters at any score.
+    """
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    out, order = np.zeros(len(a)), np.argsort(np.maximum(n, m), kind="stable")
+    first = 0
+    while first < len(order):
+        widths = np.maximum.accumulate(np.maximum(n, m)[order[first:]])
+        last = first + max(1, int(np.searchsorted(widths * np.arange(1, len(widths) + 1), _CELLS, "right")))
+        rows = order[first:last]
+        out[rows] = _scores([a[i] for i in rows], [b[i] for i in rows], n[rows], m[rows])
+        first = last
+    return out
+
+
+def _scores(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    s, t = _letters(a, int(n.max())), _letters(b, int(m.max()))
+    reach, every = np.maximum(0, np.maximum(n, m) // 2 - 1), np.arange(len(a))
+    free, mine = np.arange(t.shape[1]) < m[:, None], np.zeros(s.shape, bool)
+    for i in range(s.shape[1]):
+        near = free & (t == s[:, i : i + 1]) & (np.abs(np.arange(t.shape[1]) - i) <= reach[:, None]) & (i < n)[:, None]
+        mine[:, i] = near.any(axis=1)
+        free[every[mine[:, i]], near.argmax(axis=1)[mine[:, i]]] = False
+    theirs = ~free & (np.arange(t.shape[1]) < m[:, None])
+    k = mine.sum(axis=1)
+    differ = s[mine] != t[theirs]  # both row by row, in order of place
+    moved = np.bincount(np.repeat(every, k), differ, len(a)) / 2
+    some = np.maximum(k, 1)
+    jaro = np.where(k > 0, (k / n + k / m + (k - moved) / some) / 3, 0.0)
+    lead = min(4, s.shape[1], t.shape[1])
+    same = ((s[:, :lead] == t[:, :lead]) & (np.arange(lead) < np.minimum(n, m)[:, None])).cumprod(axis=1).sum(axis=1)
+    return np.where(k > 0, np.minimum(1.0, jaro + same * 0.1 * (1 - jaro)), 0.0)
 
+
+def _udf():
     @F.pandas_udf(DoubleType())
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_jaro_winkler(u, v) for u, v in zip(x, y, strict=True)], dtype="float64")
+        both = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        out[both] = jaro_winkler_of(x[both].str.lower().tolist(), y[both].str.lower().tolist())
+        return pd.Series(out)
+
+    return score
+
+
+def jaro_winkler(a: Column, b: Column, needed: Column | None = None) -> Column:
+    """For columns of one row; equal, blank and unneeded pairs are decided before Python (an unneeded one is 0)."""
+    equal, both = F.lower(a) == F.lower(b), F.coalesce((F.length(a) > 0) & (F.length(b) > 0), F.lit(False))
+    hard = both & ~equal if needed is None else both & ~equal & F.coalesce(needed, F.lit(False))
+    score = F.coalesce(F.nanvl(_udf()(F.when(hard, a), F.when(hard, b)), F.lit(0.0)), F.lit(0.0))
+    return F.when(~both, 0.0).when(equal, 1.0).otherwise(score)
 
+
+def with_jaro_winkler(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """pairs with a Jaro-Winkler column. Equal and blank pairs never reach Python; it gets each distinct other pair once."""
     equal = F.lower(a) == F.lower(b)
     hard = pairs.where(~equal & (F.length(a) > 0) & (F.length(b) > 0)).select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
-    scored = hard.withColumn("__s", score("__a", "__b"))
+    scored = hard.withColumn("__s", _udf()("__a", "__b"))
     joined = pairs.join(scored, (pairs[a] == scored["__a"]) & (pairs[b] == scored["__b"]), "left")
     easy = F.when(equal & (F.length(a) > 0), 1.0).otherwise(0.0)
     return joined.withColumn(out, F.coalesce("__s", easy)).drop("__a", "__b", "__s")

@@ -9,8 +9,12 @@ from rosterlane.functions import text as t
 
 from .validate import npi_is_valid
 
-#: Labelled patterns of an identifier, in order.
-_LABELLED = (r"(?i)NPI(?:\s*(?:#|Number|No\.?|ID))?\s*[:#]\s*(\d{10})(?!\d)", r"(?i)NPI\s+(\d{10})(?!\d)", r"(?i)National Provider Identifier\s*[:#]?\s*(\d{10})(?!\d)", r"(?i)Provider ID\s*[:#]\s*(\d{10})(?!\d)", r'(?i)"npi"\s*:\s*"?(\d{10})(?!\d)')
+#: Labelled patterns of an identifier, in order; then one that stands alone (not in the context of a date, not with a leading
+#: zero), and those of links and snippets.
+_LABELLED = (r"(?i)NPI[\s:#]*(\d{10})", r"(?i)NPI\s*(?:Number|#|No\.?|ID)?[\s:]*(\d{10})", r"(?i)National\s+Provider\s+Identifier[\s:]*(\d{10})", r"(?i)npi_number['\":\s]*(\d{10})", r"(?i)data-npi['\"=\s]*(\d{10})")
+_DATE = r"\d{2}/\d{2}/"
+_ALONE = rf"(?<![0-9A-Za-z_])((?!0|1[0-2])\d{{10}}|1[0-2](?<!{_DATE}\d{{4}}[\s\S]{{0,5}}1[0-2])(?<!{_DATE}1[0-2])\d{{8}})(?![0-9A-Za-z_])"
+_LINKED = (r"(?i)npi[/=](\d{10})", r"(?i)NPI\s*#?\s*(\d{10})")
 _DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
@@ -24,8 +28,8 @@ def ids_from_pages(pages: DataFrame) -> DataFrame:
     html = F.col("html")
     valid = lambda xs: F.array_distinct(F.filter(xs, lambda n: npi_is_valid(n)))
     labelled = valid(F.flatten(F.array(*[_all(html, p) for p in _LABELLED])))
-    alone = valid(F.filter(F.regexp_extract_all(html, F.lit(r"(?:(?i:date|year|updated|phone|fax)[^0-9<]{0,12})?(?<![\d/])[1-9]\d{9}(?!\d)"), F.lit(0)), lambda m: m.rlike(r"^\d{10}\z")))
-    linked = valid(F.concat(_all(html, r"(?i)npi[/=](\d{10})(?!\d)"), _all(html, r"(?i)NPI #?(\d{10})(?!\d)")))
+    alone = valid(_all(html, _ALONE))
+    linked = valid(F.flatten(F.array(*[_all(html, p) for p in _LINKED])))
     found = F.when(F.size(labelled) > 0, labelled).when(F.size(alone) > 0, alone).otherwise(linked)
     return pages.select("page_id", found.alias("ids")).where(F.size("ids") > 0)
 
@@ -42,48 +46,60 @@ def ocr_lines(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block", F.posexplode(lines).alias("line", "text"))
 
 
-def _value(label: str, pattern: str = r"(.+)") -> Column:
-    return F.nullif(F.regexp_extract("text", rf"(?i){label}\s*[:\-]\s*{pattern}", 1), F.lit(""))
-
-
-_PHONE = r"(\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4})"
+#: Labelled patterns of OCR lines, what marks a street, and words that mark a specialty line.
+_LABELS = {
+    "npi": r"(?i)NPI[:\s]*(\d{10})", "phone": r"(?i)(?:Phone|TEL|Ph)[:\s]*(\(?[\d\s\-\.\)]{10,14})", "license_number": r"(?i)License[:\s]*([A-Z0-9\-]+)",
+    "name": r"(?i)(?:Name|PROVIDER|Provider Name)[:\s]*(.+)", "address_line1": r"(?i)(?:Address|Address Line)[:\s]*(.+)", "city": r"(?i)(?:City)[:\s]*(.+)",
+    "state": r"(?i)(?:State|ST)[:\s]*([A-Z]{2})", "zip": r"(?i)(?:Zip|ZIP|Zip Code)[:\s]*(\d{5}(?:[-\s]?\d{4})?)", "speciality": r"(?i)(?:Specialty|Specialization|Speciality)[:\s]*(.+)",
+}
 _STREET = r"(?i)\d+\s+\w+\s+(st|ave|blvd|road|drive|lane|court|street)"
-#: Words that mark a specialty line.
 _SPECIALTIES = ("physician", "surgeon", "dentist", "nurse", "therapist", "center", "clinic", "hospital", "podiatrist", "dermatology", "cardiology")
+#: The same for texts without labels; a word's end is where no ASCII letter, digit or underscore follows.
+_STATE = r"(?<![0-9A-Za-z_])([A-Z]{2})(?![0-9A-Za-z_])"
+_ZIP = r"(?<![0-9A-Za-z_])(\d{5})(?:[-\s]?\d{4})?(?![0-9A-Za-z_])"
 
 
 def _find(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def _labelled(name: str) -> Column:
+    found = _find(F.col("text"), _LABELS[name])
+    if name == "phone":
+        return F.regexp_replace(found, r"[\s()]", "")
+    if name == "zip":
+        return F.regexp_replace(found, r"[\s-]", "")
+    return F.regexp_replace(t.trim(found), r"^[A-Za-z\s:]+:\s*", "") if name == "name" else t.trim(found)
+
+
 def ocr_fields(blocks: DataFrame) -> DataFrame:
     """(doc_id, block, name, npi, phone, license_number, address_line1, city, state, zip, speciality) of blocks with a name of over 2 letters.
 
-    Labelled values; the first line that has one wins, for ids, phones and licences the last; unlabelled fallbacks where no line is labelled.
+    Per field the first line that tells it wins, by its label or else by what the line looks like; for ids, phones and licences the last.
+    A line "City, ST" that gives the city gives the state too, whatever an earlier line said.
     """
     text = F.col("text")
-    labelled = {
-        "name": _value("(?:provider )?name"), "address_line1": _value("address"), "city": _value("city"), "state": _value("state", r"([A-Za-z]{2})\b"),
-        "zip": F.regexp_replace(_value("zip(?: code)?", r"(\d{5}(?:[\s\-]?\d{4})?)"), r"[\s\-]", ""), "speciality": _value("special(?:i)?ty"),
-    }
     unlabelled = lambda label, c: F.when(~text.rlike(rf"(?i){label}[:\s]"), c)
     keyword = F.lit(False)
     for w in _SPECIALTIES:
         keyword = keyword | F.lower(text).contains(w)
-    plain = (F.length(text) > 5) & ~text.rlike(r"^\d") & ~text.rlike(_PHONE) & ~text.rlike(r"[A-Z]{2}\s*\d{5}") & ~text.rlike(r"^[A-Z\s]+[:\s]")
-    fallback = {
-        "name": F.when(plain, t.trim(F.substring(text, 1, 100))), "address_line1": F.when(text.rlike(_STREET), F.substring(text, 1, 100)),
-        "city": unlabelled("city", F.when(text.contains(","), t.trim(F.substring_index(text, ",", 1)))), "state": unlabelled("state", _find(text, r"\b([A-Z]{2})\b")),
-        "zip": unlabelled("zip", _find(text, r"\b(\d{5})\b")), "speciality": F.when(keyword, t.trim(F.substring(text, 1, 100))),
+    plain = (F.length(text) > 5) & ~text.rlike(r"^\d") & ~text.rlike(_LABELS["phone"]) & ~text.rlike(r"[A-Z]{2}\s*\d{5}") & ~text.rlike(r"^[A-Z\s]+[:\s]")
+    comma = F.when(text.contains(",") & ~text.rlike(r"(?i)City[:\s]"), t.trim(F.substring_index(text, ",", 1)))
+    looks = {
+        "name": F.when(plain, t.trim(F.substring(text, 1, 100))), "address_line1": F.when(text.rlike(_STREET), F.substring(text, 1, 100)), "city": comma,
+        "state": unlabelled("State", _find(text, _STATE)), "zip": unlabelled("Zip", _find(text, _ZIP)), "speciality": F.when(keyword, t.trim(F.substring(text, 1, 100))),
     }
-    last = {"npi": _value("npi", r"(\d{10})"), "phone": F.regexp_replace(_find(text, _PHONE), r"[\s()]", ""), "license_number": _value("license(?: (?:no|number|#))?", r"([A-Za-z0-9\-]+)")}
     lines = ocr_lines(blocks)
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("line")))
+    city = F.struct(F.coalesce(_labelled("city"), comma).alias("city"), F.when(_labelled("city").isNull(), _find(F.get(F.split(text, ","), F.lit(1)), r"[A-Z]{2}", 0)).alias("state"))
+    of_city = F.min_by(city, F.when(city["city"].isNotNull(), F.col("line")))
     found = lines.groupBy("doc_id", "block").agg(
-        *[F.coalesce(first(labelled[k]), first(fallback[k])).alias(k) for k in labelled],
-        *[F.max_by(v, F.when(v.isNotNull(), F.col("line"))).alias(k) for k, v in last.items()],
+        *[first(F.coalesce(_labelled(k), looks[k])).alias(k) for k in looks if k not in ("city", "state")],
+        of_city["city"].alias("city"),
+        F.coalesce(of_city["state"], first(F.coalesce(_labelled("state"), looks["state"]))).alias("state"),
+        *[F.max_by(_labelled(k), F.when(_labelled(k).isNotNull(), F.col("line"))).alias(k) for k in ("npi", "phone", "license_number")],
     )
-    return found.where(F.length(t.trim(F.col("name"))) > 2)
+    return found.where(F.length(t.trim(F.col("name"))) > 2).select("doc_id", "block", "name", "npi", "phone", "license_number", "address_line1", "city", "state", "zip", "speciality")
 
 
 def ocr_lookahead(lines: DataFrame) -> DataFrame:
@@ -93,8 +109,8 @@ def ocr_lookahead(lines: DataFrame) -> DataFrame:
     last = lambda c: F.last(c, ignorenulls=True).over(ahead)
     first = lambda c: F.first(c, ignorenulls=True).over(ahead)
     told = lines.withColumns({
-        "npi": last(_value("npi", r"(\d{10})")), "phone": last(F.regexp_replace(_find(text, _PHONE), r"[\s()]", "")), "zip": first(_find(text, r"\b(\d{5})\b")),
-        "state": first(_find(text, r"\b([A-Z]{2})\b")), "address_line1": first(F.when(text.rlike(_STREET), F.substring(text, 1, 100))),
+        "npi": last(_labelled("npi")), "phone": last(_labelled("phone")), "zip": first(_find(text, _ZIP)),
+        "state": first(_find(text, _STATE)), "address_line1": first(F.when(text.rlike(_STREET), F.substring(text, 1, 100))),
     })
     skip = (F.length("text") < 5) | text.rlike(r"(?i)^(page|address|city|state|zip|phone|fax|npi|license|id|\d+)\z")
     return told.where(~skip).select("doc_id", "line", t.trim(F.substring("text", 1, 100)).alias("name"), "npi", "phone", "zip", "state", "address_line1")
@@ -124,6 +140,13 @@ def availability(has_slots: Column, accepting: Column) -> Column:
     return F.when(has_slots & accepting, "ACCEPTING_APPOINTMENTS").when(has_slots, "LIMITED_AVAILABILITY").when(accepting, "ACCEPTING_NEW_PATIENTS").otherwise("NO_INFO")
 
 
+def availability_of(timings: DataFrame, flags: DataFrame) -> DataFrame:
+    """(id, availability_status) of entities with opening times (id, slots) and a flag (id, accepting)."""
+    has = timings.where("slots <> ''").select("id").distinct().withColumn("__slots", F.lit(True))
+    some = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return flags.join(has, "id", "left").select("id", availability(some("__slots"), some("accepting")).alias("availability_status"))
+
+
 def _plain(c: Column) -> Column:
     return t.collapse(F.regexp_replace(c, "<[^>]+>", " "))
 
@@ -147,6 +170,97 @@ def timings_from_pages(pages: DataFrame) -> DataFrame:
     return timed.withColumn("r", F.row_number().over(once)).where("r = 1").select("page_id", "day", "slots", "status", "raw_text", "source")
 
 
+def merge_timings(timings: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, day, slots, status, scraped_from): timings (id, source, day, slots, status) of several sources, the same day and slots once,
+    from the source of least rank; sources: (source, rank)."""
+    ranked = timings.join(sources, "source")
+    once = Window.partitionBy("id", F.coalesce("day", F.lit("")), F.coalesce("slots", F.lit(""))).orderBy("rank", "status")
+    return ranked.withColumn("r", F.row_number().over(once)).where("r = 1").select("id", "day", "slots", "status", F.col("source").alias("scraped_from"))
+
+
+_TERM = r"(?is)<(d[td])[^>]*>(.*?)</d[td]>"
+
+
+def definition_timings(pages: DataFrame) -> DataFrame:
+    """(page_id, place, day, slots, status, raw_text) of definition lists that speak of hours or days: a term is the day of the next definition.
+
+    A second definition of the same term has no day and is passed over.
+    """
+    lists = pages.select("page_id", F.posexplode(_all(F.col("html"), r"(?is)<dl[^>]*>(.*?)</dl>")).alias("list", "dl")).where(F.lower(_plain(F.col("dl"))).rlike("hour|day"))
+    kinds, texts = F.regexp_extract_all("dl", F.lit(_TERM), F.lit(1)), F.regexp_extract_all("dl", F.lit(_TERM), F.lit(2))
+    items = lists.select("page_id", "list", F.posexplode(F.arrays_zip(kinds.alias("kind"), texts.alias("text"))).alias("place", "e"))
+    item = items.select("page_id", "list", "place", (F.lower("e.kind") == "dt").alias("term"), _plain(F.col("e.text")).alias("text"))
+    order = Window.partitionBy("page_id", "list").orderBy("place")
+    told = item.withColumn("last", F.last(F.when(F.col("term"), F.struct("place", "text")), ignorenulls=True).over(order)).where("not term and last.place = place - 1 and last.text <> ''")
+    slots = F.array_join(F.regexp_extract_all("text", F.lit(r"(?i)\d{1,2}:\d{2}\s*(?:am|pm)?"), F.lit(0)), ",")
+    return told.select("page_id", "place", F.coalesce(day_of(F.col("last.text")), F.col("last.text")).alias("day"), slots.alias("slots"), open_status(F.col("text")).alias("status"), F.concat_ws(": ", "last.text", "text").alias("raw_text"))
+
+
+def day_of(c: Column) -> Column:
+    """The first weekday that a text names."""
+    day = F.lit(None).cast("string")
+    for d in reversed(_DAYS):
+        day = F.when(F.lower(c).contains(d.lower()), d).otherwise(day)
+    return day
+
+
+def open_status(c: Column) -> Column:
+    """CLOSED, BY_APPOINTMENT or OPEN as a text says, null if it says nothing."""
+    low = F.lower(c)
+    return F.when(low.contains("closed"), "CLOSED").when(low.contains("by appointment") | low.contains("appointment only"), "BY_APPOINTMENT").when(low.contains("open") | c.rlike(r"\d{1,2}:\d{2}"), "OPEN")
+
+
+#: How names of hospitals and places are written.
+_HOSPITALS = (r"([A-Z][a-zA-Z\s&'-]+(?:Hospital|Medical Center|Health System|Clinic|Healthcare|Medical Group))", r"([A-Z][a-zA-Z\s&'-]{5,}(?:Hospital|Medical|Clinic|Health))")
+_PLACE = r"([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})"
+
+
+def hospital_name(c: Column) -> Column:
+    """The hospital that a text names; a short text (fewer than 100 characters) that speaks of one is taken whole."""
+    speaks = (F.lower(c).contains("hospital") | F.lower(c).contains("medical center")) & (F.length(c) < 100)
+    return F.coalesce(*[t.trim(_find(c, p)) for p in _HOSPITALS], F.when(speaks, t.trim(c)))
+
+
+def place_of(c: Column) -> Column:
+    """"City, ST" of a text."""
+    return F.when(c.rlike(_PLACE), F.concat_ws(", ", F.regexp_extract(c, _PLACE, 1), F.regexp_extract(c, _PLACE, 2)))
+
+
+#: Directories that are searched by name, boards by state, hospitals by a part of the city's name.
+_BY_NAME = ("https://www.healthgrades.com/search?what={0}&where=&pageNum=1", "https://doctor.webmd.com/find-a-doctor/search?q={0}", "https://www.vitals.com/search?q={0}")
+_BY_NAME_AND_CITY = "https://www.zocdoc.com/search/?dr_specialty=&address={1}&insurance_carrier=-1&searchQueryGuid=&search_query={0}"
+_BOARDS = {"MD": "https://www.mbp.state.md.us/bpqapp/", "VA": "https://www.dhp.virginia.gov/lookup/", "CA": "https://search.dca.ca.gov/", "NY": "https://www.nysed.gov/online-verifications-professional-licenses", "TX": "https://profile.tmb.state.tx.us/OnlineVerification", "FL": "https://mqa-internet.doh.state.fl.us/MQASearchServices/HealthCareProviders"}
+_CITIES = (
+    (("baltimore",), ("https://www.hopkinsmedicine.org/find-a-doctor", "https://www.medstarhealth.org/doctors")), (("cleveland",), ("https://my.clevelandclinic.org/staff",)),
+    (("new york", "nyc"), ("https://www.mountsinai.org/profiles", "https://www.nyp.org/physician")), (("boston",), ("https://www.massgeneral.org/doctors", "https://www.brighamandwomens.org/find-a-doctor")),
+    (("philadelphia",), ("https://www.pennmedicine.org/find-a-doctor",)), (("chicago",), ("https://www.nm.org/doctors",)),
+    (("los angeles", "la"), ("https://www.cedars-sinai.org/find-a-doctor",)), (("houston",), ("https://www.houstonmethodist.org/doctor",)),
+)
+_REGISTRY_PAGE = "https://npiregistry.cms.hhs.gov/provider-view/"
+
+
+def url_frontier(entities: DataFrame) -> DataFrame:
+    """(id, place, url): the addresses at which to look for an entity, in order, each once: its website, registry page, directories, boards and hospitals."""
+    has = lambda c: F.length(c) > 0
+    encoded = lambda c: F.regexp_replace(F.url_encode(c), r"\+", "%20")
+    name, city = encoded(F.col("name")), encoded(F.col("city"))
+    filled = lambda pattern: F.concat(*[x for part in pattern.replace("{0}", "\0name\0").replace("{1}", "\0city\0").split("\0") if part for x in [name if part == "name" else city if part == "city" else F.lit(part)]])
+    website = F.col("website") if "website" in entities.columns else F.lit(None).cast("string")
+    urls = [F.when(has(website), website), F.when(has(F.col("npi_id")), F.concat(F.lit(_REGISTRY_PAGE), "npi_id"))]
+    urls += [F.when(has(F.col("name")), filled(p)) for p in _BY_NAME] + [F.when(has(F.col("name")) & has(F.col("city")), filled(_BY_NAME_AND_CITY))]
+    board = F.lit(None).cast("string")
+    for state, url in _BOARDS.items():
+        board = F.when((F.upper("state") == state) & has(t.last_name(F.col("name"))), url).otherwise(board)
+    near = F.array().cast("array<string>")
+    for parts, found in reversed(_CITIES):
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | F.lower("city").contains(part)
+        near = F.when(hit & has(F.col("name")), F.array(*map(F.lit, found))).otherwise(near)
+    every = F.array_distinct(F.array_compact(F.concat(F.array(*urls, board), near)))
+    return entities.select("id", F.posexplode(every).alias("place", "url"))
+
+
 def affiliations(pages: DataFrame) -> DataFrame:
     """(page_id, name): elements that name a hospital or medical centre, once each by lower-cased name, the first kept."""
     found = F.transform(_all(F.col("html"), r"(?is)<(?:li|p|h[1-6]|a)[^>]*>(.*?)</(?:li|p|h[1-6]|a)>"), _plain)

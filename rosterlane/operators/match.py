@@ -47,37 +47,41 @@ def _keys(df: DataFrame) -> DataFrame:
     return df.select("id", F.upper("state").alias("state"), name.alias("search"), F.explode(F.array_compact(F.array(*ways))).alias("w")).select("id", "state", "search", "w.*")
 
 
+def _plain_words(c: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.upper(c), r"[^A-Z\s]", "")), r"\s+")
+
+
 def candidate_score(search: Column, entry: Column, same_state: Column) -> Column:
-    """+2 for each search word that stands in the entry, +1 if only a prefix does either way, +1 for the state."""
-    clean = lambda c: F.split(F.trim(F.regexp_replace(F.upper(c), r"[^A-Z\s]", "")), r"\s+")
-    theirs = clean(entry)
-    one = lambda w: F.when(F.array_contains(theirs, w), 2).when(F.exists(theirs, lambda e: e.startswith(w) | w.startswith(e)), 1).otherwise(0)
-    return F.aggregate(F.transform(clean(search), one), F.lit(0), lambda s, x: s + x) + F.coalesce(same_state, F.lit(False)).cast("int")
+    """Of two arrays of words: +2 for each search word that stands in the entry, +1 if only a prefix does either way, +1 for the state."""
+    one = lambda w: F.when(F.array_contains(entry, w), 2).when(F.exists(entry, lambda e: e.startswith(w) | w.startswith(e)), 1).otherwise(0)
+    return F.aggregate(F.transform(search, one), F.lit(0), lambda s, x: s + x) + F.coalesce(same_state, F.lit(False)).cast("int")
+
+
+def _key(*fields: str) -> Column:
+    """The fields as one text: equal where all of them are, nulls included."""
+    return F.concat_ws("\x01", *[F.coalesce(F.col(c), F.lit("\x02")) for c in fields])
 
 
 def registry_candidates(entities: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, rank, npi, score, n): the first five registry rows by npi of each entity and strategy, scored.
 
-    Each strategy is an equi-join on the fields it names; a registry row is filed once under each kind of key. A family name
-    that many share only reaches the join without a place, whose candidates are cut to five by npi per distinct search, so
-    searches are made distinct first.
+    Each strategy is an equi-join on the fields it names; a registry row is filed once under each kind of key, and of those filed under a key
+    the first five by npi stay, so a search meets at most five however many share a name. Words are split once per row.
     """
-    asked = _keys(entities)
-    searches = asked.select("kind", "first", "family", "k_city", "k_state").distinct()
+    fields = ["kind", "first", "family", "k_city", "k_state"]
+    asked = _keys(entities).select("id", "rank", "state", _plain_words(F.col("search")).alias("search"), _key(*fields).alias("key"))
     first, last, city, state = (F.upper(c) for c in ("first_name", "last_name", "city", "state"))
     none = F.lit(None).cast("string")
     filed = [F.struct(F.lit(k).alias("kind"), a.alias("first"), last.alias("family"), c.alias("k_city"), s.alias("k_state")) for k, a, c, s in (("full", first, city, state), ("full", first, none, state), ("full", first, none, none), ("prefix", F.substring(first, 1, 2), none, state), ("last", none, none, state), ("last", none, none, none))]
+    name = F.when(F.col("last_name").isNotNull(), F.concat_ws(" ", "first_name", "middle_name", "last_name"))
     if "organization_name" in registry.columns:
         org = F.upper("organization_name")
         filed += [F.struct(F.lit("org").alias("kind"), none.alias("first"), org.alias("family"), c.alias("k_city"), s.alias("k_state")) for c, s in ((city, state), (none, state), (none, none))]
-    entry = F.concat_ws(" ", "first_name", "middle_name", "last_name")
-    rows = registry.select("npi", entry.alias("entry"), state.alias("r_state"), F.explode(F.array(*filed)).alias("f")).select("npi", "entry", "r_state", "f.*")
-    fields = ["kind", "first", "family", "k_city", "k_state"]
-    best = Window.partitionBy(*fields).orderBy("npi")
-    top = rows.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= CANDIDATES)
-    met = searches.alias("s").join(top.alias("t"), [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in fields]).select(*[F.col(f"s.{c}") for c in fields], "npi", "entry", "r_state")
-    back = asked.alias("a").join(met.alias("m"), [F.col(f"a.{c}").eqNullSafe(F.col(f"m.{c}")) for c in fields])
-    scored = back.select("id", "rank", "npi", candidate_score(F.col("search"), F.col("entry"), F.col("state") == F.col("r_state")).alias("score"))
+        name = F.coalesce(name, F.col("organization_name"))
+    rows = registry.select("npi", _plain_words(name).alias("entry"), state.alias("r_state"), F.explode(F.array(*filed)).alias("f")).where("f.family is not null")
+    top = rows.select("npi", "entry", "r_state", "f.*").select("npi", "entry", "r_state", _key(*fields).alias("key"))
+    top = top.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("npi"))).where(F.col("pos") <= CANDIDATES)
+    scored = asked.join(top, "key").select("id", "rank", "npi", candidate_score(F.col("search"), F.col("entry"), F.col("state") == F.col("r_state")).alias("score"))
     return scored.withColumn("n", F.count("*").over(Window.partitionBy("id", "rank")))
 
 
@@ -98,6 +102,32 @@ def lookup_cascade(entities: DataFrame, registry: DataFrame, page_ids: DataFrame
     return entities.select("id").join(found, "id", "left").select("id", F.col("b.npi").alias("npi"), F.coalesce("b.how", F.lit("NPI_NOT_FOUND")).alias("how"))
 
 
+def verify_ids(found: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, npi, verified, name, phone, specialty, address, license, source): found ids (id, npi, name, source) joined back to the registry.
+
+    A hit gives the registry's row, a miss a row with the id and the name that was searched alone.
+    """
+    known = registry.select("npi", F.lit(True).alias("hit"), F.concat_ws(" ", "first_name", "last_name").alias("r_name"), F.col("telephone_number").alias("phone"), F.col("taxonomy_desc").alias("specialty"), F.concat_ws(", ", "address_1", "city", "state", "postal_code").alias("address"), "license")
+    hit = F.coalesce("hit", F.lit(False))
+    return found.join(known, "npi", "left").select("id", "npi", hit.alias("verified"), F.when(hit, F.col("r_name")).otherwise(F.col("name")).alias("name"), "phone", "specialty", "address", "license", "source")
+
+
+def page_search(entities: DataFrame, pages: DataFrame, registry: DataFrame) -> DataFrame:
+    """verify_ids() of the first id that a page of the first tier gives an entity, else one of the second tier.
+
+    pages: (page_id, id, tier, html), id being the entity that the page was searched for.
+    """
+    from .extract import ids_from_pages
+
+    ids = ids_from_pages(pages).select("page_id", F.get("ids", F.lit(0)).alias("npi"))
+    hits = pages.select("page_id", "id", "tier").join(ids, "page_id").join(entities.select("id", "name"), "id")
+    one = hits.where("tier = 1").groupBy("id").agg(F.min_by(F.struct("npi", "name", "tier", "page_id"), "page_id").alias("h"))
+    rest = hits.where("tier = 2").join(one, "id", "left_anti")
+    two = rest.groupBy("id").agg(F.min_by(F.struct("npi", "name", "tier", "page_id"), "page_id").alias("h"))
+    found = one.unionByName(two).select("id", "h.npi", "h.name", F.concat_ws(":", F.lit("PAGE"), F.col("h.tier").cast("string")).alias("source"))
+    return verify_ids(found, registry)
+
+
 def _significant(c: Column, longer_than: int) -> Column:
     return F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) > longer_than) & ~w.isin(*_TITLES))
 
@@ -143,11 +173,28 @@ def address_reference_match(entities: DataFrame, reference: DataFrame) -> DataFr
     query = F.array_join(F.array_compact(F.array(*[t.blank_to_null(F.col(c)) for c in ("address_line1", "city", "state", "zip")])), ", ")
     asked = entities.select("id", query.alias("a"), F.upper("state").alias("k_state"), F.col("zip").alias("k_zip"))
     known = reference.select(F.col("npi").alias("ref_id"), F.concat_ws(", ", "address_1", "city", "state", "postal_code").alias("b"), F.upper("state").alias("k_state"), F.col("postal_code").alias("k_zip"))
-    scored = address_similarity(asked.join(known, ["k_state", "k_zip"]), "a", "b", "score")
+    scored = address_similarity(asked.join(known, ["k_state", "k_zip"]), "a", "b", "score").withColumn("score", F.round("score", 9))
     top = scored.groupBy("id").agg(F.min_by(F.struct("ref_id", "score"), F.struct(-F.col("score"), "ref_id")).alias("m"))
     return asked.join(top, "id", "left").select("id", F.when(F.col("a") == "", "EMPTY_ADDRESS").when(F.col("m").isNull(), "NO_RESULTS").alias("reason"), F.col("m.ref_id").alias("ref_id"), F.round("m.score", 6).alias("score"))
 
 
+def poi_match(entities: DataFrame, places: DataFrame, least: float = 0.65) -> DataFrame:
+    """(id, is_found, reason, poi_id, score): the place of the same zip and state that is most like the entity's name and address.
+
+    places: (poi_id, name, address_1, city, state, postal_code). EMPTY_QUERY without anything to ask for, NO_RESULTS without a place,
+    LOW_CONFIDENCE_OR_NO_RESULTS below `least`.
+    """
+    name = t.blank_to_null(t.name_for_search(F.col("name")))
+    query = F.array_join(F.array_compact(F.array(name, *[t.blank_to_null(F.col(c)) for c in ("address_line1", "city", "state", "zip")])), ", ")
+    asked = entities.select("id", query.alias("a"), F.upper("state").alias("k_state"), F.col("zip").alias("k_zip"))
+    known = places.select("poi_id", F.concat_ws(", ", "name", "address_1", "city", "state", "postal_code").alias("b"), F.upper("state").alias("k_state"), F.col("postal_code").alias("k_zip"))
+    scored = address_similarity(asked.join(known, ["k_state", "k_zip"]), "a", "b", "score").withColumn("score", F.round("score", 9))
+    top = scored.groupBy("id").agg(F.min_by(F.struct("poi_id", "score"), F.struct(-F.col("score"), "poi_id")).alias("m"))
+    met = asked.join(top, "id", "left")
+    reason = F.when(F.col("a") == "", "EMPTY_QUERY").when(F.col("m").isNull(), "NO_RESULTS").when(F.col("m.score") < least, "LOW_CONFIDENCE_OR_NO_RESULTS")
+    return met.select("id", reason.isNull().alias("is_found"), reason.alias("reason"), F.when(reason.isNull(), F.col("m.poi_id")).alias("poi_id"), F.round("m.score", 6).alias("score"))
+
+
 def source_pivot(sources: DataFrame, types=("NPI_API", "AZURE_POI", "SCRAPING_ENRICHMENT")) -> DataFrame:
     """(provider_id, <type>_phone, <type>_website ...): the first row of each source type."""
     first = sources.where("is_found").groupBy("provider_id").pivot("source_type", list(types)).agg(F.min_by("phone", "source_id").alias("phone"), F.min_by("website", "source_id").alias("website"))
@@ -155,9 +202,11 @@ def source_pivot(sources: DataFrame, types=("NPI_API", "AZURE_POI", "SCRAPING_EN
 
 
 def contact_resolution(entities: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, contact): own e-mail, else the first source's website."""
-    first = sources.where("website is not null and source_type in ('AZURE_POI', 'SCRAPING_ENRICHMENT')").groupBy(F.col("provider_id").alias("id")).agg(F.min_by("website", "source_id").alias("website"))
-    return entities.join(first, "id", "left").select("id", F.coalesce("email", "website").alias("contact"))
+    """(id, contact): own e-mail, else the first that a point of interest or scraped source has (email, else provider_email)."""
+    have = [F.when(F.length(c) > 0, F.col(c)) for c in ("email", "provider_email") if c in sources.columns]
+    told = sources.where("source_type in ('AZURE_POI', 'SCRAPING_ENRICHMENT')").select(F.col("provider_id").alias("id"), "source_id", F.coalesce(*have).alias("found")).where("found is not null")
+    first = told.groupBy("id").agg(F.min_by("found", "source_id").alias("found"))
+    return entities.join(first, "id", "left").select("id", F.coalesce(F.when(F.length("email") > 0, F.col("email")), "found").alias("contact"))
 
 
 def latest_values(issues: DataFrame, fields) -> DataFrame:

@@ -65,6 +65,41 @@ def latest_runs(runs: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(n)
 
 
+def record_counters(validated: DataFrame) -> DataFrame:
+    """(run_id, processed, success_count, needs_review_count, failed_count) of validated records (run_id, ok, needs_review): one that failed needs review."""
+    failed, review = ~F.coalesce("ok", F.lit(False)), F.coalesce("needs_review", F.lit(False))
+    return validated.groupBy("run_id").agg(F.count("*").alias("processed"), F.count_if(~failed & ~review).alias("success_count"), F.count_if(failed | review).alias("needs_review_count"), F.count_if(failed).alias("failed_count"))
+
+
+def batch_outcome(validated: DataFrame) -> DataFrame:
+    """(run_id, total, successful, failed, needs_review, mean_ms, total_ms) of records (run_id, ok, needs_review, ms)."""
+    ok, spent = F.coalesce("ok", F.lit(False)), F.coalesce("ms", F.lit(0))
+    return validated.groupBy("run_id").agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.count_if(F.coalesce("needs_review", F.lit(False))).alias("needs_review"),
+        (F.sum(spent) / F.count("*")).alias("mean_ms"), F.sum(spent).alias("total_ms"),
+    )
+
+
+def search_issues(issues: DataFrame, entities: DataFrame, term: str = "", state: str = "all") -> DataFrame:
+    """Issues whose provider's name or npi contains term (any case) and that are open, closed or either."""
+    rows = issues_with_entity(issues, entities)
+    if term:
+        low = term.lower()
+        rows = rows.where(F.coalesce(F.lower("name").contains(low), F.lit(False)) | F.coalesce(F.col("npi_id").contains(low), F.lit(False)))
+    return rows.where({"all": F.lit(True), "open": F.col("status") == "OPEN", "closed": F.col("status") != "OPEN"}[state])
+
+
+def issues_to_announce(issues: DataFrame, least: float = 0.60) -> DataFrame:
+    """Issues that need review or are less sure than `least`."""
+    return issues.where((F.col("action") == "NEEDS_REVIEW") | (F.col("confidence") < least))
+
+
+def trace_errors(spans: DataFrame) -> DataFrame:
+    """(parent_run_id, n_errors, errors): the names and errors of failed spans (error not null), in order."""
+    failed = spans.where("error is not null")
+    return failed.groupBy("parent_run_id").agg(F.count("*").alias("n_errors"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_time", "id", "name", "error"))), lambda x: F.concat_ws(": ", x["name"], x["error"])), "; ").alias("errors"))
+
+
 def progress(runs: DataFrame, now: str) -> DataFrame:
     """(id, pct, eta_seconds) at a given time."""
     elapsed = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp"))
@@ -81,11 +116,16 @@ EXTRA = ("certification", "appointment_availability", "availability_status")
 
 
 def export_run(entities: DataFrame, issues: DataFrame, run_id: int) -> DataFrame:
-    """The rows of a run's export: its providers, and three columns of their latest suggestions."""
+    """The rows of a run's export: its providers, and three columns of their latest suggestions; a certification of their own comes first.
+
+    A run that has no issue, or one that is open, exports nothing: see export_gate().
+    """
     mine = issues.where(F.col("run_id") == run_id)
     values = mine.where(F.col("field_name").isin(*EXTRA)).groupBy(F.col("provider_id").alias("id")).pivot("field_name", list(EXTRA)).agg(F.max_by("suggested_value", "id"))
     rows = entities_of_run(entities, issues, run_id).join(values, "id", "left")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    own = F.when(F.length("primary_certification") > 0, F.col("primary_certification")) if "primary_certification" in entities.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("certification", F.coalesce(own, "certification"))
     return rows.select("id", *[blank(c) for c in ("name", "npi_id", "phone", "email", "address_line1", "city", "state", "zip", "speciality", *EXTRA)])
 
 

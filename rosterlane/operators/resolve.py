@@ -22,6 +22,21 @@ def column_of(field: Column) -> Column:
     return F.element_at(names, t.normalize_field_name(field))
 
 
+#: Columns that hold a boolean, and columns that hold JSON.
+BOOLEANS = ("accepting_new_patients", "telehealth_available")
+JSONS = ("certifications_json", "affiliations_json", "npi_raw_data")
+
+
+def coerce_value(column: str, value: Column, kind: str) -> Column:
+    """A text as a value of a directory column: yes, true and 1 are true; JSON columns get compact JSON, or the text itself if it is none."""
+    if column in BOOLEANS:
+        return t.truthy(value).cast(kind)
+    if column in JSONS:
+        parsed = F.try_parse_json(value)
+        return F.coalesce(F.to_json(parsed), value).cast(kind)
+    return value.cast(kind)
+
+
 def apply_values(entities: DataFrame, values: DataFrame, activate: bool = True) -> DataFrame:
     """entities with the latest value (by issue id) of values (provider_id, column, value, id) written; touched rows become ACTIVE."""
     targets = [c for c in dict.fromkeys(FIELD_COLUMNS.values()) if c in entities.columns]
@@ -29,7 +44,7 @@ def apply_values(entities: DataFrame, values: DataFrame, activate: bool = True)
     wide = latest.groupBy("id").pivot("column", targets).agg(F.first("value"))
     wide = wide.select("id", *[F.col(c).alias(f"__{c}") for c in targets], F.lit(True).alias("__touched"))
     joined = entities.join(wide, "id", "left")
-    new = [F.coalesce(F.col(f"__{c}").cast(entities.schema[c].dataType), F.col(c)).alias(c) if c in targets else F.col(c) for c in entities.columns]
+    new = [F.coalesce(coerce_value(c, F.col(f"__{c}"), entities.schema[c].dataType.simpleString()), F.col(c)).alias(c) if c in targets else F.col(c) for c in entities.columns]
     if activate and "status" in entities.columns:
         new = [F.when(F.col("__touched"), "ACTIVE").otherwise(F.col("status")).alias("status") if c == "status" else n for c, n in zip(entities.columns, new, strict=True)]
     return joined.select(*new)
@@ -90,11 +105,44 @@ def accept_all_of_provider(entities: DataFrame, issues: DataFrame, provider_id:
 
 
 def directory_status(entities: DataFrame, issues: DataFrame, scored: DataFrame) -> DataFrame:
-    """(id, directory_status, entity_status): any ACCEPTED issue publishes; else by the record's recommendation."""
-    accepted = issues.where("status = 'ACCEPTED'").select(F.col("provider_id").alias("id")).distinct().withColumn("ok", F.lit(True))
-    joined = entities.select("id").join(scored.select("id", "recommendation", "score"), "id").join(accepted, "id", "left")
-    status = F.when(F.col("ok"), "MANUAL_ACCEPT").when(F.col("recommendation") == "REJECT", "REJECTED").when(F.col("recommendation") == "NEEDS_REVIEW", "NEEDS_REVIEW").otherwise("PUBLISHED")
-    return joined.select("id", status.alias("directory_status"), F.when(status.isin("MANUAL_ACCEPT", "PUBLISHED"), "ACTIVE").otherwise(status).alias("entity_status"))
+    """(id, directory_status, entity_status, alert_type, alert_severity, alert): any ACCEPTED issue publishes; else by the record's recommendation."""
+    accepted = issues.where("status = 'ACCEPTED'").groupBy(F.col("provider_id").alias("id")).agg(F.count("*").alias("ok"))
+    joined = entities.select("id").join(scored.select("id", "recommendation", "score", "record_severity"), "id").join(accepted, "id", "left")
+    status = F.when(F.col("ok") > 0, "MANUAL_ACCEPT").when(F.col("recommendation") == "REJECT", "REJECTED").when(F.col("recommendation") == "NEEDS_REVIEW", "NEEDS_REVIEW").otherwise("PUBLISHED")
+    judged = joined.withColumn("directory_status", status)
+    pick = lambda **by: F.element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else x for pair in by.items() for x in pair]), F.col("directory_status"))
+    percent = F.concat(F.format_string("%.1f", F.round(F.col("score") * 100, 1)), F.lit("%)"))
+    alert = pick(
+        MANUAL_ACCEPT=F.concat(F.lit("Provider has "), F.col("ok").cast("string"), F.lit(" manually accepted issue(s) - status set to ACTIVE")),
+        REJECTED=F.lit("Provider rejected due to missing or invalid required fields"),
+        NEEDS_REVIEW=F.concat(F.lit("Provider requires human review (confidence: "), percent),
+        PUBLISHED=F.concat(F.lit("Provider auto-published (confidence: "), percent),
+    )
+    return judged.select(
+        "id", "directory_status", F.when(F.col("directory_status").isin("MANUAL_ACCEPT", "PUBLISHED"), "ACTIVE").otherwise(F.col("directory_status")).alias("entity_status"),
+        pick(MANUAL_ACCEPT="MANUAL_REVIEW_COMPLETED", REJECTED="REJECTED", NEEDS_REVIEW="REVIEW_REQUIRED", PUBLISHED="AUTO_PUBLISHED").alias("alert_type"),
+        pick(MANUAL_ACCEPT="LOW", REJECTED="HIGH", NEEDS_REVIEW=F.coalesce("record_severity", F.lit("MEDIUM")), PUBLISHED="LOW").alias("alert_severity"), alert.alias("alert"),
+    )
+
+
+def directory_entries(entities: DataFrame, status: DataFrame, scored: DataFrame) -> DataFrame:
+    """(id, name, npi, specialty, address, phone, confidence, verified_level): the published entities as rows of the public directory."""
+    published = status.where("directory_status = 'PUBLISHED'").select("id")
+    own = entities.select("id", "name", F.col("npi_id").alias("npi"), F.col("speciality").alias("specialty"), F.col("address_line1").alias("address"), "phone")
+    return own.join(published, "id", "left_semi").join(scored.select("id", F.col("score").alias("confidence"), F.col("level").alias("verified_level")), "id")
+
+
+def review_tasks(status: DataFrame, scored: DataFrame) -> DataFrame:
+    """(id, reason, priority): a task for each reason of an entity that waits for review."""
+    waiting = status.where("directory_status = 'NEEDS_REVIEW'").select("id")
+    return scored.join(waiting, "id", "left_semi").select("id", F.explode("reasons").alias("reason"), F.col("record_severity").alias("priority"))
+
+
+def upload_validations(uploads: DataFrame, status: DataFrame, scored: DataFrame) -> DataFrame:
+    """(file_id, id, source_type, validation_status, confidence_score, needs_review, n_discrepancies): what became of uploaded entities (file_id, id)."""
+    told = scored.select("id", F.col("score").alias("confidence_score"), F.col("review").alias("needs_review"), F.size("discrepancies").alias("n_discrepancies"))
+    joined = uploads.join(status.select("id", F.col("directory_status").alias("validation_status")), "id", "left").join(told, "id", "left")
+    return joined.select("file_id", "id", F.lit("PDF_UPLOAD").alias("source_type"), "validation_status", F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"), F.coalesce("n_discrepancies", F.lit(0)).alias("n_discrepancies"))
 
 
 def replace_issues(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -110,3 +158,9 @@ def delete_cascade(ids: DataFrame, **dependents: DataFrame) -> dict[str, DataFra
         key = "provider_id" if "provider_id" in df.columns else "id"
         out[name] = df.join(ids.select(F.col("id").alias(key)), key, "left_anti")
     return out
+
+
+def delete_runs(run_ids: DataFrame, runs: DataFrame, **dependents: DataFrame) -> dict[str, DataFrame]:
+    """runs without the deleted ones (run_id), and each dependent table (issues, metrics) without their rows."""
+    out = {"runs": runs.join(run_ids.select(F.col("run_id").alias("id")), "id", "left_anti")}
+    return out | {name: df.join(run_ids.select("run_id"), "run_id", "left_anti") for name, df in dependents.items()}

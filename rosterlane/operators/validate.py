@@ -10,12 +10,20 @@ from rosterlane.functions import text as t
 ISSUE = "struct<rule_order: int, field: string, code: string, severity: string, confidence: double, suggested: string>"
 
 
+#: Fixed value: a valid phone number without its punctuation.
+PHONE = r"^\+?1?\d{10}\z"
+
+
 def standardize_entities(df: DataFrame) -> DataFrame:
     """(id, name, npi, address, phone, website, specialty, state, city, zip), all normalised."""
+    return df.select(*standard_columns(df))
+
+
+def standard_columns(df: DataFrame) -> list[Column]:
     state = F.upper(t.trim(F.col("state")))
     website = t.trim(F.col("website")) if "website" in df.columns else F.lit(None).cast("string")
-    return df.select(
-        "id",
+    return [
+        F.col("id"),
         t.normalize_text(F.col("name")).alias("name"),
         t.trim(F.col("npi_id")).alias("npi"),
         t.normalize_address(F.col("address_line1")).alias("address"),
@@ -25,7 +33,7 @@ def standardize_entities(df: DataFrame) -> DataFrame:
         state.alias("state"),
         F.coalesce(t.blank_to_null(F.col("city")), t.extract_city(F.col("address_line1"))).alias("city"),
         F.coalesce(t.blank_to_null(F.col("zip")), t.extract_zip(F.col("address_line1"))).alias("zip"),
-    )
+    ]
 
 
 def npi_is_valid(npi: Column) -> Column:
@@ -47,7 +55,7 @@ def rule_issues() -> Column:
     required = [("name", "name"), ("address", "address_line1"), ("phone", "phone"), ("state", "state")]
     checks = [_issue(i, blank(c), f, "MISSING_REQUIRED_FIELD", "HIGH", 0.6) for i, (f, c) in enumerate(required)]
     checks += [
-        _issue(4, ~blank("phone") & ~phone.rlike(r"^\+?1?\d{10}\z"), "phone", "INVALID_PHONE_FORMAT", "HIGH", 0.65, phone),
+        _issue(4, ~blank("phone") & ~phone.rlike(PHONE), "phone", "INVALID_PHONE_FORMAT", "HIGH", 0.65, phone),
         _issue(5, ~blank("address_line1") & (t.extract_zip(address).isNull() | t.extract_state(address).isNull()), "address", "INVALID_ADDRESS_FORMAT", "HIGH", 0.6),
         _issue(6, ~blank("state") & ~state.isin(t.STATES), "state", "INVALID_STATE_CODE", "HIGH", 0.7),
         _issue(7, ~blank("npi_id") & ~npi.rlike(r"^\d{10}\z"), "npi", "INVALID_NPI_FORMAT", "MEDIUM", 0.6),

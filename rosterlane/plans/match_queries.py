@@ -11,6 +11,7 @@ from rosterlane.operators import report as r
 from rosterlane.sources import entities as s
 
 from .registry import query
+from .run_oracle import similarity
 
 
 @query("issues_with_entity", "validation_issues providers", """
@@ -124,11 +125,107 @@ def listing(tb):
     return m.listing_match(tb("providers"), tb("listing"))
 
 
-@query("address_reference_match")
+def _best(pairs: str, known: str, key: str, asked: str, least: str) -> str:
+    """DuckDB: the most alike of the rows known (key, b, k_state, k_zip) for each row asked (id, a, k_state, k_zip)."""
+    return f"""SELECT * FROM (WITH asked AS ({asked}), known AS ({known}), met AS (SELECT a.id, a.a, k.{key}, k.b FROM asked a JOIN known k ON a.k_state = k.k_state AND a.k_zip = k.k_zip),{similarity('met')},
+      top AS (SELECT m.id, m.{key}, round(s.alike, 9) AS score FROM met m JOIN sim s ON m.a = s.a AND m.b = s.b QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY round(s.alike, 9) DESC, m.{key}) = 1) {least}) w"""
+
+
+_ASKED = "SELECT id, concat_ws(', ', {0}nullif(trim(address_line1), ''), nullif(trim(city), ''), nullif(trim(state), ''), nullif(trim(zip), '')) AS a, upper(state) AS k_state, zip AS k_zip FROM providers"
+
+
+@query("address_reference_match", "providers registry", _best("", "SELECT npi AS ref_id, concat_ws(', ', address_1, city, state, postal_code) AS b, upper(state) AS k_state, postal_code AS k_zip FROM registry", "ref_id", _ASKED.format(""),
+  "SELECT a.id, CASE WHEN a.a = '' THEN 'EMPTY_ADDRESS' WHEN t.id IS NULL THEN 'NO_RESULTS' END AS reason, t.ref_id, round(t.score, 6) AS score FROM asked a LEFT JOIN top t ON a.id = t.id"))
 def address_reference(tb):
     return m.address_reference_match(tb("providers"), tb("registry"))
 
 
+_SEARCH_NAME = r"nullif(trim(regexp_replace(regexp_replace(name, '[(),]', ' ', 'g'), '\s+', ' ', 'g')), ''), "
+
+
+@query("poi_match", "providers registry", _best("", "SELECT npi AS poi_id, concat_ws(', ', last_name, address_1, city, state, postal_code) AS b, upper(state) AS k_state, postal_code AS k_zip FROM registry", "poi_id", _ASKED.format(_SEARCH_NAME),
+  "SELECT id, reason IS NULL AS is_found, reason, CASE WHEN reason IS NULL THEN poi_id END AS poi_id, round(score, 6) AS score FROM (SELECT a.id, t.poi_id, t.score, CASE WHEN a.a = '' THEN 'EMPTY_QUERY' WHEN t.id IS NULL THEN 'NO_RESULTS' WHEN t.score < 0.65 THEN 'LOW_CONFIDENCE_OR_NO_RESULTS' END AS reason FROM asked a LEFT JOIN top t ON a.id = t.id) r"))
+def pois(tb):
+    places = tb("registry").select(F.col("npi").alias("poi_id"), F.col("last_name").alias("name"), "address_1", "city", "state", "postal_code")
+    return m.poi_match(tb("providers"), places)
+
+
+#: DuckDB: whether a text of ten digits is a valid identifier.
+_VALID = r"""(regexp_matches({0}, '^[12]\d{{9}}$') AND (24 + list_sum(list_transform(range(1, 11), lambda i: CASE WHEN i % 2 = 1 THEN 2 * CAST(substr({0}, CAST(i AS INT), 1) AS INT) // 10 + 2 * CAST(substr({0}, CAST(i AS INT), 1) AS INT) % 10 ELSE CAST(substr({0}, CAST(i AS INT), 1) AS INT) END))) % 10 = 0)"""
+_LABELS = (r"(?i)NPI[\s:#]*(\d{10})", r"(?i)NPI\s*(?:Number|#|No\.?|ID)?[\s:]*(\d{10})", r"(?i)National\s+Provider\s+Identifier[\s:]*(\d{10})", r"(?i)npi_number[''\":\s]*(\d{10})", r"(?i)data-npi[''\"=\s]*(\d{10})")
+
+
+def page_ids(table: str) -> str:
+    """DuckDB: (page_id, ids) of a table (page_id, html): labelled identifiers, else those that stand alone and not by a date, else linked ones."""
+    every = " || ".join(f"regexp_extract_all(html, '{p}', 1)" for p in _LABELS)
+    valid = lambda x: f"list_filter({x}, lambda n: {_VALID.format('n')})"
+    alone = r"""list_filter(regexp_extract_all(html, '\b(\d{10})\b', 1), lambda n: NOT starts_with(n, '0') AND NOT (regexp_matches(n, '^1[0-2]') AND regexp_matches(substr(html, greatest(1, CAST(position(n IN html) AS BIGINT) - 15), 30), '\d{2}/\d{2}/\d{4}')))"""
+    linked = r"regexp_extract_all(html, '(?i)npi[/=](\d{10})', 1) || regexp_extract_all(html, '(?i)NPI\s*#?\s*(\d{10})', 1)"
+    return f"""SELECT page_id, ids FROM (SELECT page_id, CASE WHEN len(l) > 0 THEN l WHEN len(a) > 0 THEN a ELSE k END AS ids FROM (SELECT page_id, {valid(every)} AS l, {valid(alone)} AS a, {valid(linked)} AS k FROM {table}) x) y WHERE len(ids) > 0"""
+
+
+@query("page_search", "providers registry tier_pages", f"""
+SELECT h.id, h.npi, r.npi IS NOT NULL AS verified, CASE WHEN r.npi IS NOT NULL THEN concat_ws(' ', r.first_name, r.last_name) ELSE p.name END AS name, r.telephone_number AS phone, r.taxonomy_desc AS specialty,
+  CASE WHEN r.npi IS NOT NULL THEN concat_ws(', ', r.address_1, r.city, r.state, r.postal_code) END AS address, r.license, 'PAGE:' || CAST(h.tier AS VARCHAR) AS source
+FROM (SELECT t.id, t.tier, f.ids[1] AS npi FROM ({page_ids('tier_pages')}) f JOIN tier_pages t ON f.page_id = t.page_id QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY t.tier, t.page_id) = 1) h
+JOIN providers p ON h.id = p.id LEFT JOIN registry r ON h.npi = r.npi""")
+def paged(tb):
+    return m.page_search(tb("providers"), tb("tier_pages"), tb("registry"))
+
+
+@query("verify_ids", "providers registry", """
+SELECT p.id, coalesce(p.npi_id, '1234567893') AS npi, r.npi IS NOT NULL AS verified, CASE WHEN r.npi IS NOT NULL THEN concat_ws(' ', r.first_name, r.last_name) ELSE p.name END AS name, r.telephone_number AS phone, r.taxonomy_desc AS specialty,
+  CASE WHEN r.npi IS NOT NULL THEN concat_ws(', ', r.address_1, r.city, r.state, r.postal_code) END AS address, r.license, 'LIST' AS source FROM providers p LEFT JOIN registry r ON coalesce(p.npi_id, '1234567893') = r.npi""")
+def verified(tb):
+    return m.verify_ids(tb("providers").select("id", F.coalesce("npi_id", F.lit("1234567893")).alias("npi"), "name", F.lit("LIST").alias("source")), tb("registry"))
+
+
+def entries(tb):
+    """Registry rows as nested entries: a mailing address first, every fifth without a location; a secondary taxonomy first, every fourth without a primary one."""
+    r = tb("registry").withColumn("k", F.substring("npi", 1, 9).cast("long") - 100000000)
+    kept = lambda c, when: F.when(when, c)
+    address = lambda purpose, street, phone: F.struct(F.lit(purpose).alias("address_purpose"), street.alias("address_1"), F.col("city"), F.col("state"), F.col("postal_code"), phone.alias("telephone_number"))
+    taxonomy = lambda code, desc, primary, license: F.struct(F.lit(code).alias("code"), desc.alias("desc"), F.lit(primary).alias("primary"), license.alias("license"), F.col("state"))
+    org = F.col("k") % 6 == 0
+    basic = F.struct(*[kept(F.col(c), ~org).alias(c) for c in ("first_name", "middle_name", "last_name")], kept(F.concat(F.lit("Clinic "), F.col("last_name")), org | (F.col("k") % 12 == 1)).alias("organization_name"))
+    addresses = F.array_compact(F.array(address("MAILING", F.lit("PO Box 1"), F.lit("000")), kept(address("LOCATION", F.col("address_1"), F.col("telephone_number")), F.col("k") % 5 != 0)))
+    taxonomies = F.array_compact(F.array(taxonomy("207X", kept(F.lit("Assistant"), F.col("k") % 3 != 0), False, F.lit(None).cast("string")), kept(taxonomy("163W", F.col("taxonomy_desc"), True, F.col("license")), F.col("k") % 4 != 0)))
+    return r.select(F.col("npi").alias("number"), basic.alias("basic"), addresses.alias("addresses"), taxonomies.alias("taxonomies"))
+
+
+_K = "CAST(substr(npi, 1, 9) AS BIGINT) - 100000000"
+_ENTRY = """
+SELECT npi, CASE WHEN k % 6 <> 0 THEN first_name END AS first_name, CASE WHEN k % 6 <> 0 THEN middle_name END AS middle_name, CASE WHEN k % 6 <> 0 THEN last_name END AS last_name, CASE WHEN k % 6 = 0 OR k % 12 = 1 THEN 'Clinic ' || last_name END AS organization_name,
+  CASE WHEN k % 5 <> 0 THEN telephone_number ELSE '000' END AS telephone_number, CASE WHEN k % 5 <> 0 THEN address_1 ELSE 'PO Box 1' END AS address_1, city, state, postal_code,
+  CASE WHEN {0} THEN taxonomy_desc WHEN k % 3 <> 0 THEN 'Assistant' END AS taxonomy_desc, CASE WHEN {0} THEN license END AS license, CASE WHEN {0} THEN '163W' ELSE '207X' END AS taxonomy_code, state AS license_state FROM (SELECT *, """ + _K + " AS k FROM registry) r"
+
+
+@query("registry_entries_primary", "registry", _ENTRY.format("k % 4 <> 0"))
+def primary_rows(tb):
+    return s.registry_from_entries(entries(tb))
+
+
+@query("registry_entries_first", "registry", _ENTRY.format("FALSE"))
+def first_rows(tb):
+    return s.registry_from_entries(entries(tb), primary=False)
+
+
+@query("registry_entity_rows", "registry", f"""
+SELECT npi, coalesce(CASE WHEN first_name IS NOT NULL THEN first_name || coalesce(' ' || middle_name, '') || ' ' || last_name END, organization_name, 'Unknown Provider') AS name,
+  CASE WHEN length(d) = 10 THEN substr(d, 1, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7, 4) ELSE telephone_number END AS phone, coalesce(taxonomy_desc, 'General Practice') AS speciality, license AS license_number, license_state, 'Active' AS license_status,
+  address_1 AS address_line1, city, state, postal_code AS zip FROM (SELECT *, coalesce(regexp_replace(telephone_number, '[^0-9]', '', 'g'), '') AS d FROM ({_ENTRY.format('k % 4 <> 0')}) e) x""")
+def entity_rows(tb):
+    return s.registry_rows(s.registry_from_entries(entries(tb)))
+
+
+@query("certifications", "registry", f"""
+SELECT npi, CASE WHEN k % 4 <> 0 THEN taxonomy_desc WHEN k % 3 <> 0 THEN 'Assistant' END AS specialty,
+  concat_ws('|', CASE WHEN k % 3 <> 0 THEN 'Assistant/207X/false/' END, CASE WHEN k % 4 <> 0 THEN taxonomy_desc || '/163W/true/' || license END) AS certifications FROM (SELECT *, {_K} AS k FROM registry) r""")
+def certified(tb):
+    text = lambda c: F.concat_ws("/", c["name"], c["code"], c["is_primary"].cast("string"), F.coalesce(c["license"], F.lit("")))
+    return s.certifications(entries(tb)).select("npi", "specialty", F.array_join(F.transform("certifications", text), "|").alias("certifications"))
+
+
 @query("source_pivot", "provider_sources", """
 SELECT provider_id, min_by(phone, source_id) FILTER (source_type = 'NPI_API' AND phone IS NOT NULL) AS "NPI_API_phone", min_by(website, source_id) FILTER (source_type = 'NPI_API' AND website IS NOT NULL) AS "NPI_API_website",
   min_by(phone, source_id) FILTER (source_type = 'AZURE_POI') AS "AZURE_POI_phone", min_by(website, source_id) FILTER (source_type = 'AZURE_POI') AS "AZURE_POI_website",
@@ -139,8 +236,8 @@ def pivot(tb):
 
 
 @query("contact_resolution", "providers provider_sources", """
-SELECT p.id, coalesce(p.email, s.website) AS contact FROM providers p LEFT JOIN (SELECT provider_id, arg_min(website, source_id) AS website FROM provider_sources
-  WHERE website IS NOT NULL AND source_type IN ('AZURE_POI', 'SCRAPING_ENRICHMENT') GROUP BY 1) s ON p.id = s.provider_id""")
+SELECT p.id, coalesce(nullif(p.email, ''), s.email) AS contact FROM providers p LEFT JOIN (SELECT provider_id, arg_min(email, source_id) AS email FROM provider_sources
+  WHERE email <> '' AND source_type IN ('AZURE_POI', 'SCRAPING_ENRICHMENT') GROUP BY 1) s ON p.id = s.provider_id""")
 def contact(tb):
     return m.contact_resolution(tb("providers"), tb("provider_sources"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlane.operators import report as r
+from rosterlane.operators import resolve as a
 from rosterlane.sources import entities as s
+from rosterlane.sources.shared import scratch
 
 from .registry import query
 
@@ -135,3 +137,69 @@ SELECT run_id, count(*) AS n, count(*) FILTER (workflow_latency_ms > 0) AS succe
   CAST(sum(total_tokens) AS BIGINT) AS tokens, round(sum(estimated_cost_usd), 6) AS cost_usd FROM validation_run_metrics GROUP BY 1""")
 def batch(t):
     return r.batch_metrics(t("validation_run_metrics")).withColumns({c: F.round(c, 6) for c in ("avg_ms", "cost_usd")})
+
+
+@query("record_counters", "record_results", """
+SELECT run_id, count(*) AS processed, count(*) FILTER (ok AND NOT needs_review) AS success_count, count(*) FILTER (NOT ok OR needs_review) AS needs_review_count, count(*) FILTER (NOT ok) AS failed_count FROM record_results GROUP BY 1""")
+def records(t):
+    return r.record_counters(t("record_results"))
+
+
+@query("batch_outcome", "record_results", """
+SELECT run_id, count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (needs_review) AS needs_review, round(sum(ms) / count(*), 6) AS mean_ms, CAST(sum(ms) AS BIGINT) AS total_ms FROM record_results GROUP BY 1""")
+def outcome(t):
+    return r.batch_outcome(t("record_results")).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+_FOUND = "SELECT i.id, i.status, p.name FROM validation_issues i LEFT JOIN providers p ON i.provider_id = p.id WHERE (contains(lower(p.name), 'given1') OR contains(coalesce(p.npi_id, ''), 'given1')) AND i.status {0} 'OPEN'"
+
+
+@query("search_issues_open", "validation_issues providers", _FOUND.format("="))
+def open_issues(t):
+    return r.search_issues(t("validation_issues"), t("providers"), "Given1", "open").select("id", "status", "name")
+
+
+@query("search_issues_closed", "validation_issues providers", _FOUND.format("<>"))
+def closed_issues(t):
+    return r.search_issues(t("validation_issues"), t("providers"), "Given1", "closed").select("id", "status", "name")
+
+
+@query("issues_to_announce", "validation_issues", "SELECT id, action, confidence FROM validation_issues WHERE action = 'NEEDS_REVIEW' OR confidence < 0.60")
+def announced(t):
+    return r.issues_to_announce(t("validation_issues")).select("id", "action", "confidence")
+
+
+@query("trace_errors", "spans", """
+SELECT parent_run_id, count(*) AS n_errors, string_agg(name || ': E' || CAST(id % 5 AS VARCHAR), '; ' ORDER BY start_time, id) AS errors FROM spans WHERE id % 13 = 0 GROUP BY 1""")
+def errors(t):
+    return r.trace_errors(t("spans").withColumn("error", F.when(F.col("id") % 13 == 0, F.concat(F.lit("E"), (F.col("id") % 5).cast("string")))))
+
+
+@query("delete_runs", "validation_runs validation_issues validation_run_metrics", """
+SELECT 'runs' AS name, id AS run_id, count(*) AS n FROM validation_runs WHERE id NOT IN (1995, 1997) GROUP BY 2 UNION ALL SELECT 'issues', run_id, count(*) FROM validation_issues WHERE run_id NOT IN (1995, 1997) GROUP BY 2
+UNION ALL SELECT 'metrics', run_id, count(*) FROM validation_run_metrics WHERE run_id NOT IN (1995, 1997) GROUP BY 2""")
+def deleted(t):
+    gone = t("validation_runs").where("id in (1995, 1997)").select(F.col("id").alias("run_id"))
+    left = a.delete_runs(gone, t("validation_runs"), issues=t("validation_issues"), metrics=t("validation_run_metrics"))
+    counted = [df.groupBy(F.lit(name).alias("name"), F.col("id" if name == "runs" else "run_id").alias("run_id")).agg(F.count("*").alias("n")) for name, df in left.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("csv_round_trip", "providers", """
+SELECT CAST(id AS VARCHAR) AS provider_code, name, coalesce(phone, '') AS phone, address_line1, CAST(NULL AS VARCHAR) AS license_state, CAST(NULL AS VARCHAR) AS corrupt FROM providers""")
+def round_trip(t):
+    """The directory written as one CSV in the shared folder and read again."""
+    rows = t("providers").select(F.col("id").alias("provider_id"), "name", "phone", "address_line1")
+    path = scratch(rows.sparkSession)
+    s.export_csv(rows, path, ("name",))
+    return s.read_entities_csv(rows.sparkSession, path).select("provider_code", "name", F.coalesce("phone", F.lit("")).alias("phone"), "address_line1", "license_state", "corrupt")
+
+
+@query("ocr_result_lines", "", "SELECT s_suppkey AS doc_id, 0 AS page, 0 AS line, trim(s_name) AS text FROM supplier UNION ALL SELECT s_suppkey, 0, CASE WHEN s_suppkey % 3 = 2 THEN 1 ELSE 2 END, 'no ' || CAST(s_nationkey AS VARCHAR) FROM supplier")
+def result_lines(t):
+    name, number = F.concat(F.lit(" "), F.col("s_name"), F.lit(" ")), F.concat(F.lit("no "), F.col("s_nationkey").cast("string"))
+    texts = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(name.alias("text")), F.struct(F.lit("").alias("text")), F.struct(number.alias("text"))).alias("lines"))).alias("readResults")))
+    words = F.concat(F.lit('{"analyzeResult":{"readResults":[{"lines":[{"text":"'), "s_name", F.lit('"},"",{"words":[{"text":"no"},{"text":"'), F.col("s_nationkey").cast("string"), F.lit('"}]}]}]}}'))
+    bare = F.to_json(F.array(F.struct(F.array(name, number).alias("lines"))))
+    rows = t("supplier").select(F.col("s_suppkey").alias("doc_id"), F.when(F.col("s_suppkey") % 3 == 0, texts).when(F.col("s_suppkey") % 3 == 1, words).otherwise(bare).alias("result"))
+    return s.read_ocr_lines(rows)

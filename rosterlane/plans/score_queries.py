@@ -8,8 +8,10 @@ from rosterlane.functions import scoring as sc
 from rosterlane.functions import similarity as sim
 from rosterlane.operators import compare as c
 from rosterlane.operators import resolve as a
+from rosterlane.operators import validate as v
 
-from .pipeline import report, run_validation
+from . import run_oracle as o
+from .pipeline import report, run_validation, source_outcomes, wide_rows
 from .registry import query
 
 _A, _B = "a", "b"  # columns of address_pairs
@@ -29,12 +31,12 @@ def edits(t):
     return t("address_pairs").select("id", F.round(sim.levenshtein_similarity(F.col(_A), F.col(_B)), 6).alias("score"))
 
 
-@query("jaro_winkler")
+@query("jaro_winkler", "address_pairs", f"SELECT * FROM (WITH {o.jaro_winkler('address_pairs')} SELECT p.id, round(j.score, 6) AS score FROM address_pairs p JOIN jw j ON lower(p.a) = j.s AND lower(p.b) = j.t) w")
 def winkler(t):
     return sim.with_jaro_winkler(t("address_pairs"), "a", "b", "score").select("id", F.round("score", 6).alias("score"))
 
 
-@query("address_similarity")
+@query("address_similarity", "address_pairs", f"""SELECT * FROM (WITH {o.similarity('address_pairs')} SELECT p.id, round(x.alike, 6) AS score, CASE WHEN p.a = '' THEN TRUE WHEN p.a = p.b THEN FALSE ELSE x.alike < 0.99 END AS suggest FROM address_pairs p JOIN sim x ON p.a = x.a AND p.b = x.b) w""")
 def alike(t):
     return sim.address_similarity(t("address_pairs"), out="score").select("id", F.round("score", 6).alias("score"), sim.should_suggest(F.col(_A), F.col(_B), F.col("score")).alias("suggest"))
 
@@ -110,23 +112,55 @@ def routed(t):
     return t("validation_issues").select("id", sc.level(s).alias("level"), sc.severity(s).alias("severity"), sc.route(s, review).alias("route"))
 
 
+def _listing(t):
+    """Opening times and availability of the listing as run_validation() takes them."""
+    one = F.struct("pos", "day", F.when(F.col("slot") != "", F.array("slot")).otherwise(F.array().cast("array<string>")).alias("time_slots"), "status")
+    times = t("listing_hours").groupBy("provider_id").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    timings = F.transform("x", lambda x: F.struct(x["day"].alias("day"), x["time_slots"].alias("time_slots"), x["status"].alias("status")))
+    return t("listing_status").join(times, "provider_id", "full").select("provider_id", timings.alias("timings"), "availability_status")
+
+
+def _inputs(t):
+    return t("providers"), t("registry"), t("provider_sources"), t("license_statuses"), _listing(t)
+
+
 def _run(t):
-    return run_validation(t("providers"), t("registry"), t("provider_sources"))
+    return run_validation(*_inputs(t))
 
 
-@query("validation_run")
+@query("validation_run", o.TABLES, o.run("SELECT field, source_type, action, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM issues GROUP BY ALL"))
 def counts(t):
     return _run(t).issues.groupBy("field", "source_type", "action").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
-@query("best_suggestion")
+@query("compare_current", o.TABLES, o.run("SELECT id, rule_order, field, code, source_type, severity, suggested, round(confidence, 6) AS confidence, action FROM disc"))
+def current(t):
+    rows = _run(t).scored.select("id", F.explode("discrepancies").alias("d")).select("id", "d.*")
+    return rows.select("id", "rule_order", "field", "code", "source_type", "severity", "suggested", F.round("confidence", 6).alias("confidence"), "action")
+
+
+@query("best_suggestion", o.TABLES, o.run("SELECT id, rule_order, field, code, source_type, severity, suggested, confidence, action, status FROM issues"))
 def best(t):
     return _run(t).issues
 
 
-@query("record_confidence")
+@query("record_confidence", o.TABLES, o.run("SELECT id, score, level, record_severity, recommendation, route, CAST(conflicts AS INT) AS conflicts, CAST(failures AS INT) AS failures, hard_reject, reasons FROM judged"))
 def scored(t):
-    return _run(t).scored.select("id", "score", "level", "record_severity", "recommendation", "route", "conflicts", "failures", "hard_reject")
+    return _run(t).scored.select("id", "score", "level", "record_severity", "recommendation", "route", "conflicts", "failures", "hard_reject", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("source_outcomes", o.TABLES, o.run("SELECT id, source, success, error FROM outcomes"))
+def outcomes(t):
+    return source_outcomes(wide_rows(*_inputs(t)))
+
+
+@query("fallback_issues", "providers", f"""
+SELECT id, field, 'MISSING_REQUIRED_FIELD' AS code, 'INPUT_VALIDATION' AS source_type, 'HIGH' AS severity, CAST(NULL AS VARCHAR) AS suggested, CAST(0.8 AS DOUBLE) AS confidence FROM ({o._RULES}) r WHERE code = 'MISSING_REQUIRED_FIELD' AND id % 2 = 1""")
+def fallback(t):
+    checked = v.validate_entities(t("providers"))
+    none = F.array().cast("array<struct<code: string>>")
+    compared = checked.withColumn("discrepancies", F.when(F.col("id") % 2 == 1, none).otherwise(F.array(F.struct(F.lit("x").alias("code")))))
+    return c.fallback_issues(compared, keep_unactionable=True)
 
 
 _PHONE = "regexp_replace({0}, '[^0-9+]', '', 'g')"
@@ -141,23 +175,103 @@ def phones(t):
     return rows.where("code in ('NPI_PHONE_MISMATCH', 'WEBSITE_PHONE_MISMATCH', 'AZURE_PHONE_MISMATCH')")
 
 
-@query("compare_legacy")
+@query("compare_legacy", "providers legacy_sources", o.LEGACY)
 def legacy(t):
-    s = t("provider_sources").where("is_found")
-    observed = s.select("provider_id", "source_type", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(k).alias("value")) for k in ("phone", "website")])).alias("o")).select("provider_id", "source_type", "o.*")
-    own = t("providers").withColumn("website", F.lit(None).cast("string"))
-    return c.compare_legacy(own, observed)
-
-
-@query("directory_status")
+    s, none = t("legacy_sources"), F.lit(None).cast("string")
+    of = lambda source, /, **columns: F.when(F.col(f"has_{source}"), F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])).alias(source)
+    slots = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    day = lambda name, times, status: F.struct(F.lit(name).alias("day"), times.alias("time_slots"), status.alias("status"))
+    timings = F.array(day("Monday", slots("9:00 AM", "10:00 AM"), none), day("Sunday", slots(), F.lit("CLOSED")))
+    wide = t("providers").join(s, "id").select(
+        "id", "name", "phone", "address_line1", "city", "state", "zip", "speciality", "license_number", "website", "address_verified", of("npi", phone="npi_phone", speciality="npi_speciality"),
+        of("maps", is_valid="maps_valid", reason="maps_reason", formatted="maps_formatted", city="maps_city", state="maps_state", postal_code="maps_zip", score="maps_score"),
+        of("poi", phone="poi_phone", website="poi_website", formatted="poi_formatted", city="poi_city", state="poi_state", postal_code="poi_zip"), of("scraped", phone="scraped_phone", website="scraped_website"),
+        of("ocr", name="ocr_name", phone="ocr_phone", address="ocr_address"),
+        of("listing", phone="listing_phone", address="listing_address", specialty="listing_specialty", license_number="listing_license", license_state="listing_license_state", license_status="listing_license_status", office_hours="listing_hours_text",
+           timings=timings, availability_status="listing_availability", accepting_new_patients="listing_accepting", telehealth_available="listing_telehealth", affiliations="listing_affiliations"),
+        of("cert", specialty="cert_specialty", name="cert_name", license="cert_license").alias("certification"),
+    )
+    return c.compare_legacy(wide)
+
+
+_RUN_AND_ISSUES = o.TABLES + " validation_issues"
+
+
+def _status(t, run):
+    return a.directory_status(t("providers"), t("validation_issues"), run.scored)
+
+
+@query("directory_status", _RUN_AND_ISSUES, o.run_status("""SELECT id, directory_status, CASE WHEN directory_status IN ('MANUAL_ACCEPT', 'PUBLISHED') THEN 'ACTIVE' ELSE directory_status END AS entity_status,
+  CASE directory_status WHEN 'MANUAL_ACCEPT' THEN 'MANUAL_REVIEW_COMPLETED' WHEN 'NEEDS_REVIEW' THEN 'REVIEW_REQUIRED' WHEN 'PUBLISHED' THEN 'AUTO_PUBLISHED' ELSE 'REJECTED' END AS alert_type,
+  CASE directory_status WHEN 'REJECTED' THEN 'HIGH' WHEN 'NEEDS_REVIEW' THEN record_severity ELSE 'LOW' END AS alert_severity,
+  CASE directory_status WHEN 'MANUAL_ACCEPT' THEN 'Provider has ' || CAST(ok AS VARCHAR) || ' manually accepted issue(s) - status set to ACTIVE' WHEN 'REJECTED' THEN 'Provider rejected due to missing or invalid required fields'
+    WHEN 'NEEDS_REVIEW' THEN 'Provider requires human review (confidence: ' || printf('%.1f', round(score * 100, 1)) || '%)' ELSE 'Provider auto-published (confidence: ' || printf('%.1f', round(score * 100, 1)) || '%)' END AS alert FROM status"""))
 def status(t):
-    return a.directory_status(t("providers"), t("validation_issues"), _run(t).scored)
+    return _status(t, _run(t))
 
 
-@query("validation_report")
+@query("validation_report", _RUN_AND_ISSUES, o.run_status("""SELECT s.id, s.score, s.level, s.review AS needs_review, s.record_severity AS severity, s.recommendation, s.directory_status, coalesce(u.used, '') AS used, coalesce(u.failed, '') AS failed, coalesce(i.n, 0) AS n_issues, coalesce(i.found, '') AS found
+  FROM status s LEFT JOIN (SELECT id, string_agg(CASE WHEN success THEN source END, ',' ORDER BY k) AS used, string_agg(CASE WHEN NOT success THEN source END, ',' ORDER BY k) AS failed FROM outcomes GROUP BY 1) u ON s.id = u.id
+  LEFT JOIN (SELECT id, count(*) AS n, string_agg(field || '=' || suggested, '|' ORDER BY field) AS found FROM issues GROUP BY 1) i ON s.id = i.id"""))
 def reported(t):
     run = _run(t)
-    return report(run, a.directory_status(t("providers"), t("validation_issues"), run.scored))
+    rows = report(run, _status(t, run))
+    found = F.array_join(F.transform("discrepancies", lambda d: F.concat_ws("=", d["field"], d["suggested"])), "|")
+    return rows.select("id", "confidence.score", "confidence.level", "needs_review", "severity", "recommendation", "directory_status", F.array_join("sources_used", ",").alias("used"), F.array_join("sources_failed", ",").alias("failed"), "n_issues", found.alias("found"))
+
+
+@query("directory_entries", _RUN_AND_ISSUES, o.run_status("SELECT p.id, p.name, p.npi_id AS npi, p.speciality AS specialty, p.address_line1 AS address, p.phone, s.score AS confidence, s.level AS verified_level FROM status s JOIN providers p ON s.id = p.id WHERE s.directory_status = 'PUBLISHED'"))
+def entries(t):
+    run = _run(t)
+    return a.directory_entries(t("providers"), _status(t, run), run.scored)
+
+
+@query("review_tasks", _RUN_AND_ISSUES, o.run_status("SELECT id, unnest(string_split(reasons, ',')) AS reason, record_severity AS priority FROM status WHERE directory_status = 'NEEDS_REVIEW'"))
+def tasks(t):
+    run = _run(t)
+    return a.review_tasks(_status(t, run), run.scored)
+
+
+@query("upload_validations", _RUN_AND_ISSUES, o.run_status("""SELECT s.id * 7 AS file_id, s.id, 'PDF_UPLOAD' AS source_type, directory_status AS validation_status, score AS confidence_score, review AS needs_review, CAST(coalesce(d.n, 0) AS INT) AS n_discrepancies
+  FROM status s LEFT JOIN (SELECT id, count(*) AS n FROM disc GROUP BY 1) d ON s.id = d.id WHERE s.id % 3 = 0"""))
+def uploads(t):
+    run = _run(t)
+    asked = t("providers").where("id % 3 = 0").select((F.col("id") * 7).alias("file_id"), "id")
+    return a.upload_validations(asked, _status(t, run), run.scored)
+
+
+@query("apply_verified_address", "providers legacy_sources", """
+SELECT p.id, CASE WHEN ok THEN 'S' || CAST(p.id AS VARCHAR) ELSE p.address_line1 END AS address_line1, CASE WHEN ok AND maps_city <> '' THEN maps_city ELSE p.city END AS city, CASE WHEN ok THEN maps_state ELSE p.state END AS state, CASE WHEN ok THEN maps_zip ELSE p.zip END AS zip,
+  ok AS address_verified, CASE WHEN ok THEN 'AZURE_MAPS' END AS address_source FROM providers p JOIN (SELECT id, maps_city, maps_state, maps_zip, has_maps AND maps_valid AND maps_score >= 0.7 AS ok FROM legacy_sources) s ON p.id = s.id""")
+def verified(t):
+    return _verified(t).select("id", "address_line1", "city", "state", "zip", "address_verified", "address_source")
+
+
+def _verified(t):
+    maps = t("legacy_sources").where("has_maps").select("id", F.col("maps_valid").alias("is_valid"), F.col("maps_score").alias("score"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("street"), F.col("maps_city").alias("city"), F.col("maps_state").alias("state"), F.col("maps_zip").alias("postal_code"))
+    return c.apply_verified_address(t("providers"), maps).withColumns({n: F.col(n) for n in ("address_verified", "address_source")})
+
+
+@query("apply_poi_address", "providers legacy_sources", """
+SELECT p.id, CASE WHEN ok THEN 'P' || CAST(p.id AS VARCHAR) WHEN sure THEN 'S' || CAST(p.id AS VARCHAR) ELSE p.address_line1 END AS address_line1, CASE WHEN ok THEN poi_city WHEN sure AND maps_city <> '' THEN maps_city ELSE p.city END AS city,
+  sure OR ok AS address_verified, CASE WHEN ok THEN 'AZURE_POI' WHEN sure THEN 'AZURE_MAPS' END AS address_source
+FROM providers p JOIN (SELECT *, has_poi AND NOT sure AS ok FROM (SELECT id, has_poi, maps_city, poi_city, has_maps AND maps_valid AND maps_score >= 0.7 AS sure FROM legacy_sources) x) s ON p.id = s.id""")
+def at_poi(t):
+    pois = t("legacy_sources").where("has_poi").select("id", F.concat(F.lit("P"), F.col("id").cast("string")).alias("street"), F.col("poi_city").alias("city"), F.col("poi_state").alias("state"), F.col("poi_zip").alias("postal_code"))
+    return c.apply_poi_address(_verified(t), pois).select("id", "address_line1", "city", "address_verified", "address_source")
+
+
+@query("fill_contact", "providers legacy_sources", """
+SELECT p.id, coalesce(nullif(CASE WHEN p.id % 2 = 0 THEN p.email END, ''), CASE WHEN has_poi AND p.id % 3 = 0 THEN 'poi@x' END, CASE WHEN has_scraped THEN 'web@x' END, CASE WHEN p.id % 2 = 0 THEN p.email END) AS email,
+  coalesce(nullif(p.phone, ''), CASE WHEN has_scraped THEN scraped_phone END, CASE WHEN has_poi THEN poi_phone END) AS phone,
+  CASE WHEN p.id % 4 = 1 AND has_scraped THEN 'W' || CAST(p.id AS VARCHAR) WHEN p.id % 4 = 1 THEN 'N/A' ELSE p.address_line1 END AS address_line1, CASE WHEN p.id % 4 = 1 AND has_scraped AND p.id % 3 = 0 THEN 'Webtown' ELSE p.city END AS city
+FROM providers p JOIN legacy_sources s ON p.id = s.id""")
+def contacts(t):
+    p = t("providers").withColumn("address_line1", F.when(F.col("id") % 4 == 1, "N/A").otherwise(F.col("address_line1"))).withColumn("email", F.when(F.col("id") % 2 == 0, F.col("email")))
+    s, none = t("legacy_sources"), F.lit(None).cast("string")
+    pois = s.where("has_poi").select("id", F.col("poi_phone").alias("phone"), F.when(F.col("id") % 3 == 0, "poi@x").alias("email"))
+    web = s.where("has_scraped").select("id", F.col("scraped_phone").alias("phone"), F.lit("web@x").alias("email"), F.concat(F.lit("W"), F.col("id").cast("string")).alias("address"), F.when(F.col("id") % 3 == 0, "Webtown").alias("city"), none.alias("state"), none.alias("zip"))
+    return c.fill_contact(p, pois, web).select("id", "email", "phone", "address_line1", "city")
 
 
 @query("fill_missing", "providers registry", """

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlane.sources.shared import scratch
 from rosterlane.streaming import streams as st
 
+from . import run_oracle as o
+from .pipeline import run_validation
 from .registry import query
 
 
-def _shared(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _through(df: DataFrame, transform) -> DataFrame:
     """df as files, streamed through transform, read back."""
-    spark, root = df.sparkSession, _shared(df.sparkSession)
+    spark, root = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(f"{root}/in")
     st.write_once(transform(st.read_files(spark, f"{root}/in", df.schema)), f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out")
@@ -35,7 +30,7 @@ def validated(t):
 
 def _complete(df: DataFrame, transform, name: str) -> DataFrame:
     """The final result of a stateful stream over df, kept batch by batch in the shared folder."""
-    spark, root = df.sparkSession, _shared(df.sparkSession)
+    spark, root = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(f"{root}/in")
     keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out")
     stream = transform(st.read_files(spark, f"{root}/in", df.schema))
@@ -60,3 +55,18 @@ def progressed(t):
 def steps(t):
     e = t("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"))
     return _complete(e, lambda s: st.step_counts(s, "1 hour"), "steps").select(F.col("window.start").alias("at"), "name", "n")
+
+
+@query("stream_reconcile", "providers registry provider_sources license_statuses listing_hours listing_status", o.run("SELECT field, action, count(*) AS n FROM issues WHERE field IN ('phone', 'certification', 'name') GROUP BY ALL"))
+def reconciled(t):
+    """A validation run per micro-batch; the second stream over the same files replaces what the first one wrote."""
+    p, others = t("providers"), (t("registry"), t("provider_sources"), t("license_statuses"))
+    root = scratch(p.sparkSession)
+    p.write.parquet(f"{root}/in")
+
+    def run(batch: DataFrame, run_id: int) -> None:
+        run_validation(batch, *others).issues.write.mode("overwrite").parquet(f"{root}/issues/run_id={run_id}")
+
+    for state in ("first", "second"):
+        st.reconcile_stream(st.read_files(p.sparkSession, f"{root}/in", p.schema), run, f"{root}/{state}").awaitTermination()
+    return p.sparkSession.read.parquet(f"{root}/issues").where("field in ('phone', 'certification', 'name')").groupBy("field", "action").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,14 +12,21 @@ CSV_COLUMNS = ("provider_id", "name", "phone", "email", "address_line1", "city",
 _LINE = T.StructType([T.StructField("text", T.StringType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("text", T.StringType())])))])
 
 
-def read_entities_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The known columns of a CSV with a header, trimmed; provider_id becomes provider_code, the empty text null; blank lines and a mark at the start are skipped."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
+def read_entities_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The known columns of a CSV with a header, trimmed, and corrupt: the line where it doesn't fit the header, else null.
+
+    provider_id becomes provider_code, the empty text null; blank lines and a mark at the start are skipped. Files are read in parts, so a
+    quoted line break ends a line; with multi_line it doesn't, and each file is read by one task.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    names = spark.read.options(**options, inferSchema=False).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, "__corrupt")])
+    raw = spark.read.options(**options, columnNameOfCorruptRecord="__corrupt", enforceSchema=True).schema(schema).csv(path)
+    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
     has = [c for c in CSV_COLUMNS if c in raw.columns]
     kept = raw.where(F.coalesce(*[t.blank_to_null(F.col(c)) for c in has]).isNotNull())
     value = lambda c: t.trim(F.col(c)) if c in has else F.lit(None).cast("string")
-    return kept.select(t.blank_to_null(value("provider_id")).alias("provider_code"), *[value(c).alias(c) for c in CSV_COLUMNS[1:]])
+    return kept.select(t.blank_to_null(value("provider_id")).alias("provider_code"), *[value(c).alias(c) for c in CSV_COLUMNS[1:]], F.col("__corrupt").alias("corrupt"))
 
 
 def read_ocr_lines(df: DataFrame, id_col: str = "doc_id", json_col: str = "result") -> DataFrame:
@@ -44,6 +51,40 @@ def entities_from_registry(asked: DataFrame, existing: DataFrame, registry: Data
     return new.select("npi", "outcome", *[F.when(F.col("outcome") == "inserted", F.col(c)).alias(c) for c in columns])
 
 
+#: A registry entry as it is delivered: the basics, addresses by purpose, and taxonomies.
+ENTRY = (
+    "number string, basic struct<first_name: string, middle_name: string, last_name: string, organization_name: string>, "
+    "addresses array<struct<address_purpose: string, address_1: string, city: string, state: string, postal_code: string, telephone_number: string>>, "
+    "taxonomies array<struct<code: string, desc: string, primary: boolean, license: string, state: string>>"
+)
+
+
+def registry_from_entries(entries: DataFrame, primary: bool = True) -> DataFrame:
+    """Flat registry rows of nested entries: the LOCATION address, else the first; the primary taxonomy, else (or without primary) the first.
+
+    A lookup by id takes the first taxonomy, a search by name and a new entity the primary one.
+    """
+    address = F.coalesce(F.get(F.filter("addresses", lambda a: a["address_purpose"] == "LOCATION"), F.lit(0)), F.get("addresses", F.lit(0)))
+    first = F.get("taxonomies", F.lit(0))
+    taxonomy = F.coalesce(F.get(F.filter("taxonomies", lambda x: x["primary"]), F.lit(0)), first) if primary else first
+    picked = entries.select(F.col("number").alias("npi"), "basic", address.alias("a"), taxonomy.alias("t"))
+    basic = [F.col(f"basic.{c}").alias(c) for c in ("first_name", "middle_name", "last_name", "organization_name")]
+    own = [F.col(f"a.{c}").alias(c) for c in ("telephone_number", "address_1", "city", "state", "postal_code")]
+    return picked.select("npi", *basic, *own, F.col("t.desc").alias("taxonomy_desc"), F.col("t.license").alias("license"), F.col("t.code").alias("taxonomy_code"), F.coalesce("t.state", "a.state").alias("license_state"))
+
+
+def certifications(entries: DataFrame) -> DataFrame:
+    """(npi, certifications, specialty): the taxonomies that have a description, and the name of the primary one, else of the first."""
+    named = F.filter("taxonomies", lambda x: F.length(x["desc"]) > 0)
+    rows = F.transform(named, lambda x: F.struct(x["desc"].alias("name"), x["code"].alias("code"), F.coalesce(x["primary"], F.lit(False)).alias("is_primary"), x["license"].alias("license"), x["state"].alias("state")))
+    told = entries.select(F.col("number").alias("npi"), F.coalesce(rows, F.array().cast("array<struct<name: string, code: string, is_primary: boolean, license: string, state: string>>")).alias("certifications"))
+    return told.withColumn("primary", primary_certification(F.col("certifications"))).select("npi", "certifications", F.col("primary.name").alias("specialty"))
+
+
+def primary_certification(rows: Column) -> Column:
+    return F.coalesce(F.get(F.filter(rows, lambda c: c["is_primary"]), F.lit(0)), F.get(rows, F.lit(0)))
+
+
 def registry_rows(registry: DataFrame) -> DataFrame:
     """Registry rows as entity rows: a person's or an organisation's name, formatted phone, specialty or its default."""
     org = F.col("organization_name") if "organization_name" in registry.columns else F.lit(None).cast("string")
@@ -54,7 +95,7 @@ def registry_rows(registry: DataFrame) -> DataFrame:
         t.format_phone(F.col("telephone_number")).alias("phone"),
         F.coalesce("taxonomy_desc", F.lit("General Practice")).alias("speciality"),
         F.col("license").alias("license_number"),
-        F.col("state").alias("license_state"),
+        F.coalesce(*[F.col(c) for c in ("license_state", "state") if c in registry.columns]).alias("license_state"),
         F.lit("Active").alias("license_status"),
         F.col("address_1").alias("address_line1"),
         "city", "state",
@@ -69,9 +110,12 @@ def directory_rows(entities: DataFrame) -> DataFrame:
     return entities.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIRECTORY_COLUMNS])
 
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    """One CSV folder with every field quoted and quotes doubled."""
-    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').mode("overwrite").csv(path)
+def export_csv(rows: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """One CSV over the folder's files in the order of their names: a header, then the rows in order (by the first column unless told), all fields quoted."""
+    texts = rows.select(F.lit(1).alias("__at"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
+    header = rows.sparkSession.createDataFrame([(0, *rows.columns)], texts.schema)
+    whole = header.unionByName(texts).orderBy("__at", *(order or rows.columns[:1]), *[c for c in rows.columns if c not in order])
+    whole.drop("__at").write.option("quoteAll", True).option("escape", '"').mode("overwrite").csv(path)
 
 
 def append_sources(rows: DataFrame, path: str) -> None:

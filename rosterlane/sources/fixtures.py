@@ -53,14 +53,16 @@ FROM providers WHERE npi_id IS NOT NULL AND id % 19 <> 0
         ("providers",),
         r"""
 SELECT id * 10 + 1 AS source_id, id AS provider_id, 'NPI_API' AS source_type, TRUE AS is_found,
-  CASE WHEN id % 4 = 0 THEN CONCAT('999-555-', CAST(1000 + id % 9000 AS VARCHAR(20))) ELSE phone END AS phone, address_line1 AS address, CAST(NULL AS VARCHAR(100)) AS website
+  CASE WHEN id % 4 = 0 THEN CONCAT('999-555-', CAST(1000 + id % 9000 AS VARCHAR(20))) ELSE phone END AS phone, address_line1 AS address, CAST(NULL AS VARCHAR(100)) AS website, CAST(NULL AS VARCHAR(100)) AS email
 FROM providers WHERE id % 19 <> 0
 UNION ALL
 SELECT id * 10 + 2, id, 'AZURE_POI', id % 5 <> 0, CONCAT('888-555-', CAST(1000 + id % 9000 AS VARCHAR(20))),
-  CONCAT(address_line1, ' Apt ', CAST(id % 3 AS VARCHAR(20))), CONCAT('https://poi', CAST(id AS VARCHAR(20)), '.example.com')
+  CONCAT(address_line1, ' Apt ', CAST(id % 3 AS VARCHAR(20))), CONCAT('https://poi', CAST(id AS VARCHAR(20)), '.example.com'),
+  CASE WHEN id % 4 = 0 THEN CONCAT('poi', CAST(id AS VARCHAR(20)), '@place.example.com') WHEN id % 10 = 2 THEN '' ELSE NULL END
 FROM providers WHERE id % 2 = 0
 UNION ALL
-SELECT id * 10 + 3, id, 'SCRAPING_ENRICHMENT', TRUE, phone, address_line1, CONCAT('https://web', CAST(id AS VARCHAR(20)), '.example.com')
+SELECT id * 10 + 3, id, 'SCRAPING_ENRICHMENT', TRUE, phone, address_line1, CONCAT('https://web', CAST(id AS VARCHAR(20)), '.example.com'),
+  CASE WHEN id % 5 <> 0 THEN CONCAT('web', CAST(id AS VARCHAR(20)), '@site.example.com') ELSE NULL END
 FROM providers WHERE id % 3 = 0
 """,
     ),
@@ -153,6 +155,79 @@ FROM supplier
         r"""
 SELECT p.id, p.address_line1 AS a, CONCAT(r.address_1, ', ', r.city, ', ', r.state, ' ', r.postal_code) AS b
 FROM providers p JOIN registry r ON p.npi_id = r.npi
+""",
+    ),
+    "license_statuses": (
+        ("providers",),
+        r"""
+SELECT id AS provider_id, CASE WHEN id % 10 = 0 THEN 'EXPIRED' WHEN id % 10 < 8 THEN 'Active' ELSE NULL END AS license_status FROM providers WHERE id % 7 <> 0
+""",
+    ),
+    "listing_hours": (
+        ("providers",),
+        r"""
+SELECT id AS provider_id, 1 AS pos, 'Monday' AS day, CASE WHEN id % 4 = 0 THEN '' ELSE '9:00 AM' END AS slot, CASE WHEN id % 8 = 0 THEN 'CLOSED' ELSE NULL END AS status FROM providers WHERE id % 3 = 0
+UNION ALL SELECT id, 2, 'Tuesday', '10:00 AM', 'OPEN' FROM providers WHERE id % 6 = 0
+""",
+    ),
+    "listing_status": (
+        ("providers",),
+        r"""
+SELECT id AS provider_id, CASE WHEN id % 5 = 0 THEN 'NO_INFO' WHEN id % 5 < 3 THEN 'ACCEPTING_APPOINTMENTS' ELSE NULL END AS availability_status FROM providers WHERE id % 3 = 0
+""",
+    ),
+    "legacy_sources": (
+        ("providers",),
+        r"""
+SELECT id, id % 2 = 0 AS has_npi, CASE WHEN id % 4 = 0 THEN CONCAT('999-555-', CAST(1000 + id % 9000 AS VARCHAR(20))) ELSE phone END AS npi_phone,
+  CASE WHEN id % 3 = 0 THEN 'Dentist' ELSE 'medicine, internal' END AS npi_speciality,
+  id % 3 <> 0 AS has_maps, id % 5 <> 0 AS maps_valid, CASE WHEN id % 5 = 0 THEN 'NO_RESULTS' ELSE NULL END AS maps_reason,
+  CASE WHEN id % 7 = 0 THEN address_line1 ELSE CONCAT(CAST(1 + id % 999 AS VARCHAR(20)), ' Main Street, ', city, ', ', state, ' ', CAST(10000 + (id + id % 2) % 90000 AS VARCHAR(20))) END AS maps_formatted,
+  CASE WHEN id % 4 = 1 THEN CONCAT('New ', city) ELSE UPPER(city) END AS maps_city, CASE WHEN id % 6 = 1 THEN 'TX' ELSE LOWER(state) END AS maps_state,
+  CAST(10000 + (id + id % 2) % 90000 AS VARCHAR(20)) AS maps_zip, CAST(id % 10 AS DOUBLE) / 10 AS maps_score, id % 8 = 1 AS address_verified,
+  id % 4 = 2 AS has_poi, CONCAT('888-555-', CAST(1000 + id % 9000 AS VARCHAR(20))) AS poi_phone, CASE WHEN id % 3 = 0 THEN NULL ELSE CONCAT('https://poi', CAST(id AS VARCHAR(20)), '.example.com') END AS poi_website,
+  CASE WHEN id % 10 = 2 THEN NULL ELSE CONCAT(address_line1, ' Apt ', CAST(id % 3 AS VARCHAR(20))) END AS poi_formatted, 'Elsewhere' AS poi_city, 'NV' AS poi_state, '10002' AS poi_zip,
+  id % 5 = 1 AS has_scraped, CONCAT('777-555-', CAST(1000 + id % 9000 AS VARCHAR(20))) AS scraped_phone, CONCAT('https://web', CAST(id AS VARCHAR(20)), '.example.com') AS scraped_website,
+  id % 7 = 3 AS has_ocr, CASE WHEN id % 2 = 0 THEN name ELSE UPPER(name) END AS ocr_name, CONCAT('666-555-', CAST(1000 + id % 9000 AS VARCHAR(20))) AS ocr_phone, CONCAT(CAST(1 + id % 99 AS VARCHAR(20)), ' Side Rd, ', city, ', ', state, ' ', zip) AS ocr_address,
+  id % 6 = 5 AS has_listing, CONCAT('444-555-', CAST(1000 + id % 9000 AS VARCHAR(20))) AS listing_phone, CONCAT(CAST(1 + id % 99 AS VARCHAR(20)), ' Other Ave, ', city, ', ', state, ' ', zip) AS listing_address,
+  CASE WHEN id % 4 = 1 THEN 'Surgeon' ELSE speciality END AS listing_specialty, CONCAT('L', CAST(id + id % 2 AS VARCHAR(20))) AS listing_license, state AS listing_license_state,
+  CASE WHEN id % 4 = 1 THEN 'ACTIVE' ELSE NULL END AS listing_license_status, 'Mon-Fri: 9:00 AM - 5:00 PM' AS listing_hours_text, CASE WHEN id % 4 = 3 THEN 'NO_INFO' ELSE 'LIMITED_AVAILABILITY' END AS listing_availability,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE id % 2 = 1 END AS listing_accepting, CASE WHEN id % 5 = 1 THEN NULL ELSE id % 4 = 1 END AS listing_telehealth, CASE WHEN id % 3 = 2 THEN 'City Hospital' ELSE NULL END AS listing_affiliations,
+  id % 9 < 4 AS has_cert, CASE WHEN id % 2 = 0 THEN 'Nurse' ELSE speciality END AS cert_specialty, CASE WHEN id % 9 = 1 THEN NULL ELSE 'Board Certified' END AS cert_name, CASE WHEN id % 9 = 2 THEN NULL ELSE CONCAT('C', CAST(id AS VARCHAR(20))) END AS cert_license,
+  CASE WHEN id % 11 = 0 THEN 'https://own.example.com' ELSE NULL END AS website
+FROM providers
+""",
+    ),
+    "tier_pages": (
+        ("providers",),
+        r"""
+SELECT id * 2 AS page_id, id, 1 AS tier, CASE WHEN id % 4 = 0 THEN CONCAT('<p>National Provider Identifier: ', npi_id, '</p>') WHEN id % 4 = 1 THEN CONCAT('<div data-npi="', npi_id, '">1234567890</div>') ELSE '<p>1234567890 nothing</p>' END AS html
+FROM providers WHERE npi_id IS NOT NULL AND id % 2 = 0 OR npi_id IS NOT NULL AND id % 4 = 1
+UNION ALL SELECT id * 2 + 1, id, 2, CASE WHEN id % 3 = 0 THEN CONCAT('<a href="/npi/', npi_id, '">x</a>') WHEN id % 3 = 1 THEN CONCAT('seen 01/02/2024, ', npi_id, ' or npi_number: "', npi_id, '"') ELSE CONCAT('on 01/02/2024 ', npi_id) END
+FROM providers WHERE npi_id IS NOT NULL
+""",
+    ),
+    "record_results": (
+        (),
+        r"""
+SELECT event_id AS id, 1995 + event_id % 7 AS run_id, event_id % 11 <> 0 AS ok, event_id % 3 = 0 AS needs_review, CAST(FLOOR(value * 1000) AS BIGINT) AS ms FROM events
+""",
+    ),
+    "listing_pages": (
+        (),
+        r"""
+SELECT s_suppkey AS page_id, CONCAT('<table><tr><th>Name</th><th>S</th><th>L</th><th>A</th><th>H</th><th>N</th><th>T</th></tr><tr><td>', s_name, '</td><td><b>Dentist</b></td><td>L', CAST(s_suppkey AS VARCHAR(20)),
+  '</td><td>City Hospital</td><td>Mon: 9:00 AM</td><td>', CASE WHEN s_suppkey % 2 = 0 THEN 'Yes' ELSE 'no' END, '</td><td>YES</td></tr><tr><td>short</td></tr></table><dl><dt>Opening days</dt><dt>Monday</dt><dd>', CAST(1 + s_suppkey % 9 AS VARCHAR(20)),
+  ':15 am</dd><dd>skipped</dd><dt>On Sunday</dt><dd>closed</dd></dl>') AS html
+FROM supplier
+""",
+    ),
+    "hospital_texts": (
+        (),
+        r"""
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN CONCAT('Works at Saint Mary Hospital in Springfield, IL since ', CAST(s_suppkey AS VARCHAR(20))) WHEN s_suppkey % 5 = 1 THEN CONCAT('the hospital no. ', CAST(s_suppkey AS VARCHAR(20)))
+  WHEN s_suppkey % 5 = 2 THEN 'North Star Medical Group, New York, NY 10001' WHEN s_suppkey % 5 = 3 THEN 'no such place' ELSE 'Green Valley Health' END AS text
+FROM supplier
 """,
     ),
     "decisions": (

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from rosterlane.functions import scoring, similarity
 from rosterlane.functions import text as t
-from rosterlane.operators import extract, report, resolve, validate
+from rosterlane.operators import extract, match, report, resolve, validate
 from rosterlane.plans import registry
 from rosterlane.plans.pipeline import run_validation
 from rosterlane.sources import entities, fixtures
@@ -148,3 +148,39 @@ def test_one_issue_per_entity_and_field(spark, sf_dir):
 def test_empty_tables(spark):
     p = spark.createDataFrame([], "id long, npi_id string, name string, phone string, email string, address_line1 string, city string, state string, zip string, speciality string, license_number string, status string")
     assert validate.validate_entities(p).count() == 0 and validate.standardize_entities(p).count() == 0
+
+
+def test_ocr_city_and_state_and_labelled_patterns(spark):
+    texts = [(1, "Name: Ann Lee\nZZ\nSpringfield, IL 62701\nTEL 2125550101"), (2, "PROVIDER: Title: Bob Ray\nSpecialization: Eyes\nCity: Town\nState: NY"), (3, "Jo Day Clinic\nPh: (212) 555-0101\nNPI 1234567893")]
+    blocks = spark.createDataFrame(texts, "doc_id int, text string").withColumn("block", F.lit(0))
+    got = {r.doc_id: r for r in extract.ocr_fields(blocks).collect()}
+    assert (got[1].name, got[1].city, got[1].state, got[1].zip, got[1].phone) == ("Ann Lee", "Springfield", "IL", "62701", "2125550101")
+    assert (got[2].name, got[2].speciality, got[2].city, got[2].state) == ("Bob Ray", "Eyes", "Town", "NY")
+    assert (got[3].name, got[3].speciality, got[3].phone, got[3].npi) == ("Jo Day Clinic", "Jo Day Clinic", "212555-0101", "1234567893")
+    pages = ["npi_number: '1234567893'", 'data-npi="1234567893"', "NPI#1234567893", "Phone 1234567893", "01/02/2024 at 1234567893 x", "01/02/2024, long before 1234567893", "x1234567893"]
+    found = {r.page_id for r in extract.ids_from_pages(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).collect()}
+    assert found == {0, 1, 2, 3, 5}
+
+
+def test_values_of_boolean_and_json_columns(spark):
+    p = spark.createDataFrame([(1, None, None, "x"), (2, False, "[1]", "y")], "id long, telehealth_available boolean, affiliations_json string, status string")
+    values = spark.createDataFrame([(1, "telehealth_available", " Yes ", 1), (1, "affiliations_json", '[ {"a" : 1} ]', 2), (2, "telehealth_available", "no", 3), (2, "affiliations_json", "{broken", 4)], "provider_id long, column string, value string, id long")
+    got = {r.id: r for r in resolve.apply_values(p, values).collect()}
+    assert (got[1].telehealth_available, got[1].affiliations_json, got[1].status) == (True, '[{"a":1}]', "ACTIVE")
+    assert (got[2].telehealth_available, got[2].affiliations_json) == (False, "{broken")
+
+
+def test_organisations_and_single_names_are_found(spark):
+    registry = spark.createDataFrame([("1", None, None, None, "HAPPY DENTAL LLC", "TOWN", "CA"), ("2", "ANN", None, "LEE", None, "TOWN", "CA"), ("3", None, None, None, "A B C D E CARE", "X", "NY")], "npi string, first_name string, middle_name string, last_name string, organization_name string, city string, state string")
+    asked = spark.createDataFrame([(1, "Happy Dental LLC", "Town", "CA"), (2, "Lee", "Else", "CA"), (3, "a b c d e care", "Q", "QQ"), (4, "Nobody", "Town", "CA")], "id int, name string, city string, state string")
+    got = {r.id: (r["rank"], r.npi, r.score) for r in match.registry_name_search(asked, registry).collect()}
+    assert got == {1: (1, "1", 7), 2: (1, "2", 3), 3: (3, "3", 12)}
+
+
+def test_export_is_one_csv_with_one_header(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("cast(id as string) as id", "concat('n', 9999 - id) as name").repartition(7)
+    entities.export_csv(rows, str(tmp_path / "out"), ("name",))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).splitlines()
+    assert lines[0] == '"id","name"' and len(lines) == 5001 and lines[1:] == sorted(lines[1:], key=lambda x: x.split(",")[1])
+    (tmp_path / "bad.csv").write_text("name,city\nAnn,X\nBob,Y,too,many\n")
+    assert {r.name: r.corrupt for r in entities.read_entities_csv(spark, str(tmp_path / "bad.csv")).collect()} == {"Ann": None, "Bob": "Bob,Y,too,many"}
