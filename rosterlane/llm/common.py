@@ -77,7 +77,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most_bytes: int = 2 << 20
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most_bytes: int = 1 << 20
 ) -> DataFrame:
     """mapInArrow over slices of at most most_bytes of text (a longer text is a slice of its own), so memory is bounded."""
 

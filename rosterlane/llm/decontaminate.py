@@ -7,7 +7,7 @@ executor hashes the windows of its documents, looks them up and verifies every h
 Scale. One pass over the documents without a shuffle. The broadcast is bounded: a benchmark whose text exceeds
 `block_bytes` or whose words exceed `block_windows` is cut into blocks of about half those bounds, by a hash of its items,
 the documents are scanned once per block, the partial hits are written, and all meet by document. A block is its text and arrays of
-24 bytes a window; the driver and the executors hold one at a time. Memory per task is a slice of 2 MB of text.
+24 bytes a window; the driver and the executors hold one at a time. Memory per task is a slice of 1 MB of text.
 
 Cases. Null or wordless text has no words, no hits and stays. Items that are null, wordless or have no id are
 ignored; repeated items and repeated ids count once. Rows of documents are judged one by one, so repeated rows
@@ -197,7 +197,7 @@ def decontaminate(
 
         def run(batches):
             for batch in batches:
-                for part in slices(batch, text_col, 2 << 20):
+                for part in slices(batch, text_col, 1 << 20):
                     column = part.column(text_col)
                     extra = _verdict(column, *_find(column, index.value), share, clean)
                     extra = extra if clean else extra[:-1]
@@ -213,7 +213,7 @@ def decontaminate(
 
         def find(batches, index=index):
             for batch in batches:
-                for part in slices(batch, "t", 2 << 20):
+                for part in slices(batch, "t", 1 << 20):
                     _, hits, items = _find(part.column("t"), index.value)
                     at = [i for i, h in enumerate(hits) if h]
                     if at:
@@ -231,7 +231,7 @@ def decontaminate(
 
     def judge(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 column = part.column(text_col)
                 counts = np.diff(words_of(column, ALNUM, True).first).tolist()
                 hits = [[(x["s"], x["e"]) for x in v or ()] for v in part.column("__spans").to_pylist()]
@@ -246,9 +246,10 @@ def decontaminate(
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns of docs whatever their names."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
-    found = decontaminate(packed, benchmark, text_col="__text", clean=False, **options)
-    return found.where(~F.col("contaminated")).select("__row.*")
+    own = [f"__own{i}" for i in range(len(docs.columns))]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)])
+    found = decontaminate(renamed, benchmark, text_col=own[docs.columns.index(text_col)], clean=False, **options)
+    return found.where(~F.col("contaminated")).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)])
 
 
 def _ddl_of(df: DataFrame) -> str:

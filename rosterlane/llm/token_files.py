@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, order: list[Co
             )
 
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 new, sizes = encode_rows(sent.value, ["" if t is None else t for t in part.column("text").to_pylist()], end_id)
                 ids.append(new)
                 lengths.append(sizes)
