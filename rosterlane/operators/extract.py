@@ -151,22 +151,85 @@ def _plain(c: Column) -> Column:
     return t.collapse(F.regexp_replace(c, "<[^>]+>", " "))
 
 
-#: Pages' elements that may hold opening times, in the order in which they are searched.
-_TIMED = (("table", r"(?is)<tr[^>]*>(.*?)</tr>"), ("list", r"(?is)<li[^>]*>(.*?)</li>"), ("term", r"(?is)<d[td][^>]*>(.*?)</d[td]>"), ("block", r"(?is)<(?:div|p|span)[^>]*>([^<]*)</(?:div|p|span)>"))
+def _attribute(c: Column, name: str) -> Column:
+    """The quoted value of an attribute, empty without one."""
+    return F.regexp_extract(c, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+
+
+def _elements(html: Column, words: str) -> Column:
+    """{attributes, inner} of the elements with one of words among their attributes, also of those inside one another.
+
+    An element ends at the first closing tag of its name, so one that holds others of its name is cut there.
+    """
+    pattern = rf"(?is)(?=<([a-z][a-z0-9]*)(?=\s[^>]*(?:{words}))([^>]*)>(.*?)</\1\s*>)"
+    every = lambda group: F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+    return F.arrays_zip(every(2).alias("attributes"), every(3).alias("inner"))
+
+
+def _first_selector(attributes: Column, selectors) -> Column:
+    """The place of the first selector that the attributes meet: a class, a value, or a part of one."""
+
+    def meets(name: str, how: str, value: str) -> Column:
+        told = _attribute(attributes, name)
+        return F.array_contains(F.split(told, r"\s+"), value) if how == "class" else told == value if how == "is" else told.contains(value)
+
+    return F.coalesce(*[F.when(meets(*selector), i) for i, selector in enumerate(selectors)])
+
+
+#: Selectors of elements that hold opening times, in the order in which they are searched.
+_TIMED = (
+    ("class", "class", "office-hours"), ("class", "class", "practice-hours"), ("class", "class", "appointment-times"), ("class", "class", "availability-slots"), ("class", "class", "hours-of-operation"),
+    ("class", "has", "office-hours"), ("class", "has", "practice-hours"), ("class", "has", "appointment"), ("class", "has", "availability"), ("class", "has", "hours"),
+    ("data-test", "is", "office-hours"), ("data-testid", "has", "hours"), ("id", "is", "office-hours"), ("id", "is", "practice-hours"), ("id", "has", "hours"),
+)
+#: The same: what a table, its first and its second cell, a list item and a block must hold.
+_TABLE_WORDS, _DAY_CELL, _TIME_CELL = "hour|day|appointment|availability", "(?i)" + "|".join(d[:3] for d in _DAYS), r"(?i)\d{1,2}:\d{2}|am|pm|closed"
+_DAY_NAME, _CLOCK, _SLOT = "(?i)" + "|".join(_DAYS), r"\d{1,2}:\d{2}", r"\d{1,2}:\d{2}\s*(?:am|pm|AM|PM)?"
+_TERM = r"(?is)<(d[td])[^>]*>(.*?)</d[td]>"
+
+
+def _timed(source: str, rank: Column, term: Column, text: Column) -> Column:
+    return F.struct(F.lit(source).alias("source"), rank.cast("int").alias("rank"), term.cast("string").alias("term"), text.alias("text"))
+
+
+def _definitions(html: Column) -> Column:
+    """{source, rank, term, text} of definition lists that speak of hours or days: a definition and the term right before it."""
+    lists = F.filter(_all(html, r"(?is)<dl[^>]*>(.*?)</dl>"), lambda dl: F.lower(_plain(dl)).rlike("hour|day"))
+
+    def pairs(dl: Column) -> Column:
+        kinds, texts = F.transform(F.regexp_extract_all(dl, F.lit(_TERM), F.lit(1)), F.lower), F.transform(F.regexp_extract_all(dl, F.lit(_TERM), F.lit(2)), _plain)
+        after = F.filter(F.sequence(F.lit(1), F.size(kinds)), lambda i: (F.get(kinds, i) == "dd") & (F.get(kinds, i - 1) == "dt") & (F.get(texts, i - 1) != ""))
+        return F.transform(after, lambda i: _timed("definition-list", F.lit(200), F.get(texts, i - 1), F.get(texts, i)))
+
+    return F.flatten(F.transform(lists, pairs))
+
+
+def _row_times(html: Column) -> Column:
+    """The same of tables that speak of hours, days or appointments: rows whose first cell is a day or whose second is a time."""
+    tables = F.filter(_all(html, r"(?is)<table[^>]*>(.*?)</table>"), lambda x: F.lower(_plain(x)).rlike(_TABLE_WORDS))
+    rows = F.flatten(F.transform(tables, lambda x: _all(x, r"(?is)<tr[^>]*>(.*?)</tr>")))
+    cells = F.transform(rows, lambda r: F.transform(_all(r, r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), _plain))
+    told = F.filter(cells, lambda c: (F.get(c, F.lit(0)) != "") & (F.get(c, F.lit(1)) != "") & (F.get(c, F.lit(0)).rlike(_DAY_CELL) | F.get(c, F.lit(1)).rlike(_TIME_CELL)))
+    return F.transform(told, lambda c: _timed("table", F.lit(100), F.get(c, F.lit(0)), F.get(c, F.lit(1))))
 
 
 def timings_from_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, day, slots, status, raw_text, source): elements of fewer than 1000 characters with a weekday or a time, each day and slots once."""
-    found = F.concat(*[F.transform(_all(F.col("html"), p), lambda x: F.struct(F.lit(i).alias("rank"), F.lit(n).alias("source"), _plain(x).alias("text"))) for i, (n, p) in enumerate(_TIMED)])
-    rows = pages.select("page_id", F.posexplode(found).alias("place", "e")).select("page_id", "place", "e.*").where("length(text) between 6 and 999")
-    low = F.lower("text")
-    day = F.lit(None).cast("string")
-    for d in reversed(_DAYS):
-        day = F.when(low.contains(d.lower()), d).otherwise(day)
-    slots = F.regexp_extract_all("text", F.lit(r"(?i)\d{1,2}:\d{2}(?:\s*[ap]m)?"), F.lit(0))
-    status = F.when(low.contains("closed"), "CLOSED").when(low.contains("by appointment"), "BY_APPOINTMENT").when(low.contains("open") | (F.size(slots) > 0), "OPEN").otherwise("UNKNOWN")
-    timed = rows.select("page_id", "place", "rank", "source", day.alias("day"), F.array_join(slots, ",").alias("slots"), status.alias("status"), F.col("text").alias("raw_text")).where("day is not null or slots <> ''")
-    once = Window.partitionBy("page_id", "day", "slots").orderBy("rank", "place")
+    """(page_id, day, slots, status, raw_text, source): elements by class, id or data, then rows of tables, definitions, list items and blocks.
+
+    Each day, slots and status once, the first found kept; neither a day nor a time gives nothing.
+    """
+    html, none = F.col("html"), F.lit(None)
+    marked = F.transform(_elements(html, "hours|appointment|availability"), lambda e: _timed("selector", _first_selector(e["attributes"], _TIMED), none, _plain(e["inner"])))
+    marked = F.filter(marked, lambda e: e["rank"].isNotNull() & F.length(e["text"]).between(6, 999))
+    items = F.filter(F.transform(_all(html, r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"), _plain), lambda x: (F.length(x) < 200) & (x.rlike(_DAY_NAME) | x.rlike(_CLOCK)))
+    blocks = F.filter(F.transform(_all(html, r"(?is)(?=<div(?:\s[^>]*)?>(.*?)</div>)"), _plain), lambda x: F.length(x).between(11, 149) & x.rlike(f"(?i)^(?:{'|'.join(_DAYS)})") & x.rlike(_CLOCK))
+    one = lambda source, rank: lambda x: _timed(source, F.lit(rank), none, x)
+    found = F.concat(marked, _row_times(html), _definitions(html), F.transform(items, one("list", 300)), F.transform(blocks, one("div", 400)))
+    rows = pages.select("page_id", F.posexplode(found).alias("place", "e")).select("page_id", "place", "e.*")
+    day = F.coalesce(day_of(F.coalesce("term", "text")), F.col("term"))
+    raw = F.when(F.col("source") == "selector", F.substring("text", 1, 300)).otherwise(F.concat_ws(": ", "term", "text"))
+    timed = rows.select("page_id", "rank", "place", day.alias("day"), slots_of(F.col("text")).alias("slots"), open_status(F.col("text")).alias("status"), raw.alias("raw_text"), "source").where("day is not null or slots <> ''")
+    once = Window.partitionBy("page_id", "day", "slots", "status").orderBy("rank", "place")
     return timed.withColumn("r", F.row_number().over(once)).where("r = 1").select("page_id", "day", "slots", "status", "raw_text", "source")
 
 
@@ -178,22 +241,18 @@ def merge_timings(timings: DataFrame, sources: DataFrame) -> DataFrame:
     return ranked.withColumn("r", F.row_number().over(once)).where("r = 1").select("id", "day", "slots", "status", F.col("source").alias("scraped_from"))
 
 
-_TERM = r"(?is)<(d[td])[^>]*>(.*?)</d[td]>"
-
-
 def definition_timings(pages: DataFrame) -> DataFrame:
     """(page_id, place, day, slots, status, raw_text) of definition lists that speak of hours or days: a term is the day of the next definition.
 
     A second definition of the same term has no day and is passed over.
     """
-    lists = pages.select("page_id", F.posexplode(_all(F.col("html"), r"(?is)<dl[^>]*>(.*?)</dl>")).alias("list", "dl")).where(F.lower(_plain(F.col("dl"))).rlike("hour|day"))
-    kinds, texts = F.regexp_extract_all("dl", F.lit(_TERM), F.lit(1)), F.regexp_extract_all("dl", F.lit(_TERM), F.lit(2))
-    items = lists.select("page_id", "list", F.posexplode(F.arrays_zip(kinds.alias("kind"), texts.alias("text"))).alias("place", "e"))
-    item = items.select("page_id", "list", "place", (F.lower("e.kind") == "dt").alias("term"), _plain(F.col("e.text")).alias("text"))
-    order = Window.partitionBy("page_id", "list").orderBy("place")
-    told = item.withColumn("last", F.last(F.when(F.col("term"), F.struct("place", "text")), ignorenulls=True).over(order)).where("not term and last.place = place - 1 and last.text <> ''")
-    slots = F.array_join(F.regexp_extract_all("text", F.lit(r"(?i)\d{1,2}:\d{2}\s*(?:am|pm)?"), F.lit(0)), ",")
-    return told.select("page_id", "place", F.coalesce(day_of(F.col("last.text")), F.col("last.text")).alias("day"), slots.alias("slots"), open_status(F.col("text")).alias("status"), F.concat_ws(": ", "last.text", "text").alias("raw_text"))
+    told = pages.select("page_id", F.posexplode(_definitions(F.col("html"))).alias("place", "e")).select("page_id", "place", "e.term", "e.text")
+    return told.select("page_id", "place", F.coalesce(day_of(F.col("term")), F.col("term")).alias("day"), slots_of(F.col("text")).alias("slots"), open_status(F.col("text")).alias("status"), F.concat_ws(": ", "term", "text").alias("raw_text"))
+
+
+def slots_of(c: Column) -> Column:
+    """The times of a text, comma-joined."""
+    return F.array_join(F.regexp_extract_all(c, F.lit(_SLOT), F.lit(0)), ",")
 
 
 def day_of(c: Column) -> Column:
@@ -269,6 +328,36 @@ def affiliations(pages: DataFrame) -> DataFrame:
     return named.groupBy("page_id", F.lower("name").alias("k")).agg(F.min_by("name", "place").alias("name")).drop("k")
 
 
+#: Selectors of elements that name hospitals, by source and in order.
+_AFFILIATED = {
+    "HEALTHGRADES": (("class", "class", "hospital-affiliations"), ("class", "has", "hospital"), ("class", "has", "affiliation"), ("data-test", "is", "hospital"), ("class", "class", "practice-locations")),
+    "VITALS": (("class", "has", "hospital"), ("class", "has", "affiliation"), ("class", "has", "facility")),
+    "WEBMD": (("class", "has", "hospital"), ("class", "has", "facility"), ("class", "has", "location")),
+}
+
+
+def source_affiliations(pages: DataFrame) -> DataFrame:
+    """(provider_id, name, location, role, status, kind, source): hospitals that the pages of three directories name, each once a provider.
+
+    pages: (provider_id, source, html, city, state). The first source's list items count too. Sources, selectors and places tell which is first;
+    without a place of its own a hospital is where the provider is.
+    """
+    html, none = F.col("html"), F.lit(None)
+    marked = F.transform(_elements(html, "hospital|affiliation|facility|location"), lambda e: F.struct(e["attributes"].alias("attributes"), _plain(e["inner"]).alias("text")))
+    items = F.transform(F.filter(F.transform(_all(html, r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"), _plain), lambda x: F.lower(x).rlike("hospital|medical center")), lambda x: F.struct(none.cast("string").alias("attributes"), x.alias("text")))
+    found = F.concat(marked, F.when(F.col("source") == "HEALTHGRADES", items).otherwise(F.array().cast("array<struct<attributes: string, text: string>>")))
+    rows = pages.select("provider_id", "source", "city", "state", F.posexplode(found).alias("place", "e")).select("*", "e.*")
+    rank, order = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for i, (source, selectors) in enumerate(_AFFILIATED.items()):
+        rank = F.when(F.col("source") == source, _first_selector(F.col("attributes"), selectors)).otherwise(rank)
+        order = F.when(F.col("source") == source, i).otherwise(order)
+    named = rows.select("provider_id", "source", "place", order.alias("order"), F.when(F.col("attributes").isNull(), 100).otherwise(rank).alias("rank"), "attributes", hospital_name(F.col("text")).alias("name"), F.coalesce(place_of(F.col("text")), F.concat_ws(", ", "city", "state")).alias("location"))
+    kept = named.where("rank is not null and name is not null and (attributes is not null or length(name) > 5)")
+    once = Window.partitionBy("provider_id", F.lower(t.trim(F.col("name")))).orderBy("order", "rank", "place", "name", "location")
+    told = kept.withColumn("r", F.row_number().over(once)).where("r = 1")
+    return told.select("provider_id", "name", "location", F.lit("Physician").alias("role"), F.lit("ACTIVE").alias("status"), F.lit("HOSPITAL").alias("kind"), "source")
+
+
 def merge_affiliations(found: DataFrame, stored: DataFrame) -> DataFrame:
     """(provider_id, name, role, status, kind): found before stored, each name once; blanks get their defaults."""
     rows = found.withColumn("rank", F.lit(0)).unionByName(stored.withColumn("rank", F.lit(1)), allowMissingColumns=True)
@@ -290,9 +379,42 @@ def profile_links(pages: DataFrame, path: str = "/", site: str = "https://site.e
     return pages.select("page_id", F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(site), link)).alias("link")).where("link is not null")
 
 
+#: By source, what the address of a profile contains, and the site it belongs to.
+_PROFILES = {
+    "HEALTHGRADES": ("/physician/", "https://www.healthgrades.com"), "VITALS": ("/doctors/", "https://www.vitals.com"),
+    "WEBMD": ("/doctor/", "https://doctor.webmd.com"), "DOXIMITY": ("/pub/", "https://www.doximity.com"),
+}
+
+
+def source_profiles(pages: DataFrame) -> DataFrame:
+    """(page_id, source, profile_url): the first link on a directory's search page to a profile there, made absolute; one to a search is none."""
+    links, url = _all(F.col("html"), r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(None).cast("string")
+    for source, (path, site) in _PROFILES.items():
+        first = F.get(F.filter(links, lambda x: x.contains(path)), F.lit(0))
+        if source == "DOXIMITY":
+            first = F.when(~first.contains("/search"), first)
+        url = F.when(F.col("source") == source, F.when(first.startswith("http"), first).otherwise(F.concat(F.lit(site), first))).otherwise(url)
+    return pages.select("page_id", "source", url.alias("profile_url")).where("profile_url is not null")
+
+
+def _lined(c: Column) -> Column:
+    """An element's text with its line breaks; <br> and the ends of blocks break lines too."""
+    broken = F.regexp_replace(F.regexp_replace(c, r"(?i)<br[^>]*>|</(?:div|p|li|dd|dt)>", "\n"), "<[^>]+>", "")
+    return t.trim(F.regexp_replace(broken, r"[ \t]*\n[ \t]*", "\n"))
+
+
 def listing_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, row, name, specialty, license, affiliations, hours, accepting_new_patients, telehealth) of table rows with 7 cells or more."""
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), _plain)
-    rows = pages.select("page_id", F.posexplode(_all(F.col("html"), r"(?is)<tr[^>]*>(.*?)</tr>")).alias("row", "r")).withColumn("c", cells(F.col("r"))).where("size(c) >= 7 and lower(c[0]) <> 'name'")
-    names = ("name", "specialty", "license", "affiliations", "hours")
-    return rows.select("page_id", "row", *[F.col("c")[i].alias(n) for i, n in enumerate(names)], (F.lower(F.col("c")[5]) == "yes").alias("accepting_new_patients"), (F.lower(F.col("c")[6]) == "yes").alias("telehealth"))
+    """(page_id, row, name, specialty, license_number, license_state, license_status, affiliations, hours, accepting_new_patients, telehealth,
+    phone, address) of table rows with 7 cells or more; an eighth is the contact. Rows without a name or whose name says "provider" are headings."""
+    cells = lambda r: F.transform(_all(r, r"(?is)<td(?:\s[^>]*)?>(.*?)</td>"), _lined)
+    rows = pages.select("page_id", F.posexplode(_all(F.col("html"), r"(?is)<tr[^>]*>(.*?)</tr>")).alias("row", "r")).withColumn("c", cells(F.col("r")))
+    cell = lambda i: F.get("c", F.lit(i))
+    listed = rows.where((F.size("c") >= 7) & (cell(0) != "") & ~F.lower(cell(0)).contains("provider"))
+    said = lambda label: t.trim(_find(cell(2), rf"(?i){label}:\s*([^\n]+)"))
+    yes = lambda i: F.lower(cell(i)).contains("yes")
+    contact = F.coalesce(cell(7), F.lit(""))
+    return listed.select(
+        "page_id", "row", cell(0).alias("name"), cell(1).alias("specialty"), said("License Number").alias("license_number"), said("State").alias("license_state"), said("Status").alias("license_status"),
+        cell(3).alias("affiliations"), cell(4).alias("hours"), yes(5).alias("accepting_new_patients"), yes(6).alias("telehealth"),
+        t.trim(_find(contact, r"\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}", 0)).alias("phone"), t.trim(_find(contact, r"(?i)Address:\s*(.+?)(?:\n|\z)")).alias("address"),
+    )

@@ -150,11 +150,27 @@ def span_latency(spans: DataFrame) -> DataFrame:
     return timed.groupBy("parent_run_id").agg((F.max(start + F.col("latency_ms")) - F.min(start)).alias("workflow_ms"), F.sum("latency_ms").alias("children_ms"), F.count("*").alias("nodes"))
 
 
-def token_cost(spans: DataFrame, price_in: float = 0.001, price_out: float = 0.002) -> DataFrame:
-    """(parent_run_id, prompt_tokens, completion_tokens, total_tokens, cost_usd) of the model calls among the spans."""
+def workflow_latency(spans: DataFrame) -> DataFrame:
+    """(id, workflow_ms, children_ms, nodes, per_node) of spans without a parent: their own time, and that of their children in order of start.
+
+    spans: (id, parent_run_id, name, run_type, start_time, end_time). A span without both times takes none: 0 for a parent, left out of the nodes for a child.
+    """
+    ms = F.unix_millis(F.col("end_time").cast("timestamp")) - F.unix_millis(F.col("start_time").cast("timestamp"))
+    timed = spans.select("id", "parent_run_id", F.coalesce("name", F.lit("unknown")).alias("name"), F.coalesce("run_type", F.lit("unknown")).alias("run_type"), "start_time", ms.alias("latency_ms"))
+    nodes = F.array_sort(F.collect_list(F.struct("start_time", "id", "name", "run_type", "latency_ms")))
+    children = timed.where("parent_run_id is not null and latency_ms is not null").groupBy(F.col("parent_run_id").alias("id")).agg(F.sum("latency_ms").alias("children_ms"), F.count("*").alias("nodes"), nodes.alias("per_node"))
+    parents = timed.where("parent_run_id is null").select("id", F.coalesce("latency_ms", F.lit(0)).alias("workflow_ms"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return parents.join(children, "id", "left").select("id", "workflow_ms", zero("children_ms"), zero("nodes"), F.transform("per_node", lambda x: F.struct(x["name"], x["run_type"], x["latency_ms"])).alias("per_node"))
+
+
+def token_cost(spans: DataFrame, price_in: str = "0.001", price_out: str = "0.002") -> DataFrame:
+    """(parent_run_id, prompt_tokens, completion_tokens, total_tokens, cost_usd) of the model calls among the spans; prices are for 1,000 tokens, costs decimals of 6 places."""
     calls = lambda c: F.sum(F.when(F.col("run_type") == "llm", F.coalesce(c, F.lit(0))).otherwise(0))
     sums = spans.groupBy("parent_run_id").agg(calls("prompt_tokens").alias("prompt_tokens"), calls("completion_tokens").alias("completion_tokens"))
-    return sums.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")).withColumn("cost_usd", F.round(F.col("prompt_tokens") / 1000 * price_in + F.col("completion_tokens") / 1000 * price_out, 6))
+    cost = lambda c, price: F.col(c).cast("decimal(18,0)") * F.lit(price).cast("decimal(12,9)") / F.lit(1000).cast("decimal(4,0)")
+    total = F.round(cost("prompt_tokens", price_in) + cost("completion_tokens", price_out), 6).cast("decimal(18,6)")
+    return sums.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")).withColumn("cost_usd", total)
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:

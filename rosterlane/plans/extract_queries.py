@@ -91,15 +91,29 @@ def _elements(tag: str, rank: int, source: str, table: str = "hour_pages") -> st
 
 
 _DAY = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{d.lower()}') THEN '{d}'" for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")) + " END"
-_SLOTS = r"array_to_string(regexp_extract_all({0}, '(?i)\d{{1,2}}:\d{{2}}(?:\s*[ap]m)?'), ',')"
-
-
-@query("timings_from_pages", "hour_pages", f"""
-SELECT page_id, day, slots, status, source FROM (SELECT *, CASE WHEN contains(lower(text), 'closed') THEN 'CLOSED' WHEN contains(lower(text), 'by appointment') THEN 'BY_APPOINTMENT' WHEN contains(lower(text), 'open') OR slots <> '' THEN 'OPEN' ELSE 'UNKNOWN' END AS status
-  FROM (SELECT *, {_DAY.format('text')} AS day, {_SLOTS.format('text')} AS slots FROM ({_elements('tr', 0, 'table')} UNION ALL {_elements('li', 1, 'list')}) e WHERE length(text) BETWEEN 6 AND 999) f WHERE day IS NOT NULL OR slots <> '') g
-QUALIFY row_number() OVER (PARTITION BY page_id, day, slots ORDER BY rank, k) = 1""")
+_SLOTS = r"array_to_string(regexp_extract_all(text, '\d{1,2}:\d{2}\s*(?:am|pm|AM|PM)?'), ',')"
+_STATUS = r"CASE WHEN contains(lower(text), 'closed') THEN 'CLOSED' WHEN contains(lower(text), 'by appointment') OR contains(lower(text), 'appointment only') THEN 'BY_APPOINTMENT' WHEN contains(lower(text), 'open') OR regexp_matches(text, '\d{1,2}:\d{2}') THEN 'OPEN' END"
+_NAMED_DAY = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
+_DEFINED = r"<dt>([^<]*)</dt>\s*<dd>([^<]*)</dd>"
+
+
+def _pairs(table: str, pattern: str, rank: int, source: str) -> str:
+    """DuckDB: (page_id, rank, source, k, term, text) of a pattern's two groups."""
+    found = [f"regexp_extract_all(html, '{pattern}', {group})" for group in (1, 2)]
+    return f"SELECT page_id, {rank} AS rank, '{source}' AS source, unnest(range(1, len(a) + 1)) AS k, unnest(a) AS term, unnest(b) AS text FROM (SELECT page_id, {found[0]} AS a, {found[1]} AS b FROM {table}) p"
+
+
+@query("timings_from_pages", "hour_pages", rf"""
+SELECT page_id, day, slots, status, raw_text, source FROM (
+  SELECT page_id, rank, k, coalesce({_DAY.format("coalesce(term, text)")}, term) AS day, {_SLOTS} AS slots, {_STATUS} AS status, CASE WHEN term IS NULL THEN text ELSE term || ': ' || text END AS raw_text, source FROM (
+    SELECT page_id, 0 AS rank, 'selector' AS source, unnest(range(1, len(a) + 1)) AS k, NULL AS term, unnest(a) AS text FROM (SELECT page_id, regexp_extract_all(html, '<(?:div|p) (?:class|id)="[^"]*hours[^"]*">([^<]*)<', 1) AS a FROM hour_pages) p
+    UNION ALL SELECT * FROM ({_pairs("hour_pages", "<tr[^>]*><t[dh]>([^<]*)</t[dh]><t[dh]>([^<]*)</t[dh]>", 100, "table")}) t WHERE regexp_matches(term, '(?i)Mon|Tue|Wed|Thu|Fri|Sat|Sun') OR regexp_matches(text, '(?i)\d{{1,2}}:\d{{2}}|am|pm|closed')
+    UNION ALL {_pairs("hour_pages", _DEFINED, 200, "definition-list")}
+    UNION ALL SELECT page_id, rank, source, k, NULL, text FROM ({_elements('li', 300, 'list')}) l WHERE regexp_matches(text, '(?i){_NAMED_DAY}') OR regexp_matches(text, '\d{{1,2}}:\d{{2}}')
+    UNION ALL SELECT page_id, rank, source, k, NULL, text FROM ({_elements('div', 400, 'div')}) d WHERE length(text) BETWEEN 11 AND 149 AND regexp_matches(text, '(?i)^(?:{_NAMED_DAY})') AND regexp_matches(text, '\d{{1,2}}:\d{{2}}')) e) f
+WHERE day IS NOT NULL OR slots <> '' QUALIFY row_number() OVER (PARTITION BY page_id, day, slots, status ORDER BY rank, k) = 1""")
 def timings(t):
-    return x.timings_from_pages(t("hour_pages")).drop("raw_text")
+    return x.timings_from_pages(t("hour_pages"))
 
 
 @query("affiliations_from_pages", "hour_pages", f"""
@@ -118,27 +132,55 @@ def union(t):
     return x.merge_affiliations(found, stored).withColumn("name", F.regexp_replace("name", "HOSPITAL", "Hospital"))
 
 
-@query("hospital_names", "hospital_texts", r"""
-SELECT id, coalesce(nullif(trim(regexp_extract(text, '([A-Z][a-zA-Z\s&''-]+(?:Hospital|Medical Center|Health System|Clinic|Healthcare|Medical Group))', 1)), ''), nullif(trim(regexp_extract(text, '([A-Z][a-zA-Z\s&''-]{5,}(?:Hospital|Medical|Clinic|Health))', 1)), ''),
-  CASE WHEN (contains(lower(text), 'hospital') OR contains(lower(text), 'medical center')) AND length(text) < 100 THEN trim(text) END) AS name,
-  CASE WHEN regexp_matches(text, '([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})') THEN regexp_extract(text, '([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})', 1) || ', ' || regexp_extract(text, '([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})', 2) END AS place FROM hospital_texts""")
+_HOSPITAL = r"""coalesce(nullif(trim(regexp_extract(text, '([A-Z][a-zA-Z\s&''-]+(?:Hospital|Medical Center|Health System|Clinic|Healthcare|Medical Group))', 1)), ''), nullif(trim(regexp_extract(text, '([A-Z][a-zA-Z\s&''-]{5,}(?:Hospital|Medical|Clinic|Health))', 1)), ''),
+  CASE WHEN (contains(lower(text), 'hospital') OR contains(lower(text), 'medical center')) AND length(text) < 100 THEN trim(text) END)"""
+_AT = r"CASE WHEN regexp_matches(text, '([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})') THEN regexp_extract(text, '([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})', 1) || ', ' || regexp_extract(text, '([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})', 2) END"
+
+
+@query("hospital_names", "hospital_texts", f"SELECT id, {_HOSPITAL} AS name, {_AT} AS place FROM hospital_texts")
 def hospitals(t):
     return t("hospital_texts").select("id", x.hospital_name(F.col("text")).alias("name"), x.place_of(F.col("text")).alias("place"))
 
 
-@query("definition_timings", "listing_pages", """
-SELECT s_suppkey AS page_id, 'Monday' AS day, CAST(1 + s_suppkey % 9 AS VARCHAR) || ':15 am' AS slots, 'OPEN' AS status, 'Monday: ' || CAST(1 + s_suppkey % 9 AS VARCHAR) || ':15 am' AS raw_text FROM supplier
-UNION ALL SELECT s_suppkey, 'Sunday', '', 'CLOSED', 'On Sunday: closed' FROM supplier""")
+def _marked(sources: str, rank: int, pattern: str) -> str:
+    """DuckDB: (provider_id, source, city, state, rank, text) of a pattern's first group on the pages of some sources."""
+    return f"SELECT provider_id, source, city, state, {rank} AS rank, unnest(regexp_extract_all(html, '{pattern}', 1)) AS text FROM source_pages WHERE source IN ({sources})"
+
+
+@query("source_affiliations", "source_pages", f"""
+SELECT provider_id, name, location, 'Physician' AS role, 'ACTIVE' AS status, 'HOSPITAL' AS kind, source FROM (SELECT provider_id, source, rank, {_HOSPITAL} AS name, coalesce({_AT}, city || ', ' || state) AS location FROM (
+  {_marked("'HEALTHGRADES', 'VITALS', 'WEBMD'", 1, '<div class="main-hospital">([^<]*)<')} UNION ALL {_marked("'VITALS', 'WEBMD'", 2, '<span class="facility">([^<]*)<')}
+  UNION ALL {_marked("'WEBMD'", 3, '<p class="location">([^<]*)<')} UNION ALL {_marked("'HEALTHGRADES'", 100, '<li>([^<]*Medical Center)<')}) m) n
+WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY provider_id, lower(trim(name)) ORDER BY source, rank, name, location) = 1""")
+def affiliations_of_sources(t):
+    """The sources' order is that of their names."""
+    return x.source_affiliations(t("source_pages"))
+
+
+@query("source_profiles", "source_pages", """
+SELECT page_id, source, CASE WHEN starts_with(link, 'http') THEN link ELSE site || link END AS profile_url FROM (SELECT page_id, source, site, list_filter(links, lambda h: contains(h, path))[1] AS link FROM (
+  SELECT page_id, source, regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1) AS links, CASE source WHEN 'HEALTHGRADES' THEN '/physician/' WHEN 'VITALS' THEN '/doctors/' WHEN 'WEBMD' THEN '/doctor/' ELSE '/pub/' END AS path,
+    CASE source WHEN 'HEALTHGRADES' THEN 'https://www.healthgrades.com' WHEN 'VITALS' THEN 'https://www.vitals.com' WHEN 'WEBMD' THEN 'https://doctor.webmd.com' ELSE 'https://www.doximity.com' END AS site FROM source_pages) a) b
+WHERE link IS NOT NULL AND NOT (source = 'DOXIMITY' AND contains(link, '/search'))""")
+def profiles(t):
+    return x.source_profiles(t("source_pages"))
+
+
+@query("definition_timings", "listing_pages", f"""
+SELECT page_id, coalesce({_DAY.format("term")}, term) AS day, {_SLOTS} AS slots, {_STATUS} AS status, term || ': ' || text AS raw_text FROM ({_pairs("listing_pages", _DEFINED, 200, "definition-list")}) d""")
 def defined(t):
     return x.definition_timings(t("listing_pages")).drop("place")
 
 
-_CELLS = "list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(regexp_replace(c, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')))"
+_LINED = r"trim(regexp_replace(regexp_replace(regexp_replace(c, '(?i)<br[^>]*>|</(?:div|p|li|dd|dt)>', chr(10), 'g'), '<[^>]+>', '', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), E' \n\t')"
+_CELLS = f"list_transform(regexp_extract_all(r, '(?is)<td[^>]*>(.*?)</td>', 1), lambda c: {_LINED})"
+_SAID = r"nullif(trim(regexp_extract(c[3], '(?i){0}:\s*([^\n]+)', 1)), '') AS {1}"
 
 
-@query("listing_rows", "listing_pages", f"""
-SELECT page_id, c[1] AS name, c[2] AS specialty, c[3] AS license, c[4] AS affiliations, c[5] AS hours, lower(c[6]) = 'yes' AS accepting_new_patients, lower(c[7]) = 'yes' AS telehealth
-FROM (SELECT page_id, {_CELLS} AS c FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1)) AS r FROM listing_pages) a) b WHERE len(c) >= 7 AND lower(c[1]) <> 'name'""")
+@query("listing_rows", "listing_pages", rf"""
+SELECT page_id, c[1] AS name, c[2] AS specialty, {_SAID.format("License Number", "license_number")}, {_SAID.format("State", "license_state")}, {_SAID.format("Status", "license_status")}, c[4] AS affiliations, c[5] AS hours, contains(lower(c[6]), 'yes') AS accepting_new_patients, contains(lower(c[7]), 'yes') AS telehealth,
+  nullif(regexp_extract(coalesce(c[8], ''), '\(?\d{{3}}\)?[\s.-]?\d{{3}}[\s.-]?\d{{4}}'), '') AS phone, nullif(trim(regexp_extract(coalesce(c[8], ''), '(?i)Address:\s*(.+?)(?:\n|$)', 1)), '') AS address
+FROM (SELECT page_id, {_CELLS} AS c FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1)) AS r FROM listing_pages) a) b WHERE len(c) >= 7 AND c[1] <> '' AND NOT contains(lower(c[1]), 'provider')""")
 def listed(t):
     return x.listing_rows(t("listing_pages")).drop("row")
 

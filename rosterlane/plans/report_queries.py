@@ -109,7 +109,20 @@ def spans(t):
 SELECT parent_run_id, p AS prompt_tokens, c AS completion_tokens, p + c AS total_tokens, round(p / 1000 * 0.001 + c / 1000 * 0.002, 6) AS cost_usd FROM
   (SELECT parent_run_id, CAST(sum(CASE WHEN run_type = 'llm' THEN coalesce(prompt_tokens, 0) ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN run_type = 'llm' THEN coalesce(completion_tokens, 0) ELSE 0 END) AS BIGINT) AS c FROM spans GROUP BY 1) x""")
 def cost(t):
-    return r.token_cost(t("spans"))
+    return r.token_cost(t("spans")).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
+_SPAN_MS = "(epoch_us(CAST(end_time AS TIMESTAMP)) // 1000 - epoch_us(CAST(start_time AS TIMESTAMP)) // 1000)"
+
+
+@query("workflow_latency", "run_spans", f"""
+SELECT p.id, coalesce({_SPAN_MS}, 0) AS workflow_ms, coalesce(c.children_ms, 0) AS children_ms, coalesce(c.nodes, 0) AS nodes, c.per_node FROM run_spans p LEFT JOIN (
+  SELECT parent_run_id, CAST(sum(ms) AS BIGINT) AS children_ms, count(*) AS nodes, string_agg(name || '/' || run_type || ' ' || CAST(ms AS VARCHAR), ', ' ORDER BY start_time, id) AS per_node FROM (
+    SELECT parent_run_id, id, start_time, coalesce(name, 'unknown') AS name, coalesce(run_type, 'unknown') AS run_type, {_SPAN_MS} AS ms FROM run_spans) x WHERE ms IS NOT NULL AND parent_run_id IS NOT NULL GROUP BY 1) c ON p.id = c.parent_run_id
+WHERE p.parent_run_id IS NULL""")
+def workflows(t):
+    told = F.array_join(F.transform("per_node", lambda n: F.concat(n["name"], F.lit("/"), n["run_type"], F.lit(" "), n["latency_ms"].cast("string"))), ", ")
+    return r.workflow_latency(t("run_spans")).withColumn("per_node", told)
 
 
 @query("trace_summary", "spans", "SELECT parent_run_id, count(*) AS nodes, CAST(sum(latency_ms) AS BIGINT) AS total_ms, string_agg(name, ' -> ' ORDER BY start_time, id) AS sequence FROM spans GROUP BY 1")

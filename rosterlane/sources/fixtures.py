@@ -145,9 +145,30 @@ FROM registry WHERE CAST(npi AS BIGINT) % 5 <> 0
     "hour_pages": (
         (),
         r"""
-SELECT s_suppkey AS page_id, CONCAT('<table><tr><td>Monday</td><td>', CAST(1 + s_suppkey % 9 AS VARCHAR(20)), ':30 AM</td></tr></table><ul><li>Monday ', CAST(1 + s_suppkey % 9 AS VARCHAR(20)),
-  ':30 AM</li><li>Sunday closed</li><li>City', CAST(s_nationkey AS VARCHAR(20)), ' Hospital</li><li>CITY', CAST(s_nationkey AS VARCHAR(20)), ' HOSPITAL</li></ul>') AS html
+SELECT s_suppkey AS page_id, CONCAT('<div class="office-hours main">Tuesday 9:00 am</div><p id="more-hours">by appointment only 8:15</p><p class="none">Wednesday</p>',
+  '<table><tr><th>Day</th><th>Hours</th></tr><tr><td>Monday</td><td>', CAST(1 + s_suppkey % 9 AS VARCHAR(20)), ':30 AM</td></tr><tr><td>Lunch</td><td>closed</td></tr></table>',
+  '<dl><dt>Opening days</dt><dt>On Friday</dt><dd>open</dd><dd>passed 1:00</dd></dl><ul><li>Monday ', CAST(1 + s_suppkey % 9 AS VARCHAR(20)),
+  ':30 AM</li><li>Sunday closed</li><li>City', CAST(s_nationkey AS VARCHAR(20)), ' Hospital</li><li>CITY', CAST(s_nationkey AS VARCHAR(20)), ' HOSPITAL</li></ul><div>Saturday from ', CAST(1 + s_suppkey % 5 AS VARCHAR(20)), ':45</div>') AS html
 FROM supplier
+""",
+    ),
+    "source_pages": (
+        ("providers",),
+        r"""
+SELECT id AS page_id, CAST(FLOOR(id / 3) AS BIGINT) AS provider_id, city, state, CASE id % 4 WHEN 0 THEN 'HEALTHGRADES' WHEN 1 THEN 'VITALS' WHEN 2 THEN 'WEBMD' ELSE 'DOXIMITY' END AS source,
+  CONCAT('<a href="/about">a</a><a class="r" href="', CASE id % 8 WHEN 0 THEN '/physician/dr-' WHEN 1 THEN '/doctors/dr-' WHEN 2 THEN '/doctor/dr-' WHEN 3 THEN '/pub/search?q=' WHEN 7 THEN '/pub/dr-' ELSE '/none/' END, CAST(id AS VARCHAR(20)),
+    '">b</a><a href="https://other.example.com/doctor/physician/9">c</a><div class="main-hospital">', CASE id % 3 WHEN 0 THEN 'Oak' WHEN 1 THEN 'Elm' ELSE 'OAK' END, ' Hospital, Springfield, IL</div><span class="facility">North ', CASE id % 5 WHEN 0 THEN 'River' ELSE 'Hill' END,
+    ' Clinic</span><p class="location">South Health System</p><ul><li>Lake Medical Center</li><li>other</li></ul>') AS html
+FROM providers
+""",
+    ),
+    "run_spans": (
+        (),
+        r"""
+SELECT -user_id AS id, CAST(NULL AS BIGINT) AS parent_run_id, 'workflow' AS name, 'chain' AS run_type, MIN(ts) AS start_time, CASE WHEN user_id % 7 = 0 THEN NULL ELSE MAX(ts) END AS end_time FROM events GROUP BY user_id
+UNION ALL
+SELECT event_id, -user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END, CASE WHEN event_id % 2 = 0 THEN 'llm' ELSE NULL END, ts,
+  CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN ts + INTERVAL '3' SECOND ELSE ts + INTERVAL '7' SECOND END FROM events
 """,
     ),
     "address_pairs": (
@@ -216,9 +237,10 @@ SELECT event_id AS id, 1995 + event_id % 7 AS run_id, event_id % 11 <> 0 AS ok,
     "listing_pages": (
         (),
         r"""
-SELECT s_suppkey AS page_id, CONCAT('<table><tr><th>Name</th><th>S</th><th>L</th><th>A</th><th>H</th><th>N</th><th>T</th></tr><tr><td>', s_name, '</td><td><b>Dentist</b></td><td>L', CAST(s_suppkey AS VARCHAR(20)),
-  '</td><td>City Hospital</td><td>Mon: 9:00 AM</td><td>', CASE WHEN s_suppkey % 2 = 0 THEN 'Yes' ELSE 'no' END, '</td><td>YES</td></tr><tr><td>short</td></tr></table><dl><dt>Opening days</dt><dt>Monday</dt><dd>', CAST(1 + s_suppkey % 9 AS VARCHAR(20)),
-  ':15 am</dd><dd>skipped</dd><dt>On Sunday</dt><dd>closed</dd></dl>') AS html
+SELECT s_suppkey AS page_id, CONCAT('<table><tr><th>Name</th><th>S</th><th>L</th><th>A</th><th>H</th><th>N</th><th>T</th></tr><tr><td>Provider</td><td>S</td><td>L</td><td>A</td><td>H</td><td>N</td><td>T</td></tr><tr><td>', s_name, '</td><td><b>Dentist</b></td><td>License Number: L', CAST(s_suppkey AS VARCHAR(20)),
+  CASE WHEN s_suppkey % 3 = 0 THEN '<br>State: CA' ELSE '' END, chr(10), CASE WHEN s_suppkey % 4 = 0 THEN ' Status: Active ' ELSE '' END, '</td><td>City Hospital</td><td>Mon: 9:00 AM', chr(10), 'Tue: closed</td><td>', CASE WHEN s_suppkey % 2 = 0 THEN 'Yes' ELSE 'no' END, '</td><td>YES</td>',
+  CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CONCAT('<td>Phone: (212) 555-', CAST(1000 + s_suppkey % 9000 AS VARCHAR(20)), CASE WHEN s_suppkey % 5 = 1 THEN '' ELSE CONCAT('<br/>Address: ', CAST(1 + s_nationkey AS VARCHAR(20)), ' Main St', chr(10), 'rest') END, '</td>') END,
+  '</tr><tr><td>short</td></tr></table><dl><dt>Opening days</dt><dt>Monday</dt><dd>', CAST(1 + s_suppkey % 9 AS VARCHAR(20)), ':15 am</dd><dd>skipped</dd><dt>On Sunday</dt><dd>closed</dd></dl>') AS html
 FROM supplier
 """,
     ),

@@ -97,9 +97,24 @@ def test_npi(spark):
 def test_office_hours_and_listing_rows(spark):
     df = spark.createDataFrame([(1, "Fri-Mon: 9:00 AM - 1:00 PM; tue: closed\nWed-Thu: By Appointment, Someday: 1")], "id int, hours string")
     assert [(r.day, r.slot, r.status) for r in extract.office_hours(df).collect()] == [("Tuesday", "closed", "CLOSED"), ("Wednesday", "By Appointment", "BY_APPOINTMENT"), ("Thursday", "By Appointment", "BY_APPOINTMENT")]
-    html = "<table><tr><th>Name</th><th>b</th><th>c</th><th>d</th><th>e</th><th>f</th><th>g</th></tr><tr><td>Ann</td><td><b>Dentist</b></td><td>L1</td><td>H</td><td>9</td><td>Yes</td><td>no</td></tr><tr><td>x</td></tr></table>"
+    html = "<table><tr><th>Name</th><th>b</th><th>c</th><th>d</th><th>e</th><th>f</th><th>g</th></tr><tr><td>Ann</td><td><b>Dentist</b></td><td><p>License Number: L1</p>State: CA<br>Status: Active</td><td>H</td><td>9</td><td>Yes</td><td>no</td><td>212.555.0101<br>Address: 1 Main St, X</td></tr><tr><td>x</td></tr></table>"
     row = extract.listing_rows(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
     assert [(r.name, r.specialty, r.accepting_new_patients, r.telehealth) for r in row] == [("Ann", "Dentist", True, False)]
+    assert [(r.license_number, r.license_state, r.license_status, r.phone, r.address) for r in row] == [("L1", "CA", "Active", "212.555.0101", "1 Main St, X")]
+
+
+def test_pages_by_selectors(spark):
+    html = [
+        '<section class="practice-hours"><p data-testid="day-hours">Monday 9:00 AM</p></section><span class="appointment">Tuesday</span><div id="x">Friday at 8:30 pm</div>',
+        "<dl><dt>Day</dt><dd>closed</dd><dd>9:00</dd></dl><ul><li>" + "x" * 200 + " Monday</li><li>no day</li></ul><br class='hours'>", "", None,
+    ]
+    rows = extract.timings_from_pages(spark.createDataFrame(list(enumerate(html)), "page_id int, html string")).collect()
+    assert sorted((r.page_id, r.day, r.slots, r.status, r.source) for r in rows) == [(0, "Friday", "8:30 pm", "OPEN", "div"), (0, "Monday", "9:00 AM", "OPEN", "selector"), (0, "Tuesday", "", None, "selector"), (1, "Day", "", "CLOSED", "definition-list")]
+    pages = [(1, "VITALS", '<div class="facility">Oak Clinic</div><div class="location">Elm Clinic</div>', "X", "CA"), (1, "HEALTHGRADES", '<ul><li>the OAK CLINIC hospital</li></ul><b class="practice-locations">Oak Clinic, Reno, NV</b>', "X", "CA"), (2, "WEBMD", None, None, None)]
+    found = extract.source_affiliations(spark.createDataFrame(pages, "provider_id int, source string, html string, city string, state string")).collect()
+    assert sorted((r.provider_id, r.name, r.location, r.source) for r in found) == [(1, "Oak Clinic", "Reno, NV", "HEALTHGRADES"), (1, "the OAK CLINIC hospital", "X, CA", "HEALTHGRADES")]
+    links = [(1, "WEBMD", "<a href='/doctor/1'>x</a>"), (2, "DOXIMITY", '<A HREF="/pub/search">x</A><a href="/pub/2">y</a>'), (3, "OTHER", '<a href="/doctor/1">x</a>')]
+    assert [tuple(r) for r in extract.source_profiles(spark.createDataFrame(links, "page_id int, source string, html string")).collect()] == [(1, "WEBMD", "https://doctor.webmd.com/doctor/1")]
 
 
 def test_csv_and_ocr_sources(spark, tmp_path):
