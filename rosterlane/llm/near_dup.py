@@ -5,7 +5,7 @@ text is one shingle). Equal sets form one class. Each class has a signature of 6
 Two signatures within distance 26 agree, by the pigeonhole principle over 20 chunks (26 = 20 * 1 + 6), in one of
 the first 7 chunks but for at most one symbol, or in one of the other 13 chunks exactly. So each signature is
 filed under every one-symbol deletion of the first 7 chunks (the allowed error, enumerated) and under the other
-13 chunks: 40 keys. At the least linked similarity, 0.85, a pair is beyond distance 26 with probability 1.6e-7.
+13 chunks: 40 keys. At the least linked similarity, 0.85, a pair is beyond distance 26 with probability 1.6e-7. Shingles are 64-bit digests: BLAKE2b of each word, mixed in a chain.
 Pairs that share a key are confirmed on the full shingle sets; links form connected components.
 
 Scale. Two scans of the text. No key's members are expanded into all pairs at first: they are compared with one
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches
-from .words import SPACED, mix, span_hash, words_of
+from .words import SPACED, chained, mix, words_of
 
 SHINGLE = 5
 SYMBOLS = 64
@@ -61,15 +61,14 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     w = words_of(column, SPACED, True)
     hashes, counts = w.hashes(), np.diff(w.first)
-    at, full = w.windows(hashes, SHINGLE)
+    at, full = w.chains(hashes, SHINGLE)
     cuts = np.searchsorted(at, w.first)
     out = []
     for row, n in enumerate(counts.tolist()):
         if n >= SHINGLE:
             out.append(np.unique(full[cuts[row] : cuts[row + 1]]))
         elif n:
-            s = w.first[row : row + 1]
-            out.append(span_hash(hashes[s[0] : s[0] + n], np.array([0]), np.array([n]), 0xD1342543DE82EF95, 1))
+            out.append(chained(hashes, w.first[row : row + 1], n))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -121,10 +121,10 @@ class WaveletMatrix:
 def encode_rows(data: str, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, lengths) of the texts, each with the end id."""
     e = encoder(data)
-    rows, text, starts, ends, hashes, first = e.pretokens(texts)
+    rows, distinct, which, first = e.pretokens(texts)
     ids, total = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-    if len(hashes):
-        flat, low, length, which = e.ids_of(text, starts, ends, hashes)
+    if len(which):
+        flat, low, length = e.ids_of(distinct.to_pylist())
         each = length[which]
         total = np.concatenate(([0], np.cumsum(each)))
         ids = flat[np.repeat(low[which] - total[:-1], each) + np.arange(total[-1])]

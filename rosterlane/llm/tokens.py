@@ -9,9 +9,10 @@ A text takes this way only where it is proven to agree with the library: all its
 (letter, number, mark or sign) since an old Unicode version, it holds no special string, and its normal form is
 plain lower case. Any other text is given to the library whole. Both ways cover whole texts.
 
-Scale. One pass without a shuffle; what is broadcast is the tokenizer file (2 MB) and the hashes of its vocabulary.
+Scale. One pass without a shuffle; what is broadcast is the tokenizer file (2 MB) and the proven strings of its vocabulary.
 
-Cases. Null counts as the empty text: 0 bytes, 0 tokens. Repeated rows and ids are counted row by row.
+Cases. Null counts as the empty text: 0 bytes, 0 tokens. Repeated rows and ids are counted row by row; an empty table gives no
+rows, extra columns are ignored, a very long text is a batch of its own.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .words import span_hash, text_bytes, with_long
+from .words import text_bytes
 
 LIMIT = 2048
-_REMEMBERED = 2_000_000  # about 40 bytes each
+_REMEMBERED = 400_000  # about 200 bytes each
 _TOGETHER = 64
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
 
@@ -94,9 +95,9 @@ def boundaries(cps: np.ndarray, docs: np.ndarray, words_only: bool) -> np.ndarra
 
 
 class Encoder:
-    """One per worker process: the library's tokenizer, the proven hashes, and what has been merged so far."""
+    """One per worker process: the library's tokenizer, the proven strings, and what has been merged so far."""
 
-    def __init__(self, data: str, whole: np.ndarray | None = None):
+    def __init__(self, data: str, whole: frozenset[str] = frozenset()):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,52 +153,51 @@ class Encoder:
             cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         return rows, text, cps, docs
 
-    def pretokens(self, texts: list[str]):
-        """(rows, text, starts, ends, hashes, first): pre-tokens first[k]:first[k + 1] belong to rows[k]."""
+    def pretokens(self, texts: list[str]) -> tuple[list[int], pa.Array, np.ndarray, np.ndarray]:
+        """(rows, distinct, which, first): rows[k] has pre-tokens first[k]:first[k + 1], and pre-token i is distinct[which[i]].
+
+        Pre-tokens are told apart by their bytes, so two never count as one.
+        """
         rows, text, cps, docs = self.plain(texts)
         starts = boundaries(cps, docs, self.words_only) if len(cps) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(cps))[: len(starts)]
+        raw = text.encode()
+        at = np.append(starts, len(cps))
+        if len(raw) != len(cps):
+            at = np.concatenate(([0], np.cumsum(1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000))))[at]
+        tiles = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        which, distinct = tiles.indices.to_numpy(), tiles.dictionary
         if self.words_only and len(starts):
             seen = classes()[cps[starts]] != _SPACE
-            starts, ends = starts[seen], ends[seen]
-        hashes = hash_spans(cps, starts, ends)
-        return rows, text, starts, ends, hashes, np.searchsorted(starts, docs)
-
-    def ids_of(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(flat, low, length, which): pre-token i is distinct pre-token k = which[i], with ids flat[low[k]:low[k] + length[k]]."""
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > _REMEMBERED:
+            starts, which = starts[seen], which[seen]
+        return rows, distinct, which, np.searchsorted(starts, docs)
+
+    def ids_of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, low, length): pre-token k of these distinct ones has the ids flat[low[k]:low[k] + length[k]]."""
+        if len(self.slot) + len(strings) > _REMEMBERED:
             self.forget()
-        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        seen = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
-        slot = np.full(len(distinct), -1, np.int64)
-        slot[seen] = self.slot[place[seen]]
-        missing = np.flatnonzero(~seen)
-        if len(missing):
-            low, high = starts[at[missing]].tolist(), ends[at[missing]].tolist()
-            ids, lengths = self.merge([text[a:b] for a, b in zip(low, high, strict=True)])
-            slot[missing] = len(self.low) - 1 + np.arange(len(missing))
-            known = np.concatenate((self.known, distinct[missing]))
-            order = np.argsort(known, kind="stable")  # two sorted runs: merged in one pass
-            self.known, self.slot = known[order], np.concatenate((self.slot, slot[missing]))[order]
+        missing = [s for s in strings if s not in self.slot]
+        if missing:
+            ids, lengths = self.merge(missing)
+            self.slot.update(zip(missing, range(len(self.low) - 1, len(self.low) - 1 + len(missing)), strict=True))
             self.low = np.append(self.low, self.low[-1] + np.cumsum(lengths))
             self.flat = np.append(self.flat, ids)
-        return self.flat, self.low[slot], self.low[slot + 1] - self.low[slot], which
+        slot = np.fromiter(map(self.slot.__getitem__, strings), np.int64, len(strings))
+        return self.flat, self.low[slot], self.low[slot + 1] - self.low[slot]
 
     def forget(self) -> None:
-        """The memory: sorted hashes, their slots, and per slot the place of its ids."""
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        """The memory: a slot for each string, and per slot the place of its ids."""
+        self.slot: dict[str, int] = {}
         self.low, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
-        rows, text, starts, ends, hashes, first = self.pretokens(texts)
-        each = np.ones(len(hashes), dtype=np.int64)
-        known = self.whole[np.minimum(np.searchsorted(self.whole, hashes), len(self.whole) - 1)] == hashes
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            _, _, length, which = self.ids_of(text, starts[rest], ends[rest], hashes[rest])
-            each[rest] = length[which]
+        rows, distinct, which, first = self.pretokens(texts)
+        strings = distinct.to_pylist()
+        alone = np.ones(len(strings), dtype=np.int64)
+        rest = [k for k, s in enumerate(strings) if s not in self.whole]
+        if rest:
+            alone[rest] = self.ids_of([strings[k] for k in rest])[2]
+        each = alone[which]
         total = np.concatenate(([0], np.cumsum(each)))
         out[rows] = total[first[1:]] - total[first[:-1]]
         others = sorted(set(range(len(texts))) - set(rows))
@@ -206,11 +206,6 @@ class Encoder:
         return out
 
 
-def hash_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    hashes = span_hash(cps.astype(np.uint64) + np.uint64(0x51ED27), starts, ends, 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    return with_long(hashes, cps, starts, ends)
-
-
 def whole_tokens(data: str) -> list[str]:
     """The vocabulary's strings that, alone, are one pre-token and encode as one token: proven by encoding each."""
     from tokenizers import Tokenizer
@@ -235,18 +230,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def whole_hashes(strings: list[str]) -> np.ndarray:
-    cps = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
-    at = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
-    hashes = np.unique(hash_spans(cps, at[:-1], at[1:]))
-    assert len(hashes) == len(set(strings)), "two vocabulary strings share a hash"
-    return hashes
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(data: str, whole: np.ndarray | None = None) -> Encoder:
+def encoder(data: str, whole: frozenset[str] = frozenset()) -> Encoder:
     """This process's encoder for a tokenizer file's content."""
     if data not in _ENCODERS:
         _ENCODERS.clear()
@@ -265,7 +252,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     spark: SparkSession = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         data = f.read()
-    sent = spark.sparkContext.broadcast((data, whole_hashes(whole_tokens(data))))
+    sent = spark.sparkContext.broadcast((data, frozenset(whole_tokens(data))))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, at = text_bytes(batch.column("text"))

@@ -19,13 +19,9 @@ SPACED = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 ALNUM = (_BYTES >= 0x80) | ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A))
 _FOLD = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
-_B = 0x9E3779B97F4A7C15
-_B_INV = pow(_B, -1, 1 << 64)
 _Q = 0xD1342543DE82EF95
 _Q_INV = pow(_Q, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
-LONG = 64
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -54,14 +50,11 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((total[ends] - total[starts]) * powers(inverse, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def with_long(hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """hashes with those of spans of over LONG units taken from BLAKE2b.
-
-    Whatever its base, a polynomial modulo 2**64 has texts of a thousand letters and more that collide; short ones only do by chance.
-    """
-    for i in np.flatnonzero(ends - starts > LONG).tolist():
-        hashes[i] = int.from_bytes(blake2b(units[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return hashes
+def chained(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    h = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        h = mix((h ^ hashes[at + k]) * np.uint64(_Q))
+    return h
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +66,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def digests(distinct: pa.Array) -> np.ndarray:
+    """64 bits of BLAKE2b of each binary value."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in distinct.to_pylist()]), "<u8")
+
+
 @dataclass
 class Words:
     raw: np.ndarray  # bytes, lower-cased where asked
@@ -81,8 +79,22 @@ class Words:
     ends: np.ndarray
     first: np.ndarray  # row i has words first[i]:first[i + 1]
 
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        """(which, distinct): word i is distinct[which[i]]. Words are told apart by their bytes, not by a hash of them."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+        cuts = np.stack((self.starts, self.ends), axis=1).reshape(-1).astype(np.int64)  # a word, what lies between, a word ..
+        tiles = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(self.raw))])
+        told = tiles.dictionary_encode()
+        which = told.indices.to_numpy()[::2]
+        is_word = np.zeros(len(told.dictionary), bool)
+        is_word[which] = True
+        return (np.cumsum(is_word) - 1)[which], told.dictionary.filter(pa.array(is_word))
+
     def hashes(self) -> np.ndarray:
-        return with_long(span_hash(_TABLE[self.raw], self.starts, self.ends, _B, _B_INV), self.raw, self.starts, self.ends)
+        """BLAKE2b of each word, computed once per distinct word."""
+        which, distinct = self.coded()
+        return digests(distinct)[which]
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.docs) - 1), np.diff(self.first))
@@ -93,6 +105,12 @@ class Words:
         at = np.flatnonzero(left >= n)
         return at, span_hash(hashes, at, at + n, _Q, _Q_INV)
 
+    def chains(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """As windows(), by a chain of mixings: no sum of word hashes decides it, so words can't be chosen to balance."""
+        left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.starts))
+        at = np.flatnonzero(left >= n)
+        return at, chained(hashes, at, n)
+
 
 def words_of(column: pa.Array, is_word: np.ndarray, fold: bool) -> Words:
     raw, docs = text_bytes(column)

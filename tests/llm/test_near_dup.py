@@ -2,8 +2,11 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+from rosterlane.llm import near_dup
 from rosterlane.llm.near_dup import CHUNKS, DISTANCE, SYMBOLS, chunk_keys, deduplicate, near_duplicates, op6_near_duplicates
 from tests.llm import cases
+from tests.llm.test_tokens import SHORT_TWINS
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -166,3 +169,9 @@ def test_rows_near_what_a_cluster_shares_are_connected(spark):
         return {frozenset(i for i in by if find(i) == r) for r in map(find, by)}
 
     assert groups(got) == groups([(x[1], y[1]) for x, y in combinations(rows, 2) if is_close(x, y)]) and len(got) < 3 * len(rows)
+
+
+def test_short_words_that_a_sum_confuses():
+    for x, y in SHORT_TWINS:
+        a, b = near_dup.shingle_sets(pa.array([f"one two {x} three four", f"one two {y} three four"]))
+        assert len(a) == len(b) == 1 and a[0] != b[0]

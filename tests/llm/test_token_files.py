@@ -7,7 +7,7 @@ from rosterlane.llm.common import scratch
 from rosterlane.llm.token_files import WaveletMatrix, count_token, encode_rows, find_token, op7_token_files, read_tokens, write_tokens
 from rosterlane.llm.tokens import tokenizer_file
 from tests.llm import cases
-from tests.llm.test_tokens import texts, twins
+from tests.llm.test_tokens import SHORT_TWINS, texts, twins
 from tokenizers import Tokenizer
 
 FILE = tokenizer_file("byte_bpe_50k.json")
@@ -42,7 +42,7 @@ def test_encoding_equals_the_library_on_odd_texts():
     t, odd = Tokenizer.from_file(FILE), texts()
     ids, lengths = encode_rows(open(FILE).read(), odd, 0)
     at = np.concatenate(([0], np.cumsum(lengths)))
-    odd = [*odd, *twins()]
+    odd = [*odd, *twins(), *SHORT_TWINS[0], *SHORT_TWINS[1]]
     ids, lengths = encode_rows(open(FILE).read(), odd, 0)
     at = np.concatenate(([0], np.cumsum(lengths)))
     for k, x in enumerate(odd):

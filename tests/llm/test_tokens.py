@@ -1,6 +1,6 @@
 import random
 
-from rosterlane.llm.tokens import Encoder, count_tokens, op3_token_counts, tokenizer_file, whole_hashes, whole_tokens
+from rosterlane.llm.tokens import Encoder, count_tokens, op3_token_counts, tokenizer_file, whole_tokens
 from tests.llm import cases
 from tokenizers import Tokenizer
 
@@ -27,7 +27,7 @@ def test_query_against_the_library(spark, sf_dir):
 def test_both_ways_equal_the_library_on_odd_texts():
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         data = open(tokenizer_file(name)).read()
-        e, t = Encoder(data, whole_hashes(whole_tokens(data))), Tokenizer.from_str(data)
+        e, t = Encoder(data, frozenset(whole_tokens(data))), Tokenizer.from_str(data)
         odd = texts()
         assert e.counts(odd).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
         assert len(e.plain(odd)[0]) > 300
@@ -39,6 +39,10 @@ def test_awkward_rows(spark):
     assert count_tokens(cases.empty(spark), tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
+#: Found by lattice reduction: the sums of (code point + 0x51ED27) * 0x9E3779B97F4A7C15**i agree modulo 2**64.
+SHORT_TWINS = [("deaaaaaeaacaaabcaabaac", "aacadadabaadbcaaebadaa"), ("abbabaacaacaaabbbaaaacaaaadb", "aaabaaaacaabcaaaacbadaaabdaa")]
+
+
 def twins(n=4096):
     """Two words that every polynomial hash modulo 2**64 takes for one."""
     a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
@@ -48,7 +52,7 @@ def twins(n=4096):
 def test_words_that_a_polynomial_hash_confuses():
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         data = open(tokenizer_file(name)).read()
-        e, t = Encoder(data, whole_hashes(whole_tokens(data))), Tokenizer.from_str(data)
-        x, y = twins()
-        for texts in ([x, y, f"one {x} and {y}"], [y, x]):
-            assert e.counts(texts).tolist() == [len(t.encode(s, add_special_tokens=False).ids) for s in texts]
+        e, t = Encoder(data, frozenset(whole_tokens(data))), Tokenizer.from_str(data)
+        for x, y in [*SHORT_TWINS, twins()]:
+            for texts in ([x, y, f"one {x} and {y}"], [y, x]):
+                assert e.counts(texts).tolist() == [len(t.encode(s, add_special_tokens=False).ids) for s in texts]
