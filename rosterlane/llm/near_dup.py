@@ -5,7 +5,8 @@ text is one shingle). Equal sets form one class. Each class has a signature of 6
 Two signatures within distance 26 agree, by the pigeonhole principle over 20 chunks (26 = 20 * 1 + 6), in one of
 the first 7 chunks but for at most one symbol, or in one of the other 13 chunks exactly. So each signature is
 filed under every one-symbol deletion of the first 7 chunks (the allowed error, enumerated) and under the other
-13 chunks: 40 keys. At the least linked similarity, 0.85, a pair is beyond distance 26 with probability 1.6e-7. Shingles are 64-bit digests: BLAKE2b of each word, mixed in a chain.
+13 chunks: 40 keys. At the least linked similarity, 0.85, a pair is beyond distance 26 with probability 1.6e-7. Shingles are 64-bit hashes under a key
+drawn for the run (multilinear in a word's bytes, a chain over words), so no text can be made to collide.
 Pairs that share a key are confirmed on the full shingle sets; links form connected components.
 
 Scale. Two scans of the text. No key's members are expanded into all pairs at first: they are compared with one
@@ -23,6 +24,9 @@ are ignored by near_duplicates(); deduplicate() returns the input's columns.
 
 from __future__ import annotations
 
+import secrets
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -57,10 +61,10 @@ def chunk_keys(symbols: int, chunks: int, distance: int) -> list[tuple[int, ...]
 _KEYS = chunk_keys(SYMBOLS, CHUNKS, DISTANCE)
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, key: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     w = words_of(column, SPACED, True)
-    hashes, counts = w.hashes(), np.diff(w.first)
+    hashes, counts = w.hashes(key), np.diff(w.first)
     at, full = w.chains(hashes, SHINGLE)
     cuts = np.searchsorted(at, w.first)
     out = []
@@ -74,8 +78,8 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = shingle_sets(batch.column("text"))
+def _signed(batch: pa.RecordBatch, key: int = 0) -> pa.RecordBatch:
+    sets = shingle_sets(batch.column("text"), key)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     full = np.flatnonzero(sizes)
     hi, lo = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -103,8 +107,8 @@ def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = shingle_sets(batch.column("text"))
+def _set_rows(batch: pa.RecordBatch, key: int = 0) -> pa.RecordBatch:
+    sets = shingle_sets(batch.column("text"), key)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.view(np.int64)))
@@ -152,7 +156,8 @@ def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = cut(map_batches(base, _signed, "id long, n long, hi long, lo long, keys array<long>"))
+    key = secrets.randbits(64)
+    signed = cut(map_batches(base, partial(_signed, key=key), "id long, n long, hi long, lo long, keys array<long>"))
     named = signed.where("id is not null and n > 0")
     classes = cut(named.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
@@ -161,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(filed.join(shared, "key", "left_semi"))
     nodes = members.select("node").distinct()
     texts = base.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi")
-    sets = cut(map_batches(texts, _set_rows, "node long, n long, shingles array<long>").where("n > 0"))
+    sets = cut(map_batches(texts, partial(_set_rows, key=key), "node long, n long, shingles array<long>").where("n > 0"))
     roots = components(members, sets, cut(nodes.select("node", F.col("node").alias("root"))))
     roots = join_shared_ids(named.select("id", "hi", "lo"), classes.select("hi", "lo", "node"), roots)
 

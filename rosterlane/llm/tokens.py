@@ -97,7 +97,7 @@ def boundaries(cps: np.ndarray, docs: np.ndarray, words_only: bool) -> np.ndarra
 class Encoder:
     """One per worker process: the library's tokenizer, the proven strings, and what has been merged so far."""
 
-    def __init__(self, data: str, whole: frozenset[str] = frozenset()):
+    def __init__(self, data: str, whole: dict[str, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,7 +105,7 @@ class Encoder:
         told = json.loads(data)
         self.words_only = told["normalizer"] is not None
         self.special = [t["content"] for t in told["added_tokens"]]
-        self.whole = whole
+        self.whole = whole or {}
         self.forget()
 
     def encode(self, texts: list[str]) -> list[tuple[int, ...]]:
@@ -175,29 +175,28 @@ class Encoder:
         """(flat, low, length): pre-token k of these distinct ones has the ids flat[low[k]:low[k] + length[k]]."""
         if len(self.slot) + len(strings) > _REMEMBERED:
             self.forget()
-        missing = [s for s in strings if s not in self.slot]
-        if missing:
+        known = self.slot.get
+        slot = np.array([known(s, -1) for s in strings], dtype=np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            missing = [strings[k] for k in new.tolist()]
             ids, lengths = self.merge(missing)
-            self.slot.update(zip(missing, range(len(self.low) - 1, len(self.low) - 1 + len(missing)), strict=True))
+            slot[new] = len(self.low) - 1 + np.arange(len(new))
+            self.slot.update(zip(missing, slot[new].tolist(), strict=True))
             self.low = np.append(self.low, self.low[-1] + np.cumsum(lengths))
             self.flat = np.append(self.flat, ids)
-        slot = np.fromiter(map(self.slot.__getitem__, strings), np.int64, len(strings))
         return self.flat, self.low[slot], self.low[slot + 1] - self.low[slot]
 
     def forget(self) -> None:
-        """The memory: a slot for each string, and per slot the place of its ids."""
-        self.slot: dict[str, int] = {}
-        self.low, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        """The memory: a slot for each string, and per slot the place of its ids. The proven strings stay."""
+        self.slot = dict(zip(self.whole, range(len(self.whole)), strict=True))
+        self.low, self.flat = np.arange(len(self.whole) + 1), np.fromiter(self.whole.values(), np.uint32, len(self.whole))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
         rows, distinct, which, first = self.pretokens(texts)
-        strings = distinct.to_pylist()
-        alone = np.ones(len(strings), dtype=np.int64)
-        rest = [k for k, s in enumerate(strings) if s not in self.whole]
-        if rest:
-            alone[rest] = self.ids_of([strings[k] for k in rest])[2]
-        each = alone[which]
+        _, _, length = self.ids_of(distinct.to_pylist())
+        each = length[which]
         total = np.concatenate(([0], np.cumsum(each)))
         out[rows] = total[first[1:]] - total[first[:-1]]
         others = sorted(set(range(len(texts))) - set(rows))
@@ -206,8 +205,8 @@ class Encoder:
         return out
 
 
-def whole_tokens(data: str) -> list[str]:
-    """The vocabulary's strings that, alone, are one pre-token and encode as one token: proven by encoding each."""
+def whole_tokens(data: str) -> dict[str, int]:
+    """The vocabulary's strings that, alone, are one pre-token and encode as one token, and that token: proven by encoding each."""
     from tokenizers import Tokenizer
 
     t, suffix = Tokenizer.from_str(data), json.loads(data)["model"]["end_of_word_suffix"] or ""
@@ -220,7 +219,7 @@ def whole_tokens(data: str) -> list[str]:
             except UnicodeDecodeError:
                 continue  # part of a character
     encoded = t.encode_batch_fast([s for s, _ in strings], add_special_tokens=False)
-    return [s for (s, i), e in zip(strings, encoded, strict=True) if e.ids == [i]]
+    return {s: i for (s, i), e in zip(strings, encoded, strict=True) if e.ids == [i]}
 
 
 def byte_letters() -> dict[int, str]:
@@ -233,7 +232,7 @@ def byte_letters() -> dict[int, str]:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(data: str, whole: frozenset[str] = frozenset()) -> Encoder:
+def encoder(data: str, whole: dict[str, int] | None = None) -> Encoder:
     """This process's encoder for a tokenizer file's content."""
     if data not in _ENCODERS:
         _ENCODERS.clear()
@@ -252,7 +251,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     spark: SparkSession = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         data = f.read()
-    sent = spark.sparkContext.broadcast((data, frozenset(whole_tokens(data))))
+    sent = spark.sparkContext.broadcast((data, whole_tokens(data)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, at = text_bytes(batch.column("text"))

@@ -7,7 +7,7 @@ code points (and takes all others) can be decided byte by byte.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from hashlib import blake2b
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +66,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def digests(distinct: pa.Array) -> np.ndarray:
-    """64 bits of BLAKE2b of each binary value."""
-    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in distinct.to_pylist()]), "<u8")
+@lru_cache(maxsize=4)
+def _draws(key: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.random.default_rng([key, lane]).integers(0, 1 << 64, size, dtype=np.uint64) for lane in (0, 1))
+
+
+def draws(key: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two random numbers for each place of a word of at most n bytes; longer draws begin with the shorter ones."""
+    return _draws(key, 1 << max(8, (n - 1).bit_length()))
 
 
 @dataclass
@@ -91,10 +96,16 @@ class Words:
         is_word[which] = True
         return (np.cumsum(is_word) - 1)[which], told.dictionary.filter(pa.array(is_word))
 
-    def hashes(self) -> np.ndarray:
-        """BLAKE2b of each word, computed once per distinct word."""
-        which, distinct = self.coded()
-        return digests(distinct)[which]
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """64 bits of each word by two multilinear hashes of its bytes: with a secret key, two different words agree with probability 2**-64."""
+        sizes = self.ends - self.starts
+        if not len(sizes):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+        units = self.raw[place + np.repeat(self.starts, sizes)].astype(np.uint64) + np.uint64(1)
+        high, low = (np.add.reduceat(units * draw[place], first) for draw in draws(key, int(sizes.max())))
+        return (high & np.uint64(0xFFFFFFFF00000000)) | (low >> np.uint64(32))
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.docs) - 1), np.diff(self.first))
