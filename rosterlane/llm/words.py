@@ -76,6 +76,18 @@ def draws(key: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _draws(key, 1 << max(8, (n - 1).bit_length()))
 
 
+def spans_hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """64 bits of each span of bytes; spans are not empty."""
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    units = raw[place + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
+    high, low = (np.add.reduceat(units * draw[place], first) for draw in draws(key, int(sizes.max())))
+    return (high & np.uint64(0xFFFFFFFF00000000)) | (low >> np.uint64(32))
+
+
 @dataclass
 class Words:
     raw: np.ndarray  # bytes, lower-cased where asked
@@ -98,14 +110,7 @@ class Words:
 
     def hashes(self, key: int = 0) -> np.ndarray:
         """64 bits of each word by two multilinear hashes of its bytes: with a secret key, two different words agree with probability 2**-64."""
-        sizes = self.ends - self.starts
-        if not len(sizes):
-            return np.zeros(0, np.uint64)
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
-        units = self.raw[place + np.repeat(self.starts, sizes)].astype(np.uint64) + np.uint64(1)
-        high, low = (np.add.reduceat(units * draw[place], first) for draw in draws(key, int(sizes.max())))
-        return (high & np.uint64(0xFFFFFFFF00000000)) | (low >> np.uint64(32))
+        return spans_hashed(self.raw, self.starts, self.ends, key)
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.docs) - 1), np.diff(self.first))
