@@ -32,7 +32,7 @@ from .common import map_batches
 from .words import text_bytes
 
 LIMIT = 2048
-_REMEMBERED = 400_000  # about 200 bytes each
+_REMEMBERED = 1_000_000  # about 170 bytes each
 _TOGETHER = 64
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
 
@@ -55,13 +55,13 @@ def classes() -> np.ndarray:
     return out
 
 
-def boundaries(cps: np.ndarray, docs: np.ndarray, words_only: bool) -> np.ndarray:
-    """Starts of the pre-tokens of texts cps[docs[i]:docs[i + 1]]; they tile the texts.
+def boundaries(cps: np.ndarray, cls: np.ndarray, docs: np.ndarray, words_only: bool) -> np.ndarray:
+    """Starts of the pre-tokens of texts cps[docs[i]:docs[i + 1]], whose code points are of these classes; they tile the texts.
 
     words_only: the rules of the word vocabulary (numbers stand alone, white space is its own token and to be
     dropped); else those of the byte vocabulary (a space joins what follows it).
     """
-    n, cls = len(cps), classes()[cps]
+    n = len(cps)
     start = np.zeros(n + 1, dtype=bool)
     start[0] = start[docs] = True
     edge = start.copy()
@@ -136,14 +136,15 @@ class Encoder:
         out[~body] = np.fromiter(chain.from_iterable(others), np.uint32)
         return out, lengths
 
-    def plain(self, texts: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-        """The rows that may take the fast way, their joined text, its code points and the rows' offsets."""
+    def plain(self, texts: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows that may take the fast way, their joined text, its code points and their classes, and the rows' offsets."""
         rows = [i for i, t in enumerate(texts) if not any(s in t for s in self.special) and (not self.words_only or t.isascii() or unicodedata.is_normalized("NFC", t))]
         while True:
             text = "".join([texts[i] for i in rows])
             cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
             docs = np.concatenate(([0], np.cumsum([len(texts[i]) for i in rows], dtype=np.int64))).astype(np.int64)
-            unsure = np.flatnonzero(classes()[cps] == _UNSURE)
+            cls = classes()[cps]
+            unsure = np.flatnonzero(cls == _UNSURE)
             if not len(unsure):
                 break
             bad = set((np.searchsorted(docs, unsure, "right") - 1).tolist())
@@ -151,15 +152,16 @@ class Encoder:
         if self.words_only:
             text = text.lower()
             cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        return rows, text, cps, docs
+            cls = classes()[cps]
+        return rows, text, cps, cls, docs
 
     def pretokens(self, texts: list[str]) -> tuple[list[int], pa.Array, np.ndarray, np.ndarray]:
         """(rows, distinct, which, first): rows[k] has pre-tokens first[k]:first[k + 1], and pre-token i is distinct[which[i]].
 
         Pre-tokens are told apart by their bytes, so two never count as one.
         """
-        rows, text, cps, docs = self.plain(texts)
-        starts = boundaries(cps, docs, self.words_only) if len(cps) else np.zeros(0, np.int64)
+        rows, text, cps, cls, docs = self.plain(texts)
+        starts = boundaries(cps, cls, docs, self.words_only) if len(cps) else np.zeros(0, np.int64)
         raw = text.encode()
         at = np.append(starts, len(cps))
         if len(raw) != len(cps):
@@ -167,7 +169,7 @@ class Encoder:
         tiles = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
         which, distinct = tiles.indices.to_numpy(), tiles.dictionary
         if self.words_only and len(starts):
-            seen = classes()[cps[starts]] != _SPACE
+            seen = cls[starts] != _SPACE
             starts, which = starts[seen], which[seen]
         return rows, distinct, which, np.searchsorted(starts, docs)
 
@@ -195,7 +197,7 @@ class Encoder:
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
         rows, distinct, which, first = self.pretokens(texts)
-        _, _, length = self.ids_of(distinct.to_pylist())
+        _, _, length = self.ids_of(distinct.to_numpy(zero_copy_only=False).tolist())
         each = length[which]
         total = np.concatenate(([0], np.cumsum(each)))
         out[rows] = total[first[1:]] - total[first[:-1]]
@@ -205,6 +207,30 @@ class Encoder:
         return out
 
 
+def laid_out(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, rows: list[int], whole: dict[int, tuple[int, ...]], n: int, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of n texts. Text rows[k] has pre-tokens first[k]:first[k + 1], of which i stands for flat[begin[i]:begin[i] + size[i]]; the others are given whole. end follows each text.
+
+    Between the pre-tokens each text gets a segment of its own, for its end and for what it is given whole, so one gather lays out all.
+    """
+    tail = int(end is not None)
+    own = np.full(n, tail)
+    for i, x in whole.items():
+        own[i] += len(x)
+    fast = np.zeros(n, np.int64)
+    fast[rows] = 1
+    after = first[np.cumsum(fast)]
+    size, begin = np.insert(size, after, own), np.insert(begin, after, 0)
+    ends = np.cumsum(size)
+    every = np.repeat((begin - ends + size).astype(np.int32), size) + np.arange(ends[-1] if n else 0, dtype=np.int32)
+    out = (flat if len(flat) else np.zeros(1, np.uint32)).take(every, mode="clip")
+    closes = ends[after + np.arange(n)]
+    if tail:
+        out[closes - 1] = end
+    for i, x in whole.items():
+        out[closes[i] - tail - len(x) : closes[i] - tail] = x
+    return out, np.diff(closes, prepend=0)
+
+
 def whole_tokens(data: str) -> dict[str, int]:
     """The vocabulary's strings that, alone, are one pre-token and encode as one token, and that token: proven by encoding each."""
     from tokenizers import Tokenizer
