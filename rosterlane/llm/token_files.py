@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, slices
-from .tokens import encoder, tokenizer_file
+from .tokens import encoder, laid_out, tokenizer_file
 
 SHARD_TOKENS = 2 << 20
 BLOCK = 512
@@ -122,29 +122,10 @@ def encode_rows(data: str, texts: list[str], end_id: int) -> tuple[np.ndarray, n
     """(ids, lengths) of the texts, each with the end id."""
     e = encoder(data)
     rows, distinct, which, first = e.pretokens(texts)
-    ids, total = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-    if len(which):
-        flat, low, length = e.ids_of(distinct.to_pylist())
-        each = length[which]
-        total = np.concatenate(([0], np.cumsum(each)))
-        ids = flat[np.repeat(low[which] - total[:-1], each) + np.arange(total[-1])]
-    lengths = np.zeros(len(texts), np.int64)
-    lengths[rows] = total[first[1:]] - total[first[:-1]]
+    flat, low, length = e.ids_of(distinct.to_numpy(zero_copy_only=False).tolist())
     others = sorted(set(range(len(texts))) - set(rows))
     whole = dict(zip(others, e.encode([texts[i] for i in others]), strict=True))
-    for i, x in whole.items():
-        lengths[i] = len(x)
-    lengths += 1
-    at = np.concatenate(([0], np.cumsum(lengths)))
-    out = np.full(at[-1], end_id, np.uint32)
-    fast = np.zeros(len(texts), bool)
-    fast[rows] = True
-    body = np.repeat(fast, lengths)
-    body[at[1:] - 1] = False
-    out[body] = ids
-    for i, x in whole.items():
-        out[at[i] : at[i] + len(x)] = x
-    return out, lengths
+    return laid_out(flat, low[which], length[which], first, rows, whole, len(texts), end_id)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, order: list[Column], id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
