@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlane.functions import text as t
 
+from .elements import attribute, below, children, element_tree, inside, lines_of, tagged, text_of
 from .validate import npi_is_valid
 
 #: Labelled patterns of an identifier, in order; then one that stands alone (not in the context of a date, not with a leading
@@ -147,30 +148,11 @@ def availability_of(timings: DataFrame, flags: DataFrame) -> DataFrame:
     return flags.join(has, "id", "left").select("id", availability(some("__slots"), some("accepting")).alias("availability_status"))
 
 
-def _plain(c: Column) -> Column:
-    return t.collapse(F.regexp_replace(c, "<[^>]+>", " "))
-
-
-def _attribute(c: Column, name: str) -> Column:
-    """The quoted value of an attribute, empty without one."""
-    return F.regexp_extract(c, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-
-
-def _elements(html: Column, words: str) -> Column:
-    """{attributes, inner} of the elements with one of words among their attributes, also of those inside one another.
-
-    An element ends at the first closing tag of its name, so one that holds others of its name is cut there.
-    """
-    pattern = rf"(?is)(?=<([a-z][a-z0-9]*)(?=\s[^>]*(?:{words}))([^>]*)>(.*?)</\1\s*>)"
-    every = lambda group: F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-    return F.arrays_zip(every(2).alias("attributes"), every(3).alias("inner"))
-
-
-def _first_selector(attributes: Column, selectors) -> Column:
-    """The place of the first selector that the attributes meet: a class, a value, or a part of one."""
+def _first_selector(element: Column, selectors) -> Column:
+    """The place of the first selector that the element meets: a class, a value, or a part of one."""
 
     def meets(name: str, how: str, value: str) -> Column:
-        told = _attribute(attributes, name)
+        told = attribute(element, name)
         return F.array_contains(F.split(told, r"\s+"), value) if how == "class" else told == value if how == "is" else told.contains(value)
 
     return F.coalesce(*[F.when(meets(*selector), i) for i, selector in enumerate(selectors)])
@@ -185,30 +167,30 @@ _TIMED = (
 #: The same: what a table, its first and its second cell, a list item and a block must hold.
 _TABLE_WORDS, _DAY_CELL, _TIME_CELL = "hour|day|appointment|availability", "(?i)" + "|".join(d[:3] for d in _DAYS), r"(?i)\d{1,2}:\d{2}|am|pm|closed"
 _DAY_NAME, _CLOCK, _SLOT = "(?i)" + "|".join(_DAYS), r"\d{1,2}:\d{2}", r"\d{1,2}:\d{2}\s*(?:am|pm|AM|PM)?"
-_TERM = r"(?is)<(d[td])[^>]*>(.*?)</d[td]>"
 
 
 def _timed(source: str, rank: Column, term: Column, text: Column) -> Column:
     return F.struct(F.lit(source).alias("source"), rank.cast("int").alias("rank"), term.cast("string").alias("term"), text.alias("text"))
 
 
-def _definitions(html: Column) -> Column:
-    """{source, rank, term, text} of definition lists that speak of hours or days: a definition and the term right before it."""
-    lists = F.filter(_all(html, r"(?is)<dl[^>]*>(.*?)</dl>"), lambda dl: F.lower(_plain(dl)).rlike("hour|day"))
+def _definitions(elements: Column) -> Column:
+    """{source, rank, term, text} of definition lists that speak of hours or days: a definition among a list's children and the term right before it."""
+    lists = F.filter(tagged(elements, "dl"), lambda dl: F.lower(text_of(dl)).rlike("hour|day"))
 
     def pairs(dl: Column) -> Column:
-        kinds, texts = F.transform(F.regexp_extract_all(dl, F.lit(_TERM), F.lit(1)), F.lower), F.transform(F.regexp_extract_all(dl, F.lit(_TERM), F.lit(2)), _plain)
-        after = F.filter(F.sequence(F.lit(1), F.size(kinds)), lambda i: (F.get(kinds, i) == "dd") & (F.get(kinds, i - 1) == "dt") & (F.get(texts, i - 1) != ""))
-        return F.transform(after, lambda i: _timed("definition-list", F.lit(200), F.get(texts, i - 1), F.get(texts, i)))
+        told = F.transform(children(dl, "dt", "dd"), lambda e: F.struct(e["tag"].alias("tag"), text_of(e).alias("text")))
+        before = F.concat(F.array(F.struct(F.lit("").alias("tag"), F.lit("").alias("text"))), told)
+        both = F.transform(F.arrays_zip(before.alias("term"), told.alias("given")), lambda x: _timed("definition-list", F.lit(200), F.when((x["term"]["tag"] == "dt") & (x["term"]["text"] != "") & (x["given"]["tag"] == "dd"), x["term"]["text"]), x["given"]["text"]))
+        return F.filter(both, lambda x: x["term"].isNotNull())
 
     return F.flatten(F.transform(lists, pairs))
 
 
-def _row_times(html: Column) -> Column:
+def _row_times(elements: Column) -> Column:
     """The same of tables that speak of hours, days or appointments: rows whose first cell is a day or whose second is a time."""
-    tables = F.filter(_all(html, r"(?is)<table[^>]*>(.*?)</table>"), lambda x: F.lower(_plain(x)).rlike(_TABLE_WORDS))
-    rows = F.flatten(F.transform(tables, lambda x: _all(x, r"(?is)<tr[^>]*>(.*?)</tr>")))
-    cells = F.transform(rows, lambda r: F.transform(_all(r, r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), _plain))
+    tables = F.filter(tagged(elements, "table"), lambda x: F.lower(text_of(x)).rlike(_TABLE_WORDS))
+    rows = F.flatten(F.transform(tables, lambda x: below(x, "tr")))
+    cells = F.transform(rows, lambda r: F.transform(F.slice(below(r, "td", "th"), 1, 2), text_of))
     told = F.filter(cells, lambda c: (F.get(c, F.lit(0)) != "") & (F.get(c, F.lit(1)) != "") & (F.get(c, F.lit(0)).rlike(_DAY_CELL) | F.get(c, F.lit(1)).rlike(_TIME_CELL)))
     return F.transform(told, lambda c: _timed("table", F.lit(100), F.get(c, F.lit(0)), F.get(c, F.lit(1))))
 
@@ -218,14 +200,15 @@ def timings_from_pages(pages: DataFrame) -> DataFrame:
 
     Each day, slots and status once, the first found kept; neither a day nor a time gives nothing.
     """
-    html, none = F.col("html"), F.lit(None)
-    marked = F.transform(_elements(html, "hours|appointment|availability"), lambda e: _timed("selector", _first_selector(e["attributes"], _TIMED), none, _plain(e["inner"])))
-    marked = F.filter(marked, lambda e: e["rank"].isNotNull() & F.length(e["text"]).between(6, 999))
-    items = F.filter(F.transform(_all(html, r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"), _plain), lambda x: (F.length(x) < 200) & (x.rlike(_DAY_NAME) | x.rlike(_CLOCK)))
-    blocks = F.filter(F.transform(_all(html, r"(?is)(?=<div(?:\s[^>]*)?>(.*?)</div>)"), _plain), lambda x: F.length(x).between(11, 149) & x.rlike(f"(?i)^(?:{'|'.join(_DAYS)})") & x.rlike(_CLOCK))
+    tree, none, every = element_tree(pages.select("page_id", "html")), F.lit(None), F.col("elements")
+    marked = F.transform(every, lambda e: F.struct(_first_selector(e, _TIMED).alias("rank"), e.alias("e")))
+    marked = F.transform(F.filter(marked, lambda x: x["rank"].isNotNull()), lambda x: _timed("selector", x["rank"], none, text_of(x["e"])))
+    marked = F.filter(marked, lambda x: F.length(x["text"]).between(6, 999))
+    items = F.filter(F.transform(inside(("ul", "ol"), "li"), text_of), lambda x: (F.length(x) < 200) & (x.rlike(_DAY_NAME) | x.rlike(_CLOCK)))
+    blocks = F.filter(F.transform(tagged(every, "div"), text_of), lambda x: F.length(x).between(11, 149) & x.rlike(f"(?i)^(?:{'|'.join(_DAYS)})") & x.rlike(_CLOCK))
     one = lambda source, rank: lambda x: _timed(source, F.lit(rank), none, x)
-    found = F.concat(marked, _row_times(html), _definitions(html), F.transform(items, one("list", 300)), F.transform(blocks, one("div", 400)))
-    rows = pages.select("page_id", F.posexplode(found).alias("place", "e")).select("page_id", "place", "e.*")
+    found = F.concat(marked, _row_times(every), _definitions(every), F.transform(items, one("list", 300)), F.transform(blocks, one("div", 400)))
+    rows = tree.select("page_id", F.posexplode(found).alias("place", "e")).select("page_id", "place", "e.*")
     day = F.coalesce(day_of(F.coalesce("term", "text")), F.col("term"))
     raw = F.when(F.col("source") == "selector", F.substring("text", 1, 300)).otherwise(F.concat_ws(": ", "term", "text"))
     timed = rows.select("page_id", "rank", "place", day.alias("day"), slots_of(F.col("text")).alias("slots"), open_status(F.col("text")).alias("status"), raw.alias("raw_text"), "source").where("day is not null or slots <> ''")
@@ -246,7 +229,7 @@ def definition_timings(pages: DataFrame) -> DataFrame:
 
     A second definition of the same term has no day and is passed over.
     """
-    told = pages.select("page_id", F.posexplode(_definitions(F.col("html"))).alias("place", "e")).select("page_id", "place", "e.term", "e.text")
+    told = element_tree(pages.select("page_id", "html")).select("page_id", F.posexplode(_definitions(F.col("elements"))).alias("place", "e")).select("page_id", "place", "e.term", "e.text")
     return told.select("page_id", "place", F.coalesce(day_of(F.col("term")), F.col("term")).alias("day"), slots_of(F.col("text")).alias("slots"), open_status(F.col("text")).alias("status"), F.concat_ws(": ", "term", "text").alias("raw_text"))
 
 
@@ -322,8 +305,8 @@ def url_frontier(entities: DataFrame) -> DataFrame:
 
 def affiliations(pages: DataFrame) -> DataFrame:
     """(page_id, name): elements that name a hospital or medical centre, once each by lower-cased name, the first kept."""
-    found = F.transform(_all(F.col("html"), r"(?is)<(?:li|p|h[1-6]|a)[^>]*>(.*?)</(?:li|p|h[1-6]|a)>"), _plain)
-    rows = pages.select("page_id", F.posexplode(found).alias("place", "name")).where("length(name) between 3 and 99")
+    found = F.transform(tagged(F.col("elements"), "li", "p", "h1", "h2", "h3", "h4", "h5", "h6", "a"), lambda e: t.collapse(text_of(e)))
+    rows = element_tree(pages.select("page_id", "html")).select("page_id", F.posexplode(found).alias("place", "name")).where("length(name) between 3 and 99")
     named = rows.where(F.lower("name").rlike("hospital|medical cent|clinic|affiliat|facility"))
     return named.groupBy("page_id", F.lower("name").alias("k")).agg(F.min_by("name", "place").alias("name")).drop("k")
 
@@ -342,17 +325,15 @@ def source_affiliations(pages: DataFrame) -> DataFrame:
     pages: (provider_id, source, html, city, state). The first source's list items count too. Sources, selectors and places tell which is first;
     without a place of its own a hospital is where the provider is.
     """
-    html, none = F.col("html"), F.lit(None)
-    marked = F.transform(_elements(html, "hospital|affiliation|facility|location"), lambda e: F.struct(e["attributes"].alias("attributes"), _plain(e["inner"]).alias("text")))
-    items = F.transform(F.filter(F.transform(_all(html, r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"), _plain), lambda x: F.lower(x).rlike("hospital|medical center")), lambda x: F.struct(none.cast("string").alias("attributes"), x.alias("text")))
-    found = F.concat(marked, F.when(F.col("source") == "HEALTHGRADES", items).otherwise(F.array().cast("array<struct<attributes: string, text: string>>")))
-    rows = pages.select("provider_id", "source", "city", "state", F.posexplode(found).alias("place", "e")).select("*", "e.*")
-    rank, order = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for i, (source, selectors) in enumerate(_AFFILIATED.items()):
-        rank = F.when(F.col("source") == source, _first_selector(F.col("attributes"), selectors)).otherwise(rank)
-        order = F.when(F.col("source") == source, i).otherwise(order)
-    named = rows.select("provider_id", "source", "place", order.alias("order"), F.when(F.col("attributes").isNull(), 100).otherwise(rank).alias("rank"), "attributes", hospital_name(F.col("text")).alias("name"), F.coalesce(place_of(F.col("text")), F.concat_ws(", ", "city", "state")).alias("location"))
-    kept = named.where("rank is not null and name is not null and (attributes is not null or length(name) > 5)")
+    tree, every = element_tree(pages.select("provider_id", "source", "city", "state", "html")), F.col("elements")
+    ranked = lambda e: F.coalesce(*[F.when(F.col("source") == source, _first_selector(e, selectors)) for source, selectors in _AFFILIATED.items()])
+    marked = F.filter(F.transform(every, lambda e: F.struct(ranked(e).alias("rank"), text_of(e).alias("text"))), lambda x: x["rank"].isNotNull())
+    speaking = F.filter(F.transform(tagged(every, "li"), text_of), lambda x: F.lower(x).rlike("hospital|medical center"))
+    items = F.when(F.col("source") == "HEALTHGRADES", F.transform(speaking, lambda x: F.struct(F.lit(100).alias("rank"), x.alias("text")))).otherwise(F.array().cast("array<struct<rank: int, text: string>>"))
+    rows = tree.select("provider_id", "source", "city", "state", F.posexplode(F.concat(marked, items)).alias("place", "e")).select("*", "e.*")
+    order = F.coalesce(*[F.when(F.col("source") == source, i) for i, source in enumerate(_AFFILIATED)])
+    named = rows.select("provider_id", "source", "place", order.alias("order"), "rank", hospital_name(F.col("text")).alias("name"), F.coalesce(place_of(F.col("text")), F.concat_ws(", ", "city", "state")).alias("location"))
+    kept = named.where("name is not null and (rank < 100 or length(name) > 5)")
     once = Window.partitionBy("provider_id", F.lower(t.trim(F.col("name")))).orderBy("order", "rank", "place", "name", "location")
     told = kept.withColumn("r", F.row_number().over(once)).where("r = 1")
     return told.select("provider_id", "name", "location", F.lit("Physician").alias("role"), F.lit("ACTIVE").alias("status"), F.lit("HOSPITAL").alias("kind"), "source")
@@ -388,26 +369,21 @@ _PROFILES = {
 
 def source_profiles(pages: DataFrame) -> DataFrame:
     """(page_id, source, profile_url): the first link on a directory's search page to a profile there, made absolute; one to a search is none."""
-    links, url = _all(F.col("html"), r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(None).cast("string")
+    tree, url = element_tree(pages.select("page_id", "source", "html")), F.lit(None).cast("string")
+    links = F.transform(tagged(F.col("elements"), "a"), lambda e: attribute(e, "href"))
     for source, (path, site) in _PROFILES.items():
         first = F.get(F.filter(links, lambda x: x.contains(path)), F.lit(0))
         if source == "DOXIMITY":
             first = F.when(~first.contains("/search"), first)
         url = F.when(F.col("source") == source, F.when(first.startswith("http"), first).otherwise(F.concat(F.lit(site), first))).otherwise(url)
-    return pages.select("page_id", "source", url.alias("profile_url")).where("profile_url is not null")
-
-
-def _lined(c: Column) -> Column:
-    """An element's text with its line breaks; <br> and the ends of blocks break lines too."""
-    broken = F.regexp_replace(F.regexp_replace(c, r"(?i)<br[^>]*>|</(?:div|p|li|dd|dt)>", "\n"), "<[^>]+>", "")
-    return t.trim(F.regexp_replace(broken, r"[ \t]*\n[ \t]*", "\n"))
+    return tree.select("page_id", "source", url.alias("profile_url")).where("profile_url is not null")
 
 
 def listing_rows(pages: DataFrame) -> DataFrame:
     """(page_id, row, name, specialty, license_number, license_state, license_status, affiliations, hours, accepting_new_patients, telehealth,
     phone, address) of table rows with 7 cells or more; an eighth is the contact. Rows without a name or whose name says "provider" are headings."""
-    cells = lambda r: F.transform(_all(r, r"(?is)<td(?:\s[^>]*)?>(.*?)</td>"), _lined)
-    rows = pages.select("page_id", F.posexplode(_all(F.col("html"), r"(?is)<tr[^>]*>(.*?)</tr>")).alias("row", "r")).withColumn("c", cells(F.col("r")))
+    listed = element_tree(pages.select("page_id", "html")).select("page_id", "page_text", "elements", F.posexplode(inside(("table",), "tr")).alias("row", "r"))
+    rows = listed.select("page_id", "row", F.transform(below(F.col("r"), "td"), lines_of).alias("c"))
     cell = lambda i: F.get("c", F.lit(i))
     listed = rows.where((F.size("c") >= 7) & (cell(0) != "") & ~F.lower(cell(0)).contains("provider"))
     said = lambda label: t.trim(_find(cell(2), rf"(?i){label}:\s*([^\n]+)"))

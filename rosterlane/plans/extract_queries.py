@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlane.operators import extract as x
+from rosterlane.operators.elements import attribute, element_tree, text_of
 
 from .match_queries import page_ids
 from .registry import query
@@ -116,6 +117,38 @@ def timings(t):
     return x.timings_from_pages(t("hour_pages"))
 
 
+def _tree(table: str) -> str:
+    """DuckDB: CTEs up to e (page_id, pos, last, parent, tag, class, text), the elements of a table's pages whose tags are all closed, found by counting depth."""
+    return rf"""
+e_tokens AS (SELECT page_id, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS token FROM (SELECT page_id, regexp_extract_all(html, '<[^>]+>|[^<]+') AS x FROM {table}) p),
+e_depth AS (SELECT *, starts_with(token, '</') AS ends, starts_with(token, '<') AND NOT starts_with(token, '</') AS opens, sum(CASE WHEN starts_with(token, '</') THEN -1 WHEN starts_with(token, '<') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k) AS depth FROM e_tokens),
+e_open AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM e_depth WHERE opens),
+e_range AS (SELECT o.page_id, o.pos, o.k, o.depth, o.token, min(c.k) AS until FROM e_open o JOIN e_depth c ON o.page_id = c.page_id AND c.ends AND c.k > o.k AND c.depth = o.depth - 1 GROUP BY ALL),
+e AS (SELECT r.page_id, r.pos, r.pos + (SELECT count(*) FROM e_open i WHERE i.page_id = r.page_id AND i.k > r.k AND i.k < r.until) AS last, (SELECT max(i.pos) FROM e_open i WHERE i.page_id = r.page_id AND i.k < r.k AND i.depth = r.depth - 1) AS parent,
+  regexp_extract(r.token, '^<([a-z]+)', 1) AS tag, regexp_replace(regexp_extract(r.token, 'class=("[^"]*"|''[^'']*''|[^\s>]+)', 1), '["'']', '', 'g') AS class,
+  trim(coalesce((SELECT string_agg(t.token, '' ORDER BY t.k) FROM e_depth t WHERE t.page_id = r.page_id AND t.k > r.k AND t.k < r.until AND NOT t.opens AND NOT t.ends), '')) AS text FROM e_range r)"""
+
+
+@query("page_elements", "nested_pages", f"SELECT * FROM (WITH {_tree('nested_pages')} SELECT page_id, CAST(pos AS INT) AS pos, CAST(last AS INT) AS last, CAST(coalesce(parent, -1) AS INT) AS parent, tag, class, text FROM e) w")
+def elements(t):
+    one = F.transform("elements", lambda e: F.struct(e["at"].alias("pos"), e["last"].alias("last"), e["parent"].alias("parent"), e["tag"].alias("tag"), attribute(e, "class").alias("class"), text_of(e).alias("text")))
+    return element_tree(t("nested_pages")).select("page_id", F.explode(one).alias("e")).select("page_id", "e.*")
+
+
+@query("nested_timings", "nested_pages", rf"""
+SELECT page_id, day, slots, status, raw_text, source FROM (SELECT page_id, rank, k, l, coalesce({_DAY.format("coalesce(term, text)")}, term) AS day, {_SLOTS} AS slots, {_STATUS} AS status, CASE WHEN term IS NULL THEN text ELSE term || ': ' || text END AS raw_text, source FROM (WITH {_tree('nested_pages')},
+  cells AS (SELECT b.page_id, b.pos AS k, r.pos AS l, c.text, row_number() OVER (PARTITION BY b.page_id, b.pos, r.pos ORDER BY c.pos) AS n FROM e b JOIN e r ON b.page_id = r.page_id AND b.tag = 'table' AND r.tag = 'tr' AND r.pos > b.pos AND r.pos <= b.last AND regexp_matches(lower(b.text), 'hour|day|appointment|availability')
+    JOIN e c ON r.page_id = c.page_id AND c.tag IN ('td', 'th') AND c.pos > r.pos AND c.pos <= r.last)
+  SELECT page_id, CASE WHEN class = 'office-hours' THEN 0 ELSE 9 END AS rank, 'selector' AS source, pos AS k, 0 AS l, NULL AS term, text FROM e WHERE contains(class, 'hours') AND length(text) BETWEEN 6 AND 999
+  UNION ALL SELECT page_id, 100, 'table', k, l, max(text) FILTER (n = 1) AS term, max(text) FILTER (n = 2) AS text FROM cells GROUP BY page_id, k, l HAVING term <> '' AND text <> '' AND (regexp_matches(term, '(?i)Mon|Tue|Wed|Thu|Fri|Sat|Sun') OR regexp_matches(text, '(?i)\d{{1,2}}:\d{{2}}|am|pm|closed'))
+  UNION ALL SELECT d.page_id, 200, 'definition-list', d.pos, a.pos, a.text, b.text FROM e d JOIN e a ON d.page_id = a.page_id AND a.parent = d.pos AND a.tag = 'dt' AND d.tag = 'dl' AND regexp_matches(lower(d.text), 'hour|day') JOIN e b ON b.page_id = a.page_id AND b.parent = d.pos AND b.tag = 'dd' AND b.pos = a.last + 1
+  UNION ALL SELECT page_id, 300, 'list', pos, 0, NULL, text FROM e WHERE tag = 'li' AND length(text) < 200 AND (regexp_matches(text, '(?i){_NAMED_DAY}') OR regexp_matches(text, '\d{{1,2}}:\d{{2}}'))
+  UNION ALL SELECT page_id, 400, 'div', pos, 0, NULL, text FROM e WHERE tag = 'div' AND length(text) BETWEEN 11 AND 149 AND regexp_matches(text, '(?i)^(?:{_NAMED_DAY})') AND regexp_matches(text, '\d{{1,2}}:\d{{2}}')) u) v
+WHERE day IS NOT NULL OR slots <> '' QUALIFY row_number() OVER (PARTITION BY page_id, day, slots, status ORDER BY rank, k, l) = 1""")
+def nested(t):
+    return x.timings_from_pages(t("nested_pages"))
+
+
 @query("affiliations_from_pages", "hour_pages", f"""
 SELECT page_id, text AS name FROM ({_elements('li', 0, 'list')}) e WHERE length(text) BETWEEN 3 AND 99 AND regexp_matches(lower(text), 'hospital|medical cent|clinic|affiliat|facility') QUALIFY row_number() OVER (PARTITION BY page_id, lower(text) ORDER BY k) = 1""")
 def affiliated(t):

@@ -150,6 +150,15 @@ SELECT s_suppkey AS page_id, CONCAT('<div class="office-hours main">Tuesday 9:00
   '<dl><dt>Opening days</dt><dt>On Friday</dt><dd>open</dd><dd>passed 1:00</dd></dl><ul><li>Monday ', CAST(1 + s_suppkey % 9 AS VARCHAR(20)),
   ':30 AM</li><li>Sunday closed</li><li>City', CAST(s_nationkey AS VARCHAR(20)), ' Hospital</li><li>CITY', CAST(s_nationkey AS VARCHAR(20)), ' HOSPITAL</li></ul><div>Saturday from ', CAST(1 + s_suppkey % 5 AS VARCHAR(20)), ':45</div>') AS html
 FROM supplier
+""",
+    ),
+    "nested_pages": (
+        (),
+        r"""
+SELECT s_suppkey AS page_id, CONCAT(REPEAT('<div class=my-hours>', CAST(s_suppkey % 4 AS INT)), '<div class=office-hours id=a', CAST(s_suppkey AS VARCHAR(20)), '><div>Monday ', CAST(1 + s_suppkey % 9 AS VARCHAR(20)), ':30 am</div><div class="x y"><span>Tuesday</span> <b>closed</b></div></div>',
+  REPEAT('</div>', CAST(s_suppkey % 4 AS INT)), '<table><tr><td>Hours</td><td>at <i>9:00</i></td></tr><tr><td>Sunday</td><td><table><tr><td>Friday</td><td>', CAST(1 + s_nationkey % 9 AS VARCHAR(20)), ':15 pm</td></tr></table></td></tr></table>',
+  '<ul><li class=', CHR(39), 'hospital one', CHR(39), '>Oak Hospital<ol><li>Saturday 8:00</li></ol></li></ul><dl><dt>Open days</dt><dd>by appointment only</dd></dl>') AS html
+FROM supplier
 """,
     ),
     "source_pages": (
