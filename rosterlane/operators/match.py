@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlane.functions import text as t
-from rosterlane.functions.similarity import address_similarity
+
+from .nearest import nearest
 
 _ORG = ("LLC", "PC", "INC", "LTD", "PLLC", "PA")
 _TITLES = ("dr", "md", "do", "pa", "np", "rn", "mr", "ms", "mrs")
@@ -92,14 +93,19 @@ def registry_name_search(entities: DataFrame, registry: DataFrame) -> DataFrame:
     return accepted.groupBy("id").agg(F.min(F.struct("rank", "npi", "score")).alias("b")).select("id", "b.rank", "b.npi", "b.score")
 
 
-def lookup_cascade(entities: DataFrame, registry: DataFrame, page_ids: DataFrame) -> DataFrame:
-    """(id, npi, how): by id if there is one, else by name, else by an id found on a page; how is NPI_NOT_FOUND if none answers."""
+def lookup_cascade(entities: DataFrame, registry: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, npi, how, verified, name, phone, specialty, address, license): by id if there is one, else by name, else by page_search() over pages (page_id, id, tier, html).
+
+    What is found is verified: an id of a page that the registry lacks gives a row with the id and the entity's name alone. how is NPI_NOT_FOUND if none answers.
+    """
     by_id = registry_lookup(entities, registry).where("is_found").select("id", F.lit(1).alias("order"), "npi", F.lit("BY_ID").alias("how"))
     rest = entities.join(by_id, "id", "left_anti")
     by_name = registry_name_search(rest, registry).select("id", F.lit(2).alias("order"), "npi", F.lit("BY_NAME").alias("how"))
-    pages = page_ids.join(rest.select("id"), "id", "left_semi").groupBy("id").agg(F.min("npi").alias("npi")).select("id", F.lit(3).alias("order"), "npi", F.lit("BY_PAGE").alias("how"))
-    found = by_id.unionByName(by_name).unionByName(pages).groupBy("id").agg(F.min(F.struct("order", "npi", "how")).alias("b"))
-    return entities.select("id").join(found, "id", "left").select("id", F.col("b.npi").alias("npi"), F.coalesce("b.how", F.lit("NPI_NOT_FOUND")).alias("how"))
+    by_page = first_page_ids(rest, pages).select("id", F.lit(3).alias("order"), "npi", F.lit("BY_PAGE").alias("how"))
+    best = by_id.unionByName(by_name).unionByName(by_page).groupBy("id").agg(F.min(F.struct("order", "npi", "how")).alias("b")).select("id", "b.npi", "b.how")
+    told = verify_ids(best.join(entities.select("id", "name"), "id").withColumnRenamed("how", "source"), registry).withColumnRenamed("source", "how")
+    joined = entities.select("id").join(told, "id", "left")
+    return joined.select("id", "npi", F.coalesce("how", F.lit("NPI_NOT_FOUND")).alias("how"), F.coalesce("verified", F.lit(False)).alias("verified"), "name", "phone", "specialty", "address", "license")
 
 
 def verify_ids(found: DataFrame, registry: DataFrame) -> DataFrame:
@@ -112,8 +118,8 @@ def verify_ids(found: DataFrame, registry: DataFrame) -> DataFrame:
     return found.join(known, "npi", "left").select("id", "npi", hit.alias("verified"), F.when(hit, F.col("r_name")).otherwise(F.col("name")).alias("name"), "phone", "specialty", "address", "license", "source")
 
 
-def page_search(entities: DataFrame, pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """verify_ids() of the first id that a page of the first tier gives an entity, else one of the second tier.
+def first_page_ids(entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, npi, name, source): the first id that a page of the first tier gives an entity, else one of the second tier.
 
     pages: (page_id, id, tier, html), id being the entity that the page was searched for.
     """
@@ -121,11 +127,13 @@ def page_search(entities: DataFrame, pages: DataFrame, registry: DataFrame) -> D
 
     ids = ids_from_pages(pages).select("page_id", F.get("ids", F.lit(0)).alias("npi"))
     hits = pages.select("page_id", "id", "tier").join(ids, "page_id").join(entities.select("id", "name"), "id")
-    one = hits.where("tier = 1").groupBy("id").agg(F.min_by(F.struct("npi", "name", "tier", "page_id"), "page_id").alias("h"))
-    rest = hits.where("tier = 2").join(one, "id", "left_anti")
-    two = rest.groupBy("id").agg(F.min_by(F.struct("npi", "name", "tier", "page_id"), "page_id").alias("h"))
-    found = one.unionByName(two).select("id", "h.npi", "h.name", F.concat_ws(":", F.lit("PAGE"), F.col("h.tier").cast("string")).alias("source"))
-    return verify_ids(found, registry)
+    first = hits.where("tier in (1, 2)").groupBy("id").agg(F.min_by(F.struct("npi", "name", "tier"), F.struct("tier", "page_id")).alias("h"))
+    return first.select("id", "h.npi", "h.name", F.concat_ws(":", F.lit("PAGE"), F.col("h.tier").cast("string")).alias("source"))
+
+
+def page_search(entities: DataFrame, pages: DataFrame, registry: DataFrame) -> DataFrame:
+    """verify_ids() of first_page_ids()."""
+    return verify_ids(first_page_ids(entities, pages), registry)
 
 
 def _significant(c: Column, longer_than: int) -> Column:
@@ -168,31 +176,28 @@ def _contained(small: DataFrame, small_name: str, large: DataFrame, large_name:
     return met.select("search", F.lit(tier).alias("tier"), "pos")
 
 
-def address_reference_match(entities: DataFrame, reference: DataFrame) -> DataFrame:
-    """(id, reason, ref_id, score): the reference address of the same zip and state that is most alike; EMPTY_ADDRESS or NO_RESULTS if none."""
+def address_reference_match(entities: DataFrame, reference: DataFrame, least: float = 0.65, **options) -> DataFrame:
+    """(id, reason, ref_id, score): the reference address that is most alike, of any zip (see nearest.py); EMPTY_ADDRESS, or NO_RESULTS if none scores `least`."""
     query = F.array_join(F.array_compact(F.array(*[t.blank_to_null(F.col(c)) for c in ("address_line1", "city", "state", "zip")])), ", ")
-    asked = entities.select("id", query.alias("a"), F.upper("state").alias("k_state"), F.col("zip").alias("k_zip"))
-    known = reference.select(F.col("npi").alias("ref_id"), F.concat_ws(", ", "address_1", "city", "state", "postal_code").alias("b"), F.upper("state").alias("k_state"), F.col("postal_code").alias("k_zip"))
-    scored = address_similarity(asked.join(known, ["k_state", "k_zip"]), "a", "b", "score").withColumn("score", F.round("score", 9))
-    top = scored.groupBy("id").agg(F.min_by(F.struct("ref_id", "score"), F.struct(-F.col("score"), "ref_id")).alias("m"))
-    return asked.join(top, "id", "left").select("id", F.when(F.col("a") == "", "EMPTY_ADDRESS").when(F.col("m").isNull(), "NO_RESULTS").alias("reason"), F.col("m.ref_id").alias("ref_id"), F.round("m.score", 6).alias("score"))
+    asked = entities.select("id", query.alias("a"))
+    known = reference.select(F.col("npi").alias("ref"), F.concat_ws(", ", "address_1", "city", "state", "postal_code").alias("b"))
+    top = nearest(asked, known, **options).where(F.col("score") >= least)
+    return asked.join(top, "id", "left").select("id", F.when(F.col("a") == "", "EMPTY_ADDRESS").when(F.col("ref").isNull(), "NO_RESULTS").alias("reason"), F.col("ref").alias("ref_id"), F.round("score", 6).alias("score"))
 
 
-def poi_match(entities: DataFrame, places: DataFrame, least: float = 0.65) -> DataFrame:
-    """(id, is_found, reason, poi_id, score): the place of the same zip and state that is most like the entity's name and address.
+def poi_match(entities: DataFrame, places: DataFrame, least: float = 0.65, **options) -> DataFrame:
+    """(id, is_found, reason, poi_id, score): the place that is most like the entity's name and address, of any zip (see nearest.py).
 
-    places: (poi_id, name, address_1, city, state, postal_code). EMPTY_QUERY without anything to ask for, NO_RESULTS without a place,
-    LOW_CONFIDENCE_OR_NO_RESULTS below `least`.
+    places: (poi_id, name, address_1, city, state, postal_code). EMPTY_QUERY without anything to ask for, LOW_CONFIDENCE_OR_NO_RESULTS
+    without a place that scores `least`.
     """
     name = t.blank_to_null(t.name_for_search(F.col("name")))
     query = F.array_join(F.array_compact(F.array(name, *[t.blank_to_null(F.col(c)) for c in ("address_line1", "city", "state", "zip")])), ", ")
-    asked = entities.select("id", query.alias("a"), F.upper("state").alias("k_state"), F.col("zip").alias("k_zip"))
-    known = places.select("poi_id", F.concat_ws(", ", "name", "address_1", "city", "state", "postal_code").alias("b"), F.upper("state").alias("k_state"), F.col("postal_code").alias("k_zip"))
-    scored = address_similarity(asked.join(known, ["k_state", "k_zip"]), "a", "b", "score").withColumn("score", F.round("score", 9))
-    top = scored.groupBy("id").agg(F.min_by(F.struct("poi_id", "score"), F.struct(-F.col("score"), "poi_id")).alias("m"))
-    met = asked.join(top, "id", "left")
-    reason = F.when(F.col("a") == "", "EMPTY_QUERY").when(F.col("m").isNull(), "NO_RESULTS").when(F.col("m.score") < least, "LOW_CONFIDENCE_OR_NO_RESULTS")
-    return met.select("id", reason.isNull().alias("is_found"), reason.alias("reason"), F.when(reason.isNull(), F.col("m.poi_id")).alias("poi_id"), F.round("m.score", 6).alias("score"))
+    asked = entities.select("id", query.alias("a"))
+    known = places.select(F.col("poi_id").alias("ref"), F.concat_ws(", ", "name", "address_1", "city", "state", "postal_code").alias("b"))
+    met = asked.join(nearest(asked, known, **options).where(F.col("score") >= least), "id", "left")
+    reason = F.when(F.col("a") == "", "EMPTY_QUERY").when(F.col("ref").isNull(), "LOW_CONFIDENCE_OR_NO_RESULTS")
+    return met.select("id", reason.isNull().alias("is_found"), reason.alias("reason"), F.col("ref").alias("poi_id"), F.round("score", 6).alias("score"))
 
 
 def source_pivot(sources: DataFrame, types=("NPI_API", "AZURE_POI", "SCRAPING_ENRICHMENT")) -> DataFrame:

@@ -11,7 +11,7 @@ from rosterlane.operators import report as r
 from rosterlane.sources import entities as s
 
 from .registry import query
-from .run_oracle import similarity
+from .run_oracle import nearest
 
 
 @query("issues_with_entity", "validation_issues providers", """
@@ -102,15 +102,6 @@ def name_search(tb):
     return m.registry_name_search(tb("providers"), tb("registry"))
 
 
-@query("lookup_cascade", *_with("providers registry id_pages", f"""{_CANDIDATES}, named AS ({_SEARCH})""",
-  """SELECT p.id, CASE WHEN r.npi IS NOT NULL THEN r.npi WHEN n.npi IS NOT NULL THEN n.npi ELSE g.npi END AS npi,
-  CASE WHEN r.npi IS NOT NULL THEN 'BY_ID' WHEN n.npi IS NOT NULL THEN 'BY_NAME' WHEN g.npi IS NOT NULL THEN 'BY_PAGE' ELSE 'NPI_NOT_FOUND' END AS how
-  FROM providers p LEFT JOIN registry r ON p.npi_id = r.npi LEFT JOIN named n ON p.id = n.id LEFT JOIN (SELECT page_id AS id, npi_id AS npi FROM (SELECT id AS page_id, npi_id FROM providers WHERE npi_id IS NOT NULL) k) g ON p.id = g.id"""))
-def cascade(tb):
-    ids = x.ids_from_pages(tb("id_pages")).select(F.col("page_id").alias("id"), F.explode("ids").alias("npi")).where("npi <> '1234567893'")
-    return m.lookup_cascade(tb("providers"), tb("registry"), ids)
-
-
 _LISTING = r"""
 asked AS (SELECT id, trim(regexp_replace(regexp_replace(lower(name), '[(),]', ' ', 'g'), '\s+', ' ', 'g')) AS search FROM providers),
 rows AS (SELECT pos, trim(lower(name)) AS entry FROM listing),
@@ -126,17 +117,11 @@ def listing(tb):
     return m.listing_match(tb("providers"), tb("listing"))
 
 
-def _best(pairs: str, known: str, key: str, asked: str, least: str) -> str:
-    """DuckDB: the most alike of the rows known (key, b, k_state, k_zip) for each row asked (id, a, k_state, k_zip)."""
-    return f"""SELECT * FROM (WITH asked AS ({asked}), known AS ({known}), met AS (SELECT a.id, a.a, k.{key}, k.b FROM asked a JOIN known k ON a.k_state = k.k_state AND a.k_zip = k.k_zip),{similarity('met')},
-      top AS (SELECT m.id, m.{key}, round(s.alike, 9) AS score FROM met m JOIN sim s ON m.a = s.a AND m.b = s.b QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY round(s.alike, 9) DESC, m.{key}) = 1) {least}) w"""
-
+_ASKED = "SELECT id, concat_ws(', ', {0}nullif(trim(address_line1), ''), nullif(trim(city), ''), nullif(trim(state), ''), nullif(trim(zip), '')) AS a FROM providers"
 
-_ASKED = "SELECT id, concat_ws(', ', {0}nullif(trim(address_line1), ''), nullif(trim(city), ''), nullif(trim(state), ''), nullif(trim(zip), '')) AS a, upper(state) AS k_state, zip AS k_zip FROM providers"
 
-
-@query("address_reference_match", "providers registry", _best("", "SELECT npi AS ref_id, concat_ws(', ', address_1, city, state, postal_code) AS b, upper(state) AS k_state, postal_code AS k_zip FROM registry", "ref_id", _ASKED.format(""),
-  "SELECT a.id, CASE WHEN a.a = '' THEN 'EMPTY_ADDRESS' WHEN t.id IS NULL THEN 'NO_RESULTS' END AS reason, t.ref_id, round(t.score, 6) AS score FROM asked a LEFT JOIN top t ON a.id = t.id"))
+@query("address_reference_match", "providers registry", "SELECT id, CASE WHEN a = '' THEN 'EMPTY_ADDRESS' WHEN ref IS NULL THEN 'NO_RESULTS' END AS reason, ref AS ref_id, round(score, 6) AS score FROM "
+  + nearest(_ASKED.format(""), "SELECT npi AS ref, concat_ws(', ', address_1, city, state, postal_code) AS b FROM registry") + " m")
 def address_reference(tb):
     return m.address_reference_match(tb("providers"), tb("registry"))
 
@@ -144,8 +129,8 @@ def address_reference(tb):
 _SEARCH_NAME = r"nullif(trim(regexp_replace(regexp_replace(name, '[(),]', ' ', 'g'), '\s+', ' ', 'g')), ''), "
 
 
-@query("poi_match", "providers registry", _best("", "SELECT npi AS poi_id, concat_ws(', ', last_name, address_1, city, state, postal_code) AS b, upper(state) AS k_state, postal_code AS k_zip FROM registry", "poi_id", _ASKED.format(_SEARCH_NAME),
-  "SELECT id, reason IS NULL AS is_found, reason, CASE WHEN reason IS NULL THEN poi_id END AS poi_id, round(score, 6) AS score FROM (SELECT a.id, t.poi_id, t.score, CASE WHEN a.a = '' THEN 'EMPTY_QUERY' WHEN t.id IS NULL THEN 'NO_RESULTS' WHEN t.score < 0.65 THEN 'LOW_CONFIDENCE_OR_NO_RESULTS' END AS reason FROM asked a LEFT JOIN top t ON a.id = t.id) r"))
+@query("poi_match", "providers registry", "SELECT id, a <> '' AND ref IS NOT NULL AS is_found, CASE WHEN a = '' THEN 'EMPTY_QUERY' WHEN ref IS NULL THEN 'LOW_CONFIDENCE_OR_NO_RESULTS' END AS reason, ref AS poi_id, round(score, 6) AS score FROM "
+  + nearest(_ASKED.format(_SEARCH_NAME), "SELECT npi AS ref, concat_ws(', ', last_name, address_1, city, state, postal_code) AS b FROM registry") + " m")
 def pois(tb):
     places = tb("registry").select(F.col("npi").alias("poi_id"), F.col("last_name").alias("name"), "address_1", "city", "state", "postal_code")
     return m.poi_match(tb("providers"), places)
@@ -165,6 +150,16 @@ def page_ids(table: str) -> str:
     return f"""SELECT page_id, ids FROM (SELECT page_id, CASE WHEN len(l) > 0 THEN l WHEN len(a) > 0 THEN a ELSE k END AS ids FROM (SELECT page_id, {valid(every)} AS l, {valid(alone)} AS a, {valid(linked)} AS k FROM {table}) x) y WHERE len(ids) > 0"""
 
 
+@query("lookup_cascade", "providers registry tier_pages", f"""SELECT * FROM (WITH {_CANDIDATES}, named AS ({_SEARCH}),
+  paged AS (SELECT t.id, f.ids[1] AS npi FROM ({page_ids('tier_pages')}) f JOIN tier_pages t ON f.page_id = t.page_id QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY t.tier, t.page_id) = 1),
+  best AS (SELECT p.id, p.name, coalesce(r.npi, n.npi, g.npi) AS npi, CASE WHEN r.npi IS NOT NULL THEN 'BY_ID' WHEN n.npi IS NOT NULL THEN 'BY_NAME' WHEN g.npi IS NOT NULL THEN 'BY_PAGE' ELSE 'NPI_NOT_FOUND' END AS how
+    FROM providers p LEFT JOIN registry r ON trim(p.npi_id) = r.npi LEFT JOIN named n ON p.id = n.id LEFT JOIN paged g ON p.id = g.id)
+  SELECT b.id, b.npi, b.how, r.npi IS NOT NULL AS verified, CASE WHEN r.npi IS NOT NULL THEN concat_ws(' ', r.first_name, r.last_name) WHEN b.npi IS NOT NULL THEN b.name END AS name, r.telephone_number AS phone, r.taxonomy_desc AS specialty,
+    CASE WHEN r.npi IS NOT NULL THEN concat_ws(', ', r.address_1, r.city, r.state, r.postal_code) END AS address, r.license FROM best b LEFT JOIN registry r ON b.npi = r.npi) c""")
+def cascade(tb):
+    return m.lookup_cascade(tb("providers"), tb("registry"), tb("tier_pages"))
+
+
 @query("page_search", "providers registry tier_pages", f"""
 SELECT h.id, h.npi, r.npi IS NOT NULL AS verified, CASE WHEN r.npi IS NOT NULL THEN concat_ws(' ', r.first_name, r.last_name) ELSE p.name END AS name, r.telephone_number AS phone, r.taxonomy_desc AS specialty,
   CASE WHEN r.npi IS NOT NULL THEN concat_ws(', ', r.address_1, r.city, r.state, r.postal_code) END AS address, r.license, 'PAGE:' || CAST(h.tier AS VARCHAR) AS source

@@ -48,6 +48,8 @@ _UNLIKE = "coalesce({0}_address, '') <> '' AND NOT coalesce({0}_matched, FALSE)"
 _DIFFERS = f"coalesce({{0}}_phone, '') <> '' AND NOT coalesce({_PHONE.format('{0}_phone')} = phone, FALSE)"
 _TIMES = "coalesce(day, 'Day') || ': ' || CASE WHEN slot <> '' THEN slot ELSE coalesce(status, 'Closed') END"
 
+#: What the directory holds of an issue's field; i is the issue, p the provider.
+OLD_VALUE = "CASE i.field WHEN 'name' THEN p.name WHEN 'phone' THEN p.phone WHEN 'address' THEN p.address_line1 WHEN 'address_line1' THEN p.address_line1 WHEN 'city' THEN p.city WHEN 'state' THEN p.state WHEN 'zip' THEN p.zip WHEN 'speciality' THEN p.speciality WHEN 'npi' THEN p.npi_id END"
 TABLES = "providers registry provider_sources license_statuses listing_hours listing_status"
 RUN = f"""
 rules AS ({_RULES}),
@@ -157,3 +159,22 @@ legacy AS (SELECT base.*, {', '.join(f'coalesce(t{k}.alike, 0) AS {n}_a, coalesc
 told AS ({_legacy()})
 SELECT id, field, source_type, old, suggested, confidence, CASE WHEN told THEN 'INFORMATIONAL' WHEN confidence >= 0.45 THEN 'AUTO_ACCEPT' ELSE 'NEEDS_REVIEW' END AS action, CASE WHEN told THEN 'INFO' WHEN confidence >= 0.45 THEN 'LOW' ELSE 'HIGH' END AS severity
 FROM told QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY CASE WHEN mode = 'set' THEN -rule_order ELSE 1000 + rule_order END) = 1) w"""
+
+
+def nearest(asked: str, known: str, most: int = 200) -> str:
+    """A table (id, a, ref, score): for each row of asked (id, a) the most alike of known (ref, b) with which it shares a word, or two that follow one another, that at most `most` of known hold."""
+    keys = lambda w: f"unnest(list_distinct({w} || list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])))"
+    lev = "0.15 * (1 - levenshtein(lower(m.a), lower(m.b)) / greatest(length(m.a), length(m.b)))"
+    return f"""(WITH n_asked AS ({asked}), n_known AS ({known}), n_refs AS (SELECT b, min(ref) AS ref, regexp_extract_all(lower(b), '\\w+') AS w FROM n_known WHERE b <> '' GROUP BY b),
+  n_texts AS (SELECT DISTINCT a, regexp_extract_all(lower(a), '\\w+') AS w FROM n_asked WHERE a <> ''), n_index AS (SELECT b, ref, {keys("w")} AS key FROM n_refs),
+  n_held AS (SELECT key FROM n_index GROUP BY key HAVING count(*) <= {most}),
+  n_met AS (SELECT DISTINCT t.a, i.b, i.ref FROM (SELECT a, {keys("w")} AS key FROM n_texts) t JOIN n_index i ON t.key = i.key JOIN n_held h ON t.key = h.key),
+  n_cheap AS (SELECT m.a, m.b, m.ref, {lev} AS lev, coalesce(list_sum(list_transform(list_distinct(x.w), lambda w: {_COUNT.format("x.w")} * {_COUNT.format("y.w")})), 0)
+    / (sqrt(list_sum(list_transform(list_distinct(x.w), lambda w: {_COUNT.format("x.w")} ** 2))) * sqrt(list_sum(list_transform(list_distinct(y.w), lambda w: {_COUNT.format("y.w")} ** 2)))) AS cosine
+    FROM n_met m JOIN n_texts x ON m.a = x.a JOIN n_refs y ON m.b = y.b),
+  n_first AS (SELECT a, arg_max(b, 0.40 * cosine + lev) AS b FROM n_cheap GROUP BY a),
+  n_reached AS (SELECT * FROM (WITH {jaro_winkler("n_first")} SELECT c.a, 0.40 * cosine + 0.45 * j.score + lev AS reached FROM n_first f JOIN n_cheap c ON f.a = c.a AND f.b = c.b JOIN jw j ON lower(c.a) = j.s AND lower(c.b) = j.t)),
+  n_close AS (SELECT c.* FROM n_cheap c JOIN n_reached r ON c.a = r.a WHERE 0.40 * cosine + lev + 0.45 >= reached - 0.000001),{jaro_winkler("n_close")},
+  n_top AS (SELECT c.a, c.ref, round(0.40 * cosine + 0.45 * j.score + lev, 9) AS score FROM n_close c JOIN jw j ON lower(c.a) = j.s AND lower(c.b) = j.t
+    QUALIFY row_number() OVER (PARTITION BY c.a ORDER BY round(0.40 * cosine + 0.45 * j.score + lev, 9) DESC, c.ref) = 1)
+  SELECT q.id, q.a, n.ref, n.score FROM n_asked q LEFT JOIN n_top n ON q.a = n.a AND n.score >= 0.65)"""
