@@ -83,6 +83,12 @@ def compare_current(wide: DataFrame) -> DataFrame:
     return df.withColumn("discrepancies", found).withColumn("contributions", contributions).drop("__website_alike", "__maps_alike")
 
 
+def held_values(entities: DataFrame) -> Column:
+    """A map from the fields of issues to what the directory holds there, as it is written; fields without a column have none."""
+    columns = {"name": "name", "phone": "phone", "address": "address_line1", "address_line1": "address_line1", "city": "city", "state": "state", "zip": "zip", "speciality": "speciality", "license_status": "license_status", "npi": "npi_id"}
+    return F.create_map(*[x for field, c in columns.items() if c in entities.columns for x in (F.lit(field), F.col(c).cast("string"))])
+
+
 def score_entities(compared: DataFrame) -> DataFrame:
     """compared with conflicts, failures, score, level, review, severity, recommendation, route and reasons.
 
@@ -104,12 +110,16 @@ def score_entities(compared: DataFrame) -> DataFrame:
 
 
 def best_suggestions(compared: DataFrame) -> DataFrame:
-    """(id, field, code, source_type, severity, suggested, confidence, action, status): per field the suggestion of most confidence, the earlier rule on ties."""
-    rows = compared.select("id", F.explode("discrepancies").alias("d")).select("id", "d.*").where("suggested is not null")
+    """(id, field, code, source_type, severity, old_value, suggested, confidence, action, status): per field the suggestion of most confidence, the earlier rule on ties.
+
+    Where compared has held (see held_values()), old_value is what the directory holds of the field.
+    """
+    held = F.col("held") if "held" in compared.columns else F.lit(None).cast("map<string, string>")
+    rows = compared.select("id", held.alias("held"), F.explode("discrepancies").alias("d")).select("id", "held", "d.*").where("suggested is not null")
     best = Window.partitionBy("id", "field").orderBy(F.desc("confidence"), "rule_order")
     top = rows.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
     action = sc.issue_action(F.col("action"), F.col("source_type"), F.col("confidence"))
-    return top.select("id", "rule_order", "field", "code", "source_type", F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), "suggested", F.round("confidence", 6).alias("confidence"), action.alias("action"), sc.issue_status(action).alias("status"))
+    return top.select("id", "rule_order", "field", "code", "source_type", F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), F.col("held")[F.col("field")].alias("old_value"), "suggested", F.round("confidence", 6).alias("confidence"), action.alias("action"), sc.issue_status(action).alias("status"))
 
 
 def fallback_issues(compared: DataFrame, keep_unactionable: bool = False) -> DataFrame:

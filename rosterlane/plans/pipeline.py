@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlane.functions import text as t
@@ -28,7 +28,7 @@ def wide_rows(entities: DataFrame, registry: DataFrame, sources: DataFrame, lice
     licenses: (provider_id, license_status). listing: (provider_id, timings, availability_status). Entities are read once; each source
     is one join.
     """
-    own = v.validate_entities(entities).select("issues", "missing", "hard_reject", "input_ok", F.get("errors", F.lit(0)).alias("__error"), *v.standard_columns(entities))
+    own = v.validate_entities(entities).select("issues", "missing", "hard_reject", "input_ok", F.get("errors", F.lit(0)).alias("__error"), c.held_values(entities).alias("held"), *v.standard_columns(entities))
     known = registry.select(F.col("npi").alias("__npi"), F.struct(F.concat_ws(" ", "first_name", "last_name").alias("name"), F.col("telephone_number").alias("phone"), F.concat_ws(", ", "address_1", "city", "state", "postal_code").alias("address")).alias("npi"), F.struct(F.col("taxonomy_desc").alias("name"), "license").alias("certification"))
     seen = lambda kind: sources.where((F.col("source_type") == kind) & F.col("is_found")).groupBy(F.col("provider_id").alias("id")).agg(F.min_by(F.struct("phone", "address"), "source_id").alias("s"))
     joined = own.drop("website").withColumnRenamed("npi", "own_npi").join(known, t.blank_to_null(F.col("own_npi")) == F.col("__npi"), "left").drop("__npi")
@@ -70,12 +70,13 @@ def run_validation(entities: DataFrame, registry: DataFrame, sources: DataFrame,
     return Run(c.score_entities(compared), c.best_suggestions(compared))
 
 
-def report(run: Run, status: DataFrame) -> DataFrame:
-    """A validation report per entity: id, confidence (score, level, contributions, penalties), directory_status, needs_review, severity,
-    recommendation, sources_used, sources_failed, n_issues, and discrepancies (the issues' field, code, source, suggestion and confidence)."""
-    one = F.struct("field", "rule_order", "code", "source_type", "suggested", "confidence")
+def report(run: Run, status: DataFrame, validated_at: Column | None = None) -> DataFrame:
+    """A validation report per entity: id, validated_at (of the run; now, unless given), confidence (score, level, contributions, penalties), directory_status, needs_review, severity,
+    recommendation, sources_used, sources_failed, n_issues, and discrepancies (the issues' field, code, source, old value, suggestion and confidence)."""
+    one = F.struct("field", "rule_order", "code", "source_type", "old_value", "suggested", "confidence")
     found = run.issues.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("discrepancies"))
     penalties = F.struct(F.round(0.05 * F.col("failures"), 6).alias("sources"), F.round(0.10 * F.col("conflicts"), 6).alias("conflicts"))
     own = run.scored.select("id", F.struct("score", "level", "contributions", penalties.alias("penalties")).alias("confidence"), F.col("review").alias("needs_review"), F.col("record_severity").alias("severity"), "recommendation", F.col("used_sources").alias("sources_used"), F.col("failed_sources").alias("sources_failed"))
-    rows = own.join(status.select("id", "directory_status"), "id", "left").join(found, "id", "left")
-    return rows.withColumn("n_issues", F.coalesce("n", F.lit(0))).withColumn("discrepancies", F.coalesce("discrepancies", F.array().cast("array<struct<field: string, rule_order: int, code: string, source_type: string, suggested: string, confidence: double>>"))).drop("n")
+    at = F.current_timestamp() if validated_at is None else validated_at
+    rows = own.withColumn("validated_at", at).join(status.select("id", "directory_status"), "id", "left").join(found, "id", "left")
+    return rows.withColumn("n_issues", F.coalesce("n", F.lit(0))).withColumn("discrepancies", F.coalesce("discrepancies", F.array().cast("array<struct<field: string, rule_order: int, code: string, source_type: string, old_value: string, suggested: string, confidence: double>>"))).drop("n")

@@ -112,7 +112,7 @@ def routed(t):
     return t("validation_issues").select("id", sc.level(s).alias("level"), sc.severity(s).alias("severity"), sc.route(s, review).alias("route"))
 
 
-def _listing(t):
+def listing_of(t):
     """Opening times and availability of the listing as run_validation() takes them."""
     one = F.struct("pos", "day", F.when(F.col("slot") != "", F.array("slot")).otherwise(F.array().cast("array<string>")).alias("time_slots"), "status")
     times = t("listing_hours").groupBy("provider_id").agg(F.array_sort(F.collect_list(one)).alias("x"))
@@ -121,7 +121,7 @@ def _listing(t):
 
 
 def _inputs(t):
-    return t("providers"), t("registry"), t("provider_sources"), t("license_statuses"), _listing(t)
+    return t("providers"), t("registry"), t("provider_sources"), t("license_statuses"), listing_of(t)
 
 
 def _run(t):
@@ -139,7 +139,7 @@ def current(t):
     return rows.select("id", "rule_order", "field", "code", "source_type", "severity", "suggested", F.round("confidence", 6).alias("confidence"), "action")
 
 
-@query("best_suggestion", o.TABLES, o.run("SELECT id, rule_order, field, code, source_type, severity, suggested, confidence, action, status FROM issues"))
+@query("best_suggestion", o.TABLES, o.run(f"SELECT id, rule_order, field, code, source_type, severity, {o.OLD_VALUE} AS old_value, i.suggested, i.confidence, i.action, i.status FROM issues i JOIN providers p USING (id)"))
 def best(t):
     return _run(t).issues
 
@@ -210,14 +210,14 @@ def status(t):
     return _status(t, _run(t))
 
 
-@query("validation_report", _RUN_AND_ISSUES, o.run_status("""SELECT s.id, s.score, s.level, s.review AS needs_review, s.record_severity AS severity, s.recommendation, s.directory_status, coalesce(u.used, '') AS used, coalesce(u.failed, '') AS failed, coalesce(i.n, 0) AS n_issues, coalesce(i.found, '') AS found
+@query("validation_report", _RUN_AND_ISSUES, o.run_status("""SELECT s.id, s.score, s.level, s.review AS needs_review, s.record_severity AS severity, s.recommendation, s.directory_status, coalesce(u.used, '') AS used, coalesce(u.failed, '') AS failed, coalesce(i.n, 0) AS n_issues, coalesce(i.found, '') AS found, TIMESTAMP '2024-01-02 03:04:05' AS validated_at
   FROM status s LEFT JOIN (SELECT id, string_agg(CASE WHEN success THEN source END, ',' ORDER BY k) AS used, string_agg(CASE WHEN NOT success THEN source END, ',' ORDER BY k) AS failed FROM outcomes GROUP BY 1) u ON s.id = u.id
-  LEFT JOIN (SELECT id, count(*) AS n, string_agg(field || '=' || suggested, '|' ORDER BY field) AS found FROM issues GROUP BY 1) i ON s.id = i.id"""))
+  LEFT JOIN (SELECT id, count(*) AS n, string_agg(field || '=' || coalesce(old_value || '>', '') || suggested, '|' ORDER BY field) AS found FROM (SELECT i.*, """ + o.OLD_VALUE + """ AS old_value FROM issues i JOIN providers p USING (id)) i GROUP BY 1) i ON s.id = i.id"""))
 def reported(t):
     run = _run(t)
-    rows = report(run, _status(t, run))
-    found = F.array_join(F.transform("discrepancies", lambda d: F.concat_ws("=", d["field"], d["suggested"])), "|")
-    return rows.select("id", "confidence.score", "confidence.level", "needs_review", "severity", "recommendation", "directory_status", F.array_join("sources_used", ",").alias("used"), F.array_join("sources_failed", ",").alias("failed"), "n_issues", found.alias("found"))
+    rows = report(run, _status(t, run), F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    found = F.array_join(F.transform("discrepancies", lambda d: F.concat(d["field"], F.lit("="), F.concat_ws(">", d["old_value"], d["suggested"]))), "|")
+    return rows.select("id", "confidence.score", "confidence.level", "needs_review", "severity", "recommendation", "directory_status", F.array_join("sources_used", ",").alias("used"), F.array_join("sources_failed", ",").alias("failed"), "n_issues", found.alias("found"), "validated_at")
 
 
 @query("directory_entries", _RUN_AND_ISSUES, o.run_status("SELECT p.id, p.name, p.npi_id AS npi, p.speciality AS specialty, p.address_line1 AS address, p.phone, s.score AS confidence, s.level AS verified_level FROM status s JOIN providers p ON s.id = p.id WHERE s.directory_status = 'PUBLISHED'"))

@@ -1,14 +1,18 @@
-"""Structured Streaming forms: validation of arriving files, decisions folded into issue states, progress, and step counts."""
+"""Structured Streaming forms: validation of arriving files, runs that replace their issues, decisions on open issues, progress, and step counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rosterlane.operators.resolve import column_of
 from rosterlane.operators.validate import validate_entities
+from rosterlane.sources.versions import VersionedTable
 
 
 def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -25,22 +29,98 @@ def write_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reconcile_stream(arriving: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """run(batch, run_id) for each micro-batch; the batch's number is the run's, so a repeated batch replaces itself."""
+def reconcile_stream(arriving: DataFrame, validate: Callable[[DataFrame], DataFrame], table: VersionedTable, writer: str, checkpoint: str) -> StreamingQuery:
+    """A validation run for each micro-batch of entities: its issues replace those of the same entities and runs, whichever batch wrote them.
+
+    validate(batch) gives issues with the table's columns. A batch that fails leaves the table as it was and comes again; one that
+    was committed is passed over.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        with_keys = batch.persist()  # the stream's source would be read twice
+        try:
+            table.replace(validate(with_keys), with_keys.select(F.col("id").alias("provider_id"), "run_id"), writer, n)
+        finally:
+            with_keys.unpersist()
+
     return arriving.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: What happens to issues: they arrive (kind "issue", with status, field and suggestion), and are decided upon (kind "decision").
+EVENT = "issue_id long, kind string, at timestamp, provider_id long, field_name string, suggested_value string, status string, decision string, correct_value string"
+_OUTCOME = "issue_id long, provider_id long, at timestamp, field_name string, decision string, outcome string, value string"
+_STATE = "provider_id long, field_name string, suggested_value string, mapped boolean, open boolean"
+
+
+def decide(event: tuple, state: tuple | None) -> tuple[tuple | None, str, str | None]:
+    """(state, outcome, value) of one decision: only an open issue takes it. The rules are those of resolve.accept_issues and reject_issues.
+
+    event: (decision, correct_value). state: (provider_id, field_name, suggested_value, mapped, open).
+    """
+    if state is None:
+        return None, "UNKNOWN", None
+    decision, correct = event
+    provider, field, suggested, mapped, is_open = state
+    closed = (provider, field, suggested, mapped, False)
+    if not is_open:
+        return state, "NOT_OPEN", None
+    if decision == "reject":
+        return closed, "REJECTED BY PROVIDER", correct if mapped else None
+    if suggested is None:
+        return closed, "REJECTED", None
+    return (closed, "ACCEPTED BY PROVIDER", suggested) if mapped else (state, "UNMAPPED", None)
+
+
+def decisions_stream(events: DataFrame, keep: str = "30 days") -> DataFrame:
+    """(issue_id, provider_id, at, field_name, decision, outcome, value) of each decision in a stream of EVENT rows, for append mode.
+
+    State is a row per issue: an open one stays until it is decided, a decided one until the watermark has passed the decision by `keep`, so that
+    what arrives again in a later batch finds it closed; after that it is unknown, which changes nothing either. The watermark is the latest time less
+    `keep`; rows behind it are dropped. In a batch, rows go by time, issues before decisions.
+    """
+    millis = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches, ignore_index=True)  # one issue's
+        rows = rows.assign(late=rows["kind"] == "decision").sort_values(["at", "late", "decision", "correct_value"])
+        held, out = state.getOption, []
+        for r in rows.astype(object).where(rows.notna(), None).itertuples():
+            if r.kind == "issue":
+                if held is None:  # an issue that arrives again is the same one
+                    held = (int(r.provider_id) if r.provider_id is not None else None, r.field_name, r.suggested_value, bool(r.mapped), r.status == "OPEN")
+                continue
+            held, outcome, value = decide((r.decision, r.correct_value), held)
+            out.append((key[0], held[0] if held else None, r.at, held[1] if held else None, r.decision, outcome, value))
+        if held is not None:
+            state.update(held)
+            if not held[4]:
+                state.setTimeoutTimestamp(int(rows["at"].max().value // 1_000_000) + millis + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["issue_id", "provider_id", "at", "field_name", "decision", "outcome", "value"]).astype({"provider_id": "Int64"})
+
+    mapped = column_of(F.col("field_name")).isNotNull()
+    rows = events.withColumn("mapped", F.coalesce(mapped, F.lit(False))).withWatermark("at", keep)
+    return rows.groupBy("issue_id").applyInPandasWithState(fold, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def first_decisions(decisions: DataFrame) -> DataFrame:
-    """(issue_id, decision, correct_value) of each issue's first decision: only an open issue may be decided. Works on tables and, in complete mode, on streams."""
+    """(issue_id, decision, correct_value) of each issue's first decision in a table."""
     first = F.min(F.struct("at", "decision", "correct_value")).alias("d")
     return decisions.groupBy("issue_id").agg(first).select("issue_id", "d.decision", "d.correct_value")
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
-    """Counts per run, for update or complete mode."""
+    """Counts per run, for update or complete mode; state is a row per run."""
     return events.groupBy("run_id").agg(F.count("*").alias("processed"), F.count_if(F.col("route") == "approved").alias("success"), F.count_if(F.col("route") != "approved").alias("review"))
 
 
 def step_counts(events: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Events per node and tumbling window; events later than the watermark are dropped by design."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "name").agg(F.count("*").alias("n"))
+    """Events per node and tumbling window, for append mode: a window is written once, when the watermark has passed it, and its state goes.
+
+    The watermark is the latest event's time less `late`; events whose window it has passed are dropped by design.
+    """
+    counts = events.withWatermark("ts", late).groupBy(F.window("ts", window), "name").agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").alias("at"), "name", "n")
