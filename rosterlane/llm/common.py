@@ -60,16 +60,21 @@ def discard(df: DataFrame) -> None:
         df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
 
 
+#: While a table is written: shuffle files go when the query that made them ends, and few rows stand in an Arrow batch, of which a task holds two or three.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go when the query that made them ends: what is written needs them no more."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    """What is written needs its shuffle files no more, and little memory."""
+    before = {key: spark.conf.get(key) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def ascii_lower(c: Column) -> Column:
