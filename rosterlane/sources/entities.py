@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,17 +12,43 @@ CSV_COLUMNS = ("provider_id", "name", "phone", "email", "address_line1", "city",
 _LINE = T.StructType([T.StructField("text", T.StringType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("text", T.StringType())])))])
 
 
-def read_entities_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The known columns of a CSV with a header, trimmed, and corrupt: the line where it doesn't fit the header, else null.
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, text): the records of CSV files, also those with line breaks in quotes, from files that are read in parts; first: a file's first one.
 
-    provider_id becomes provider_code, the empty text null; blank lines and a mark at the start are skipped. Files are read in parts, so a
-    quoted line break ends a line; with multi_line it doesn't, and each file is read by one task.
+    A line begins a record where the quotes before it in its file are even in number: they are counted by line, summed within each part, and over the parts of a file.
+    Lines of a record that crosses into the next part go with its first line. A file whose quotes are odd in number is cut at line ends.
     """
-    options = {"header": True, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
-    names = spark.read.options(**options, inferSchema=False).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, "__corrupt")])
-    raw = spark.read.options(**options, columnNameOfCorruptRecord="__corrupt", enforceSchema=True).schema(schema).csv(path)
-    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part")).withColumn("at", F.monotonically_increasing_id())
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    within = Window.partitionBy("file", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    parts = lines.groupBy("file", "part").agg(F.sum("quotes").alias("quotes"))
+    parts = parts.select("file", "part", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"), (F.sum("quotes").over(Window.partitionBy("file")) % 2 == 1).alias("odd"))
+    counted = lines.withColumn("inside", F.coalesce(F.sum("quotes").over(within), F.lit(0))).join(parts, ["file", "part"])
+    begins = F.col("odd") | ((F.col("before") + F.col("inside")) % 2 == 0)
+    marked = counted.withColumn("begin", F.when(begins, F.struct("part", "at")))
+    last = marked.groupBy("file", "part").agg(F.max("begin").alias("last"))
+    carried = last.select("file", "part", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    own = F.max("begin").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = marked.withColumn("own", own).join(carried, ["file", "part"]).withColumn("record", F.coalesce("own", "carried"))
+    whole = placed.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("part", "at", "value"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    return whole.select("file", (F.col("record") == F.min("record").over(Window.partitionBy("file"))).alias("first"), text.alias("text"))
+
+
+def read_entities_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The known columns of a CSV with a header, trimmed, and corrupt: the record where it doesn't fit the header, else null.
+
+    provider_id becomes provider_code, the empty text null; blank lines and a mark at the start are skipped. Quoted fields may hold line breaks.
+    """
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "multiLine": "true", "columnNameOfCorruptRecord": "__corrupt"}
+    names = spark.read.options(header=True, **options).csv(path).columns
+    schema = ", ".join([f"`{c}` string" for c in names] + ["__corrupt string"])
+    clean = [c.lstrip("\ufeff").strip() for c in names]
+    records = csv_records(spark, path).where(F.trim("text") != "")
+    heading = F.regexp_replace(F.regexp_replace("text", "[\ufeff\"]", ""), r"\s*,\s*", ",")
+    rows = records.where(~(F.col("first") & (F.trim(heading) == ",".join(clean)))).select(F.from_csv("text", schema, options).alias("r")).select("r.*")
+    raw = rows.toDF(*clean, "__corrupt")
     has = [c for c in CSV_COLUMNS if c in raw.columns]
     kept = raw.where(F.coalesce(*[t.blank_to_null(F.col(c)) for c in has]).isNotNull())
     value = lambda c: t.trim(F.col(c)) if c in has else F.lit(None).cast("string")
