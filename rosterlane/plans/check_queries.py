@@ -134,3 +134,14 @@ SELECT i.provider_id, bool_and(d.decision IS NOT NULL AND (d.decision <> 'reject
 FROM validation_issues i LEFT JOIN decisions d ON i.id = d.issue_id WHERE i.status = 'OPEN' GROUP BY i.provider_id""")
 def complete(tb):
     return v.review_complete(tb("validation_issues"), tb("decisions"))
+
+
+@query("last_names", "providers", r"""
+SELECT id, CASE WHEN contains(plain, ',') THEN trim(split_part(plain, ',', 1)) ELSE string_split(plain, ' ')[-1] END AS last_name FROM (
+  SELECT id, trim(regexp_replace(regexp_replace(CASE id % 3 WHEN 0 THEN 'Dr. ' || name WHEN 1 THEN name ELSE name || ' PhD' END, '\([^)]*\)', '', 'g'), '(?i)\b(?:dr|mr|mrs|ms|md|do|dds|phd|rn|np|pa)\b\.?', '', 'g')) AS plain FROM providers) p""")
+def last_names(t):
+    from rosterlane.functions.text import last_name
+
+    k, name = F.col("id") % 3, F.col("name")
+    written = F.when(k == 0, F.concat(F.lit("Dr. "), name)).when(k == 1, name).otherwise(F.concat(name, F.lit(" PhD")))
+    return t("providers").select("id", last_name(written).alias("last_name"))

@@ -48,13 +48,17 @@ def fields(t):
     return x.ocr_fields(x.ocr_blocks(t("ocr_text")))
 
 
-@query("ocr_lookahead", "ocr_text", r"""
-SELECT doc_id, CAST(line AS INT) AS line, substr(text, 1, 100) AS name, last_value(npi IGNORE NULLS) OVER w AS npi, first_value(zip IGNORE NULLS) OVER w AS zip FROM (
-  SELECT doc_id, k - 1 AS line, lines[k] AS text, nullif(regexp_extract(lines[k], '(?i)npi\s*[:\-]\s*(\d{10})', 1), '') AS npi, nullif(regexp_extract(lines[k], '\b(\d{5})\b', 1), '') AS zip
-  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM ocr_text) a) b) c WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)""")
+@query("ocr_lookahead", "ocr_text", rf"""
+SELECT doc_id, CAST(line AS INT) AS line, trim(substr(text, 1, 100)) AS name, npi, phone, zip, state, address_line1 FROM (
+  SELECT doc_id, line, text, last_value(npi IGNORE NULLS) OVER w AS npi, last_value(phone IGNORE NULLS) OVER w AS phone, first_value(zip IGNORE NULLS) OVER w AS zip, first_value(state IGNORE NULLS) OVER w AS state, first_value(address IGNORE NULLS) OVER w AS address_line1 FROM (
+    SELECT doc_id, line, text, {_got(r'(?i)NPI[:\s]*(\d{10})')} AS npi, regexp_replace({_got(_OCR_PHONE)}, '[\s()]', '', 'g') AS phone, {_got(r'\b(\d{5})(?:[-\s]?\d{4})?\b')} AS zip, {_got(r'\b([A-Z]{2})\b')} AS state,
+      CASE WHEN regexp_matches(text, '(?i)\d+\s+\w+\s+(st|ave|blvd|road|drive|lane|court|street)') THEN substr(text, 1, 100) END AS address
+    FROM (SELECT doc_id, k - 1 AS line, lines[k] AS text FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM ocr_text) a) b) c) d
+  WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)) e
+WHERE length(text) >= 5 AND NOT regexp_matches(text, '(?i)^(page|address|city|state|zip|phone|fax|npi|license|id|\d+)$')""")
 def lookahead(t):
     lines = t("ocr_text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return x.ocr_lookahead(lines).select("doc_id", "line", "name", "npi", "zip")
+    return x.ocr_lookahead(lines)
 
 
 _DAYS = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"

@@ -216,3 +216,14 @@ def result_lines(t):
     bare = F.to_json(F.array(F.struct(F.array(name, number).alias("lines"))))
     rows = t("supplier").select(F.col("s_suppkey").alias("doc_id"), F.when(F.col("s_suppkey") % 3 == 0, texts).when(F.col("s_suppkey") % 3 == 1, words).otherwise(bare).alias("result"))
     return s.read_ocr_lines(rows)
+
+
+@query("append_sources", "provider_sources", "SELECT source_type, count(*) AS n, count(DISTINCT provider_id) AS entities, count(*) FILTER (is_found) AS found FROM provider_sources GROUP BY 1")
+def appended(t):
+    """Two appends to one folder; one source type is read as a partition, the others as the rest."""
+    rows = t("provider_sources")
+    path = scratch(rows.sparkSession)
+    for half in (0, 1):
+        s.append_sources(rows.where(F.col("provider_id") % 2 == half), path)
+    read = rows.sparkSession.read.parquet(path)
+    return read.groupBy("source_type").agg(F.count("*").alias("n"), F.countDistinct("provider_id").alias("entities"), F.count_if("is_found").alias("found"))

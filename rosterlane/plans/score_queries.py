@@ -276,6 +276,25 @@ def contacts(t):
 
 @query("fill_missing", "providers registry", """
 SELECT p.id, p.npi_id, p.name, coalesce(nullif(trim(p.phone), ''), r.telephone_number) AS phone, coalesce(nullif(trim(p.license_number), ''), r.license) AS license_number, coalesce(nullif(trim(p.speciality), ''), r.taxonomy_desc) AS speciality,
-  p.address_line1, p.city, p.state, p.zip FROM providers p LEFT JOIN registry r ON p.npi_id = r.npi""")
+  CASE WHEN bare THEN coalesce(r.address_1, p.own) ELSE p.own END AS address_line1, CASE WHEN bare THEN coalesce(r.city, p.city) ELSE p.city END AS city, CASE WHEN bare THEN coalesce(r.state, p.state) ELSE p.state END AS state, CASE WHEN bare THEN coalesce(r.postal_code, p.zip) ELSE p.zip END AS zip
+FROM (SELECT *, upper(trim(coalesce(own, ''))) IN ('', 'N/A') AS bare FROM (SELECT *, CASE id % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN '' WHEN 2 THEN ' n/a ' WHEN 3 THEN NULL ELSE address_line1 END AS own FROM providers) o) p LEFT JOIN registry r ON p.npi_id = r.npi""")
 def filled(t):
-    return c.fill_missing(t("providers"), t("registry"))
+    """Four of six entities without an address: N/A in two writings, the empty text, null."""
+    k = F.col("id") % 6
+    bare = F.when(k == 0, "N/A").when(k == 1, "").when(k == 2, " n/a ").when(k > 3, F.col("address_line1"))
+    return c.fill_missing(t("providers").withColumn("address_line1", bare), t("registry"))
+
+
+@query("applied_types", "validation_issues", """
+SELECT id, CASE WHEN b IS NOT NULL THEN lower(trim(b)) IN ('true', 'yes', '1') END AS accepting_new_patients, CASE WHEN json_valid(j) THEN CAST(json(j) AS VARCHAR) ELSE j END AS certifications_json, CASE WHEN b IS NOT NULL OR j IS NOT NULL THEN 'ACTIVE' ELSE 'NEW' END AS status FROM (
+  SELECT c_custkey AS id, arg_max(v, i) FILTER (f = 'b') AS b, arg_max(v, i) FILTER (f = 'j') AS j FROM customer LEFT JOIN (
+    SELECT provider_id, id AS i, CASE WHEN id % 2 = 0 THEN 'b' ELSE 'j' END AS f, CASE id % 8 WHEN 0 THEN 'Yes' WHEN 2 THEN ' TRUE' WHEN 4 THEN '1' WHEN 6 THEN 'never' WHEN 1 THEN '{"a": 1,  "b": [1, 2]}' WHEN 3 THEN '[ ]' WHEN 5 THEN 'no json' ELSE '"text"' END AS v FROM validation_issues WHERE id % 3 = 0) i ON c_custkey = provider_id GROUP BY 1) x""")
+def applied_types(t):
+    """Values of boolean and JSON columns, written in several ways."""
+    k, ways = F.col("id") % 8, {0: "Yes", 2: " TRUE", 4: "1", 6: "never", 1: '{"a": 1,  "b": [1, 2]}', 3: "[ ]", 5: "no json", 7: '"text"'}
+    value = F.coalesce(*[F.when(k == i, v) for i, v in ways.items()])
+    values = t("validation_issues").where("id % 3 = 0").select("provider_id", F.when(F.col("id") % 2 == 0, "accepting_new_patients").otherwise("certifications_json").alias("column"), value.alias("value"), "id")
+    entities = t("customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("boolean").alias("accepting_new_patients"), F.lit(None).cast("string").alias("certifications_json"), F.lit("NEW").alias("status"))
+    return a.apply_values(entities, values)
+
+
