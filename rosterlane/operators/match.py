@@ -140,18 +140,19 @@ def _significant(c: Column, longer_than: int) -> Column:
     return F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) > longer_than) & ~w.isin(*_TITLES))
 
 
-def listing_match(entities: DataFrame, listing: DataFrame) -> DataFrame:
+def listing_match(entities: DataFrame, listing: DataFrame, most: int = 1000) -> DataFrame:
     """(id, tier, pos): the first listing row by exact name; else with all search words; else whose own words the search holds.
 
-    Tiers 2 and 3 join on three letters of the side that must be contained (its rarest in the other table), then verify.
+    Tiers 2 and 3 join on three letters of the side that must be contained (its rarest in the other table, and those of another word where more
+    than `most` names hold it), then verify.
     """
     asked = entities.select("id", F.lower(t.trim(t.name_for_search(F.col("name")))).alias("search"))
     rows = listing.select("pos", F.lower(t.trim(F.col("name"))).alias("entry"))
     exact = asked.join(rows, F.col("search") == F.col("entry")).select("id", F.lit(1).alias("tier"), "pos")
     names = asked.select("search").distinct().withColumn("words", F.array_distinct(_significant(F.col("search"), 2)))
     entries = rows.groupBy("entry").agg(F.min("pos").alias("pos")).withColumn("words", F.array_distinct(_significant(F.col("entry"), 3)))
-    two = _contained(names.where(F.size("words") >= 2), "search", entries, "entry", 2)
-    three = _contained(entries.where(F.size("words") >= 2), "entry", names, "search", 3)
+    two = _contained(names.where(F.size("words") >= 2), "search", entries, "entry", 2, most)
+    three = _contained(entries.where(F.size("words") >= 2), "entry", names, "search", 3, most)
     fuzzy = asked.join(two.unionByName(three), "search").select("id", "tier", "pos")
     rest = fuzzy.join(exact.select("id").distinct(), "id", "left_anti")
     return exact.unionByName(rest).groupBy("id").agg(F.min(F.struct("tier", "pos")).alias("b")).select("id", "b.tier", "b.pos")
@@ -161,18 +162,27 @@ def _trigrams(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
 
 
-def _contained(small: DataFrame, small_name: str, large: DataFrame, large_name: str, tier: int) -> DataFrame:
+def _contained(small: DataFrame, small_name: str, large: DataFrame, large_name: str, tier: int, most: int = 1000) -> DataFrame:
     """(search, tier, pos) where all words of small stand in large's name, also inside its words.
 
-    A contained word's three-letter parts are all there too, so the join is on the part of small that fewest names of large hold.
+    A contained word's three-letter parts are all there too, so the join is on the part of small that fewest names of large hold. Where even
+    that is in more than `most` names, it is on this part and the rarest one of another word: names that hold a hot part are filed under it with each of their
+    other parts.
     """
-    spelled = large.select(F.explode(F.array_distinct(_trigrams(F.col(large_name)))).alias("part"), large_name, *(["pos"] if large_name == "entry" else []))
-    often = spelled.groupBy("part").agg(F.count("*").alias("n"))
-    parts = F.array_distinct(F.flatten(F.transform("words", _trigrams)))
-    words = small.select(small_name, F.explode(parts).alias("part"), "words", *(["pos"] if small_name == "entry" else []))
-    by_part = Window.partitionBy(small_name).orderBy(F.coalesce("n", F.lit(0)), "part")
-    rare = words.join(often, "part", "left").withColumn("r", F.row_number().over(by_part)).where("r = 1").drop("r", "n")
-    met = rare.join(spelled, "part").where(F.forall("words", lambda w: F.col(large_name).contains(w)))
+    place = ["pos"] if large_name == "entry" else []
+    spelled = large.select(large_name, *place, F.array_distinct(_trigrams(F.col(large_name))).alias("parts"))
+    single = spelled.select(large_name, *place, "parts", F.explode("parts").alias("part"))
+    often = single.groupBy("part").agg(F.count("*").alias("n"))
+    asked = small.select(small_name, "words", *([] if place else ["pos"]))
+    each = asked.select(small_name, F.posexplode("words").alias("w", "word")).select(small_name, "w", F.explode(F.array_distinct(_trigrams(F.col("word")))).alias("part"))
+    by_word = each.join(often, "part", "left").groupBy(small_name, "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("p"))
+    rarest = by_word.groupBy(small_name).agg(F.array_sort(F.collect_list("p")).alias("p"))  # a row per word
+    first, second = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    both = (first["n"] > most) & (second["part"] != first["part"])
+    keyed = asked.join(rarest, small_name).select(*asked.columns, F.when(both, F.concat(first["part"], F.lit("\x01"), second["part"])).otherwise(first["part"]).alias("key"))
+    hot = single.join(often.where(F.col("n") > most).select("part"), "part", "left_semi").select(large_name, *place, "part", F.explode("parts").alias("other")).where("other <> part")
+    filed = single.select(large_name, *place, F.col("part").alias("key")).unionByName(hot.select(large_name, *place, F.concat("part", F.lit("\x01"), "other").alias("key")))
+    met = keyed.join(filed, "key").where(F.forall("words", lambda w: F.col(large_name).contains(w)))
     return met.select("search", F.lit(tier).alias("tier"), "pos")
 
 

@@ -66,3 +66,29 @@ def test_addresses_without_or_with_a_wrong_zip_find_theirs(spark):
     entities = spark.createDataFrame([(1, "x", "12 Oak Ave", "Salem", "NY", None), (2, "x", "12 Elm St", "Troy", "CA", "99999"), (3, "x", "", None, " ", None), (4, "x", "zz", "qq", "ww", "00000")], "id long, name string, address_line1 string, city string, state string, zip string")
     got = {r.id: (r.reason, r.ref_id) for r in m.address_reference_match(entities, reference).collect()}
     assert got == {1: (None, "n1"), 2: (None, "n2"), 3: ("EMPTY_ADDRESS", None), 4: ("NO_RESULTS", None)}
+
+
+def plain_listing(names, rows):
+    """The first row by exact name, else with all search words, else whose words the search holds."""
+    titles = {"dr", "md", "do", "pa", "np", "rn", "mr", "ms", "mrs"}
+    out = {}
+    for i, name in names:
+        for tier in (1, 2, 3):
+            long = lambda x, n: [w for w in dict.fromkeys(x.split()) if len(w) > n and w not in titles]
+            met = {1: lambda e: e == name, 2: lambda e: len(long(name, 2)) > 1 and all(w in e for w in long(name, 2)), 3: lambda e: len(long(e, 3)) > 1 and all(w in name for w in long(e, 3))}[tier]
+            found = [p for p, e in rows if met(e)]
+            if found:
+                out[i] = (tier, min(found))
+                break
+    return out
+
+
+def test_listing_match_where_a_third_share_their_words(spark):
+    rng = random.Random(6)
+    words = ["general", "hospital", "north", "south", "river", "clinic", "care", "anna", "bert", "cole", "dane", "smithson", "johnson", "xu"]
+    name = lambda: " ".join(["general hospital", rng.choice(words), rng.choice(words)] if rng.random() < 0.4 else rng.sample(words, rng.randint(1, 4)))
+    asked, rows = [(i, name()) for i in range(150)], [(i, name()) for i in range(150)]
+    entities = spark.createDataFrame(asked, "id long, name string")
+    listing = spark.createDataFrame(rows, "pos long, name string")
+    for most in (1000, 20, 0):
+        assert {r.id: (r.tier, r.pos) for r in m.listing_match(entities, listing, most).collect()} == plain_listing(asked, rows)
