@@ -49,38 +49,39 @@ def compare_current(wide: DataFrame) -> DataFrame:
     Columns: npi{name, phone, address}, license_status, listing{timings, availability_status}, website{phone, address},
     maps{phone, address}, certification{name, license}; issues as rule_issues() makes them.
     """
-    unlike = lambda n: _has(F.col(f"{n}.address")) & ~F.coalesce(addresses_match(F.col("address"), F.col(f"{n}.address")), F.lit(False))
-    df = wide.withColumns({f"__{n}_alike": _alike(F.col("address"), F.col(f"{n}.address"), unlike(n)) for n in ("website", "maps")})
+    same = {f"__{n}_same": F.coalesce(addresses_match(F.col("address"), F.col(f"{n}.address")), F.lit(False)) for n in ("npi", "website", "maps")}  # each once
+    unlike = lambda n: _has(F.col(f"{n}.address")) & ~F.col(f"__{n}_same")
+    df = wide.withColumns(same).withColumns({f"__{n}_alike": _alike(F.col("address"), F.col(f"{n}.address"), unlike(n)) for n in ("website", "maps")})
     npi, site, maps, listing, cert = F.col("npi"), F.col("website"), F.col("maps"), F.col("listing"), F.col("certification")
     own_name, npi_name = F.col("name"), t.normalize_text(npi["name"])
     name_ok = _has(own_name) & _has(npi_name) & (npi_name.contains(own_name) | own_name.contains(npi_name))
-    address_ok = lambda c: _has(c) & _has(F.col("address")) & addresses_match(F.col("address"), c)
+    address_ok = lambda n: _has(F.col(f"{n}.address")) & _has(F.col("address")) & F.col(f"__{n}_same")
     phone_ok = lambda c: _same_phone(c, F.col("phone"))
     one, none = F.lit(1.0), F.lit(0.0)
     status = F.upper(F.coalesce("license_status", F.lit("")))
     rules = [
         _row(npi.isNotNull() & ~name_ok, 10, "name", "NPI_NAME_MISMATCH", "NPI_API", "MEDIUM", npi["name"], sc.final_score(one, none, none, F.lit(True))),
-        _row(_has(npi["address"]) & ~address_ok(npi["address"]), 11, "address", "NPI_ADDRESS_MISMATCH", "NPI_API", "MEDIUM", npi["address"], sc.final_score(one, none, none, F.lit(True))),
+        _row(_has(npi["address"]) & ~address_ok("npi"), 11, "address", "NPI_ADDRESS_MISMATCH", "NPI_API", "MEDIUM", npi["address"], sc.final_score(one, none, none, F.lit(True))),
         _row(_has(npi["phone"]) & ~phone_ok(npi["phone"]), 12, "phone", "NPI_PHONE_MISMATCH", "NPI_API", "MEDIUM", npi["phone"], sc.final_score(one, none, one, F.lit(True))),
         _row((status != "") & (status != "ACTIVE"), 13, "license_status", "LICENSE_INACTIVE", "LICENSE_REGISTRY", "HIGH", None, F.lit(0.8)),
         _row(F.size(listing["timings"]) > 0, 14, "appointment_availability", "APPOINTMENT_AVAILABILITY", "LISTING_WEBSITE", "LOW", format_timings(listing["timings"]), F.lit(0.6), "INFORMATIONAL", "ACCEPTED"),
         _row(_has(listing["availability_status"]) & (listing["availability_status"] != "NO_INFO"), 15, "availability_status", "APPOINTMENT_STATUS", "LISTING_WEBSITE", "LOW", listing["availability_status"], F.lit(0.6), "INFORMATIONAL", "ACCEPTED"),
         _row(_has(site["phone"]) & ~phone_ok(site["phone"]), 16, "phone", "WEBSITE_PHONE_MISMATCH", "WEBSITE", "MEDIUM", site["phone"], sc.final_score(one, none, F.lit(0.6))),
-        _row(_has(site["address"]) & ~address_ok(site["address"]), 17, "address", "WEBSITE_ADDRESS_MISMATCH", "WEBSITE", "MEDIUM", site["address"], sc.final_score(one, F.col("__website_alike"), none)),
+        _row(_has(site["address"]) & ~address_ok("website"), 17, "address", "WEBSITE_ADDRESS_MISMATCH", "WEBSITE", "MEDIUM", site["address"], sc.final_score(one, F.col("__website_alike"), none)),
         _row(_has(maps["phone"]) & ~phone_ok(maps["phone"]), 18, "phone", "AZURE_PHONE_MISMATCH", "AZURE_MAPS", "MEDIUM", maps["phone"], sc.final_score(F.lit(0.85), none, F.lit(0.6))),
-        _row(_has(maps["address"]) & ~address_ok(maps["address"]), 19, "address", "AZURE_ADDRESS_MISMATCH", "AZURE_MAPS", "MEDIUM", maps["address"], sc.final_score(F.lit(0.85), F.col("__maps_alike"), none)),
+        _row(_has(maps["address"]) & ~address_ok("maps"), 19, "address", "AZURE_ADDRESS_MISMATCH", "AZURE_MAPS", "MEDIUM", maps["address"], sc.final_score(F.lit(0.85), F.col("__maps_alike"), none)),
         _row(_has(cert["name"]), 20, "certification", "CERTIFICATION_SUGGESTED", "NPI_CERTIFICATIONS", "MEDIUM", primary_text(cert), sc.final_score(one, none, none, F.lit(True), _has(cert["license"]))),
     ]
     checked = F.transform("issues", lambda i: F.struct(i["rule_order"].alias("rule_order"), i["field"].alias("field"), i["code"].alias("code"), F.lit("INPUT_VALIDATION").alias("source_type"), i["severity"].alias("severity"), i["suggested"].alias("suggested"), i["confidence"].alias("confidence"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("status")))
     found = F.concat(checked, F.array_compact(F.array(*rules))).cast(f"array<{DISCREPANCY}>")
     gave = lambda ok, there: F.when(there, F.when(ok, 1.0).otherwise(0.5)).otherwise(0.0)
     contributions = F.struct(
-        gave(name_ok | address_ok(npi["address"]) | phone_ok(npi["phone"]), npi.isNotNull()).alias("npi"),
+        gave(name_ok | address_ok("npi") | phone_ok(npi["phone"]), npi.isNotNull()).alias("npi"),
         F.when(status == "ACTIVE", 1.0).otherwise(0.0).alias("license"),
-        gave(phone_ok(site["phone"]) | address_ok(site["address"]), site.isNotNull()).alias("website"),
+        gave(phone_ok(site["phone"]) | address_ok("website"), site.isNotNull()).alias("website"),
         F.when(F.coalesce("phone_verified", F.lit(False)), 1.0).otherwise(0.0).alias("phone"),
     )
-    return df.withColumn("discrepancies", found).withColumn("contributions", contributions).drop("__website_alike", "__maps_alike")
+    return df.withColumn("discrepancies", found).withColumn("contributions", contributions).drop("__website_alike", "__maps_alike", *same)
 
 
 def held_values(entities: DataFrame) -> Column:
