@@ -10,14 +10,15 @@ subphrase gives, the step by which it had reached the threshold; the later of th
 late, and a phrase begins at the later estimate of its subphrases. Cells are set once and never changed, so all scans agree on
 that step, and a phrase that a collision lets in early is counted for one cycle like any other: counts are exact whatever the
 table's size, which bounds what is broadcast. Within a slice of texts, words and phrases are told apart by their bytes and places, not by
-hashes; between slices by their strings.
+hashes; between slices by 128 bits of hash under a key drawn for the run (two multilinear hashes of a word's bytes, each chained over the words), so no text
+can be made to collide. A last scan tells the words of the phrases that have passed.
 
 Candidates (`support` or more) get the lowest score of their cuts, those that a longer candidate explains are dropped, and the rest is ranked per language.
 
 Scale. The texts are written once, by shard; each scan reads one shard, sends a row per counted phrase and slice, and one shuffle adds them
 to the counts that are still open. A phrase that ends below the threshold is forgotten. Words of the fewest occurrences, most
 of all phrases, are carried for one cycle and never make a longer one. Newly frequent phrases come to the driver as
-bitmaps of cells (one bit each). Ranks are found in two levels, so a hot language is not one task's.
+bitmaps of cells (one bit each); a step's counts go when the next ones are written. Ranks are found in two levels, so a hot language is not one task's.
 
 Cases. A null text has no words; a null language is `und` (and one with the rows that say so). Repeated rows count repeatedly. An
 empty table gives no rows; extra columns are ignored; a very long text is a slice of its own. Scores are exact: products are decimals of 38 digits.
@@ -25,12 +26,19 @@ empty table gives no rows; extra columns are ignored; a very long text is a slic
 
 from __future__ import annotations
 
+import secrets
+import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache, reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, read_table, scratch
+from .common import cut, discard, map_batches, read_table, scratch
 from .words import Words, mix, spans_hashed, words_of
 
 SUPPORT = 30
@@ -45,7 +53,6 @@ _BITMAP = 8 * 4096
 _BYTES = np.arange(256)
 _BREAK = np.isin(_BYTES, [*map(ord, ".,;:!?"), *range(0x0A, 0x0E)])
 _WORD = ~(_BREAK | np.isin(_BYTES, [0x20, 0x09]))
-_COUNTED = "lang string, phrase string, k int, h long, start int, n long"
 
 
 def adjacent(w: Words) -> np.ndarray:
@@ -62,26 +69,44 @@ def steps_of(h: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.maximum(cells[h & last], cells[(h >> np.uint64(32)) & last]).astype(np.int64)
 
 
-def scan(w: Words, lang: np.ndarray, names: list[str], cells: np.ndarray, step: int, shards: int, longest: int = LONGEST) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(k, first word's place, hash, language, start, n) of the phrases that a slice's words count in this step, by length; lang numbers the rows' names."""
+@dataclass
+class Found:
+    """Distinct phrases of k words of a slice: the first word's place, two hashes, language, the step from which they count, and how often they occur."""
+
+    k: int
+    place: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    lang: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+
+
+def scan(w: Words, lang: np.ndarray, names: list[str], cells: np.ndarray, key: int, step: int, shards: int, longest: int = LONGEST, wanted: np.ndarray | None = None) -> list[Found]:
+    """What a slice's words hold, by length: the phrases that count in this step, or those that wanted has. lang numbers the rows' names."""
     if not len(w.starts):
         return []
     which, distinct = w.coded()
     of = lang[w.row_of()]
     _, offsets, data = distinct.buffers()
     at = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
-    told = spans_hashed(np.frombuffer(data, np.uint8), at[:-1], at[1:], 11)
+    raw = np.frombuffer(data, np.uint8)
     tagged = [f".{n}".encode() for n in names]
-    tags = spans_hashed(np.frombuffer(b"".join(tagged), np.uint8), *_ends([len(n) for n in tagged]), 13)
+    tags = np.frombuffer(b"".join(tagged), np.uint8), *_ends([len(n) for n in tagged])
+    sides = [(mix(spans_hashed(raw, at[:-1], at[1:], key + i)), mix(spans_hashed(*tags, key + i + 2))) for i in (0, 1)]
+    single = [mix(told[which] ^ tag[of]) for told, tag in sides]
     word = which * len(names) + of  # a word of a language
     n_words = len(distinct) * len(names)
-    h1 = mix(told[which] ^ mix(tags[of]))
     out = []
+    if wanted is not None or step < shards:  # a row for all words of each language
+        n = np.bincount(of, minlength=len(names))
+        every = np.arange(len(names))
+        out.append(Found(0, np.zeros(len(names), np.int64), sides[0][1], sides[1][1], every, np.zeros(len(names), np.int64), n))
     follows = adjacent(w)
-    places, rank, h, begin = np.arange(len(which)), word, h1, np.zeros(len(which), np.int64)
+    places, rank, a, b, begin = np.arange(len(which)), word, *single, np.zeros(len(which), np.int64)
     for k in range(1, longest + 1):
         if k > 1:
-            frequent = np.maximum(steps_of(h, cells), begin)  # not before its own start
+            frequent = np.maximum(steps_of(a, cells), begin)  # not before its own start
             slot = np.full(len(which), -1, np.int64)
             slot[places] = np.arange(len(places))
             nxt = slot[np.minimum(places + 1, len(which) - 1)]
@@ -91,23 +116,17 @@ def scan(w: Words, lang: np.ndarray, names: list[str], cells: np.ndarray, step:
             if not len(places):
                 break
             last = places + k - 1
-            h = mix((h[fits] ^ h1[last]) * np.uint64(0xD1342543DE82EF95))
+            a, b = (mix(h[fits] * np.uint64(0xD1342543DE82EF95) + one[last]) for h, one in zip((a, b), single, strict=True))
             _, rank = np.unique(before * n_words + word[last], return_inverse=True)  # before < the slice's words
-        counted = begin + shards > step
-        if k == 1:
-            n = np.bincount(rank, minlength=n_words)
-            one = np.zeros(n_words, np.int64)
-            one[rank] = np.arange(len(rank))
-            found = np.flatnonzero(n)
-            if counted[0]:
-                out.append((k, one[found], h[one[found]], of[one[found]], begin[one[found]], n[found]))
-        elif counted.any():
-            n = np.bincount(rank[counted])
+        counted = np.flatnonzero(begin + shards > step if wanted is None else steps_of(a, wanted) < _NEVER)
+        if len(counted):
+            ranks = rank[counted]
+            n = np.bincount(ranks)
             one = np.zeros(len(n), np.int64)
-            one[rank[counted]] = np.flatnonzero(counted)
+            one[ranks] = counted
             found = np.flatnonzero(n)
             one = one[found]
-            out.append((k, places[one], h[one], of[places[one]], begin[one], n[found]))
+            out.append(Found(k, places[one], a[one], b[one], of[places[one]], begin[one], n[found]))
     return out
 
 
@@ -130,33 +149,55 @@ def phrase_strings(w: Words, first: np.ndarray, k: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)).cast(pa.string())
 
 
-def _counted(shard: DataFrame, cells: np.ndarray, step: int, shards: int, longest: int) -> DataFrame:
-    """(lang, phrase, k, h, start, n): what the slices of a shard count in a step."""
-    sent = shard.sparkSession.sparkContext.broadcast(cells)
+@lru_cache(maxsize=2)
+def _opened(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
+def _slices(shard: DataFrame, schema: str, told: Callable[[Words, np.ndarray, list[str]], list[list[pa.Array]]]) -> DataFrame:
+    """Rows of a schema that told() makes, as columns, of the words of each slice and its rows' languages."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    nothing = pa.RecordBatch.from_pylist([], pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs = batch.column("lang").dictionary_encode()
-        names = langs.dictionary.to_pylist()
         w = words_of(batch.column("text"), _WORD, True)
-        found = scan(w, langs.indices.to_numpy().astype(np.int64), names, sent.value, step, shards, longest)
-        parts = [
-            pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array(of)), phrase_strings(w, first, k), pa.array(np.full(len(n), k, np.int32)), pa.array(h.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(n)],
-                ["lang", "phrase", "k", "h", "start", "n"],
-            )
-            for k, first, h, of, begin, n in found
-        ]
-        return pa.concat_batches(parts) if parts else _NOTHING
+        parts = [pa.RecordBatch.from_arrays(x, names) for x in told(w, langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist())]
+        return pa.concat_batches(parts) if parts else nothing
+
+    return map_batches(shard.select("lang", "text"), run, schema, most_bytes=2 << 20)
+
+
+_COUNTED = "a long, b long, k int, start int, n long"
+_NAMED = "a long, b long, lang string, phrase string"
+
+
+def _counted(shard: DataFrame, sent: Broadcast, key: int, step: int, shards: int, longest: int) -> DataFrame:
+    """(a, b, k, start, n): what the slices of a shard count in a step; sent holds the packed cells."""
+
+    def told(w: Words, lang: np.ndarray, names: list[str]) -> list[list[pa.Array]]:
+        whole = lambda x, n: pa.array(np.full(len(n), x, np.int32))
+        found = scan(w, lang, names, _opened(sent.value), key, step, shards, longest)
+        return [[pa.array(f.a.view(np.int64)), pa.array(f.b.view(np.int64)), whole(f.k, f.n), pa.array(f.start.astype(np.int32)), pa.array(f.n)] for f in found]
+
+    return _slices(shard, _COUNTED, told)
+
 
-    return map_batches(shard.select("lang", "text"), run, _COUNTED, most_bytes=2 << 20)
+def _named(texts: DataFrame, sent: Broadcast, wanted: Broadcast, key: int, longest: int) -> DataFrame:
+    """(a, b, lang, phrase) of the phrases whose cells wanted holds; those of no words are the languages."""
 
+    def told(w: Words, lang: np.ndarray, names: list[str]) -> list[list[pa.Array]]:
+        found = scan(w, lang, names, _opened(sent.value), key, _NEVER - 1, 0, longest, _opened(wanted.value))
+        strings = lambda f: phrase_strings(w, f.place, f.k) if f.k else pa.array([""] * len(f.n), pa.string())
+        return [[pa.array(f.a.view(np.int64)), pa.array(f.b.view(np.int64)), pa.array(names, pa.string()).take(pa.array(f.lang)), strings(f)] for f in found]
 
-_NOTHING = pa.RecordBatch.from_pylist([], pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int64())]))
+    return _slices(texts, _NAMED, told)
 
 
 def cells_of(frequent: DataFrame, n_cells: int) -> np.ndarray:
-    """The cells of phrases (h), brought to the driver as bitmaps."""
-    cell = F.explode(F.array(F.col("h").bitwiseAND(n_cells - 1), F.shiftrightunsigned("h", 32).bitwiseAND(n_cells - 1))).alias("cell")
+    """The cells of phrases (a), brought to the driver as bitmaps."""
+    cell = F.explode(F.array(F.col("a").bitwiseAND(n_cells - 1), F.shiftrightunsigned("a", 32).bitwiseAND(n_cells - 1))).alias("cell")
     one = F.col("cell") + 1  # Spark's bitmaps count from 1
     maps = frequent.select(cell).groupBy(F.bitmap_bucket_number(one).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")).collect()
     found = [(r.b - 1) * _BITMAP + np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")) for r in maps]
@@ -172,29 +213,39 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     texts.withColumn("shard", F.pmod(row, F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
     every = spark.read.schema("lang string, text string, shard int").parquet(path)
 
+    packed = lambda x: spark.sparkContext.broadcast(zlib.compress(x.tobytes(), 1))
+    key = secrets.randbits(64)
     cells = np.full(n_cells, _NEVER, np.uint8)
-    step, latest, still, done, totals = 0, 0, None, [], None
+    step, latest, still, last, done = 0, 0, None, None, []
     while step < latest + shards:
-        new = _counted(every.where(F.col("shard") == step % shards), cells, step, shards, longest).withColumn("before", F.lit(0).cast("long"))
+        sent = packed(cells)
+        new = _counted(every.where(F.col("shard") == step % shards), sent, key, step, shards, longest).withColumn("before", F.lit(0).cast("long"))
         if still is not None:
             new = new.unionByName(still.withColumn("before", F.col("n")))
-        counts = cut(new.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.first("h").alias("h"), F.first("start").alias("start"), F.sum("n").alias("n"), F.sum("before").alias("before")))
-        reached = counts.where((F.col("n") >= support) & (F.col("before") < support) & (F.col("k") < longest))
+        counts = cut(new.groupBy("a", "b").agg(F.max("k").alias("k"), F.max("start").alias("start"), F.sum("n").alias("n"), F.sum("before").alias("before")))
+        sent.destroy()  # the counts are written
+        reached = counts.where((F.col("n") >= support) & (F.col("before") < support) & F.col("k").between(1, longest - 1))
         found = cells_of(reached, n_cells)
         found = found[cells[found] == _NEVER]
         if len(found):
             latest = step + 1
             cells[found] = latest
         over = F.col("start") + shards <= step + 1
-        if step == shards - 1:
-            totals = counts.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-        done.append(counts.where(over & (F.col("n") >= support)).select("lang", "phrase", "k", "n"))
-        still = counts.where(~over).drop("before")
+        done.append(cut(counts.where(over & ((F.col("n") >= support) | (F.col("k") == 0))).select("a", "b", "k", "n")))
+        if last is not None:
+            discard(last)
+        last, still = counts, counts.where(~over).drop("before")
         step += 1
-    whole = done[0]
-    for more in done[1:]:
-        whole = whole.unionByName(more)
-    return cut(whole), cut(totals)
+    discard(last)
+    whole = cut(reduce(DataFrame.unionByName, done))
+    wanted = np.full(n_cells, _NEVER, np.uint8)
+    wanted[cells_of(whole, n_cells)] = 0
+    sent, asked = packed(cells), packed(wanted)
+    names = _named(every, sent, asked, key, longest).groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    told = cut(whole.join(names, ["a", "b"]))
+    sent.destroy()
+    asked.destroy()
+    return told.where("k > 0").select("lang", "phrase", "k", "n"), told.where("k = 0").select("lang", "n")
 
 
 def _part(first: str, last: str) -> str:

@@ -60,6 +60,7 @@ def test_longer_phrases_start_before_words_have_been_counted_in_all_shards(spark
     """Lengths interleave, and no phrase is counted in more steps than there are shards."""
     seen, true_cut = [], phrases.cut
     monkeypatch.setattr(phrases, "cut", lambda df: seen.append(true_cut(df)) or seen[-1])
+    monkeypatch.setattr(phrases, "discard", lambda df: None)
     df = spark.createDataFrame(random_rows(400), "lang string, text string").repartition(4)
     phrases.count_phrases(df, support=12)
     steps = [{r.k: r.least for r in t.groupBy("k").agg(F.min("start").alias("least")).collect()} for t in seen if "start" in t.columns]
@@ -92,6 +93,6 @@ def test_query_against_sql(spark, sf_dir):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
     expect = con.sql(phrases.ORACLE_SQL).fetchall()
     assert sorted(map(tuple, phrases.op11_collocations(spark, sf_dir).collect())) == sorted(expect)
-    assert expect == sorted(expect) or expect
+    assert expect
     docs = [(r.lang, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert plain(docs) == sorted(expect)
