@@ -80,26 +80,27 @@ def decisions_stream(events: DataFrame, keep: str = "30 days") -> DataFrame:
     """
     millis = int(pd.Timedelta(keep).total_seconds() * 1000)
 
+    columns = ["at", "kind", "provider_id", "field_name", "suggested_value", "status", "decision", "correct_value", "mapped"]
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(batches, ignore_index=True)  # one issue's
-        rows = rows.assign(late=rows["kind"] == "decision").sort_values(["at", "late", "decision", "correct_value"])
+        rows = [r for batch in batches for r in zip(*(batch[c].tolist() for c in columns), strict=True)]  # one issue's
         held, out = state.getOption, []
-        for r in rows.astype(object).where(rows.notna(), None).itertuples():
-            if r.kind == "issue":
+        for at, kind, provider, field, suggested, status, decision, correct, is_mapped in sorted(rows, key=lambda r: (r[0], r[1] == "decision", r[6] or "", r[7] or "")):
+            if kind == "issue":
                 if held is None:  # an issue that arrives again is the same one
-                    held = (int(r.provider_id) if r.provider_id is not None else None, r.field_name, r.suggested_value, bool(r.mapped), r.status == "OPEN")
+                    held = (None if pd.isna(provider) else int(provider), field, suggested, bool(is_mapped), status == "OPEN")
                 continue
-            held, outcome, value = decide((r.decision, r.correct_value), held)
-            out.append((key[0], held[0] if held else None, r.at, held[1] if held else None, r.decision, outcome, value))
+            held, outcome, value = decide((decision, correct), held)
+            out.append((key[0], held[0] if held else None, at, held[1] if held else None, decision, outcome, value))
         if held is not None:
             state.update(held)
             if not held[4]:
-                state.setTimeoutTimestamp(int(rows["at"].max().value // 1_000_000) + millis + 1)
+                state.setTimeoutTimestamp(int(max(r[0] for r in rows).value // 1_000_000) + millis + 1)
         if out:
-            yield pd.DataFrame(out, columns=["issue_id", "provider_id", "at", "field_name", "decision", "outcome", "value"]).astype({"provider_id": "Int64"})
+            yield pd.DataFrame(out, columns=["issue_id", "provider_id", "at", "field_name", "decision", "outcome", "value"], dtype=object)
 
     mapped = column_of(F.col("field_name")).isNotNull()
     rows = events.withColumn("mapped", F.coalesce(mapped, F.lit(False))).withWatermark("at", keep)
