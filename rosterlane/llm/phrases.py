@@ -15,10 +15,12 @@ can be made to collide. A last scan tells the words of the phrases that have pas
 
 Candidates (`support` or more) get the lowest score of their cuts, those that a longer candidate explains are dropped, and the rest is ranked per language.
 
-Scale. The texts are written once, by shard; each scan reads one shard, sends a row per counted phrase and slice, and one shuffle adds them
-to the counts that are still open. A phrase that ends below the threshold is forgotten. Words of the fewest occurrences, most
-of all phrases, are carried for one cycle and never make a longer one. Newly frequent phrases come to the driver as
-bitmaps of cells (one bit each); a step's counts go when the next ones are written. Ranks are found in two levels, so a hot language is not one task's.
+Scale. The words are told apart once: each slice of texts is written, by shard, as its distinct words and the places' numbers, and scans read those. A scan
+sends a row per counted phrase and slice, and one shuffle adds these to the counts of its shard, which are written once and not carried from step to step. A phrase of
+`support` occurrences in a cycle has at least support / shards of them in one shard; only such phrases' counts of the other shards are added up at the end of
+their cycle, found by a bitmap of cells. Until then the counts of such shards alone can make a phrase frequent earlier. Newly frequent phrases come to the driver as
+bitmaps of cells (one bit each); a step's counts go when their cycle is over. Names are looked for in one shard, then for what is left in the next.
+Ranks are found in two levels, so a hot language is not one task's.
 
 Cases. A null text has no words; a null language is `und` (and one with the rows that say so). Repeated rows count repeatedly. An
 empty table gives no rows; extra columns are ignored; a very long text is a slice of its own. Scores are exact: products are decimals of 38 digits.
@@ -28,17 +30,18 @@ from __future__ import annotations
 
 import secrets
 import zlib
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, map_batches, read_table, scratch
+from .common import cut, discard, read_table, scratch, shuffles_removed, slices
 from .words import Words, mix, spans_hashed, words_of
 
 SUPPORT = 30
@@ -69,6 +72,39 @@ def steps_of(h: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.maximum(cells[h & last], cells[(h >> np.uint64(32)) & last]).astype(np.int64)
 
 
+@dataclass
+class Slice:
+    """Texts as numbers: 0 is a break between pieces or rows, i is word i - 1 of those given by their bytes and language; the last number is 0."""
+
+    codes: np.ndarray
+    raw: np.ndarray
+    at: np.ndarray  # word i has bytes at[i]:at[i + 1]
+    lang: np.ndarray  # of each word, as a number of names
+    names: list[str]
+
+    def words(self) -> Words:
+        """The numbers as words; a break is an empty one."""
+        starts, ends = (np.concatenate(([0], x)) for x in (self.at[:-1], self.at[1:]))
+        return Words(self.raw, np.zeros(1, np.int64), starts[self.codes], ends[self.codes], np.zeros(1, np.int64))
+
+
+def slice_of(w: Words, lang: np.ndarray, names: list[str]) -> Slice:
+    """lang numbers the rows' names. Words are told apart by their bytes."""
+    which, distinct = w.coded()
+    word = which * len(names) + lang[w.row_of()]  # a word of a language
+    there = np.zeros(len(distinct) * len(names), bool)
+    there[word] = True
+    told = np.flatnonzero(there)
+    ended = np.cumsum(~adjacent(w))
+    codes = np.zeros(len(word) + int(ended[-1]) if len(word) else 0, np.int64)
+    codes[np.arange(len(word)) + np.concatenate(([0], ended))[: len(word)]] = np.cumsum(there)[word]
+    strings = distinct.take(pa.array(told // max(len(names), 1)))
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if len(told) else np.zeros(0, np.uint8)
+    return Slice(codes, raw, at - at[0], told % max(len(names), 1), names)
+
+
 @dataclass
 class Found:
     """Distinct phrases of k words of a slice: the first word's place, two hashes, language, the step from which they count, and how often they occur."""
@@ -82,71 +118,70 @@ class Found:
     n: np.ndarray
 
 
-def scan(w: Words, lang: np.ndarray, names: list[str], cells: np.ndarray, key: int, step: int, shards: int, longest: int = LONGEST, wanted: np.ndarray | None = None) -> list[Found]:
-    """What a slice's words hold, by length: the phrases that count in this step, or those that wanted has. lang numbers the rows' names."""
-    if not len(w.starts):
+def scan(s: Slice, cells: np.ndarray, key: int, step: int, shards: int, longest: int = LONGEST, wanted: np.ndarray | None = None) -> list[Found]:
+    """What a slice holds, by length: the phrases that count in this step, or those that wanted has."""
+    if not len(s.codes):
         return []
-    which, distinct = w.coded()
-    of = lang[w.row_of()]
-    _, offsets, data = distinct.buffers()
-    at = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
-    raw = np.frombuffer(data, np.uint8)
-    tagged = [f".{n}".encode() for n in names]
-    tags = np.frombuffer(b"".join(tagged), np.uint8), *_ends([len(n) for n in tagged])
-    sides = [(mix(spans_hashed(raw, at[:-1], at[1:], key + i)), mix(spans_hashed(*tags, key + i + 2))) for i in (0, 1)]
-    single = [mix(told[which] ^ tag[of]) for told, tag in sides]
-    word = which * len(names) + of  # a word of a language
-    n_words = len(distinct) * len(names)
+    tagged = [f".{n}".encode() for n in s.names]
+    sizes = np.array([len(n) for n in tagged], np.int64)
+    ends = np.cumsum(sizes)
+    tags = np.frombuffer(b"".join(tagged), np.uint8), ends - sizes, ends
+    single, lang_hash = [], []
+    for i in (0, 1):
+        lang_hash.append(mix(spans_hashed(*tags, key + i + 2)))
+        single.append(np.concatenate(([np.uint64(0)], mix(mix(spans_hashed(s.raw, s.at[:-1], s.at[1:], key + i)) ^ lang_hash[i][s.lang]))))
+    of = np.concatenate(([0], s.lang))
+    n = np.bincount(s.codes, minlength=len(of))
+    n[0] = 0
+    zeros = lambda like: np.zeros(len(like), np.int64)
     out = []
     if wanted is not None or step < shards:  # a row for all words of each language
-        n = np.bincount(of, minlength=len(names))
-        every = np.arange(len(names))
-        out.append(Found(0, np.zeros(len(names), np.int64), sides[0][1], sides[1][1], every, np.zeros(len(names), np.int64), n))
-    follows = adjacent(w)
-    places, rank, a, b, begin = np.arange(len(which)), word, *single, np.zeros(len(which), np.int64)
+        every = np.arange(len(s.names))
+        out.append(Found(0, zeros(every), *lang_hash, every, zeros(every), np.bincount(of, n, len(every)).astype(np.int64)))
+    # by distinct phrase: a place, two hashes, the step from which it counts, how often; by place: the number of its phrase
+    one, (a, b), begin = zeros(of), single, zeros(of)
+    one[s.codes] = np.arange(len(s.codes))
+    places, rank = np.arange(len(s.codes)), s.codes
     for k in range(1, longest + 1):
         if k > 1:
             frequent = np.maximum(steps_of(a, cells), begin)  # not before its own start
-            slot = np.full(len(which), -1, np.int64)
-            slot[places] = np.arange(len(places))
-            nxt = slot[np.minimum(places + 1, len(which) - 1)]
-            begin = np.maximum(frequent, frequent[nxt])
-            fits = follows[places + k - 2] & (nxt >= 0) & (begin <= step)
-            places, before, begin = places[fits], rank[fits], begin[fits]
-            if not len(places):
+            if k == 2:
+                frequent[0] = _NEVER  # a break
+            reached = np.full(len(s.codes), _NEVER, np.int64)
+            reached[places] = frequent[rank]
+            both = np.maximum(reached[:-1], reached[1:])
+            fits = np.flatnonzero(both <= step)
+            if not len(fits):
                 break
-            last = places + k - 1
-            a, b = (mix(h[fits] * np.uint64(0xD1342543DE82EF95) + one[last]) for h, one in zip((a, b), single, strict=True))
-            _, rank = np.unique(before * n_words + word[last], return_inverse=True)  # before < the slice's words
-        counted = np.flatnonzero(begin + shards > step if wanted is None else steps_of(a, wanted) < _NEVER)
+            number = np.zeros(len(s.codes), np.int64)
+            number[places] = rank
+            before, places, last = number[fits], fits, s.codes[fits + k - 1]
+            told = pa.array(before * len(of) + last).dictionary_encode()  # before < the slice's words
+            rank = told.indices.to_numpy()
+            one = np.zeros(len(told.dictionary), np.int64)
+            one[rank] = np.arange(len(rank))
+            shorter, ending = before[one], last[one]
+            a, b = (mix(h[shorter] * np.uint64(0xD1342543DE82EF95) + w[ending]) for h, w in zip((a, b), single, strict=True))
+            one = places[one]
+            begin, n = both[one], np.bincount(rank)
+        counted = np.flatnonzero((begin + shards > step if wanted is None else steps_of(a, wanted) < _NEVER) & (n > 0))
         if len(counted):
-            ranks = rank[counted]
-            n = np.bincount(ranks)
-            one = np.zeros(len(n), np.int64)
-            one[ranks] = counted
-            found = np.flatnonzero(n)
-            one = one[found]
-            out.append(Found(k, places[one], a[one], b[one], of[places[one]], begin[one], n[found]))
+            at = one[counted]
+            out.append(Found(k, at, a[counted], b[counted], of[s.codes[at]], begin[counted], n[counted]))
     return out
 
 
-def _ends(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum(sizes, dtype=np.int64)
-    return ends - np.array(sizes, np.int64), ends
-
-
 def phrase_strings(w: Words, first: np.ndarray, k: int) -> pa.Array:
     """The phrases of k words from these places on, joined by spaces."""
-    sizes = w.ends - w.starts + 1
-    before = np.concatenate(([0], np.cumsum(sizes)))
-    spaced = np.full(int(before[-1]), 0x20, np.uint8)
-    inner = np.arange(int(before[-1])) - np.repeat(before[:-1], sizes)
-    inside = inner < np.repeat(sizes - 1, sizes)
-    spaced[inside] = w.raw[(inner + np.repeat(w.starts, sizes))[inside]]
-    length = before[first + k] - 1 - before[first]
-    at = np.concatenate(([0], np.cumsum(length)))
-    raw = spaced[np.arange(int(at[-1])) + np.repeat(before[first] - at[:-1], length)]
-    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)).cast(pa.string())
+    word = (first[:, None] + np.arange(k)).reshape(-1)
+    sizes = w.ends[word] - w.starts[word]
+    spaced = sizes + (np.arange(len(word)) % k < k - 1)
+    before = np.concatenate(([0], np.cumsum(spaced)))
+    raw = np.full(int(before[-1]), 0x20, np.uint8)
+    inner = np.arange(len(raw)) - np.repeat(before[:-1], spaced)
+    inside = inner < np.repeat(sizes, spaced)
+    raw[inside] = w.raw[(inner + np.repeat(w.starts[word], spaced))[inside]]
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(before[::k].astype(np.int64)), pa.py_buffer(raw)).cast(pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -154,45 +189,97 @@ def _opened(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
-def _slices(shard: DataFrame, schema: str, told: Callable[[Words, np.ndarray, list[str]], list[list[pa.Array]]]) -> DataFrame:
-    """Rows of a schema that told() makes, as columns, of the words of each slice and its rows' languages."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-    nothing = pa.RecordBatch.from_pylist([], pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)]))
+_SLICES = "shard int, names array<string>, codes binary, sizes binary, lang binary, words binary"
+_COUNTED = "a long, b long, tag int, n long"
+_NAMED = "a long, b long, lang string, phrase string"
+_PARTS = "a long, b long, k int, n long"
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs = batch.column("lang").dictionary_encode()
-        w = words_of(batch.column("text"), _WORD, True)
-        parts = [pa.RecordBatch.from_arrays(x, names) for x in told(w, langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist())]
-        return pa.concat_batches(parts) if parts else nothing
 
-    return map_batches(shard.select("lang", "text"), run, schema, most_bytes=2 << 20)
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**31 by their bytes' places, so that the high ones pack well."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-_COUNTED = "a long, b long, k int, start int, n long"
-_NAMED = "a long, b long, lang string, phrase string"
+def _whole(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1).astype(np.int64)
+
+
+def _coded(texts: DataFrame) -> DataFrame:
+    """Slices of at most 2 MB (a longer text is a slice of its own) of a partition's rows (shard, lang, text), each of one shard."""
+
+    def row(shard: int, part: pa.RecordBatch) -> pa.RecordBatch:
+        langs = part.column("lang").dictionary_encode()
+        s = slice_of(words_of(part.column("text"), _WORD, True), langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist())
+        columns = [pa.array([shard], pa.int32()), pa.array([s.names], pa.list_(pa.string()))]
+        told = [_planes(s.codes), _planes(np.diff(s.at)), _planes(s.lang), s.raw.tobytes()]
+        return pa.RecordBatch.from_arrays(columns + [pa.array([x], pa.binary()) for x in told], ["shard", "names", "codes", "sizes", "lang", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, pa.RecordBatch] = {}
+        for batch in batches:
+            for shard in batch.column("shard").unique().to_pylist():
+                own = batch.filter(pc.equal(batch.column("shard"), shard))
+                *full, waiting[shard] = slices(pa.concat_batches([waiting.pop(shard), own]) if shard in waiting else own, "text", 2 << 20)
+                for part in full:
+                    yield row(shard, part)
+        for shard, part in waiting.items():
+            yield row(shard, part)
+
+    return texts.mapInArrow(run, _SLICES)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for batch in batches:
+        for names, *told in zip(*(batch.column(c) for c in ("names", "codes", "sizes", "lang", "words")), strict=True):
+            codes, sizes, lang, words = (x.as_buffer() for x in told)
+            yield Slice(_whole(codes), np.frombuffer(words, np.uint8), np.concatenate(([0], np.cumsum(_whole(sizes)))), _whole(lang), names.as_py())
 
 
 def _counted(shard: DataFrame, sent: Broadcast, key: int, step: int, shards: int, longest: int) -> DataFrame:
-    """(a, b, k, start, n): what the slices of a shard count in a step; sent holds the packed cells."""
+    """(a, b, tag, n): what the slices of a shard count in a step; tag is 256 * k + start, sent holds the packed cells."""
 
-    def told(w: Words, lang: np.ndarray, names: list[str]) -> list[list[pa.Array]]:
-        whole = lambda x, n: pa.array(np.full(len(n), x, np.int32))
-        found = scan(w, lang, names, _opened(sent.value), key, step, shards, longest)
-        return [[pa.array(f.a.view(np.int64)), pa.array(f.b.view(np.int64)), whole(f.k, f.n), pa.array(f.start.astype(np.int32)), pa.array(f.n)] for f in found]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _told(batches):
+            for f in scan(s, _opened(sent.value), key, step, shards, longest):
+                columns = [f.a.view(np.int64), f.b.view(np.int64), (f.k * 256 + f.start).astype(np.int32), f.n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "tag", "n"])
 
-    return _slices(shard, _COUNTED, told)
+    return shard.drop("shard").mapInArrow(run, _COUNTED)
 
 
 def _named(texts: DataFrame, sent: Broadcast, wanted: Broadcast, key: int, longest: int) -> DataFrame:
-    """(a, b, lang, phrase) of the phrases whose cells wanted holds; those of no words are the languages."""
+    """(a, b, lang, phrase) of the phrases whose cells wanted holds; those of no words are the languages.
 
-    def told(w: Words, lang: np.ndarray, names: list[str]) -> list[list[pa.Array]]:
-        found = scan(w, lang, names, _opened(sent.value), key, _NEVER - 1, 0, longest, _opened(wanted.value))
-        strings = lambda f: phrase_strings(w, f.place, f.k) if f.k else pa.array([""] * len(f.n), pa.string())
-        return [[pa.array(f.a.view(np.int64)), pa.array(f.b.view(np.int64)), pa.array(names, pa.string()).take(pa.array(f.lang)), strings(f)] for f in found]
+    A task remembers the last phrase of each of 2**20 cells and does not tell it again.
+    """
 
-    return _slices(texts, _NAMED, told)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros((2, 1 << 20), np.uint64)
+        for s in _told(batches):
+            w = s.words()
+            for f in scan(s, _opened(sent.value), key, _NEVER - 1, 0, longest, _opened(wanted.value)):
+                cell = f.a & np.uint64(told.shape[1] - 1)
+                new = np.flatnonzero((told[0, cell] != f.a) | (told[1, cell] != f.b))
+                told[0, cell[new]], told[1, cell[new]] = f.a[new], f.b[new]
+                if len(new):
+                    strings = phrase_strings(w, f.place[new], f.k) if f.k else pa.array([""] * len(new), pa.string())
+                    langs = pa.array(s.names, pa.string()).take(pa.array(f.lang[new]))
+                    yield pa.RecordBatch.from_arrays([pa.array(f.a[new].view(np.int64)), pa.array(f.b[new].view(np.int64)), langs, strings], ["a", "b", "lang", "phrase"])
+
+    return texts.drop("shard").mapInArrow(run, _NAMED)
+
+
+def _among(counts: DataFrame, sent: Broadcast) -> DataFrame:
+    """The counts whose cells sent holds, and those of no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = steps_of(batch.column("a").to_numpy().view(np.uint64), _opened(sent.value)) < _NEVER
+            kept = batch.filter(pa.array(held | (batch.column("k").to_numpy() == 0)))
+            if kept.num_rows:
+                yield kept
+
+    return counts.select("a", "b", "k", "n").mapInArrow(run, _PARTS)
 
 
 def cells_of(frequent: DataFrame, n_cells: int) -> np.ndarray:
@@ -209,42 +296,63 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     spark = docs.sparkSession
     path = scratch(spark)
     row = F.monotonically_increasing_id()  # in the order of a partition's rows: neighbours go to different shards
-    texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    texts.withColumn("shard", F.pmod(row, F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
-    every = spark.read.schema("lang string, text string, shard int").parquet(path)
+    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang")
+    texts = docs.select(lang, F.col(f"`{text_col}`").alias("text")).where("text is not null").withColumn("shard", F.pmod(row, F.lit(shards)).cast("int"))
+    with shuffles_removed(spark):
+        _coded(texts).write.partitionBy("shard").parquet(path)
+    every = spark.read.schema(_SLICES).parquet(path)
 
     packed = lambda x: spark.sparkContext.broadcast(zlib.compress(x.tobytes(), 1))
+    union = lambda x: reduce(DataFrame.unionByName, x)
+
+    def holding(found: np.ndarray) -> Broadcast:
+        held = np.full(n_cells, _NEVER, np.uint8)
+        held[found] = 0
+        return packed(held)
+
     key = secrets.randbits(64)
     cells = np.full(n_cells, _NEVER, np.uint8)
-    step, latest, still, last, done = 0, 0, None, None, []
+    share = -(-support // shards)  # a phrase of `support` occurrences has as many in one shard
+    step, latest, tables, high, done = 0, 0, [], [], []
     while step < latest + shards:
         sent = packed(cells)
-        new = _counted(every.where(F.col("shard") == step % shards), sent, key, step, shards, longest).withColumn("before", F.lit(0).cast("long"))
-        if still is not None:
-            new = new.unionByName(still.withColumn("before", F.col("n")))
-        counts = cut(new.groupBy("a", "b").agg(F.max("k").alias("k"), F.max("start").alias("start"), F.sum("n").alias("n"), F.sum("before").alias("before")))
+        new = _counted(every.where(F.col("shard") == step % shards), sent, key, step, shards, longest).groupBy("a", "b").agg(F.max("tag").alias("tag"), F.sum("n").alias("n"))
+        tables.append(cut(new.select("a", "b", F.shiftright("tag", 8).alias("k"), F.col("tag").bitwiseAND(255).alias("start"), "n")))
         sent.destroy()  # the counts are written
-        reached = counts.where((F.col("n") >= support) & (F.col("before") < support) & F.col("k").between(1, longest - 1))
+        first = step + 1 - shards
+        high.append(cut(tables[-1].where((F.col("n") >= share) & (F.col("k") > 0)).select("a", "b", "k", F.col("start").alias("since"), "n")))
+        many = union(high)
+        reached = many.where((F.col("since") > first) & (F.col("k") < longest)).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
         found = cells_of(reached, n_cells)
+        if first >= 0:
+            among = cells_of(many.where(F.col("since") == first), n_cells)
+            if first == 0 or len(among):
+                sent = holding(among)
+                over = _among(union(tables).where(F.col("start") == first), sent).groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
+                done.append(cut(over.where((F.col("n") >= support) | (F.col("k") == 0))))
+                sent.destroy()
+                found = np.concatenate((found, cells_of(done[-1].where(F.col("k").between(1, longest - 1)), n_cells)))
+            discard(tables.pop(0))
+            discard(high.pop(0))
         found = found[cells[found] == _NEVER]
         if len(found):
             latest = step + 1
             cells[found] = latest
-        over = F.col("start") + shards <= step + 1
-        done.append(cut(counts.where(over & ((F.col("n") >= support) | (F.col("k") == 0))).select("a", "b", "k", "n")))
-        if last is not None:
-            discard(last)
-        last, still = counts, counts.where(~over).drop("before")
         step += 1
-    discard(last)
-    whole = cut(reduce(DataFrame.unionByName, done))
-    wanted = np.full(n_cells, _NEVER, np.uint8)
-    wanted[cells_of(whole, n_cells)] = 0
-    sent, asked = packed(cells), packed(wanted)
-    names = _named(every, sent, asked, key, longest).groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
-    told = cut(whole.join(names, ["a", "b"]))
+    for table in [*tables, *high]:
+        discard(table)
+    whole = cut(union(done))
+    sent, missing, names = packed(cells), whole, []
+    for shard in range(shards):
+        asked = holding(cells_of(missing, n_cells))
+        named = _named(every.where(F.col("shard") == shard), sent, asked, key, longest).groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+        names.append(cut(missing.join(named, ["a", "b"])))
+        asked.destroy()
+        missing = cut(missing.join(names[-1], ["a", "b"], "left_anti"))
+        if missing.isEmpty():
+            break
     sent.destroy()
-    asked.destroy()
+    told = union(names)
     return told.where("k > 0").select("lang", "phrase", "k", "n"), told.where("k = 0").select("lang", "n")
 
 

@@ -69,6 +69,28 @@ def test_longer_phrases_start_before_words_have_been_counted_in_all_shards(spark
         assert not table.where(F.col("start") + phrases.SHARDS <= step).count()
 
 
+def test_each_occurrence_is_written_in_one_step_only(spark, monkeypatch):
+    """Open counts are not carried from step to step, and a phrase that no single shard makes frequent is found."""
+    seen, true_cut = [], phrases.cut
+    monkeypatch.setattr(phrases, "cut", lambda df: seen.append(true_cut(df)) or seen[-1])
+    monkeypatch.setattr(phrases, "discard", lambda df: None)
+    df = spark.createDataFrame([("en", "a b. c a b")] * 8, "lang string, text string").coalesce(1)
+    counts, totals = phrases.count_phrases(df, support=16)
+    assert {(r.phrase, r.n) for r in counts.collect()} == {("a", 16), ("b", 16), ("a b", 16)}
+    assert [r.n for r in totals.collect()] == [40]
+    written = [t.where("k = 1").agg(F.sum("n")).first()[0] or 0 for t in seen if "start" in t.columns]
+    assert written[: phrases.SHARDS] == [10] * phrases.SHARDS and sum(written) == 40
+
+
+def test_slices_keep_words_languages_and_breaks():
+    w = words_of(pa.array(["A b, a", None, "", "a"]), phrases._WORD, True)
+    s = phrases.slice_of(w, np.array([0, 0, 1, 1]), ["en", "de"])
+    words = [None, *[(s.raw[a:b].tobytes(), s.names[n]) for a, b, n in zip(s.at[:-1], s.at[1:], s.lang, strict=True)]]
+    assert [words[c] for c in s.codes] == [(b"a", "en"), (b"b", "en"), None, (b"a", "en"), None, (b"a", "de"), None]
+    assert phrases._whole(phrases._planes(s.codes)).tolist() == s.codes.tolist()
+    assert phrases.phrase_strings(s.words(), np.array([0]), 2).to_pylist() == ["a b"]
+
+
 def test_awkward_rows(spark):
     rows = [(r[2], r[1]) for r in cases.rows()]
     got = phrases.collocations(cases.frame(spark, ["phrase", "n"]), support=2).collect()
