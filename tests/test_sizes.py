@@ -9,3 +9,9 @@ def plan_of(spark, sf_dir, name):
 
 def test_registry_name_search_sends_no_table_to_all(spark, sf_dir):
     assert "Broadcast" not in plan_of(spark, sf_dir, "registry_name_search")
+
+
+def test_candidate_scoring_sends_no_table_to_all_and_cleans_names_once(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "candidate_scoring")
+    assert "Broadcast" not in plan
+    assert plan.count(r"\([^)]+\)") < 5
