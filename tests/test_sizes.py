@@ -1,5 +1,8 @@
 """What queries must not do as tables grow: send tables to all, or compute a name once for each use."""
 
+from pyspark.sql import functions as F
+from rosterlane.functions.similarity import address_similarity, token_cosine
+from rosterlane.operators import nearest
 from rosterlane.plans import registry
 
 
@@ -15,3 +18,19 @@ def test_candidate_scoring_sends_no_table_to_all_and_cleans_names_once(spark, sf
     plan = plan_of(spark, sf_dir, "candidate_scoring")
     assert "Broadcast" not in plan
     assert plan.count(r"\([^)]+\)") < 5
+
+
+def test_words_are_told_apart_once_per_text_not_per_pair(spark):
+    asked, known = spark.createDataFrame([(1, "1 Oak St, Troy, NY")], "id long, a string"), spark.createDataFrame([("r", "1 OAK ST, Troy")], "ref string, b string")
+    plan = nearest.candidates(asked, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") < 8
+
+
+def test_cosine_of_hashed_words_and_the_bound_without_letters(spark):
+    texts = ["1 Oak St, Troy, Troy, NY NY", "1 oak st", "1 1 1 Oak", "1 1 oak oak", "!", "İİ İ 1", "xxxx 1", "Troy Troy Troy Troy NY"]
+    t = spark.createDataFrame([(x,) for x in texts], "a string")
+    pairs = t.select("a", nearest.words_of(F.col("a")).alias("x")).crossJoin(t.select(F.col("a").alias("b"), nearest.words_of(F.col("a")).alias("y")))
+    both = pairs.withColumn("plain", token_cosine(F.col("a"), F.col("b"))).withColumn("cosine", nearest.cosine(F.col("a"), F.col("b"), F.col("x"), F.col("y")))
+    assert both.where("abs(plain - cosine) > 1e-12").count() == 0 and both.where("plain > 0.1 and plain < 0.9").count() > 9
+    scored = address_similarity(both, "a", "b", "score").withColumn("bound", nearest.bound(F.col("a"), F.col("b"), alike=F.col("cosine")))
+    assert scored.where("bound < score - 1e-9").count() == 0
