@@ -70,7 +70,7 @@ def decided(t):
         return out.withColumn("at", F.timestamp_seconds(F.lit(n)))
 
     parts = [batch(1, issues, third(0)), batch(2, issues, third(1), named(closed, 2), named(unknown, 2)), batch(3, third(2), named(again, 3))]
-    written = _batches(parts, lambda s, root: st.write_once(st.decisions_stream(s), f"{root}/out", f"{root}/state"))
+    written = _batches(parts, lambda s, root: st.write_once(st.decisions_stream(s, groups=1024), f"{root}/out", f"{root}/state"))
     return written.select("issue_id", F.unix_timestamp("at").alias("batch"), "decision", "outcome", "value")
 
 

@@ -48,8 +48,9 @@ def reconcile_stream(arriving: DataFrame, validate: Callable[[DataFrame], DataFr
 
 #: What happens to issues: they arrive (kind "issue", with status, field and suggestion), and are decided upon (kind "decision").
 EVENT = "issue_id long, kind string, at timestamp, provider_id long, field_name string, suggested_value string, status string, decision string, correct_value string"
-_OUTCOME = "issue_id long, provider_id long, at timestamp, field_name string, decision string, outcome string, value string"
-_STATE = "provider_id long, field_name string, suggested_value string, mapped boolean, open boolean"
+_OUTCOME = "issue_id long, provider_id long, at long, field_name string, decision string, outcome string, value string"
+#: Issues of one group, item by item; goes: the watermark, in milliseconds, behind which a decided one is dropped.
+_STATE = "issue_id array<long>, provider_id array<long>, field_name array<string>, suggested_value array<string>, mapped array<boolean>, open array<boolean>, goes array<long>"
 
 
 def decide(event: tuple, state: tuple | None) -> tuple[tuple | None, str, str | None]:
@@ -71,40 +72,58 @@ def decide(event: tuple, state: tuple | None) -> tuple[tuple | None, str, str |
     return (closed, "ACCEPTED BY PROVIDER", suggested) if mapped else (state, "UNMAPPED", None)
 
 
-def decisions_stream(events: DataFrame, keep: str = "30 days") -> DataFrame:
+def decisions_stream(events: DataFrame, keep: str = "30 days", groups: int | None = None) -> DataFrame:
     """(issue_id, provider_id, at, field_name, decision, outcome, value) of each decision in a stream of EVENT rows, for append mode.
 
-    State is a row per issue: an open one stays until it is decided, a decided one until the watermark has passed the decision by `keep`, so that
+    State is a row per issue, or one for each of `groups` groups of issues (by hash), which saves most of the time where batches hold many issues; the
+    results are the same. An open issue stays until it is decided, a decided one until the watermark has passed the decision by `keep`, so that
     what arrives again in a later batch finds it closed; after that it is unknown, which changes nothing either. The watermark is the latest time less
     `keep`; rows behind it are dropped. In a batch, rows go by time, issues before decisions.
     """
     millis = int(pd.Timedelta(keep).total_seconds() * 1000)
 
-    columns = ["at", "kind", "provider_id", "field_name", "suggested_value", "status", "decision", "correct_value", "mapped"]
+    columns = ["issue", "micros", "kind", "provider", "field_name", "suggested_value", "status", "decision", "correct_value", "mapped"]
+    number = lambda x: None if x is None else int(x)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = [r for batch in batches for r in zip(*(batch[c].tolist() for c in columns), strict=True)]  # one issue's
-        held, out = state.getOption, []
-        for at, kind, provider, field, suggested, status, decision, correct, is_mapped in sorted(rows, key=lambda r: (r[0], r[1] == "decision", r[6] or "", r[7] or "")):
+        held = {x[0]: x[1:] for x in zip(*state.getOption, strict=True)} if state.exists else {}
+        rows = [] if state.hasTimedOut else [r for batch in batches for r in zip(*(batch[c].tolist() for c in columns), strict=True)]
+        rows.sort(key=lambda r: (r[0] or "", r[1], r[2] == "decision", r[7] or "", r[8] or ""))
+        out, last = [], {}
+        for issue, at, kind, provider, field, suggested, status, decision, correct, is_mapped in rows:
+            i = number(issue)
+            last[i] = at
+            known = held.get(i)
             if kind == "issue":
-                if held is None:  # an issue that arrives again is the same one
-                    held = (None if pd.isna(provider) else int(provider), field, suggested, bool(is_mapped), status == "OPEN")
+                if known is None:  # an issue that arrives again is the same one
+                    held[i] = (number(provider), field, suggested, is_mapped, status == "OPEN", None)
                 continue
-            held, outcome, value = decide((decision, correct), held)
-            out.append((key[0], held[0] if held else None, at, held[1] if held else None, decision, outcome, value))
-        if held is not None:
-            state.update(held)
-            if not held[4]:
-                state.setTimeoutTimestamp(int(max(r[0] for r in rows).value // 1_000_000) + millis + 1)
+            now, outcome, value = decide((decision, correct), known[:5] if known else None)
+            if known:
+                held[i] = (*now, known[5])
+            out.append((i, known[0] if known else None, at, known[1] if known else None, decision, outcome, value))
+        for i, at in last.items():
+            if i in held:
+                held[i] = (*held[i][:5], None if held[i][4] else at // 1000 + millis + 1)
+        passed = state.getCurrentWatermarkMs()
+        held = {i: x for i, x in held.items() if i in last or x[5] is None or x[5] >= passed}
+        if held:
+            state.update(tuple(map(list, zip(*((i, *x) for i, x in held.items()), strict=True))))
+            ends = [x[5] for x in held.values() if x[5] is not None]
+            if ends:
+                state.setTimeoutTimestamp(min(ends))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["issue_id", "provider_id", "at", "field_name", "decision", "outcome", "value"], dtype=object)
 
-    mapped = column_of(F.col("field_name")).isNotNull()
-    rows = events.withColumn("mapped", F.coalesce(mapped, F.lit(False))).withWatermark("at", keep)
-    return rows.groupBy("issue_id").applyInPandasWithState(fold, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    mapped = F.coalesce(column_of(F.col("field_name")).isNotNull(), F.lit(False))
+    group = F.col("issue_id") if groups is None else F.pmod(F.xxhash64("issue_id"), F.lit(groups))
+    # numbers that may be null go to Python as text, which keeps all their digits
+    told = events.withColumns({"mapped": mapped, "issue": F.col("issue_id").cast("string"), "provider": F.col("provider_id").cast("string"), "micros": F.unix_micros("at"), "group": group})
+    rows = told.select("group", "at", *columns).withWatermark("at", keep)
+    decided = rows.groupBy("group").applyInPandasWithState(fold, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.withColumn("at", F.timestamp_micros("at"))
 
 
 def first_decisions(decisions: DataFrame) -> DataFrame:
